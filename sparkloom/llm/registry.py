@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.jaccard_join import jaccard_components
 from sparkloom.llm.substrings import substring_dedup
 
 
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 3-word shingles have Jaccard 0.9 or more."""
+    return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, threshold="0.9")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document, those that repeated 20-word passages cover, and a digest of the rest."""
     out = substring_dedup(table(spark, sf_dir, "documents"))
@@ -21,6 +27,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
 }
 
