@@ -1,8 +1,77 @@
-"""Placeholder; see STAGES."""
+"""A corpus pipeline of five of the operators; each stage works on what the one before it kept."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm import language_id
+from sparkloom.llm.cluster import Scratch
+from sparkloom.llm.decontaminate import decontaminate
+from sparkloom.llm.folds import learnable
+from sparkloom.llm.jaccard_join import jaccard_components
+from sparkloom.llm.mixing import mix_sources
+from sparkloom.llm.substrings import substring_dedup
+
+#: A document whose most probable language is less probable than this is rejected.
+LEAST_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose language the model names with LEAST_SCORE or more. Others go."""
+    model = language_id.fit(learnable(docs))
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    out = language_id.predict(inner, model, tuple(inner.columns), f"c{names.index('text')}")
+    return out.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score").toDF(*names)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at Jaccard 0.8, the document of smallest doc_id.
+    Rows without a doc_id stay; of rows that repeat a doc_id the greatest one stays."""
+    found = jaccard_components(docs, shingle=5, threshold="0.8")
+    gone = found.filter("component_id <> doc_id").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = Scratch(spark, "repeated").save(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    one = kept.join(again, "doc_id", "left_semi").select(docs.columns).groupBy("doc_id").agg(F.max(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words of passages of 20 words that start earlier elsewhere."""
+    names = docs.columns
+    rest = tuple(c for c in names if c not in ("doc_id", "text", "n_chars"))
+    out = substring_dedup(docs.select("doc_id", "text", *rest), carry=rest, rejoin=False).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("bigint"))
+    return out.select(names)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold less than 0.8 of the five-word shingles of every test item."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document left; weights 1, 2, 3 in turn by source."""
+    return mix_sources(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", substrings),
+    ("benchmark_decontamination", benchmark),
+    ("mixing", mixture),
+]
+
+#: Language ID and mixing are not expressible in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over the documents of a folder; each result is written and read again."""
+    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm import language_id
+from sparkloom.llm.decontaminate import contaminated
+from sparkloom.llm.folds import held_out, learnable
 from sparkloom.llm.jaccard_join import jaccard_components
+from sparkloom.llm.mixing import mix_sources
 from sparkloom.llm.substrings import substring_dedup
 
 
@@ -26,9 +30,29 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a document and a test item of whose five-word shingles it holds 0.8 or more."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document by a model of the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(learnable(docs)))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that a mix by source weights 1, 2, 3 takes."""
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_substring_dedup": op4_substring_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_language_id": op8_language_id,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {}

@@ -167,13 +167,13 @@ def _repeats(n: int):
     return run
 
 
-def _drop(width: int, carry: list[str]):
+def _drop(width: int, carry: list[str], rejoin: bool):
     """The documents without the words that a repeat covers."""
 
     def run(docs: pa.Table, repeats: pa.Table) -> pa.Table:
         docs, ids = _group(docs)
-        texts = docs.column("_text").cast(pa.large_binary()).fill_null(b"").to_pylist()
-        split = [t.split() for t in texts]
+        texts = docs.column("_text").cast(pa.large_binary()).to_pylist()
+        split = [t.split() if t else [] for t in texts]
         offs = np.r_[0, np.cumsum([len(x) for x in split])].astype(np.int64)
         doc, pos = _places(repeats)
         cover = np.zeros(offs[-1] + width + 1, np.int32)
@@ -193,7 +193,7 @@ def _drop(width: int, carry: list[str]):
                 own = [w for w, g in zip(own, mask.tolist(), strict=True) if not g]
             else:
                 lens.append(0)
-            kept.append(b" ".join(own))
+            kept.append(b" ".join(own) if k or rejoin else texts[len(kept)])
         flat = np.concatenate(spans).astype(np.int32) if spans else np.zeros((0, 2), np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lens)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["start", "stop"]))
         new = [pa.array(np.diff(offs)), pa.array(np.array(removed, np.int64), pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), lists.cast(_SPAN)]
@@ -202,13 +202,13 @@ def _drop(width: int, carry: list[str]):
     return run
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), width: int = 20, block: int = 10) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), width: int = 20, block: int = 10, rejoin: bool = True) -> DataFrame:
     """Each document without the words of repeated passages.
 
     A window is `width` consecutive words of one document. A word goes if a window that covers it has a word
     sequence that also starts earlier: in a document of smaller id, or earlier in the same one. Windows are
     judged on the input. Returns `id_col`, the columns in `carry`, n_words, n_removed, kept_text (kept words
-    joined by one space) and removed (word spans start..stop, maximal, ascending); columns of other names are
+    joined by one space; without `rejoin`, a text that loses nothing stays as it is, null too) and removed (word spans start..stop, maximal, ascending); columns of other names are
     not looked at. Null text: no words. Null id: an id below all others, returned as null. Rows that share an
     id count as one document whose rows follow one another in order of their text, so a repeated row loses
     what it repeats; no window spans two rows. Empty table: empty result.
@@ -228,5 +228,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     places = placed.select("bucket", "_id", "_text").groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_windows(block, width, n), BLOB)
     repeats = scratch.save(places.groupBy("bucket").applyInArrow(_repeats(n), BLOB))
     fields = ", ".join(f"{k} {slim.schema[k].dataType.simpleString()}" for k in inner)
-    out = placed.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(_drop(width, inner), f"{fields}, n_words bigint, n_removed bigint, kept_text string, removed array<struct<start:int,stop:int>>")
+    out = placed.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(_drop(width, inner, rejoin), f"{fields}, n_words bigint, n_removed bigint, kept_text string, removed array<struct<start:int,stop:int>>")
     return out.toDF(*keep, "n_words", "n_removed", "kept_text", "removed")
