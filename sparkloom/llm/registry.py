@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from sparkloom.llm import language_id
 from sparkloom.llm.decontaminate import contaminated
 from sparkloom.llm.folds import held_out, learnable
+from sparkloom.llm.html_extract import extract_text
 from sparkloom.llm.jaccard_join import jaccard_components
 from sparkloom.llm.mixing import mix_sources
+from sparkloom.llm.near_vectors import near_vectors
 from sparkloom.llm.substrings import substring_dedup
 
 
@@ -24,6 +26,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, threshold="0.9")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of vectors of equal label with cosine 0.98 or more."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document, those that repeated 20-word passages cover, and a digest of the rest."""
     out = substring_dedup(table(spark, sf_dir, "documents"))
@@ -42,6 +49,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page and its code points."""
+    out = extract_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that a mix by source weights 1, 2, 3 takes."""
     return mix_sources(table(spark, sf_dir, "documents"))
@@ -49,9 +62,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
+    "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
 }
 
