@@ -1 +1 @@
-
+"""Shared helpers: parameters, scratch tables, line numbers."""

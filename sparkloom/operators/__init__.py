@@ -1 +1 @@
-
+"""Operators: each takes and returns DataFrames."""
