@@ -89,8 +89,8 @@ ORACLES = {
     "sort_keys": "SELECT (row_number() OVER (ORDER BY l_partkey) - 1)::BIGINT pos, l_partkey AS value FROM lineitem",
     "sort_values": "SELECT l_partkey AS value FROM lineitem",
     "sort_balanced_blocks": "WITH k AS (SELECT row_number() OVER (ORDER BY l_partkey) - 1 pos, l_partkey AS value, count(*) OVER () n FROM lineitem) SELECT pos::BIGINT pos, value, least(pos // (n // 7), 6)::BIGINT block FROM k",
-    "sort_pivot": "SELECT floor(quantile_cont(l_partkey, 0.5))::BIGINT AS \"pivot\" FROM lineitem",
-    "sort_pivot_split": "WITH p AS (SELECT floor(quantile_cont(l_partkey, 0.5))::BIGINT AS "pivot" FROM lineitem), n AS (SELECT "pivot", (count(*) FILTER (WHERE l_partkey < "pivot"))::BIGINT lesser, (count(*) FILTER (WHERE l_partkey >= "pivot"))::BIGINT greater FROM lineitem, p GROUP BY 1) SELECT "pivot", lesser, greater, (CASE WHEN lesser / (lesser + greater) * 7 < 1 THEN ceil(lesser / (lesser + greater) * 7) ELSE floor(lesser / (lesser + greater) * 7) END)::BIGINT parts_lesser FROM n",
+    "sort_pivot": 'SELECT floor(quantile_cont(l_partkey, 0.5))::BIGINT AS "pivot" FROM lineitem',
+    "sort_pivot_split": 'WITH p AS (SELECT floor(quantile_cont(l_partkey, 0.5))::BIGINT AS "pivot" FROM lineitem), n AS (SELECT "pivot", (count(*) FILTER (WHERE l_partkey < "pivot"))::BIGINT lesser, (count(*) FILTER (WHERE l_partkey >= "pivot"))::BIGINT greater FROM lineitem, p GROUP BY 1) SELECT "pivot", lesser, greater, (CASE WHEN lesser / (lesser + greater) * 7 < 1 THEN ceil(lesser / (lesser + greater) * 7) ELSE floor(lesser / (lesser + greater) * 7) END)::BIGINT parts_lesser FROM n',
     "sort_check": "SELECT 0::BIGINT n_bad",
     "sort_check_input": "SELECT count(*)::BIGINT n_bad FROM (SELECT o_custkey v, lag(o_custkey) OVER (ORDER BY o_orderkey) p FROM orders) WHERE v < p",
     "prefix_scan": "SELECT o_orderkey, (sum(o_custkey) OVER (ORDER BY o_orderkey) - o_custkey)::BIGINT AS before FROM orders",
