@@ -25,7 +25,7 @@ r AS (
     SELECT r.it, r.id, r.n, r.pr, 0.15::DOUBLE / r.n + 0.85::DOUBLE * coalesce(a.acc, 0) npr
     FROM r LEFT JOIN (SELECT ek.dst, sum(r.pr / ek.k) acc FROM r JOIN ek ON ek.src = r.id GROUP BY 1) a ON a.dst = r.id
     WHERE r.it < 100 AND NOT (r.it >= 3 AND r.delta < 1e-9)))
-SELECT id, round(pr, 9) pr FROM r WHERE it = (SELECT max(it) FROM r)"""
+SELECT id, round(pr + 1e-13::DOUBLE, 9) pr FROM r WHERE it = (SELECT max(it) FROM r)"""
 
 
 def knn(measure: str, minsim: float, k: int | None) -> str:
@@ -53,6 +53,9 @@ def normalize(what: str, norm: int) -> str:
     return f'SELECT i AS "row", c AS col, round({scaled}, 9) AS val FROM ({SPM})'
 
 
+_PAGERANK_REPORT = pagerank(PARTS, "SELECT p_partkey id FROM part")
+_PAGERANK_REPORT = f"SELECT max(it)::BIGINT iterations, max(n)::BIGINT n FROM ({_PAGERANK_REPORT[: _PAGERANK_REPORT.rindex('SELECT id')]}SELECT it, n FROM r)"
+
 ORACLES = {
     "graph_out_degree": f"SELECT p_partkey id, count(src)::BIGINT degree FROM part LEFT JOIN ({SINKS}) ON src = p_partkey GROUP BY 1",
     "graph_sinks": f"SELECT p_partkey id FROM part WHERE p_partkey NOT IN (SELECT src FROM ({SINKS}))",
@@ -64,7 +67,7 @@ ORACLES = {
     "pagerank_parts": pagerank(PARTS, "SELECT p_partkey id FROM part"),
     "pagerank_sinks": pagerank(SINKS, "SELECT p_partkey id FROM part"),
     "pagerank_nation": pagerank(NATIONS, "SELECT n_nationkey::BIGINT id FROM nation"),
-    "pagerank_report": f"SELECT max(it)::BIGINT iterations, max(n)::BIGINT n FROM ({pagerank(PARTS, 'SELECT p_partkey id FROM part').replace('SELECT id, round(pr, 9) pr FROM r WHERE it = (SELECT max(it) FROM r)', 'SELECT it, n FROM r')})",
+    "pagerank_report": _PAGERANK_REPORT,
     "csr_stats": f"SELECT count(DISTINCT i)::BIGINT n_rows, count(DISTINCT c)::BIGINT n_cols, count(*)::BIGINT nnz, (SELECT max(k) FROM (SELECT count(*) k FROM ({SPM}) GROUP BY i))::BIGINT max_row FROM ({SPM})",
     "csr_compact_columns": f'SELECT i AS "row", (dense_rank() OVER (ORDER BY c) - 1)::BIGINT AS col, v AS val FROM ({SPM}) WHERE v >= 60',
     "csr_column_map": f"SELECT c AS col, (row_number() OVER (ORDER BY c) - 1)::BIGINT AS new_col FROM (SELECT DISTINCT c FROM ({SPM}) WHERE v >= 60)",
