@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import language_id
+from sparkloom.llm import language_id, quality, toxicity
 from sparkloom.llm.decontaminate import contaminated
 from sparkloom.llm.folds import held_out, learnable
 from sparkloom.llm.html_extract import extract_text
@@ -15,12 +15,18 @@ from sparkloom.llm.jaccard_join import jaccard_components
 from sparkloom.llm.mixing import mix_sources
 from sparkloom.llm.near_vectors import near_vectors
 from sparkloom.llm.substrings import substring_dedup
+from sparkloom.llm.token_counts import count_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document; a token that crosses a boundary counts where it begins."""
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles have Jaccard 0.9 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, threshold="0.9")
@@ -37,6 +43,20 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of each document. Grades: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1))
+    graded = docs.select("doc_id", "text").join(labels.select("doc_id", grade.alias("grade")), "doc_id")
+    return toxicity.score(docs, toxicity.fit(graded))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document by co-trained views of its text and of its metadata."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a document and a test item of whose five-word shingles it holds 0.8 or more."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -61,9 +81,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_toxicity": op5_toxicity,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,
