@@ -14,6 +14,7 @@ from sparkloom.llm.html_extract import extract_text
 from sparkloom.llm.jaccard_join import jaccard_components
 from sparkloom.llm.mixing import mix_sources
 from sparkloom.llm.near_vectors import near_vectors
+from sparkloom.llm.oracles import ORACLES
 from sparkloom.llm.substrings import substring_dedup
 from sparkloom.llm.token_counts import count_tokens
 
@@ -80,6 +81,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -91,6 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
-}
-
-ORACLES: dict[str, str] = {}
+}
\ No newline at end of file
