@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +30,19 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write and read again. What the table was made from is then no longer held, so the
-        driver's garbage collection lets Spark drop its shuffle files."""
+    def save(self, df: DataFrame, release: bool = False) -> DataFrame:
+        """Write and read again. With `release`, callers hold nothing else of `df`, so that the plan it was
+        made by is garbage then; its collection on the driver lets Spark drop the shuffle files now, and not
+        when the driver's memory happens to run short."""
         self.n += 1
-        path = f"{self.folder}/{self.n}"
+        path, schema = f"{self.folder}/{self.n}", df.schema
         df.write.mode("overwrite").parquet(path)
-        self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(df.schema).parquet(path)
+        del df
+        for _ in range(2 * release):  # the first collection may come before listeners let the plan go
+            gc.collect()
+            time.sleep(0.4)
+            self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, keep: int = 0) -> None:
         """Delete the tables so far but for the last `keep`."""
@@ -47,10 +54,10 @@ class Scratch:
 
 
 def bucket_count(docs: DataFrame, text: str, bytes_each: int = 6_000_000) -> int:
-    """Buckets so that each holds about `bytes_each` of text, and all shuffle partitions have some."""
+    """Buckets so that each holds about `bytes_each` of text, and shuffle partitions at least."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    return max(-(-total // bytes_each), 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(-(-total // bytes_each), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def components(edges: DataFrame, scratch: Scratch, u: str = "u", v: str = "v") -> DataFrame:

@@ -123,7 +123,9 @@ def _windows(block: int, width: int, n: int):
         if not hits.num_rows or not docs.num_rows:
             return pa.Table.from_batches([_blobs([])])
         docs, ids = _group(docs)
-        hashes, offs = W.hash_words(*W.text_buffers(docs.column("_text")), False)
+        parts = list(W.chunks(docs.column("_text"), False))
+        hashes = np.concatenate([c.hashes for c in parts])
+        offs = np.r_[0, np.cumsum(np.concatenate([np.diff(c.offsets) for c in parts]))]
         doc, pos = _places(hits)
         hit = np.zeros(len(hashes) + 1, np.int64)
         first, last = np.searchsorted(ids, doc, "left"), np.searchsorted(ids, doc, "right")
@@ -222,11 +224,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n, keep = bucket_count(docs, text_col), list(dict.fromkeys([id_col, *carry]))
     inner = [f"_c{i}" for i in range(len(keep))]  # no name of the input can clash with these
     slim = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL_ID)).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(k) for c, k in zip(keep, inner, strict=True)])
-    probes = slim.select("_id", "_text").mapInArrow(_probe(block, n), BLOB)
-    hits = scratch.save(probes.groupBy("bucket").applyInArrow(_anchors(n), BLOB))
+    hits = scratch.save(slim.select("_id", "_text").mapInArrow(_probe(block, n), BLOB).groupBy("bucket").applyInArrow(_anchors(n), BLOB), release=True)
     placed = slim.withColumn("bucket", F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int"))
-    places = placed.select("bucket", "_id", "_text").groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(_windows(block, width, n), BLOB)
-    repeats = scratch.save(places.groupBy("bucket").applyInArrow(_repeats(n), BLOB))
+    grouped = placed.select("bucket", "_id", "_text").groupBy("bucket").cogroup(hits.groupBy("bucket"))
+    repeats = scratch.save(grouped.applyInArrow(_windows(block, width, n), BLOB).groupBy("bucket").applyInArrow(_repeats(n), BLOB), release=True)
     fields = ", ".join(f"{k} {slim.schema[k].dataType.simpleString()}" for k in inner)
     out = placed.groupBy("bucket").cogroup(repeats.groupBy("bucket")).applyInArrow(_drop(width, inner, rejoin), f"{fields}, n_words bigint, n_removed bigint, kept_text string, removed array<struct<start:int,stop:int>>")
     return out.toDF(*keep, "n_words", "n_removed", "kept_text", "removed")
