@@ -45,10 +45,9 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected severity of each document. Grades: 0 not toxic, 1 toxic, 2 toxic and of low quality."""
+    """Expected severity of each document, of grades 0, 1 (toxic) and 2 (severe), learned from toxic labels."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1))
-    graded = docs.select("doc_id", "text").join(labels.select("doc_id", grade.alias("grade")), "doc_id")
+    graded = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").alias("grade")), "doc_id")
     return toxicity.score(docs, toxicity.fit(graded))
 
 

@@ -19,26 +19,33 @@ def unit(at: np.ndarray, n: np.ndarray) -> Sparse:
     return at.astype(np.int64), x / max(1e-12, float(np.sqrt(x @ x)))
 
 
-def words(texts: pa.Array, dims: int) -> list[Sparse]:
-    """Hashed words of each text, A-Z in lower case and without the ASCII punctuation at their ends."""
-    out = []
-    for c in W.chunks(_bare(texts), True):
-        h = (c.hashes >> W.U64(40)) % W.U64(dims)
-        for a, b in zip(c.offsets[:-1].tolist(), c.offsets[1:].tolist(), strict=True):
-            out.append(unit(*np.unique(h[a:b], return_counts=True)))
+def words(texts: pa.Array, dims: int, prefixes: tuple[int, ...] = (5, 7)) -> list[Sparse]:
+    """Whether each text has hashed features: its words, A-Z in lower case and without ASCII punctuation, and
+    the beginnings of longer words, so that words of one stem share some. Values are 1."""
+    data, offs = W.text_buffers(texts)
+    data, out, lo = _BLANK[data], [], 0
+    while lo < len(offs) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + W.CHUNK_BYTES, "right")) - 1)
+        part, at = data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+        start, stop = W.word_spans(part, at)
+        rows, keys = [np.searchsorted(at, start, "right") - 1], [W.hash_spans(part, start, stop, True)]
+        for k in prefixes:
+            long = stop - start > k
+            rows.append(rows[0][long])
+            keys.append(W.mix(W.hash_spans(part, start[long], start[long] + k, True) + W.U64(k)))
+        both = np.unique((np.concatenate(rows) << 32) + ((np.concatenate(keys) >> W.U64(32)) % W.U64(dims)).astype(np.int64))
+        edge = np.searchsorted(both, np.arange(hi - lo + 1) << 32)
+        place = both & 0xFFFFFFFF
+        out += [(place[a:b], np.ones(b - a)) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        lo = hi
     return out
 
 
+#: ASCII punctuation but ' and - counts as space.
 _BLANK = np.arange(256, dtype=np.uint8)
 _BLANK[[*range(0x21, 0x27), *range(0x28, 0x2D), 0x2E, 0x2F, *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 0x20
 
 
-def _bare(texts: pa.Array) -> pa.Array:
-    """The column with ASCII punctuation but ' and - as spaces; lengths in bytes stay."""
-    data, offs = W.text_buffers(texts)
-    return pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(offs), pa.py_buffer(_BLANK[data].tobytes()))
-
-
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 

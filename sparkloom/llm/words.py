@@ -95,10 +95,8 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
-def hash_words(data: np.ndarray, offs: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the index of each row's first word (n_rows + 1)."""
-    if not len(data):
-        return np.zeros(0, U64), np.zeros(len(offs), np.int64)
+def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (exclusive) of each word; words end where rows do."""
     inside = ~_SPACE[data]
     full = offs[1:] > offs[:-1]
     first, last = inside.copy(), inside.copy()
@@ -108,11 +106,23 @@ def hash_words(data: np.ndarray, offs: np.ndarray, lower: bool) -> tuple[np.ndar
     first[at] |= inside[at]
     at = offs[1:][full] - 1
     last[at] |= inside[at]
-    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool) -> np.ndarray:
+    """Hash of the bytes of each span."""
     values = (_LOWER[data] if lower else data).astype(U64)
     values += U64(1)
     sums = span_sums(values, _BYTE_M, start, stop)
-    return mix(sums + (stop - start).astype(U64) * U64(0xFF51AFD7ED558CCD)), np.searchsorted(start, offs)
+    return mix(sums + (stop - start).astype(U64) * U64(0xFF51AFD7ED558CCD))
+
+
+def hash_words(data: np.ndarray, offs: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the index of each row's first word (n_rows + 1)."""
+    if not len(data):
+        return np.zeros(0, U64), np.zeros(len(offs), np.int64)
+    start, stop = word_spans(data, offs)
+    return hash_spans(data, start, stop, lower), np.searchsorted(start, offs)
 
 
 def chunks(texts: pa.Array, lower: bool, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
