@@ -69,7 +69,7 @@ def test_ordinal_thresholds_ascend():
         g = int(rng.integers(4))
         texts.append(" ".join(["bad"] * (3 * g) + [f"w{rng.integers(50)}" for _ in range(10)]))
         grades.append(g)
-    s = toxicity.Settings(dims=1 << 12, epochs=10)
+    s = toxicity.Settings(dims=1 << 12, l1=1e-4)
     model = toxicity.ordinal(words(pa.array(texts), s.dims), np.array(grades), 4, s)
     assert (np.diff(model.thresholds) > 0).all()
     p = model.probabilities(np.array([-5.0, 0.0, 5.0]))
