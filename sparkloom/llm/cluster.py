@@ -66,7 +66,7 @@ def components(edges: DataFrame, scratch: Scratch, u: str = "u", v: str = "v") -
     Alternating large-star and small-star rounds; each round is two joins on grouped minima, so that a
     vertex with very many edges is never gathered in one task. Edges shrink to stars in O(log^2) rounds.
     """
-    e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct()
+    e = scratch.save(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct())
     mark = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -11,7 +11,9 @@ each subset that lacks one element. It stays exact. Let Z be the segments in whi
 subset is small. If no other segment agrees, the others differ in one element each at least, so within H
 differences some successor of a segment of Z differs in at most one, and the joined keys meet.
 
-Sets that share a key form candidate families (connected components of links to a key's smallest id). Each
+Within a key, each set is compared with the set of smallest id by parity sketches: an element flips one bit, so
+sketches differ in no more bits than sets in elements, and what fails is no link. Where some fail, all sets of
+the key are compared in this way, in blocks. What passes forms candidate families (connected components). Each
 family is cut into blocks by size band and hash; pairs of blocks of neighbouring bands are compared whole,
 with an exact lower bound first (parity sketches: one difference flips one bit) and then the sets themselves.
 A family's links are gathered as a spanning forest: pairs already connected are not verified again. Large
@@ -34,7 +36,7 @@ from sparkloom.llm.cluster import Scratch, bucket_count, components
 
 U64 = np.uint64
 BLOB = "bucket int, kind int, payload binary"
-LINK = "kind int, a bigint, b bigint"
+LINK = "kind int, a bigint, b bigint, k bigint, s binary"
 #: Sets in a block of a large family.
 BLOCK = 128
 
@@ -73,15 +75,16 @@ def _signatures(s: np.ndarray, band: int, m: int, light: int) -> np.ndarray:
     total = np.zeros(len(s) + 1, U64)
     np.cumsum(mixed, out=total[1:])
     edge = np.searchsorted(seg, np.arange(m + 1))
-    sums = W.mix(total[edge[1:]] - total[edge[:-1]] + np.arange(1, m + 1).astype(U64) * U64(0xD1B54A32D192ED03) + salt)
-    small = np.diff(edge) <= light
-    keys = [sums[~small]]
-    for i in np.flatnonzero(small).tolist():
-        j = (i + 1) % m
-        base = total[edge[j + 1] : edge[j + 1] + 1] - total[edge[j] : edge[j] + 1]
-        near = np.r_[base, base - mixed[edge[j] : edge[j + 1]]]
-        keys.append(W.mix(W.mix(near + sums[i]) + U64(0xA24BAED4963EE407)))
-    return np.concatenate(keys)
+    size, raw = np.diff(edge), total[edge[1:]] - total[edge[:-1]]
+    sums = W.mix(raw + np.arange(1, m + 1).astype(U64) * U64(0xD1B54A32D192ED03) + salt)
+    i = np.flatnonzero(size <= light)
+    if not len(i):
+        return sums
+    j = (i + 1) % m
+    whose = np.repeat(np.arange(len(i)), size[j])  # a key for each element of the next segment, left out
+    place = np.arange(len(whose)) - np.repeat(np.cumsum(size[j]) - size[j], size[j]) + edge[j][whose]
+    near = np.concatenate([raw[j] + sums[i], raw[j][whose] - mixed[place] + sums[i][whose]])
+    return np.concatenate([sums[size > light], W.mix(W.mix(near) + U64(0xA24BAED4963EE407))])
 
 
 def _sign(k: int, threshold: Fraction, n: int):
@@ -103,6 +106,7 @@ def _sign(k: int, threshold: Fraction, n: int):
                 new[1:] = (digest[order][1:] != digest[order][:-1]) | (size[order][1:] != size[order][:-1])
                 head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
                 out = _pack_rows(1, ids[order[~new]], ids[head[~new]], n) + _pack_rows(2, ids, size, n) + _pack_rows(5, ids, digest.view(np.int64), n)
+                out += [(int(b), 6, W.pack(ids[i : i + 1], size[i : i + 1]) + _sketch(sets[i]).tobytes()) for i, b in zip(order[new].tolist(), W.spark_bucket(ids[order[new]], n).tolist(), strict=True)]
                 own = order[new]
                 if len(own):
                     keys, whose = [], []
@@ -117,9 +121,8 @@ def _sign(k: int, threshold: Fraction, n: int):
                         key, doc = key[order], doc[order]
                         new = np.r_[True, key[1:] != key[:-1]]
                         first = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-                        links = np.unique(np.stack([doc[~new], first[~new]], 1), axis=0)
-                        links = links[links[:, 0] != links[:, 1]]
-                        out += _pack_rows(0, links[:, 0], links[:, 1], n) + _pack_keys(3, key[new], doc[new], n)
+                        more = ~new & (doc != first)
+                        out += _pack_links(key[more], doc[more], first[more], n) + _pack_keys(3, key[new], doc[new], n)
                     key = W.mix(digest[own] + size[own].astype(U64))
                     order = np.argsort(key, kind="stable")
                     out += _pack_keys(4, key[order], ids[own[order]], n)
@@ -150,10 +153,19 @@ def _pack_keys(kind: int, key: np.ndarray, doc: np.ndarray, n: int) -> list:
     return _pieces(W.key_bucket(key, n), kind, key, doc)
 
 
+def _pack_links(key: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> list:
+    to = W.key_bucket(key, n)
+    if not len(to):
+        return []
+    cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    return [(int(to[x]), 0, W.pack(key[x:y], a[x:y], b[x:y])) for x, y in zip(cut, [*cut[1:], len(to)], strict=True)]
+
+
 def _meet(table: pa.Table) -> pa.Table:
-    """Links between the entries of a key (kind 0) and of a digest (1); sizes (2) and digests (5) of ids."""
+    """Links between the entries of a key (kind 0, with the key) and of a digest (1); sizes (2) and digests (5)
+    of ids; sketches (6), with sizes."""
     kind, blobs = table.column("kind").to_numpy(), table.column("payload").to_pylist()
-    out = []
+    out, sketches = [], []
     for want, becomes in ((3, 0), (4, 1)):
         parts = [W.unpack(b, np.uint64, np.int64) for k, b in zip(kind, blobs, strict=True) if k == want]
         if parts:
@@ -162,14 +174,105 @@ def _meet(table: pa.Table) -> pa.Table:
             key, doc = key[order], doc[order]
             new = np.r_[True, key[1:] != key[:-1]]
             first = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-            out.append((becomes, doc[~new], first[~new]))
+            out.append((becomes, doc[~new], first[~new], key[~new].view(np.int64)))
     for k, b in zip(kind, blobs, strict=True):
-        if k < 3 or k == 5:
-            out.append((k, *W.unpack(b, np.int64, np.int64)))
-    flat = [np.concatenate(x) for x in zip(*[(np.full(len(a), k, np.int64), a, b) for k, a, b in out], strict=True)] if out else [np.zeros(0, np.int64)] * 3
+        if k == 0:
+            key, doc, first = W.unpack(b, np.uint64, np.int64, np.int64)
+            out.append((0, doc, first, key.view(np.int64)))
+        elif k in (1, 2, 5):
+            doc, other = W.unpack(b, np.int64, np.int64)
+            out.append((k, doc, other, np.zeros(len(doc), np.int64)))
+        elif k == 6:
+            doc, size = W.unpack(b, np.int64, np.int64)
+            sketches.append((int(doc[0]), int(size[0]), b[_PACKED_PAIR:]))
+    flat = [np.concatenate(x) for x in zip(*[(np.full(len(a), k, np.int64), a, b, key) for k, a, b, key in out], strict=True)] if out else [np.zeros(0, np.int64)] * 4
     rows = np.unique(np.stack(flat, 1), axis=0)
     rows = rows[(rows[:, 0] >= 2) | (rows[:, 1] != rows[:, 2])]
-    return pa.table({"kind": pa.array(rows[:, 0].astype(np.int32)), "a": pa.array(rows[:, 1]), "b": pa.array(rows[:, 2])})
+    a, b, c = zip(*sketches, strict=True) if sketches else ((), (), ())
+    main = pa.table({"kind": pa.array(rows[:, 0].astype(np.int32)), "a": pa.array(rows[:, 1]), "b": pa.array(rows[:, 2]), "k": pa.array(rows[:, 3]), "s": pa.nulls(len(rows), pa.binary())})
+    more = pa.table({"kind": pa.array([6] * len(a), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "k": pa.array([0] * len(a), pa.int64()), "s": pa.array(c, pa.binary())})
+    return pa.concat_tables([main, more])
+
+
+#: Bytes of two packed numbers: a count, and for each its minimum and its rest.
+_PACKED_PAIR = 8 + 2 * 16
+
+
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the elements in each of some bits, four to eight for an element."""
+    width = 1 << int(np.clip(len(s) * 4, 64, 1 << 16)).bit_length()
+    return np.packbits(np.bincount((s & U64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1)
+
+
+def _folded(blobs: list[bytes]) -> np.ndarray:
+    """Sketches as rows of the narrowest one's width: halving a sketch is the parity of its halves, since a
+    bit's place is the element's lowest bits, in reverse within bytes throughout."""
+    narrow = min(map(len, blobs))
+    rows = []
+    for b in blobs:
+        x = np.frombuffer(b, np.uint8)
+        while len(x) > narrow:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        rows.append(x)
+    return np.stack(rows).view(U64)
+
+
+def _near(threshold: Fraction):
+    """Whether the sketches of a pair let it be a link: (a, b, ok)."""
+    num, den = threshold.numerator, threshold.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            limit = (n + m) * (den - num) // (den + num)
+            ok = []
+            for x, y, most in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), limit.tolist(), strict=True):
+                p, q = _folded([x, y])
+                ok.append(int(np.bitwise_count(p ^ q).sum(dtype=np.int64)) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    return run
+
+
+def _tile_pairs(table: pa.Table) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """The rows of each tile of more than one, and their sides."""
+    table = table.sort_by([("tile", "ascending"), ("id", "ascending")])
+    tiles = table.column("tile").to_numpy()
+    cut = np.flatnonzero(np.r_[True, tiles[1:] != tiles[:-1]]) if len(tiles) else []
+    for a, b in zip(cut, [*cut[1:], len(tiles)], strict=True):
+        if b - a > 1:
+            part = table.slice(a, b - a)
+            yield part, part.column("side").to_numpy()
+
+
+def _passing(marks: np.ndarray, size: np.ndarray, side: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile that sketches let be links, nearest first."""
+    limit = (size[:, None] + size[None, :]) * (den - num) // (den + num)
+    apart = np.empty((len(size), len(size)), np.int32)
+    for i in range(len(size)):
+        apart[i] = np.bitwise_count(marks ^ marks[i]).sum(1, dtype=np.int32)
+    ok = np.triu(apart <= limit, 1)
+    if side.any() and not side.all():  # two blocks: pairs within one are another tile's
+        ok &= side[:, None] != side[None, :]
+    x, y = np.nonzero(ok)
+    order = np.argsort(apart[x, y] / np.maximum(1, limit[x, y]), kind="stable")
+    return x[order], y[order]
+
+
+def _pass(threshold: Fraction):
+    """Of each tile a spanning forest of the pairs that sketches let be links."""
+    num, den = threshold.numerator, threshold.denominator
+
+    def run(table: pa.Table) -> pa.Table:
+        found = []
+        for part, side in _tile_pairs(table):
+            ids, forest = part.column("id").to_pylist(), Forest()
+            x, y = _passing(_folded(part.column("s").to_pylist()), part.column("n").to_numpy(), side, num, den)
+            found += [(ids[i], ids[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True) if forest.join(ids[i], ids[j])]
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def _sets(k: int):
@@ -185,15 +288,6 @@ def _sets(k: int):
     return run
 
 
-def _sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """Of each set the parity of its elements in each of some bits, about four for an element."""
-    width = 1 << int(np.clip(max((len(s) for s in sets), default=1) * 4, 64, 1 << 16)).bit_length() - 1
-    out = np.zeros((len(sets), width // 8), np.uint8)
-    for i, s in enumerate(sets):
-        out[i] = np.packbits(np.bincount((s & U64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1)
-    return out.view(U64)
-
-
 class Forest:
     """Union-find over ids."""
 
@@ -227,18 +321,8 @@ def _compare(threshold: Fraction):
             if c in first:
                 forest.join(i, first[c])
             first.setdefault(c, i)
-        size = np.array([len(s) for s in sets], np.int64)
-        limit = (size[:, None] + size[None, :]) * (den - num) // (den + num)
-        marks = _sketches(sets)
-        apart = np.empty((len(ids), len(ids)), np.int32)
-        for i in range(len(ids)):
-            apart[i] = np.bitwise_count(marks ^ marks[i]).sum(1, dtype=np.int32)
-        ok = np.triu(apart <= limit, 1)
-        if side.any() and not side.all():  # two blocks: pairs within one are another tile's
-            ok &= side[:, None] != side[None, :]
-        x, y = np.nonzero(ok)
-        order = np.argsort(apart[x, y] / np.maximum(1, limit[x, y]), kind="stable")
-        for i, j in zip(x[order].tolist(), y[order].tolist(), strict=True):
+        x, y = _passing(_folded([_sketch(s).tobytes() for s in sets]), np.array([len(s) for s in sets], np.int64), side, num, den)
+        for i, j in zip(x.tolist(), y.tolist(), strict=True):
             if forest.top(ids[i]) == forest.top(ids[j]):
                 continue
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -248,21 +332,41 @@ def _compare(threshold: Fraction):
         return found
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("tile", "ascending"), ("id", "ascending")])
-        tiles = table.column("tile").to_numpy()
-        cut = np.flatnonzero(np.r_[True, tiles[1:] != tiles[:-1]]) if len(tiles) else []
         found = []
-        for a, b in zip(cut, [*cut[1:], len(tiles)], strict=True):
-            if b - a > 1:
-                part = table.slice(a, b - a)
-                sets = [np.frombuffer(x, U64) for x in part.column("items").to_pylist()]
-                found += tile(part.column("id").to_pylist(), part.column("known").to_pylist(), part.column("side").to_numpy(), sets)
+        for part, side in _tile_pairs(table):
+            sets = [np.frombuffer(x, U64) for x in part.column("items").to_pylist()]
+            found += tile(part.column("id").to_pylist(), part.column("known").to_pylist(), side, sets)
         x, y = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
     return run
 
 
+def _candidates(keyed: DataFrame, sketches: DataFrame, threshold: Fraction, block: int, n: int, scratch: Scratch) -> DataFrame:
+    """a, b: links whose components hold all links of sets that share a key. keyed: k, a, b (a key's smallest id)."""
+    own = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
+    pairs = keyed.select("a", "b").distinct().join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    tried = scratch.save(pairs.mapInArrow(_near(threshold), "a bigint, b bigint, ok boolean"))
+    passed = tried.filter("ok").select("a", "b")
+    mixed = keyed.join(tried.filter("not ok"), ["a", "b"]).select("k").distinct()
+    members = keyed.join(mixed, "k").select("k", F.explode(F.array("a", "b")).alias("id")).distinct()
+    # Only keys whose sets are not connected yet; in them what is outside the largest component, against all.
+    comp = components(passed, Scratch(keyed.sparkSession, "passed"), "a", "b")
+    members = scratch.save(members.join(comp, "id", "left").select("k", "id", F.coalesce("component", "id").alias("known")))
+    part = members.groupBy("k", "known").agg(F.count("*").alias("c"))
+    shape = part.groupBy("k").agg(F.max_by("known", F.struct("c", -F.col("known"))).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all")).filter(F.col("most") < F.col("all"))
+    shape = shape.select("k", "main", F.when(F.col("all") <= block, 0).otherwise(F.ceil((F.col("all") - F.col("most")) / block)).cast("int").alias("nx"), F.ceil(F.col("all") / block).cast("int").alias("ny"))
+    placed = members.join(shape, "k")
+    tile = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(side).alias("side"))
+    own = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), "nx"))
+    whole = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), "nx") - 1), lambda i: tile(i, F.pmod(F.xxhash64("id"), F.col("ny")), 1))
+    outside = F.when(F.col("known") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("ny") - 1), lambda i: tile(own, i, 0))).otherwise(F.array().cast("array<struct<x:int,y:int,side:int>>"))
+    sides = F.when(F.col("nx") == 0, F.array(tile(F.lit(0), F.lit(0), 0))).otherwise(F.concat(whole, outside))
+    tiles = placed.select("k", "id", F.explode(sides).alias("t")).select("id", F.xxhash64("k", "t.x", "t.y").alias("tile"), "t.side")
+    rows = tiles.join(sketches, "id").select("id", "tile", "side", "n", "s").withColumn("g", F.pmod("tile", F.lit(n)).cast("int"))
+    return passed.unionByName(rows.groupBy("g").applyInArrow(_pass(threshold), "a bigint, b bigint"))
+
+
 def _tiles(members: DataFrame, pairs_of: DataFrame, texts: DataFrame, k: int, threshold: Fraction, n: int) -> DataFrame:
     """members: id, fam, blk, known. pairs_of: fam, blk, tile, side. Links found in these tiles."""
     placed = members.join(pairs_of, ["fam", "blk"]).select("id", "known", "tile", "side")
@@ -292,10 +396,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     same = met.filter("kind = 1").select("a", "b")
     several = met.filter("kind = 5").groupBy("a").count().filter("count > 1")  # ids with more than one text
     stands = same.join(several, "a", "left_anti").groupBy("a").agg(F.min("b").alias("for"))
-    near = met.filter("kind = 0").select("a", "b")
+    near = met.filter("kind = 0").select("k", "a", "b")
     for side in ("a", "b"):
         own = stands.select(F.col("a").alias(side), "for")
-        near = near.join(own, side, "left").withColumn(side, F.coalesce("for", side)).select("a", "b")
+        near = near.join(own, side, "left").withColumn(side, F.coalesce("for", side)).select("k", "a", "b")
+    sketches = met.filter("kind = 6").groupBy(F.col("a").alias("id"), F.col("b").alias("n"), "s").agg(F.lit(1).alias("one")).select("id", "n", "s")
+    near = scratch.save(near.filter("a <> b"))
+    near = _candidates(near, sketches, threshold, 2 * block, n, scratch)
     family = components(near, Scratch(docs.sparkSession, "families"), "a", "b").withColumnRenamed("component", "fam")
     family = family.join(sizes, "id")
     # Blocks: by size band and hash; as many in a band as its share of the family needs.

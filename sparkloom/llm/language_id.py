@@ -55,7 +55,7 @@ def counts(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
 def vector(text: str, idf: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     at, n = counts(text, s)
     x = (1 + np.log(n)) * idf[at]
-    return at, x / max(float(np.sqrt(x @ x)), 1e-12)
+    return at.astype(np.int32), (x / max(float(np.sqrt(x @ x)), 1e-12)).astype(np.float32)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -160,6 +160,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     sample = rows.filter(draw < share).select("id", "text", "label").limit(2 * s.rows).collect()
     sample = sorted((r for r in sample if _LETTER.search(r.text)), key=lambda r: (str(r.id), r.text))
     made = [(*vector(r.text, idf, s), labels.index(r.label)) for r in sample]
+    del sample
     fitted = [x for i, x in enumerate(made) if i % s.calibrate]
     w = ftrl(fitted or made, len(labels), s)
     model = Model(labels, w.astype(np.float32), idf, 1.0, s)

@@ -35,8 +35,8 @@ def words(texts: pa.Array, dims: int, prefixes: tuple[int, ...] = (5, 7)) -> lis
             keys.append(W.mix(W.hash_spans(part, start[long], start[long] + k, True) + W.U64(k)))
         both = np.unique((np.concatenate(rows) << 32) + ((np.concatenate(keys) >> W.U64(32)) % W.U64(dims)).astype(np.int64))
         edge = np.searchsorted(both, np.arange(hi - lo + 1) << 32)
-        place = both & 0xFFFFFFFF
-        out += [(place[a:b], np.ones(b - a)) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        place = (both & 0xFFFFFFFF).astype(np.int32)
+        out += [(place[a:b], np.ones(b - a, np.float32)) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         lo = hi
     return out
 

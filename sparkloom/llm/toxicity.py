@@ -50,7 +50,7 @@ class Model:
 def ordinal(rows: list[Sparse], grades: np.ndarray, n_grades: int, s: Settings) -> Model:
     """Shared weights and ordered thresholds of least penalised log loss, which is convex: accelerated proximal
     gradient steps; the L1 penalty shrinks weights, thresholds are kept in order."""
-    row = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(a) for a, _ in rows])
     col, val = np.concatenate([a for a, _ in rows]), np.concatenate([x for _, x in rows])
     ok = np.bincount(col, minlength=s.dims)[col] >= s.seen
     row, col, val = row[ok], col[ok], val[ok]

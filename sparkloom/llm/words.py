@@ -22,7 +22,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Text handled at a time; a longer document is handled whole, alone.
-CHUNK_BYTES = 3_000_000
+CHUNK_BYTES = 2_000_000
 
 
 def powers(m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
