@@ -89,6 +89,8 @@ def entries(df: DataFrame) -> DataFrame:
 QUERIES["csr_stats"] = over(t.purchases, sparse.stats)
 QUERIES["csr_compact_columns"] = over(t.purchases, lambda m: sparse.compact_columns(m.filter("val >= 60")))
 QUERIES["csr_column_map"] = over(t.purchases, lambda m: sparse.column_map(m.filter("val >= 60")))
+QUERIES["csr_compact_columns_whole"] = over(t.purchases, sparse.compact_columns)
+QUERIES["csr_column_map_whole"] = over(t.purchases, sparse.column_map)
 QUERIES["csr_row_sqnorms"] = over(t.purchases, sparse.squared_norms)
 QUERIES["csr_col_sqnorms"] = over(t.purchases, lambda m: sparse.squared_norms(m, "col"))
 QUERIES["csr_binary_norms"] = over(t.purchases, lambda m: sparse.squared_norms(m, "row", binary=True))

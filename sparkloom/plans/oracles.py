@@ -71,6 +71,8 @@ ORACLES = {
     "csr_stats": f"SELECT count(DISTINCT i)::BIGINT n_rows, count(DISTINCT c)::BIGINT n_cols, count(*)::BIGINT nnz, (SELECT max(k) FROM (SELECT count(*) k FROM ({SPM}) GROUP BY i))::BIGINT max_row FROM ({SPM})",
     "csr_compact_columns": f'SELECT i AS "row", (dense_rank() OVER (ORDER BY c) - 1)::BIGINT AS col, v AS val FROM ({SPM}) WHERE v >= 60',
     "csr_column_map": f"SELECT c AS col, (row_number() OVER (ORDER BY c) - 1)::BIGINT AS new_col FROM (SELECT DISTINCT c FROM ({SPM}) WHERE v >= 60)",
+    "csr_compact_columns_whole": f'SELECT i AS "row", (dense_rank() OVER (ORDER BY c) - 1)::BIGINT AS col, v AS val FROM ({SPM})',
+    "csr_column_map_whole": f"SELECT c AS col, (row_number() OVER (ORDER BY c) - 1)::BIGINT AS new_col FROM (SELECT DISTINCT c FROM ({SPM}))",
     "csr_row_sqnorms": f'SELECT i AS "row", sum(v * v) AS norm FROM ({SPM}) GROUP BY 1',
     "csr_col_sqnorms": f"SELECT c AS col, sum(v * v) AS norm FROM ({SPM}) GROUP BY 1",
     "csr_binary_norms": f'SELECT i AS "row", count(*)::DOUBLE AS norm FROM ({SPM}) GROUP BY 1',
