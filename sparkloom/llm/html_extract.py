@@ -23,11 +23,13 @@ from sparkloom.llm.html_labels import PAGES
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^<>]*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"<]*\"|'[^'<]*'|[^<>\"'])*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-#: Elements whose content is not text of the page.
-RAW = frozenset("script style textarea title noscript iframe template svg math noframes xmp select button object canvas audio video datalist".split())
+#: Elements whose content HTML reads as raw text, to the end of the page where they are not closed.
+RAW = frozenset("script style textarea title iframe noframes".split())
+#: Other elements whose content is not text of the page, if they are closed.
+SKIP = frozenset("noscript template svg select button object canvas audio video datalist".split())
 #: Elements that begin and end a block.
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp".split()
 )
 #: Elements that hold other blocks and so say what a block belongs to.
 HOLDS = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header hgroup main menu nav ol search section table ul".split())
@@ -68,6 +70,33 @@ def _names(attributes: str) -> tuple[set[str], bool]:
     return found, apart
 
 
+def _parts(m: re.Match) -> tuple[bool, str, str]:
+    """Whether a tag closes, its name in lower case ('' for a comment), its attributes."""
+    closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+    return bool(closing), (tag or "").lower(), attributes or ""
+
+
+def _ends(page: str) -> dict[int, int]:
+    """Where each closed element of SKIP ends, by the end of its opening tag. One pass over the page."""
+    found: dict[int, int] = {}
+    opened: dict[str, list[int]] = {tag: [] for tag in SKIP}
+    at = 0
+    while m := _TAG.search(page, at):
+        at = m.end()
+        closing, tag, attributes = _parts(m)
+        whole = attributes.rstrip().endswith("/")
+        if tag in SKIP:
+            if not closing and not whole:
+                opened[tag].append(at)
+            elif closing and opened[tag]:
+                found[opened[tag].pop()] = at
+        elif (tag in RAW or tag == "xmp") and not closing and not whole:
+            svg = bool(opened["svg"])  # within svg such elements are not raw
+            stop = re.compile(rf"</(?:{tag}|svg)\s*>" if svg else rf"</{tag}\s*>", re.I).search(page, at)
+            at = stop.start() if stop else at if svg else len(page)
+    return found
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a whole page in order. `data-keep` marks the labelled ones; features ignore it."""
     out: list[Block] = []
@@ -87,7 +116,7 @@ def blocks(page: str) -> list[Block]:
         linked.clear()
         keep = False
 
-    at, size = 0, len(page)
+    at, size, ends = 0, len(page), None
     while at < size:
         m = _TAG.search(page, at)
         piece = page[at : m.start() if m else size]
@@ -98,14 +127,21 @@ def blocks(page: str) -> list[Block]:
         if not m:
             break
         at = m.end()
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        closing, tag, attributes = _parts(m)
         if not tag:
             continue
-        tag = tag.lower()
+        opens, literal = not closing and not attributes.rstrip().endswith("/"), ""
+        if opens and (tag in RAW or tag == "xmp"):
+            stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if tag == "xmp":  # shown as it is
+                literal = html.escape(page[at : stop.start() if stop else size])
+            at = stop.end() if stop and tag != "xmp" else stop.start() if stop else size
         if tag in RAW:
-            if not closing and not attributes.rstrip().endswith("/"):
-                stop = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else size
+            continue
+        if tag in SKIP:
+            if opens:
+                ends = _ends(page) if ends is None else ends
+                at = ends.get(at, at)
         elif tag == "a":
             link = not closing
             linked.append(" ")
@@ -129,7 +165,9 @@ def blocks(page: str) -> list[Block]:
                     stack.append((tag, *own))
                 elif own != (a, n, article, header, held):  # a block of its own, such as <p class="ad">
                     state = own
+                    text.append(literal)
                     continue
+            text.append(literal)
             state = stack[-1][1:] if stack else (False, False, False, False, False)
     end()
     return out
@@ -201,7 +239,8 @@ def extract_text(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"),
     """`carry` columns and the main text of every row, from its whole page.
 
     Character references are decoded, white space inside a block is one space, blocks are joined by two line
-    feeds in page order. A null, empty or wholly boilerplate page has the text ''. Rows that repeat give equal
+    feeds in page order. An element such as button or video that is never closed hides nothing after it; math
+    is text, and xmp is text as it is written. A null, empty or wholly boilerplate page has the text ''. Rows that repeat give equal
     rows; other columns, of any name, are not looked at. Empty table: empty result. One pass, no shuffle."""
     inner = pages.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(html_col).alias("h"))
     fields = ", ".join(f"c{i} {inner.schema[i].dataType.simpleString()}" for i in range(len(carry)))

@@ -30,3 +30,25 @@ def test_frame(spark):
     out = extract_text(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r.page_id or 0, r.text) for r in out) == [(0, ""), (1, "Hi there."), (1, "Hi there."), (2, "")]
     assert extract_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_elements_without_a_closing_tag_hide_nothing():
+    want = "Some words to read here.\n\nAnd more of them."
+    for tag in "button select object canvas audio video svg template datalist noscript".split():
+        page = f"<body><{tag} class=x><article><p>Some words to read here.<{tag}><p>And more of them.</article></body>"
+        assert main_text(page, tree()) == want, tag
+        page = f"<body><{tag}><article><p>Some words to read here.<p>And more of them.<{tag}>gone <{tag}>in</{tag}> gone</{tag}></article></body>"
+        assert main_text(page, tree()) == want, tag
+    assert main_text("<article><p>Some words to read here.<svg><title>Logo</svg><p>And more of them.</article>", tree()) == want
+    assert main_text("<article><p>Some words to read here.<script>'</button>'</script><button><p>And more of them.</article>", tree()) == want
+    assert main_text("<article><p>Some words to read here.<p>And more of them.<script>x</article>", tree()) == want
+
+
+def test_math_and_xmp_are_text():
+    page = "<article><p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> is here.</p><xmp><b>not &amp; bold</b></xmp><p>The words after it.</p></article>"
+    assert main_text(page, tree()) == "The sum a+b is here.\n\n<b>not &amp; bold</b>\n\nThe words after it."
+
+
+def test_many_unclosed_elements():
+    page = "<article>" + "<p>word <button>" * 5000 + "<svg><title>" * 500
+    assert main_text(page, tree()).count("word") == 5000
