@@ -5,7 +5,8 @@
 2. A source is repeated whole ``floor(target / size)`` times. What is left is a budget for one more copy of
    some documents.
 3. Documents are counted by exact length. Most of the budget is dealt in proportion to these counts; the rest,
-   bounded by `window`, is fitted by a bounded-knapsack dynamic program over what is left of each length.
+   bounded by `window`, is fitted by a bounded-knapsack dynamic program over what is left of each length. Where
+   that misses the budget, the program is given more of it, up to the whole, or runs in a coarser unit first.
 4. So many documents of each length are selected in the order of a seeded hash.
 
 Counts are aggregated before any shuffle, by source, length and a hash slice. There are as many slices as the
@@ -47,39 +48,26 @@ def targets(sizes: dict, total: float, weights: dict, most: float) -> dict:
     return out
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 << 16) -> np.ndarray:
-    """How many of each length to take so that the sum of lengths comes as near to `budget`, from below, as
-    the dynamic program over the last `window` words finds. Lengths are distinct and positive."""
-    total = int(lengths @ counts)
-    if budget <= 0 or total == 0:
-        return np.zeros(len(counts), np.int64)
-    if budget >= total:
-        return counts.copy()
-    # In proportion, but for what the dynamic program needs to choose from.
-    goal = max(0, budget - window // 2)
-    take = np.floor(counts * (goal / total)).astype(np.int64)
-    rest, spare = budget - int(lengths @ take), counts - take
-    for i in np.argsort(-lengths, kind="stable").tolist():  # floors left more than the window: longest first
-        if rest <= window:
-            break
-        k = min(int(spare[i]), (rest - window // 2) // int(lengths[i]))
-        if k > 0:
-            take[i] += k
-            spare[i] -= k
-            rest -= k * int(lengths[i])
-    # Bounded knapsack: a bit for each sum that can be reached; items of one length in powers of two.
-    mask, sums, steps = (1 << rest + 1) - 1, 1, []
+def _steps(lengths: np.ndarray, spare: np.ndarray, room: int) -> int:
+    """Steps of `_knapsack`, each of which holds a bit for every sum."""
+    return sum(min(int(n), room // int(size)).bit_length() for size, n in zip(lengths, spare, strict=True))
+
+
+def _knapsack(lengths: np.ndarray, spare: np.ndarray, room: int) -> np.ndarray:
+    """How many of each length to take for the greatest sum up to `room`: bounded knapsack with a bit for each
+    sum that can be reached; items of one length in powers of two."""
+    mask, sums, steps = (1 << room + 1) - 1, 1, []
     for i in np.argsort(-lengths, kind="stable").tolist():
-        size, left, k = int(lengths[i]), min(int(spare[i]), rest // int(lengths[i])), 1
+        size, left, k = int(lengths[i]), min(int(spare[i]), room // int(lengths[i])), 1
         while left > 0:
             n = min(k, left)
             steps.append((i, n, sums))
             sums |= sums << n * size & mask
             left -= n
             k *= 2
-        if sums >> rest & 1:
+        if sums >> room & 1:
             break
-    at = sums.bit_length() - 1
+    at, take = sums.bit_length() - 1, np.zeros(len(lengths), np.int64)
     for i, n, before in reversed(steps):
         if not before >> at & 1:
             at -= n * int(lengths[i])
@@ -87,6 +75,53 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 <<
     return take
 
 
+def _proportional(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int, bits: int) -> np.ndarray:
+    """A fit that deals all but `window` words in proportion. What floors leave beyond the window is dealt longest
+    first or, with `bits`, by the knapsack in a unit of words that keeps its steps within so many bits."""
+    goal = max(0, budget - window // 2)
+    take = np.floor(counts * (goal / int(lengths @ counts))).astype(np.int64)
+    rest, spare = budget - int(lengths @ take), counts - take
+    if bits and rest > window:
+        unit = -(-_steps(lengths, spare, rest) * (rest + 1) // bits)
+        room = rest if unit == 1 else rest - window // 2
+        more = _knapsack(-(-lengths // unit), spare, room // unit)  # lengths rounded up: never beyond the room
+        take, spare, rest = take + more, spare - more, rest - int(lengths @ more)
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        if rest <= window:
+            break
+        k = min(int(spare[i]), (rest - window // 2) // int(lengths[i]))
+        if k > 0:
+            take[i] += k
+            spare[i] -= k
+            rest -= k * int(lengths[i])
+    return take + _knapsack(lengths, spare, rest)
+
+
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 << 16, bits: int = 1 << 30) -> np.ndarray:
+    """How many of each length to take so that the sum of lengths comes near to `budget`, from below. Lengths are
+    distinct and positive.
+
+    Most is dealt in proportion, the last `window` words by the dynamic program. Where that misses the budget,
+    the window grows up to the whole budget, with which the sum is a best one, as long as the program's steps
+    stay within `bits` bits; beyond, the program runs in a coarser unit of words first. The best fit is taken."""
+    total = int(lengths @ counts)
+    if budget <= 0 or total == 0:
+        return np.zeros(len(counts), np.int64)
+    if budget >= total:
+        return counts.copy()
+    best = _proportional(lengths, counts, budget, window, 0)
+    wide = window
+    while int(lengths @ best) < budget and wide < 2 * budget:
+        wide = min(4 * wide, 2 * budget)
+        if _steps(lengths, counts, min(wide, budget)) * (min(wide, budget) + 1) > bits:
+            now = _proportional(lengths, counts, budget, window, bits)
+            wide = 2 * budget
+        else:
+            now = _proportional(lengths, counts, budget, wide, 0)
+        best = max(best, now, key=lambda take: int(lengths @ take))
+    return best
+
+
 def _fit_source(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     pdf = pdf.sort_values("size")
     take = fit(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["budget"].iloc[0]), window)

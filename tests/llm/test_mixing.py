@@ -61,3 +61,30 @@ def test_mix(spark):
 
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_fit_of_few_long_documents():
+    lengths, counts = np.array([50000, 60000]), np.array([2, 1])
+    assert fit(lengths, counts, 100000).tolist() == [2, 0]
+    assert fit(np.array([40000, 70000, 90001]), np.array([3, 2, 1]), 180000).tolist() == [1, 2, 0]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fit_of_long_documents_is_a_best_subset_sum(seed):
+    rng = random.Random(seed)
+    lengths = np.array(sorted(rng.sample(range(30_000, 200_000), 5)))
+    counts = np.array([rng.randint(1, 4) for _ in lengths])
+    budget = rng.randint(0, int(lengths @ counts))
+    best = max(s for s in (int(lengths @ np.array(c)) for c in itertools.product(*[range(n + 1) for n in counts])) if s <= budget)
+    take = fit(lengths, counts, budget)
+    assert (take <= counts).all() and int(lengths @ take) == best
+
+
+def test_fit_in_a_coarser_unit():
+    rng = np.random.default_rng(3)
+    lengths = np.unique(rng.integers(40_000, 400_000, 60))
+    counts = rng.integers(1, 3, len(lengths))
+    budget = int(lengths @ counts) // 2
+    narrow, coarse = (fit(lengths, counts, budget, bits=b) for b in (1, 1 << 24))
+    assert (coarse <= counts).all() and int(lengths @ narrow) <= int(lengths @ coarse) <= budget
+    assert budget - int(lengths @ coarse) <= 2000
