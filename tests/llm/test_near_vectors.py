@@ -72,3 +72,17 @@ def test_recall_at_the_threshold(k):
     x, y = codes(a, Hashing(), k), codes(b, Hashing(), k)
     met = (x[:, :, :, None] == y[:, :, None, :]).any((1, 2, 3))
     assert met.mean() >= 0.98
+
+
+@pytest.mark.parametrize("dims, k", [(64, 3), (64, 4), (768, 3), (768, 4)])
+def test_recall_of_many_hashes_and_wide_vectors(dims, k):
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(600, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    u = rng.normal(size=a.shape)
+    u -= (u * a).sum(1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+    x, y = codes(a, Hashing(), k), codes(b, Hashing(), k)
+    met = (x[:, :, :, None] == y[:, :, None, :]).any((1, 2, 3))
+    print("recall", dims, k, met.mean())
+    assert met.mean() >= 0.98
