@@ -27,16 +27,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at Jaccard 0.8, the document of smallest doc_id.
-    Rows without a doc_id stay; of rows that repeat a doc_id the greatest one stays."""
-    found = jaccard_components(docs, shingle=5, threshold="0.8")
-    gone = found.filter("component_id <> doc_id").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = Scratch(spark, "repeated").save(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return kept
-    one = kept.join(again, "doc_id", "left_semi").select(docs.columns).groupBy("doc_id").agg(F.max(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+    """Of each group linked by five-word shingles at Jaccard 0.8, the row of smallest doc_id, and one of its rows
+    without a doc_id. Rows are told apart by doc_id where it is present and distinct; otherwise each row has a
+    saved number of its own, so rows that share a doc_id and are unlike all stay."""
+    names, scratch = docs.columns, Scratch(spark, "near-duplicates")
+    odd = docs.groupBy("doc_id").count().filter("doc_id is null or count > 1")
+    if odd.isEmpty():
+        found = jaccard_components(docs, shingle=5, threshold="0.8")
+        gone = found.filter("component_id <> doc_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(names)
+    inner = [f"c{i}" for i in range(len(names))]  # no name of the input can clash with these
+    rows = scratch.save(docs.toDF(*inner).withColumn("row", F.monotonically_increasing_id()))
+    doc, text = inner[names.index("doc_id")], inner[names.index("text")]
+    found = scratch.save(jaccard_components(rows, "row", text, shingle=5, threshold="0.8"))
+    member = found.join(rows.select("row", F.col(doc).alias("doc")), "row")
+    kept = member.groupBy("component_id", F.col("doc").isNull().alias("none")).agg(F.min(F.struct("doc", "row")).alias("first")).select("first.row")
+    gone = found.join(kept, "row", "left_anti").select("row")
+    return rows.join(gone, "row", "left_anti").select(inner).toDF(*names)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

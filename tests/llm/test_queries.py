@@ -97,3 +97,12 @@ def test_pipeline_of_odd_rows(spark):
 
 def stage_two(spark, rows, schema):
     return corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, schema), DIR)
+
+
+def test_near_duplicates_of_shared_and_missing_ids(spark):
+    schema = "doc_id bigint, text string, row string"
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcd"}
+    rows = [(1, text["a"], "first"), (5, text["a"] + " more", "copy"), (5, text["b"], "unlike"), (5, text["c"], "unlike too"), (7, text["c"] + " more", "copy of a shared id")]
+    rows += [(None, text["d"], "none"), (None, text["d"], "none"), (None, text["d"] + " more", "none"), (9, "", "empty"), (10, None, "null")]
+    got = sorted(((r.doc_id or 0, (r.text or "")[:2]) for r in stage_two(spark, rows, schema).collect()))
+    assert got == [(0, "d0"), (1, "a0"), (5, "b0"), (5, "c0"), (9, ""), (10, "")]
