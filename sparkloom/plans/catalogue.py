@@ -66,6 +66,7 @@ def report(g: tuple[DataFrame, DataFrame]) -> DataFrame:
 
 
 QUERIES["graph_out_degree"] = over(sink_graph, lambda g: graph.out_degree(*g))
+QUERIES["graph_out_degree_whole"] = over(t.part_graph, lambda g: graph.out_degree(*g))
 QUERIES["graph_sinks"] = over(sink_graph, lambda g: graph.sinks(*g))
 QUERIES["graph_push"] = over(t.part_graph, unit_push)
 QUERIES["graph_reverse"] = over(t.part_graph, lambda g: graph.reverse(g[1]))

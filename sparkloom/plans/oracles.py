@@ -58,6 +58,7 @@ _PAGERANK_REPORT = f"SELECT max(it)::BIGINT iterations, max(n)::BIGINT n FROM ({
 
 ORACLES = {
     "graph_out_degree": f"SELECT p_partkey id, count(src)::BIGINT degree FROM part LEFT JOIN ({SINKS}) ON src = p_partkey GROUP BY 1",
+    "graph_out_degree_whole": f"SELECT p_partkey id, count(src)::BIGINT degree FROM part LEFT JOIN ({PARTS}) ON src = p_partkey GROUP BY 1",
     "graph_sinks": f"SELECT p_partkey id FROM part WHERE p_partkey NOT IN (SELECT src FROM ({SINKS}))",
     "graph_push": f"WITH e AS ({PARTS}), k AS (SELECT src, count(*) n FROM e GROUP BY 1) SELECT dst, round(sum(1.0::DOUBLE / n), 6) acc FROM e JOIN k USING (src) GROUP BY 1",
     "graph_reverse": f"SELECT dst, src, count(*)::BIGINT n_edges FROM ({PARTS}) GROUP BY 1, 2",

@@ -20,3 +20,8 @@ def test_columns_of_the_whole_matrix(spark, tables):
     cells = QUERIES["csr_compact_columns_whole"](spark, tables).select("row", "col", "val").collect()
     assert sorted(map(tuple, cells)) == [(7, 1, 2.0), (7, 3, 1.0), (9, 0, 45.0), (9, 1, 61.0), (9, 2, 10.0)]
     assert sorted(map(tuple, QUERIES["csr_column_map_whole"](spark, tables).collect())) == [(3, 0), (5, 1), (8, 2), (20, 3)]
+
+
+def test_degrees_of_the_whole_graph(spark, tables):
+    got = QUERIES["graph_out_degree_whole"](spark, tables).select("id", "degree").collect()
+    assert sorted(map(tuple, got)) == [(3, 1), (5, 1), (8, 0), (9, 0), (20, 1)]
