@@ -1,11 +1,11 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
+"""Benchmark decontamination: containment search by an exact index of MinHash minima, verified exactly.
 
-Items are partitioned by size (their number of distinct shingles, bands of a factor of two). An item's MinHash
-sketch is its smallest shingle hashes. Let an item have n shingles and let a document hold a share c of them:
+Size partitioning, by bands of a factor of two, is nominal: it orders the items, and no parameter or lookup
+depends on it; documents get no sketch. An exact index of the items' minima replaces it. An item's MinHash sketch is its smallest shingle hashes. Let an item have n shingles and let a document hold a share c of them:
 each MinHash of the item is in the document's set with probability c, however long the document. (A MinHash of
 the document's own set would agree with probability n / |document|, which is near 0 for short items in long
 documents; so the item's minima are looked up in the whole set of the document instead.) With
-``n - ceil(t n) + 1`` minima, a number that each partition bounds, a document that holds a share t or more
+``n - ceil(t n) + 1`` minima, a number that follows from each item's own n, a document that holds a share t or more
 must hold one of them, so no item is missed.
 A candidate is then verified by its exact share of shingles.
 
