@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Explicit removal of a query's shuffle files when the query has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Most bytes of an Arrow batch that a Python worker is given; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,8 +26,61 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL.setdefault("folder", "file://" + tempfile.mkdtemp(prefix="sparkloom-"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, unless a smaller bound is set. Rows of any length then
+    pass through JVM and Python workers in the same memory."""
+    if int(spark.conf.get(_BATCH).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+@contextmanager
+def _cleaned(spark: SparkSession):
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
+
+
+class Scratch:
+    """Tables that one run of an operator writes to the shared folder. The run drops those it no longer reads; the
+    folder goes when the driver ends, since lazy results may read it until then."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.n = spark, 0
+        self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        bound_batches(spark)
+        files, path = self._files(self.folder)
+        files.deleteOnExit(path)
+
+    def _files(self, path: str):
+        context = self.spark.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(context._jsc.hadoopConfiguration()), where
+
+    def save(self, df: DataFrame) -> DataFrame:
+        """Write and read again with the same schema. The shuffle files of the writing go with its end."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        with _cleaned(self.spark):
+            df.write.mode("overwrite").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch_path = path
+        return out
+
+    def measure(self, df: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
+        """save(), and aggregates of the rows on their way out."""
+        seen = Observation()
+        return self.save(df.observe(seen, *measures)), seen.get
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that save() gave back and that nothing reads any more."""
+        for t in tables:
+            files, path = self._files(t.scratch_path)
+            files.delete(path, True)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again with the same schema."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A table of its own in the shared folder."""
+    return Scratch(df.sparkSession, name).save(df)
