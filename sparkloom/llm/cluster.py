@@ -1,56 +1,31 @@
-"""Scratch tables in the shared folder, bucket counts and connected components."""
+"""Bucket counts, memory of Python workers and connected components."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
+import ctypes
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Folder for scratch tables of local sessions that name none; never used on a cluster.
-_LOCAL: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where a local session has none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return _LOCAL.setdefault("folder", "file://" + tempfile.mkdtemp(prefix="sparkloom-"))
-
-
-class Scratch:
-    """Tables that one run of an operator writes to the shared folder, cutting their lineage."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
-
-    def save(self, df: DataFrame, release: bool = False) -> DataFrame:
-        """Write and read again. With `release`, callers hold nothing else of `df`, so that the plan it was
-        made by is garbage then; its collection on the driver lets Spark drop the shuffle files now, and not
-        when the driver's memory happens to run short."""
-        self.n += 1
-        path, schema = f"{self.folder}/{self.n}", df.schema
-        df.write.mode("overwrite").parquet(path)
-        del df
-        for _ in range(2 * release):  # the first collection may come before listeners let the plan go
-            gc.collect()
-            time.sleep(0.4)
-            self.spark.sparkContext._jvm.System.gc()
-        return self.spark.read.schema(schema).parquet(path)
-
-    def drop(self, keep: int = 0) -> None:
-        """Delete the tables so far but for the last `keep`."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for i in range(1, self.n + 1 - keep):
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{i}")
-            path.getFileSystem(conf).delete(path, True)
+from sparkloom.functions.scratch import Scratch
+
+__all__ = ["Scratch", "bucket_count", "components", "give_back", "numbered"]
+
+
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda pad: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps workers for later tasks, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def bucket_count(docs: DataFrame, text: str, bytes_each: int = 6_000_000) -> int:
@@ -60,23 +35,52 @@ def bucket_count(docs: DataFrame, text: str, bytes_each: int = 6_000_000) -> int
     return max(-(-total // bytes_each), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def numbered(rows: DataFrame, id_col: str, text_col: str, as_col: str, scratch: Scratch) -> DataFrame:
+    """The rows with a number of their own in `as_col`, in order of id (null first) and text. It is the id where
+    ids are whole numbers, present and distinct; otherwise the rows are sorted and saved."""
+    if rows.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long"):
+        if rows.groupBy(id_col).count().filter(f"{id_col} is null or count > 1").isEmpty():
+            return rows.withColumn(as_col, F.col(id_col).cast("bigint"))
+    spread = rows.withColumn("_tie", F.monotonically_increasing_id())  # equal rows need not go to one task
+    ranged = spread.orderBy(F.col(id_col).asc_nulls_first(), text_col, "_tie").drop("_tie")
+    return scratch.save(ranged.withColumn(as_col, F.monotonically_increasing_id()))
+
+
+#: Most hubs that components() broadcasts, 16 bytes each.
+HUBS = 10_000
+#: A vertex of fewer edges is never a hub.
+LEAST_HUB = 64
+
+
+def _least(edges: DataFrame, n: int) -> DataFrame:
+    """edges (u, v) with m: the least v of each u. Of n edges, a vertex with more than n / HUBS is a hub: there are
+    fewer than HUBS of them, so they are broadcast, and the edges of a hub stay where they are. The minima are
+    aggregated before their shuffle."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+    limit = max(LEAST_HUB, -(-n // HUBS))
+    hubs = F.broadcast(low.filter(F.col("c") > limit).select("u", F.col("m").alias("h")))
+    marked = edges.join(hubs, "u", "left")
+    rest = marked.filter("h is null").select("u", "v").join(low.filter(F.col("c") <= limit).select("u", "m"), "u")
+    return marked.filter("h is not null").select("u", "v", F.col("h").alias("m")).unionByName(rest)
+
+
 def components(edges: DataFrame, scratch: Scratch, u: str = "u", v: str = "v") -> DataFrame:
     """(id, component): of each vertex with an edge to another, the smallest vertex reachable.
 
-    Alternating large-star and small-star rounds; each round is two joins on grouped minima, so that a
-    vertex with very many edges is never gathered in one task. Edges shrink to stars in O(log^2) rounds.
+    Alternating large-star and small-star rounds, O(log^2) of them. Edges of hubs are joined by broadcast, those of
+    other vertices by shuffle, so no task gets all edges of a vertex with very many. A round is one table; its edges
+    are counted and summed while they are written, and the table before it is dropped.
     """
-    e = scratch.save(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct())
-    mark = None
-    while True:
+    sums = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+    e, now = scratch.measure(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), *sums)
+    while now["n"]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        e = scratch.save(small.filter("u <> v").distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == mark:
+        large = _least(both, 2 * now["n"]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        low = _least(large, now["n"])
+        small = low.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        before, was = e, now
+        e, now = scratch.measure(small.filter("u <> v").distinct(), *sums)
+        scratch.drop(before)
+        if now == was:
             break
-        mark = tuple(now)
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

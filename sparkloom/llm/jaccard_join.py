@@ -391,7 +391,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null")
     n = bucket_count(docs, text_col)
-    met = scratch.save(texts.mapInArrow(_sign(shingle, threshold, n), BLOB).groupBy("bucket").applyInArrow(_meet, LINK).distinct(), release=True)
+    met = scratch.save(texts.mapInArrow(_sign(shingle, threshold, n), BLOB).groupBy("bucket").applyInArrow(_meet, LINK).distinct())
     sizes = met.filter("kind = 2").groupBy(F.col("a").alias("id")).agg(F.max("b").alias("n"))
     same = met.filter("kind = 1").select("a", "b")
     several = met.filter("kind = 5").groupBy("a").count().filter("count > 1")  # ids with more than one text
@@ -424,7 +424,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = blocks.filter("i = 0").select(F.col("fam"), F.col("band"), F.col("blk").alias("x"))
     first = blocks.select("fam", "band", F.col("blk").alias("y"), "i")
     one = first.select("fam", F.col("y").alias("x"), "y").unionByName(heads.join(first.filter("i > 0"), ["fam", "band"]).select("fam", "x", "y")).unionByName(heads.select("fam", (F.col("band") + 1).alias("band"), "x").join(first, ["fam", "band"]).select("fam", "x", "y"))
-    found = scratch.save(_tiles(members.select("id", "fam", "blk", "known"), tiles(one), texts, shingle, threshold, n), release=True)
+    found = scratch.save(_tiles(members.select("id", "fam", "blk", "known"), tiles(one), texts, shingle, threshold, n))
     large = shape.filter(F.col("all_members") > block)
     if not large.isEmpty():
         # Second wave: what is not yet in its family's largest component, against all of the family.

@@ -23,6 +23,10 @@ _LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 #: Text handled at a time; a longer document is handled whole, alone.
 CHUNK_BYTES = 2_000_000
+#: Bytes of words hashed at a time; arrays of so many numbers stay in the processor's caches.
+PIECE_BYTES = 1 << 17
+#: Most powers held of one multiplier, 16 bytes each.
+HELD = 1 << 19
 
 
 def powers(m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,7 +37,7 @@ def powers(m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, m, U64), np.full(size, pow(m, -1, 1 << 64), U64)
         up[0] = down[0] = 1
         have = _powers[m] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if size > 1 << 23:  # one very long text: do not hold its table
+        if size > HELD:  # one very long text: do not hold its table
             _powers.pop(m)
     return have[0][:n], have[1][:n]
 
@@ -110,11 +114,18 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, stop: np.ndarray, lower: bool) -> np.ndarray:
-    """Hash of the bytes of each span."""
-    values = (_LOWER[data] if lower else data).astype(U64)
-    values += U64(1)
-    sums = span_sums(values, _BYTE_M, start, stop)
-    return mix(sums + (stop - start).astype(U64) * U64(0xFF51AFD7ED558CCD))
+    """Hash of the bytes of each span; spans ascend. About PIECE_BYTES at a time, a longer span alone."""
+    out, i = np.empty(len(start), U64), 0
+    while i < len(start):
+        base = int(start[i])
+        j = max(i + 1, int(np.searchsorted(stop, base + PIECE_BYTES, "right")))
+        piece = data[base : int(stop[j - 1])]
+        values = (_LOWER[piece] if lower else piece).astype(U64)
+        values += U64(1)
+        size = (stop[i:j] - start[i:j]).astype(U64)
+        out[i:j] = mix(span_sums(values, _BYTE_M, start[i:j] - base, stop[i:j] - base) + size * U64(0xFF51AFD7ED558CCD))
+        i = j
+    return out
 
 
 def hash_words(data: np.ndarray, offs: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +147,17 @@ def chunks(texts: pa.Array, lower: bool, limit: int = CHUNK_BYTES) -> Iterator[C
         lo = hi
 
 
+def word_offsets(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[np.ndarray]:
+    """Where each row's words begin (n_rows + 1), about `limit` bytes of text at a time."""
+    data, offs = text_buffers(texts)
+    lo, n = 0, len(offs) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
+        own = offs[lo : hi + 1] - offs[lo]
+        yield np.searchsorted(word_spans(data[offs[lo] : offs[hi]], own)[0], own) if own[-1] else np.zeros(len(own), np.int64)
+        lo = hi
+
+
 def grams(hashes: np.ndarray, k: int, check: bool = False) -> np.ndarray:
     """Hash of the k words from each word on, without regard to rows; k - 1 fewer than words."""
     n = len(hashes) - k + 1
