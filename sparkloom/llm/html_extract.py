@@ -3,6 +3,10 @@
 A page is cut into blocks at block-level tags. A block's features are its words and link density, those of
 the blocks before and after it, and what its surroundings say (element and class names). A small decision
 tree, trained on the labelled pages in `html_labels`, keeps a block or not.
+
+Class names and ids say what an element is only where they can be meant for it: never on html, body and main, not
+on the page's main article (the largest one that nothing marks, or else the largest), and not on what merely wraps
+that article, that is, where the article has half of the wrapper's words or more.
 """
 
 from __future__ import annotations
@@ -37,10 +41,12 @@ HOLDS = frozenset("article aside blockquote details dialog div dl fieldset figur
 APART = frozenset("aside dialog fieldset footer form menu nav search".split())
 #: Roles of such elements.
 APART_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words in class names and ids of such elements.
+#: Words that class names and ids of such elements begin or end with; a heuristic.
 APART_NAMES = frozenset(
     "ad ads adsense advert advertisement advertising adverts alert announcement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright discussion disqus footer gdpr legal login masthead menu menus modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup privacy promo promoted promotion recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription taboola tags teaser toc toolbar topbar warning widget widgets".split()
 )
+#: Words at the beginning of a class name that say something about another element.
+_ABOUT = frozenset("has no not with without".split())
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "apart_element", "apart_name", "in_article", "page_has_article", "page_header", "heading", "list_item")
 
 
@@ -58,16 +64,18 @@ class Block:
     keep: bool = False
 
 
-def _names(attributes: str) -> tuple[set[str], bool]:
-    """Lower-case words of class and id, and whether role or visibility set the element apart."""
-    found, apart = set(), "hidden" in attributes.lower().split()
+def _marks(attributes: str) -> tuple[bool, bool]:
+    """Whether a class name or id, and whether role or visibility, set the element apart."""
+    named, apart = False, "hidden" in attributes.lower().split()
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            found |= {w.lower() for w in _NAME.findall(value)}
+            for token in value.split():
+                own = [w.lower() for w in _NAME.findall(token)]
+                named |= bool(own) and own[0] not in _ABOUT and (own[0] in APART_NAMES or own[-1] in APART_NAMES)
         elif name == "role" and value.lower() in APART_ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             apart = True
-    return found, apart
+    return named, apart
 
 
 def _parts(m: re.Match) -> tuple[bool, str, str]:
@@ -97,21 +105,69 @@ def _ends(page: str) -> dict[int, int]:
     return found
 
 
+@dataclass(slots=True)
+class Range:
+    """Blocks of an element: from `start` to before `stop`. Of an article or main: whether its own name marks it,
+    and the outermost element around it that a name marks."""
+
+    start: int
+    stop: int | None = None
+    own: bool = False
+    outer: Range | None = None
+    main: bool = False
+
+
+@dataclass(slots=True, frozen=True)
+class State:
+    """What surrounds a block. named: the outermost element whose name sets it apart. article: the outermost
+    article, or main where no article is. inner: an element within that one is set apart by its name. deep: within
+    an article."""
+
+    apart: bool = False
+    named: Range | None = None
+    article: Range | None = None
+    inner: bool = False
+    deep: bool = False
+    header: bool = False
+    keep: bool = False
+
+
+def _settle(out: list[Block], states: list[State], articles: list[Range]) -> None:
+    """Whether the names around each block set it apart."""
+    total = np.r_[0, np.cumsum([b.words for b in out])]
+
+    def words(r: Range) -> int:
+        return int(total[len(out) if r.stop is None else r.stop] - total[r.start])
+
+    main = max((r for r in articles if not r.main), key=lambda r: (r.outer is None, words(r) / (1 + r.own)), default=None)
+    for b, s in zip(out, states, strict=True):
+        a = s.article
+        if a is None:
+            b.named = s.named is not None
+        elif a.main or a is main:
+            b.named = s.inner or a.outer is not None and words(a.outer) > 2 * words(a)
+        else:
+            b.named = s.inner or a.own or a.outer is not None
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a whole page in order. `data-keep` marks the labelled ones; features ignore it."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # element, apart, named, article, header, keep
+    states: list[State] = []
+    articles: list[Range] = []
+    stack: list[tuple[str, State, list[Range]]] = []  # element, what it gives its blocks, ranges that end with it
     text: list[str] = []
     linked: list[str] = []
-    state, link, leaf, keep = (False, False, False, False, False), False, "", False
+    state, link, leaf, keep = State(), False, "", False
 
     def end() -> None:
         nonlocal keep
         whole = " ".join(html.unescape("".join(text)).split())
         if whole:
             n = whole.count(" ") + 1
-            apart, named, article, header, held = state
-            out.append(Block(whole, n, min(n, len("".join(linked).split())), apart, named, article, header, leaf in ("h1", "h2", "h3", "h4", "h5", "h6"), leaf == "li", keep or held))
+            heading = leaf in ("h1", "h2", "h3", "h4", "h5", "h6")
+            out.append(Block(whole, n, min(n, len("".join(linked).split())), state.apart, False, state.article is not None, state.header, heading, leaf == "li", keep or state.keep))
+            states.append(state)
         text.clear()
         linked.clear()
         keep = False
@@ -154,22 +210,39 @@ def blocks(page: str) -> list[Block]:
                 if tag in HOLDS:
                     for i in range(len(stack) - 1, -1, -1):
                         if stack[i][0] == tag:
+                            for *_, ranges in stack[i:]:
+                                for r in ranges:
+                                    r.stop = len(out)
                             del stack[i:]
                             break
             else:
                 keep = "data-keep" in attributes
-                names, apart = _names(attributes) if "=" in attributes or "hidden" in attributes else (set(), False)
-                a, n, article, header, held = state
-                own = (a or apart or tag in APART, n or bool(names & APART_NAMES), article or tag in ("article", "main"), header or tag == "header" and not article, held or keep)
+                named, apart = _marks(attributes) if "=" in attributes or "hidden" in attributes else (False, False)
+                around = stack[-1][1] if stack else State()
+                ranges = []
+                first, inside, article, deep = around.named, around.inner, around.article, around.deep
+                if tag == "article" and not deep or tag == "main" and article is None:
+                    article, inside, deep = Range(len(out), None, named and tag == "article", first, tag == "main"), False, tag == "article"
+                    articles.append(article)
+                    ranges.append(article)
+                elif named and tag not in ("body", "main"):
+                    inside |= article is not None
+                    if first is None:
+                        first = Range(len(out))
+                        ranges.append(first)
+                own = State(around.apart or apart or tag in APART, first, article, inside, deep, around.header or tag == "header" and article is None, around.keep or keep)
                 if tag in HOLDS:
-                    stack.append((tag, *own))
-                elif own != (a, n, article, header, held):  # a block of its own, such as <p class="ad">
+                    stack.append((tag, own, ranges))
+                elif tag != "body":  # a block of its own, such as <p class="ad">
+                    for r in ranges:
+                        r.stop = len(out) + 1
                     state = own
                     text.append(literal)
                     continue
             text.append(literal)
-            state = stack[-1][1:] if stack else (False, False, False, False, False)
+            state = stack[-1][1] if stack else State()
     end()
+    _settle(out, states, articles)
     return out
 
 

@@ -15,10 +15,21 @@ _STRUCTURED = (
     f'<body><form><label>Search the site</label><p>Type a word and press enter to search all our pages at once.</p></form><article data-keep><h1>Rules of the game</h1><ol><li>Each player takes a card.</li><li>The highest card begins.</li></ol><blockquote>{_MORE}</blockquote></article><div role="complementary"><p>{_LONG}</p></div><div style="display:none"><p>{_LONG}</p></div></body>',
     f'<body><div role="banner"><p>Valley radio, the sound of the hills, day and night</p></div><main data-keep><h1>Programme</h1><p>Tonight at eight: songs from the coast.</p><table><tr><td>Nine</td><td>News and weather for the whole of the valley</td></tr></table></main><div class="newsletter-signup"><p>Get our letter with the best of the week every Friday morning.</p></div></body>',
     f'<body><article><header data-keep><h1>The mill</h1></header><div class="ad">Lamps, lamps, lamps: come and see them at our shop.</div><p data-keep>{_LONG}</p><aside><p>Related: the bridge, the ferry, the square.</p></aside><p data-keep>Yes.</p><div class="related"><a href="/a">The bridge</a><p>{_MORE}</p></div><footer><p>Filed under history by the editors of this page</p></footer></article></body>',
-    f'<body><div class="notice"><p>This page was moved. Please change your bookmarks to the new address before the end of the year.</p></div><article data-keep><p>{_MORE}</p><p>Read <a href="/all">all parts of the story</a></p><p><a href="/src">Source of the figures in this text</a></p></article></body>',
+    f'<body><div class="notice"><p>This page was moved. Please change your bookmarks to the new address before the end of the year.</p></div><article><p data-keep>{_MORE}</p><p data-keep>Read <a href="/all">all parts of the story</a></p><p><a href="/src">Source of the figures in this text</a></p></article></body>',
     f'<body><ul>{_LINKS}</ul><article data-keep><h1>No.</h1><p>Of.</p></article><div id="disqus_thread"><p>{_MORE}</p></div><p>Printed by the mill press, open all week but Sunday</p></body>',
 )
 
+#: Pages whose class names say little of their elements, and articles that hold links of other kinds.
+_NAMED = (
+    f'<body class="single no-sidebar"><div id="page"><article data-keep><p>{_LONG}</p><p>{_MORE}</p></article></div><div class="sidebar"><p>{_LONG}</p></div></body>',
+    f'<body class="has-sidebar privacy"><div class="wrap sidebar-right"><article class="post category-privacy" data-keep><h1>The mill</h1><p>{_MORE}</p><p>{_LONG} {_LONG}</p></article><div class="sidebar-inner"><p>{_MORE}</p></div></div></body>',
+    f'<body><main class="with-comments"><article class="hentry comments-open" data-keep><h1><a href="/flood">Flood in the valley</a></h1><p>{_LONG}</p><p>It rained.</p><p>{_MORE}</p></article></main><section class="comments"><article class="comment"><p>I was there and the water came up to the second step of our house.</p></article></section></body>',
+    f'<body><article><h1 data-keep><a href="/bridge">Bridge closed</a></h1><p data-keep>{_LONG}</p><p><a href="/more">Read also: how the old bridge over the river was built, who paid for it, and why it had to be closed twice before this year</a></p><p data-keep>{_MORE}</p><ul>{_LINKS}</ul><p data-keep>No one was hurt.</p></article></body>',
+    f'<body><div><p>{_MORE} {_LONG}</p></div><article data-keep><h1>Flood</h1><p>{_LONG}</p><p>It rained.</p></article><div><p>{_LONG}</p><p>{_MORE}</p></div><p>{_MORE} {_MORE}</p></body>',
+    f'<body><article><p data-keep>{_MORE}</p><p><a href="/q">All news of the valley</a></p><p><a href="/r">All news of the hills and of the coast</a></p><p data-keep>{_LONG}</p></article></body>',
+    f'<body><article><p><a href="/z">The valley, the mill, the bridge, the ferry, the square and the market in many old pictures</a></p></article><div><p>Printed by the mill press</p></div></body>',
+)
+
 #: Pages in which only the blocks' text tells.
 _PLAIN = (
     f'<body><div id="menu"><a href="/">Home</a> <a href="/b">Blog</a></div><div class="content"><div data-keep><h1>How to bake bread</h1><p>{_LONG}</p><p>{_MORE}</p></div><div class="share-buttons">Share this with friends and family on all the networks</div></div><div class="sidebar"><p>{_LONG}</p></div><div class="footer">Imprint and data protection</div></body>',
@@ -27,6 +38,7 @@ _PLAIN = (
     f'<body><header><p>{_MORE}</p></header><div>{_LINKS}</div><div data-keep><p>{_LONG}</p><p>{_LONG} {_MORE}</p></div><p>Copyright</p></body>',
     f'<body><p data-keep>{_LONG}</p><p data-keep>{_MORE}</p></body>',
     f'<body><h1 data-keep>The old mill and its people</h1><p data-keep>{_MORE}</p><p data-keep>{_LONG}</p><p>Imprint</p></body>',
+    f'<body class="page has-sidebar"><div class="no-sidebar content"><p data-keep>{_LONG}</p><p><a href="/1">What the people of the valley said of the flood, of the bridge and of the ferry in the days that came after it</a></p><p data-keep>{_MORE}</p><p><a href="/2">The ferry</a> | <a href="/3">The bridge</a> | <a href="/4">The old mill beside the square</a></p></div><div class="comments"><p>{_MORE}</p></div></body>',
     f'<body><div data-keep><p>{_MORE}</p></div><div class="ad-box">Lamps for every room and every purse, now at half the price of last year.</div></body>',
 )
 
@@ -35,7 +47,7 @@ _TEXTS = (
     ("Yes.", "Not so."),
     ("It rained all day.", "The boats stayed in."),
     (f"{_LONG} {_LONG} {_MORE}", f"{_MORE} {_MORE} {_MORE} {_LONG}"),
-    ('<a href="/q">A sentence that is a link from end to end</a>', 'A sentence half of which <a href="/h">is a link to a page</a>'),
+    ('Most of this sentence <a href="/q">is a link that leads to another page</a>', 'A sentence half of which <a href="/h">is a link to a page</a>'),
 )
 
 
@@ -49,4 +61,4 @@ def _only_article(page: str) -> list[str]:
     return [f"<body>{page[at:stop]}</article></body>"] if 0 <= at < stop and page.count("<article") == 1 else []
 
 
-PAGES = tuple(v for p in _STRUCTURED for q in [p, *_only_article(p)] for v in [q, *_further(q, _TEXTS)]) + tuple(v for p in _PLAIN for v in [p, *_further(p, _TEXTS[2:3])])
+PAGES = tuple(v for p in (*_STRUCTURED, *_NAMED) for q in [p, *_only_article(p)] for v in [q, *_further(q, _TEXTS)]) + tuple(v for p in _PLAIN for v in [p, *_further(p, _TEXTS[2:3])])

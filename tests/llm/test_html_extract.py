@@ -1,6 +1,8 @@
 """HTML extraction: block rules, labelled pages, hostile input."""
 
-from sparkloom.llm.html_extract import blocks, extract_text, features, main_text, tree
+import random
+
+from sparkloom.llm.html_extract import FEATURES, blocks, extract_text, features, main_text, tree
 from sparkloom.llm.html_labels import PAGES
 
 SCHEMA = "page_id bigint, url string, html string, text string"
@@ -52,3 +54,48 @@ def test_math_and_xmp_are_text():
 def test_many_unclosed_elements():
     page = "<article>" + "<p>word <button>" * 5000 + "<svg><title>" * 500
     assert main_text(page, tree()).count("word") == 5000
+
+
+def test_the_tree_goes_by_link_density():
+    used, nodes = set(), [tree()]
+    while nodes:
+        node = nodes.pop()
+        if node.low:
+            used.add(FEATURES[node.feature])
+            nodes += [node.low, node.high]
+    assert {"words", "link_density"} <= used and any(f.startswith(("words_", "link_density_")) for f in used)
+
+
+def test_names_of_what_holds_the_page_hide_nothing():
+    text = " ".join(f"word{i}" for i in range(40))
+    for page in (
+        f'<body class="single no-sidebar"><div id="page"><article><p>{text}</article>',
+        f'<body class="has-sidebar privacy"><article><p>{text}</article>',
+        f'<body><div class="sidebar-right"><article class="post category-privacy"><p>{text}</article></div>',
+        f'<main class="comments-open"><article class="hentry comments-open"><p>{text}</article></main>',
+        f'<article class="hentry comments-open"><p>{text}</article><section class="comments"><article class="comment"><p>{text}</article></section>',
+        f"<article><p>{text}<p><a href=/x>{text}</a></article>",
+        f"<body><div><p>{text}</div><div><p><a href=/x>{text}</a></div>",
+        f'<body class="no-sidebar"><div class="content"><p>{text}</div><div class="sidebar"><p>{text}</div>',
+    ):
+        assert main_text(page, tree()) == text, page
+
+
+def test_pages_without_an_article():
+    """Against the plain rule for pages of one column: paragraphs of prose, without boxes and lists of links."""
+    rng = random.Random(4)
+    for _ in range(40):
+        page, want = ["<body>"], []
+        for _ in range(rng.randint(2, 8)):
+            text = " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randint(20, 60)))
+            kind = rng.choice(["prose", "prose", "menu", "box", "link"])
+            if kind == "prose":
+                want.append(text)
+                page.append(f"<p>{text}</p>")
+            elif kind == "menu":
+                page.append("<ul>" + "".join(f"<li><a href=/{i}>item {i}</a></li>" for i in range(5)) + "</ul>")
+            elif kind == "box":
+                page.append(f'<div class="{rng.choice(["ad", "sidebar-left", "cookie-notice", "site-footer", "post-comments"])}"><p>{text}</p></div>')
+            else:
+                page.append(f"<p><a href=/x>{text}</a></p>")
+        assert main_text("".join(page), tree()) == "\n\n".join(want)
