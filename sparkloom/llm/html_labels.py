@@ -24,7 +24,7 @@ _NAMED = (
     f'<body class="single no-sidebar"><div id="page"><article data-keep><p>{_LONG}</p><p>{_MORE}</p></article></div><div class="sidebar"><p>{_LONG}</p></div></body>',
     f'<body class="has-sidebar privacy"><div class="wrap sidebar-right"><article class="post category-privacy" data-keep><h1>The mill</h1><p>{_MORE}</p><p>{_LONG} {_LONG}</p></article><div class="sidebar-inner"><p>{_MORE}</p></div></div></body>',
     f'<body><main class="with-comments"><article class="hentry comments-open" data-keep><h1><a href="/flood">Flood in the valley</a></h1><p>{_LONG}</p><p>It rained.</p><p>{_MORE}</p></article></main><section class="comments"><article class="comment"><p>I was there and the water came up to the second step of our house.</p></article></section></body>',
-    f'<body><article><h1 data-keep><a href="/bridge">Bridge closed</a></h1><p data-keep>{_LONG}</p><p><a href="/more">Read also: how the old bridge over the river was built, who paid for it, and why it had to be closed twice before this year</a></p><p data-keep>{_MORE}</p><ul>{_LINKS}</ul><p data-keep>No one was hurt.</p></article></body>',
+    f'<body><header><h1><a href="/">The Valley Post</a></h1></header><article><h1 data-keep><a href="/bridge">Bridge closed</a></h1><p data-keep>{_LONG}</p><p><a href="/more">Read also: how the old bridge over the river was built, who paid for it, and why it had to be closed twice before this year</a></p><p data-keep>{_MORE}</p><ul>{_LINKS}</ul><p data-keep>No one was hurt.</p><div class="related"><h3><a href="/f">The ferry</a></h3></div></article><aside><h3><a href="/top">Most read</a></h3><p>{_LONG}</p></aside><div><h2><a href="/s">The square and the market</a></h2></div></body>',
     f'<body><div><p>{_MORE} {_LONG}</p></div><article data-keep><h1>Flood</h1><p>{_LONG}</p><p>It rained.</p></article><div><p>{_LONG}</p><p>{_MORE}</p></div><p>{_MORE} {_MORE}</p></body>',
     f'<body><article><p data-keep>{_MORE}</p><p><a href="/q">All news of the valley</a></p><p><a href="/r">All news of the hills and of the coast</a></p><p data-keep>{_LONG}</p></article></body>',
     f'<body><article><p><a href="/z">The valley, the mill, the bridge, the ferry, the square and the market in many old pictures</a></p></article><div><p>Printed by the mill press</p></div></body>',
@@ -38,7 +38,7 @@ _PLAIN = (
     f'<body><header><p>{_MORE}</p></header><div>{_LINKS}</div><div data-keep><p>{_LONG}</p><p>{_LONG} {_MORE}</p></div><p>Copyright</p></body>',
     f'<body><p data-keep>{_LONG}</p><p data-keep>{_MORE}</p></body>',
     f'<body><h1 data-keep>The old mill and its people</h1><p data-keep>{_MORE}</p><p data-keep>{_LONG}</p><p>Imprint</p></body>',
-    f'<body class="page has-sidebar"><div class="no-sidebar content"><p data-keep>{_LONG}</p><p><a href="/1">What the people of the valley said of the flood, of the bridge and of the ferry in the days that came after it</a></p><p data-keep>{_MORE}</p><p><a href="/2">The ferry</a> | <a href="/3">The bridge</a> | <a href="/4">The old mill beside the square</a></p></div><div class="comments"><p>{_MORE}</p></div></body>',
+    f'<body class="page has-sidebar"><h2><a href="/">The Valley Post</a></h2><div class="no-sidebar content"><p data-keep>{_LONG}</p><p><a href="/1">What the people of the valley said of the flood, of the bridge and of the ferry in the days that came after it</a></p><p data-keep>{_MORE}</p><p><a href="/2">The ferry</a> | <a href="/3">The bridge</a> | <a href="/4">The old mill beside the square</a></p></div><div class="comments"><p>{_MORE}</p></div></body>',
     f'<body><div data-keep><p>{_MORE}</p></div><div class="ad-box">Lamps for every room and every purse, now at half the price of last year.</div></body>',
 )
 
