@@ -9,6 +9,7 @@ goes by an explicit rule. Tokens are never counted twice, so a document's sectio
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,6 +23,9 @@ RULES = ("first", "last", "most", "share")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that cuts text for this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White space, as the pattern's \\s has it. Runs of it that are longer than the regular expression's
+#: backtracking is safe with are cut out where the pattern itself cuts.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 
 
 @cache
@@ -37,12 +41,24 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), size
 
 
+def encode(text: str, path: str) -> list[int]:
+    """Tokens of a whole text. The pattern takes a run of white space but for its last character as one piece, and
+    all of a run at the end; so a long run is one piece here too, and what is before and after it is encoded alone."""
+    encoding, out, at = encoder(path)[0], [], 0
+    for m in _LONG_SPACE.finditer(text):
+        stop = m.end() - (m.end() < len(text))
+        out += encoding.encode_ordinary(text[at : m.start()])
+        out += encoding._encode_single_piece(text[m.start() : stop].encode())
+        at = stop
+    return out + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
 def spans(text: str, path: str) -> np.ndarray:
     """Character spans (n, 2) of the tokens of a whole text. A token that holds part of a character's bytes
     begins at that character; it ends after the last character of which it holds a byte."""
-    encode, size = encoder(path)
+    size = encoder(path)[1]
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    ends = np.cumsum(size[encode.encode_ordinary(text)]) if text else np.zeros(0, np.int64)
+    ends = np.cumsum(size[encode(text, path)]) if text else np.zeros(0, np.int64)
     begins = np.r_[0, ends[:-1]] if len(ends) else ends
     char = np.cumsum((data & 0xC0) != 0x80) - 1  # the character of each byte
     return np.stack([char[begins], char[ends - 1] + 1], 1) if len(ends) else np.zeros((0, 2), np.int64)

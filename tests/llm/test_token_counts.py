@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from sparkloom.llm.token_counts import RULES, VOCABULARY, attribute, count_tokens, encoder, line_bounds, spans
+from sparkloom.llm.token_counts import RULES, VOCABULARY, attribute, count_tokens, encode, encoder, line_bounds, spans
 
 TEXTS = ["", "Hello world\nand you", "naïve café — 日本語\n\n🙂🙂 x", "a" * 5000 + "\n" + " " * 300, "don't\r\nstop  \n", "\n", "é\n" * 50]
 
@@ -63,3 +63,24 @@ def test_frame(spark):
     assert count_tokens(df.filter("false")).count() == 0
     with pytest.raises(ValueError):
         count_tokens(df, rule="none")
+
+
+def test_long_runs_are_cut_as_the_pattern_cuts():
+    plain = encoder(VOCABULARY)[0].encode_ordinary
+    for run in (" " * 5000, "\t" * 3000, "\n" * 2001 + " ", "\r\n" * 2000, " \u3000\xa0" * 700, "a" * 5000, "\x1c" * 3000):
+        for text in (run, run + "a", run + "'s", run + "\n!", "a" + run, "a" + run + " b", "x  " + run + "1" + run + "y" + run):
+            assert encode(text, VOCABULARY) == plain(text)
+    for text in (" " * 900_000, "b" * 1_000_000, "1" * 1_000_000):
+        assert encode(text, VOCABULARY) == plain(text)
+
+
+@pytest.mark.parametrize("sign", [" ", "\t", "\n", "a", "\u3000"])
+def test_very_long_texts(spark, sign):
+    """A round trip: the tokens of each line cover its text, however long a run of one character is."""
+    texts = [sign * 1_000_000 + "a", "a " + sign * 1_000_000, sign * 2_000_000 + "\n" + sign * 1_500_000 + "b c"]
+    for text in texts:
+        got = spans(text, VOCABULARY)
+        assert got[0][0] == 0 and got[-1][1] == len(text) and (got[1:, 0] <= got[:-1, 1]).all()
+    df = spark.createDataFrame([(0, texts[0]), (1, "word"), (2, None)], "doc_id bigint, text string")
+    per = {r.doc_id: r.n for r in count_tokens(df).groupBy("doc_id").sum("n_tokens").toDF("doc_id", "n").collect()}
+    assert per == {0: len(spans(texts[0], VOCABULARY)), 1: len(spans("word", VOCABULARY))}
