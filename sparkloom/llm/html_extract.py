@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.scratch import bound_batches
 from sparkloom.llm.html_labels import PAGES
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?][^<>]*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:\"[^\"<]*\"|'[^'<]*'|[^<>\"'])*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>", re.S)
@@ -315,6 +316,7 @@ def extract_text(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"),
     feeds in page order. An element such as button or video that is never closed hides nothing after it; math
     is text, and xmp is text as it is written. A null, empty or wholly boilerplate page has the text ''. Rows that repeat give equal
     rows; other columns, of any name, are not looked at. Empty table: empty result. One pass, no shuffle."""
+    bound_batches(pages.sparkSession)
     inner = pages.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(html_col).alias("h"))
     fields = ", ".join(f"c{i} {inner.schema[i].dataType.simpleString()}" for i in range(len(carry)))
     return inner.mapInArrow(_extract(tree()), f"{fields}, x string").toDF(*carry, "text")

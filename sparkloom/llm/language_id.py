@@ -3,8 +3,8 @@
 Features are hashed n-grams of one to three characters of the lower-cased text; a feature's weight is
 ``(1 + log tf) * idf``, vectors have length 1. Document frequencies cover all documents that may be learned
 from. The model is fitted by follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties on a
-bounded sample, so that most weights are exactly 0, and its scores are calibrated by one temperature on a part
-of the sample that was not fitted. Scoring is one pass over the texts without a shuffle.
+bounded sample. The L1 penalty is the largest of a few whose log loss, on a part of the sample that is not fitted,
+is near the least, so that most weights are exactly 0. On the same part one temperature calibrates the scores. Scoring is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,8 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.scratch import bound_batches
+from sparkloom.llm import words as W
+
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_SIGN = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -32,12 +35,18 @@ class Settings:
     epochs: int = 2
     alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 1e-4
+    l1: tuple[float, ...] = (0.01, 0.03, 0.1, 0.3)  # the largest that costs no more than `slack` of log loss
+    slack: float = 0.01
     l2: float = 1e-4
     calibrate: int = 5  # a row in so many of the sample is for the temperature
     seed: int = 11
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of Unicode's letter categories; signs such as \u00b2 or \u2167 are none."""
+    return any(m[0].isalpha() for m in _SIGN.finditer(text)) if text else False
+
+
 def counts(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Features of a whole text and how often each occurs."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -52,8 +61,8 @@ def counts(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return at, total[at]
 
 
-def vector(text: str, idf: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    at, n = counts(text, s)
+def vector(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """TF-IDF of features and their counts, of length 1."""
     x = (1 + np.log(n)) * idf[at]
     return at.astype(np.int32), (x / max(float(np.sqrt(x @ x)), 1e-12)).astype(np.float32)
 
@@ -63,12 +72,12 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(-1, keepdims=True)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, s: Settings) -> np.ndarray:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, s: Settings, l1: float) -> np.ndarray:
     """Weights (dims + 1, classes) of multinomial logistic regression; the last row is the intercept."""
     z, n = np.zeros((s.dims + 1, classes)), np.zeros((s.dims + 1, classes))
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return np.where(np.abs(z) <= s.l1, 0.0, -(z - np.sign(z) * s.l1) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
 
     rng = np.random.default_rng(s.seed)
     for _ in range(s.epochs):
@@ -86,12 +95,16 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, s: Settin
     return weights(z, n)
 
 
+def log_loss(z: np.ndarray, labels: np.ndarray) -> float:
+    p = softmax(z)
+    return -float(np.log(np.maximum(p[np.arange(len(z)), labels], 1e-12)).mean())
+
+
 def temperature(z: np.ndarray, labels: np.ndarray) -> float:
     """What the scores are divided by for the least log loss; golden section over its logarithm."""
 
     def loss(t: float) -> float:
-        p = softmax(z / np.exp(t))
-        return -float(np.log(np.maximum(p[np.arange(len(z)), labels], 1e-12)).mean())
+        return log_loss(z / np.exp(t), labels)
 
     lo, hi, r = -4.0, 3.0, (5**0.5 - 1) / 2
     for _ in range(40):
@@ -109,11 +122,11 @@ class Model:
     settings: Settings
 
     def scores(self, text: str) -> np.ndarray:
-        at, x = vector(text, self.idf, self.settings)
+        at, x = vector(*counts(text, self.settings), self.idf)
         return x @ self.weights[at] + self.weights[-1]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.labels or not _LETTER.search(text):
+        if not self.labels or not has_letter(text):
             return UNKNOWN, 0.0
         p = softmax(self.scores(text) / self.temperature)
         i = int(p.argmax())
@@ -127,20 +140,37 @@ def _frequencies(s: Settings):
         df, labels = np.zeros(s.dims, np.int64), {}
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                df[counts(text.as_py(), s)[0]] += 1
-                labels[label] = labels.get(label, 0) + 1
+                if has_letter(text := text.as_py()):
+                    df[counts(text, s)[0]] += 1
+                    labels[label] = labels.get(label, 0) + 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, np.full(len(labels), -1)], pa.int64()), pa.array([None] * len(at) + list(labels), pa.string()), pa.array(np.r_[df[at], np.array(list(labels.values()), np.int64)].astype(np.int64))], ["feature", "label", "n"])
 
     return run
 
 
+def _counted(s: Settings):
+    """Rows as their features' counts, packed: at most 8 bytes a feature, whatever the length of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(2)]
+            keep = pa.array([has_letter(t) for t in texts], pa.bool_())
+            made = [W.pack(*(x.astype(np.uint32) for x in counts(t, s))) for t, ok in zip(texts, keep, strict=True) if ok.as_py()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(made, pa.binary())], ["draw", "label", "features"])
+
+    return run
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", settings: Settings = Settings()) -> Model:
     """A model from the rows of `docs` that have a text with a letter and a label.
 
-    Document frequencies are over all of them; the fitted sample has at most about `settings.rows` rows, chosen
-    by a seeded hash of the id, evenly over the labels. Without such rows the model predicts `und` always."""
+    Document frequencies are over all of them; the fitted sample has about `settings.rows` rows and twice as many
+    at most, chosen by a seeded hash of id and text, evenly over the labels, the same in every run. Only feature
+    counts come to the driver. Without such rows the model predicts `und` always. Null ids take part; rows that
+    repeat are in or out together; other columns, of any name, are not looked at."""
     s = settings
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"), F.col(id_col).alias("id")).filter(F.col("text").isNotNull() & F.col("label").isNotNull())
     seen = rows.select("text", "label").mapInArrow(_frequencies(s), "feature bigint, label string, n bigint").groupBy("feature", "label").agg(F.sum("n").alias("n")).collect()
     n = {r.label: r.n for r in seen if r.feature < 0}
@@ -156,19 +186,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     share = F.lit(0.0)
     for x in labels:
         share = F.when(F.col("label") == x, F.lit(min(1.0, s.rows / len(labels) / n[x]))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit(s.seed), "id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(draw < share).select("id", "text", "label").limit(2 * s.rows).collect()
-    sample = sorted((r for r in sample if _LETTER.search(r.text)), key=lambda r: (str(r.id), r.text))
-    made = [(*vector(r.text, idf, s), labels.index(r.label)) for r in sample]
+    draw = F.pmod(F.xxhash64(F.lit(s.seed), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.withColumn("draw", draw).filter(F.col("draw") < share).select("draw", "label", "text")
+    sample = drawn.mapInArrow(_counted(s), "draw double, label string, features binary").orderBy("draw", "label", "features").limit(2 * s.rows).collect()
+    made = [(*vector(*W.unpack(r.features, np.uint32, np.uint32), idf), labels.index(r.label)) for r in sample]
     del sample
-    fitted = [x for i, x in enumerate(made) if i % s.calibrate]
-    w = ftrl(fitted or made, len(labels), s)
-    model = Model(labels, w.astype(np.float32), idf, 1.0, s)
-    held = [x for i, x in enumerate(made) if not i % s.calibrate]
-    if len(held) >= 20 and len(labels) > 1:
+    fitted, held = [x for i, x in enumerate(made) if i % s.calibrate], [x for i, x in enumerate(made) if not i % s.calibrate]
+    if len(held) < 20 or len(labels) < 2:
+        return Model(labels, ftrl(fitted or made, len(labels), s, min(s.l1)).astype(np.float32), idf, 1.0, s)
+    y, tried = np.array([y for *_, y in held]), []
+    for l1 in sorted(s.l1):
+        model = Model(labels, ftrl(fitted, len(labels), s, l1).astype(np.float32), idf, 1.0, s)
         z = np.array([x @ model.weights[at] + model.weights[-1] for at, x, _ in held])
-        model.temperature = temperature(z, np.array([y for *_, y in held]))
-    return model
+        model.temperature = temperature(z, y)
+        tried.append((log_loss(z / model.temperature, y), model))
+    least = min(loss for loss, _ in tried)
+    return next(model for loss, model in reversed(tried) if loss <= least + s.slack)
 
 
 def _predict(model: Model):
@@ -186,6 +219,7 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",),
 
     A null text, or one without a letter, is `und` with score 0. Rows that repeat are scored alike; other
     columns, of any name, are not looked at. Empty table: empty result."""
+    bound_batches(docs.sparkSession)
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("t"))
     fields = ", ".join(f"c{i} {inner.schema[i].dataType.simpleString()}" for i in range(len(carry)))
     return inner.mapInArrow(_predict(model), f"{fields}, p string, q double").toDF(*carry, "lang_pred", "score")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.scratch import bound_batches
+
 RULES = ("first", "last", "most", "share")
 #: Where the vocabulary files are; a parameter of the operator.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -135,6 +137,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str | list[s
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    bound_batches(docs.sparkSession)
     fields = not isinstance(text_col, str)
     value = F.array(*[F.col(c).cast("string") for c in text_col]) if fields else F.col(text_col)
     inner = docs.select(F.col(id_col).cast("bigint").alias("id"), value.alias("t"))

@@ -94,3 +94,50 @@ def test_platt():
     z = rng.normal(size=3000) * 2
     a, b = platt(z * 2, (rng.random(3000) < sigmoid(z + 1)).astype(float))
     assert abs(a - 0.5) < 0.1 and abs(b - 1) < 0.2
+
+
+def test_signs_are_no_letters(spark):
+    assert not any(language_id.has_letter(t) for t in (None, "", "\u00b2 \u00bd \u2460 \u2167", "12_ .", "\u0660")) and language_id.has_letter("\u00b2\u00aa") and language_id.has_letter("1\u4e00")
+    signs = spark.createDataFrame([(i, "\u00b2 \u00bd \u2460 \u2167 " * 9, "en") for i in range(9)], "doc_id bigint, text string, lang string")
+    assert language_id.fit(signs).labels == []
+    model = language_id.fit(signs.unionByName(spark.createDataFrame([(100 + i, f"word {i} of a text", x) for i in range(40) for x in ("en", "de")], signs.schema)))
+    assert model.labels == ["de", "en"] and {(r.lang_pred, r.score) for r in language_id.predict(signs, model).collect()} == {("und", 0.0)}
+
+
+def test_the_penalty_makes_weights_zero(spark):
+    """Of the features that the sample has, and against a fit without the penalty."""
+    docs = learnable(registry.table(spark, SF, "documents"))
+    model, plain = language_id.fit(docs), language_id.fit(docs, settings=language_id.Settings(l1=(0.0,)))
+    touched = np.abs(plain.weights[:-1]).max(1) > 0
+    assert touched.sum() > 3000
+    assert (model.weights[:-1][touched] == 0).mean() > 0.3 > 0.01 > (plain.weights[:-1][touched] == 0).mean()
+
+
+def test_language_scores_by_brute_force(spark):
+    """A plain statement of the features and of the score, character by character."""
+    docs = registry.table(spark, SF, "documents")
+    model, s = language_id.fit(learnable(docs)), language_id.Settings()
+    for text in ["Stra\u00dfe und Weg", "the \U0001f600 cat", "\u00e9t\u00e9 \u00e0 la mer " * 30, "x"] + [r.text for r in docs.filter("text is not null").limit(5).collect()]:
+        own = {}
+        low = text.lower()
+        for n in range(1, s.longest + 1):
+            for i in range(len(low) - n + 1):
+                key = 0
+                for k, c in enumerate(low[i : i + n], 1):
+                    key = (key * 0x01000193 + ord(c) + k) % 2**32
+                at = key * 0x9E3779B1 % 2**32 >> 32 - 15
+                own[at] = own.get(at, 0) + 1
+        x = {at: (1 + np.log(n)) * model.idf[at] for at, n in own.items()}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        z = [(sum(v / norm * model.weights[at, j] for at, v in x.items()) + model.weights[-1, j]) / model.temperature for j in range(len(model.labels))]
+        e = np.exp(np.array(z) - max(z))
+        label, score = model.predict(text)
+        assert label == model.labels[int(e.argmax())] and abs(score - (e / e.sum()).max()) < 1e-4
+
+
+def test_repeats_and_null_ids_are_drawn_alike(spark):
+    rows = [(None if i % 3 else i, f"word {i % 40} of the text", "en" if i % 40 < 20 else "de") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    s = language_id.Settings(rows=100)
+    a, b = language_id.fit(docs, settings=s), language_id.fit(docs.repartition(5), settings=s)
+    assert (a.weights == b.weights).all() and a.temperature == b.temperature
