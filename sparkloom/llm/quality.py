@@ -1,9 +1,12 @@
 """Quality by co-training: a classifier of the text's content and one of the page's metadata.
 
-Each view has its own logistic regression. In a round, both score a pool of unlabelled rows and each hands its
-most confident pseudo-labels to the other's training set; then both are fitted again. On labelled rows that
-were not fitted each view's score is calibrated, and the calibrated log-odds are averaged. Fitting uses
-bounded samples; scoring is one pass over all documents without a shuffle.
+Each view has its own logistic regression. In a round, both score all unlabelled rows, on the executors, and each
+hands its confident pseudo-labels to the other's training set; then both are fitted again. There may be as many of
+them as documents, so they travel as means: the other view's features of all rows that one view is sure of are
+averaged by label and by a few slots (a hash of the row), and the means, a fixed number of them, are rows of the
+other's training set. On labelled rows that were not fitted each view's score is calibrated, and the calibrated
+log-odds are averaged. Only the labelled sample is bounded. A round is one pass over all documents, scoring is
+another; what is shuffled is the means of each task.
 
 The text view is hashed character n-grams. The metadata view is what is known of a page besides its words:
 source, language, length, and the layout of its lines and symbols.
@@ -19,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.scratch import bound_batches
 from sparkloom.llm import language_id
+from sparkloom.llm import words as W
 from sparkloom.llm.text_features import Sparse, logistic, platt, scores, sigmoid, unit
 
 _GRAMS = language_id.Settings(dims=1 << 14, longest=2)
@@ -28,20 +33,26 @@ _META = 1 << 12
 
 @dataclass(frozen=True)
 class Settings:
-    """rows, pool: bounds on the labelled and the unlabelled sample. rounds: exchanges. give: pseudo-labels of a
-    class that a view hands over in a round. sure: least confidence of one. calibrate: a labelled row in so many
+    """rows: bound on the labelled sample. rounds: exchanges. sure: least confidence of a pseudo-label. slots: means
+    of a view and label. trust: weight of all means beside the labelled rows. calibrate: a labelled row in so many
     is for calibration. keep: least quality of a kept document."""
 
     rows: int = 4000
-    pool: int = 3000
     rounds: int = 3
-    give: int = 150
     sure: float = 0.95
+    slots: int = 4
+    trust: float = 0.25
     calibrate: int = 4
     keep: float = 0.5
     seed: int = 3
 
 
+#: Means are summed in whole numbers of this unit, so that no order of adding changes them.
+_UNIT = 1 << 24
+#: Tasks whose sums are added first, by the number of their partition, before all are.
+_FIRST = 64
+
+
 def text_view(text: str | None) -> Sparse:
     at, x = unit(*language_id.counts(text or "", _GRAMS))
     return np.r_[at, _GRAMS.dims], np.r_[x, 1.0]
@@ -89,28 +100,78 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid((a + b) / 2)
 
 
-def cotrain(text: list[Sparse], meta: list[Sparse], labels: np.ndarray, pool_text: list[Sparse], pool_meta: list[Sparse], s: Settings) -> Model:
+_DIMS = {"text": _GRAMS.dims + 1, "meta": _META}
+
+
+def _sums(w: dict[str, np.ndarray], s: Settings):
+    """Of each task, the sums of one view's features over the rows that the other is sure of: by view, label, slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        many: dict[tuple, int] = {}
+        for batch in batches:
+            slot = batch.column(3).to_pylist()
+            for i, text in enumerate(batch.column(0)):
+                text = text.as_py()
+                views = {"text": text_view(text), "meta": meta_view(text, batch.column(1)[i].as_py(), batch.column(2)[i].as_py())}
+                for v, other in (("text", "meta"), ("meta", "text")):
+                    at, x = views[v]
+                    p = float(sigmoid(x @ w[v][at]))
+                    if max(p, 1 - p) >= s.sure:
+                        key = (other, int(p >= 0.5), slot[i])
+                        at, x = views[other]
+                        if key not in total:
+                            total[key] = np.zeros(_DIMS[other], np.int64)
+                        total[key][at] += np.rint(x * _UNIT).astype(np.int64)
+                        many[key] = many.get(key, 0) + 1
+        keys = list(total)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([many[k] for k in keys], pa.int64()), pa.array([W.pack(total[k]) for k in keys], pa.binary())], ["view", "label", "slot", "n", "sums"])
+
+    return run
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of the rows of a view, label and slot."""
+    key, n, total = None, 0, None
+    for batch in batches:
+        for i in range(batch.num_rows):
+            key = key or [batch.column(c)[i].as_py() for c in ("view", "label", "slot")]
+            n += batch.column("n")[i].as_py()
+            (own,) = W.unpack(batch.column("sums")[i].as_buffer(), np.int64)
+            total = own if total is None else total + own
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.int32()), pa.array([n], pa.int64()), pa.array([W.pack(total)], pa.binary())], ["view", "label", "slot", "n", "sums"])
+
+
+def exchange(pool: DataFrame, w: dict[str, np.ndarray], s: Settings) -> list[tuple[str, int, int, np.ndarray]]:
+    """(view, label, rows, mean features) of all rows of `pool` (text, source, lang, slot) that the other view is
+    sure of; 2 * 2 * s.slots of them at most."""
+    fields = "view string, label int, slot int, n bigint, sums binary"
+    sums = pool.mapInArrow(_sums(w, s), fields).withColumn("part", F.spark_partition_id() % _FIRST)
+    sums = sums.groupBy("part", "view", "label", "slot").applyInArrow(_added, fields).groupBy("view", "label", "slot").applyInArrow(_added, fields)
+    return [(r.view, r.label, r.n, W.unpack(r["sums"], np.int64)[0] / (r.n * _UNIT)) for r in sums.orderBy("view", "label", "slot").collect()]
+
+
+def cotrain(text: list[Sparse], meta: list[Sparse], labels: np.ndarray, pool: DataFrame, s: Settings) -> Model:
     held = np.arange(len(labels)) % s.calibrate == 0
     own = np.flatnonzero(~held).tolist()
     sets = {v: ([rows[i] for i in own], labels[own].tolist()) for v, rows in (("text", text), ("meta", meta))}
-    dims = {"text": _GRAMS.dims + 1, "meta": _META}
-    pools, free = {"text": pool_text, "meta": pool_meta}, np.ones(len(pool_text), bool)
-    w = {v: logistic(x, np.array(y), dims[v]) for v, (x, y) in sets.items()}
+    w = {v: logistic(x, np.array(y), _DIMS[v]) for v, (x, y) in sets.items()}
     for _ in range(s.rounds):
-        given = []
-        for v, other in (("text", "meta"), ("meta", "text")):
-            p = sigmoid(scores(pools[v], w[v]))
-            for label, sure in ((1, p), (0, 1 - p)):
-                at = np.flatnonzero(free & (sure >= s.sure))
-                for i in at[np.argsort(-sure[at], kind="stable")][: s.give].tolist():
-                    given.append((i, other, label))
+        given = exchange(pool, w, s)
         if not given:
             break
-        for i, other, label in given:
-            sets[other][0].append(pools[other][i])
-            sets[other][1].append(label)
-            free[i] = False
-        w = {v: logistic(x, np.array(y), dims[v]) for v, (x, y) in sets.items()}
+        for v, (x, y) in sets.items():
+            x, y = list(x), list(y)
+            for label in (0, 1):
+                means = [(n, mean) for view, k, n, mean in given if view == v and k == label]
+                whole = sum(n for n, _ in means)
+                for n, mean in means:  # as often as its rows weigh
+                    at = np.flatnonzero(mean)
+                    times = max(1, round(s.trust * len(own) / 2 * n / whole))
+                    x += [(at, mean[at])] * times
+                    y += [label] * times
+            w[v] = logistic(x, np.array(y), _DIMS[v])
     model = Model(w["text"], w["meta"], settings=s)
     at = np.flatnonzero(held).tolist()
     if len(set(labels[at].tolist())) == 2:
@@ -119,23 +180,43 @@ def cotrain(text: list[Sparse], meta: list[Sparse], labels: np.ndarray, pool_tex
     return model
 
 
+def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both views of labelled rows, packed: their features alone come to the driver."""
+    for batch in batches:
+        made = []
+        for t, a, b in zip(batch.column("text"), batch.column("source").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            t = t.as_py()
+            at, x = text_view(t)
+            made.append((W.pack(at.astype(np.uint32), x.astype(np.float32)), meta_view(t, a, b)[0].astype(np.int32).tobytes()))
+        yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("y"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())], ["draw", "y", "t", "m"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", settings: Settings = Settings()) -> Model:
-    """A model from the rows of `docs` (text, source, lang) that `labels` (id, 0 or 1) names, and a pool of
-    others. Both samples are bounded and chosen by a seeded hash of the id. Without two classes: quality 0.5."""
+    """A model from the rows of `docs` (text, source, lang) that `labels` (id, 0 or 1) names, and all others with a
+    text. Of the labelled ones about `settings.rows` are used, twice as many at most, by a seeded hash, the same in
+    every run; the others are all used, on the executors. Without two classes: quality 0.5. Null ids are not
+    labelled; of labels that repeat an id the largest counts; other columns, of any name, are not looked at."""
     s = settings
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")).filter("text is not null and id is not null")
-    n, m = rows.count(), known.count()
+    rows = docs.select(F.col(id_col).alias("id"), F.col("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")).filter("text is not null")
     draw = F.pmod(F.xxhash64(F.lit(s.seed), "id"), F.lit(1 << 30)) / float(1 << 30)
-    few = known.filter(draw < F.lit(min(1.0, s.rows / max(1, m))))
-    sample = rows.join(few, "id").limit(2 * s.rows).collect()
-    pool = rows.filter(draw < F.lit(min(1.0, (s.pool + s.rows) / max(1, n)))).join(known.select("id"), "id", "left_anti").limit(2 * s.pool).collect()
-    sample, pool = (sorted(x, key=lambda r: (str(r.id), r.text)) for x in (sample, pool))
+    few = known.withColumn("draw", draw).filter(F.col("draw") < F.lit(min(1.0, s.rows / max(1, known.count())))).orderBy("draw", "id").limit(2 * s.rows)
+    # Where many rows share a labelled id, a hash of their texts keeps the sample within its bound.
+    drawn = rows.join(F.broadcast(few), "id").withColumn("draw", F.xxhash64(F.lit(s.seed), "id", "text", "source", "lang").cast("double")).select("draw", "y", "text", "source", "lang")
+    sample = drawn.mapInArrow(_views, "draw double, y int, t binary, m binary").orderBy("draw", "y", "t", "m").limit(2 * s.rows).collect()
     y = np.array([r.y for r in sample], float)
     if len(set(y.tolist())) < 2:
-        return Model(np.zeros(_GRAMS.dims + 1), np.zeros(_META), settings=s)
-    views = [([text_view(r.text) for r in x], [meta_view(r.text, r.source, r.lang) for r in x]) for x in (sample, pool)]
-    return cotrain(*views[0], y, *views[1], s)
+        return Model(np.zeros(_DIMS["text"]), np.zeros(_META), settings=s)
+    text, meta = [], []
+    for r in sample:
+        at, x = W.unpack(r.t, np.uint32, np.float32)
+        text.append((at.astype(np.int64), x.astype(np.float64)))
+        at = np.frombuffer(r.m, np.int32).astype(np.int64)
+        meta.append((at, np.ones(len(at)) / np.sqrt(len(at))))
+    slot = F.pmod(F.xxhash64(F.lit(s.seed + 1), "id", "text"), F.lit(s.slots)).cast("int")
+    pool = rows.join(known.select("id"), "id", "left_anti").select("text", "source", "lang", slot.alias("slot"))
+    return cotrain(text, meta, y, pool, s)
 
 
 def _score(model: Model):
@@ -155,6 +236,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     Whole texts are scored; null texts, sources and languages are values of their own, an empty text is its
     lack of n-grams. Rows that repeat are scored alike; null ids are kept; other columns, of any name, are not
     looked at. Empty table: empty result."""
-    inner = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col("text").alias("t"), F.col("source").cast("string").alias("s"), F.col("lang").cast("string").alias("l"))
-    out = inner.mapInArrow(_score(model), "id bigint, a double, b double, q double")
+    bound_batches(docs.sparkSession)
+    inner = docs.select(F.col(id_col).alias("id"), F.col("text").alias("t"), F.col("source").cast("string").alias("s"), F.col("lang").cast("string").alias("l"))
+    kind = inner.schema["id"].dataType.simpleString()
+    out = inner.mapInArrow(_score(model), f"id {kind}, a double, b double, q double")
     return out.select(F.col("id").alias(id_col), F.col("a").alias("p_text"), F.col("b").alias("p_meta"), F.col("q").alias("quality"), (F.col("q") >= model.settings.keep).alias("keep"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.scratch import bound_batches
 from sparkloom.llm.text_features import Sparse, scores, sigmoid, words
 
 
@@ -28,6 +29,7 @@ class Settings:
     rows: int = 8000
     seen: int = 3
     steps: int = 300
+    still: float = 1e-6
     l1: float = 5e-4
     weight: float = 3.0
     toxic: float = 0.5
@@ -49,11 +51,15 @@ class Model:
 
 def ordinal(rows: list[Sparse], grades: np.ndarray, n_grades: int, s: Settings) -> Model:
     """Shared weights and ordered thresholds of least penalised log loss, which is convex: accelerated proximal
-    gradient steps; the L1 penalty shrinks weights, thresholds are kept in order."""
+    gradient steps; the L1 penalty shrinks weights, thresholds are kept in order. Only features that `seen` rows
+    have are worked on. Steps end early where no weight moves by `still`."""
     row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(a) for a, _ in rows])
     col, val = np.concatenate([a for a, _ in rows]), np.concatenate([x for _, x in rows])
-    ok = np.bincount(col, minlength=s.dims)[col] >= s.seen
-    row, col, val = row[ok], col[ok], val[ok]
+    often = np.bincount(col, minlength=s.dims) >= s.seen
+    ok, used = often[col], np.flatnonzero(often)
+    row, col, val = row[ok], (np.cumsum(often) - 1)[col[ok]], val[ok]
+    if not len(used):
+        used, row, col, val = np.zeros(1, np.int64), row[:0], col[:0].astype(np.int64), val[:0]
     weight = np.where(grades > 0, s.weight, 1.0)
     weight = weight / weight.sum()
 
@@ -61,16 +67,16 @@ def ordinal(rows: list[Sparse], grades: np.ndarray, n_grades: int, s: Settings)
         return np.bincount(row, val * w[col], minlength=len(rows))
 
     def back(g: np.ndarray) -> np.ndarray:
-        return np.bincount(col, val * g[row], minlength=s.dims)
+        return np.bincount(col, val * g[row], minlength=len(used))
 
-    u, bound = np.random.default_rng(s.seed).normal(size=s.dims), 1.0
+    u, bound = np.random.default_rng(s.seed).normal(size=len(used)), 1.0
     for _ in range(20):  # the largest curvature, by power iteration
         u = back(into(u) * weight)
         bound = max(1e-9, float(np.linalg.norm(u)))
         u /= bound
     step = 1 / (0.5 * 1.1 * bound + 0.5)
     share = np.clip([weight[grades <= k].sum() for k in range(n_grades - 1)], 1e-3, 1 - 1e-3)
-    w, cut = np.zeros(s.dims), np.log(share / (1 - share))
+    w, cut = np.zeros(len(used)), np.log(share / (1 - share))
     ahead_w, ahead_cut, t = w, cut, 1.0
     high, low = grades < n_grades - 1, grades > 0
     for _ in range(s.steps):
@@ -86,8 +92,13 @@ def ordinal(rows: list[Sparse], grades: np.ndarray, n_grades: int, s: Settings)
         more = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead_w, ahead_cut = new_w + (t - 1) / more * (new_w - w), new_cut + (t - 1) / more * (new_cut - cut)
         ahead_cut = np.maximum.accumulate(ahead_cut)
+        moved = max(np.abs(new_w - w).max(), np.abs(new_cut - cut).max())
         w, cut, t = new_w, new_cut, more
-    return Model(w, cut, s)
+        if moved < s.still:
+            break
+    whole = np.zeros(s.dims)
+    whole[used] = w
+    return Model(whole, cut, s)
 
 
 def graded(rows: list[Sparse], toxic: np.ndarray, s: Settings) -> Model:
@@ -98,21 +109,35 @@ def graded(rows: list[Sparse], toxic: np.ndarray, s: Settings) -> Model:
     return ordinal(rows, np.where(toxic > 0, 1 + (z > np.median(z[toxic > 0])), 0), 3, s)
 
 
+def _places(dims: int):
+    """The features of each text, 4 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [at.astype(np.int32).tobytes() for at, _ in words(batch.column(2), dims)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["draw", "grade", "features"])
+
+    return run
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", settings: Settings = Settings()) -> Model:
-    """A model from rows with a text and a grade (0, 1, ...). At most about `settings.rows` of them are used,
-    by a seeded hash of the id. Where only grades 0 and 1 occur, the toxic rows are graded as `graded` says.
-    Without any rows, or with one grade only, every text has grade 0."""
+    """A model from rows with a text and a grade (0, 1, ...). About `settings.rows` of them are used, twice as many
+    at most, by a seeded hash of id, text and grade, the same in every run; only their features come to the driver.
+    Where only grades 0 and 1 occur, the toxic rows are graded as `graded` says. Without any rows, or with one grade
+    only, every text has grade 0. Null ids take part; a null grade or text is left out; rows that repeat are in or
+    out together; other columns, of any name, are not looked at."""
     s = settings
+    bound_batches(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(grade_col).cast("int").alias("grade")).filter("text is not null and grade >= 0")
     n = rows.count()
-    draw = F.pmod(F.xxhash64(F.lit(s.seed), "id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(draw < F.lit(min(1.0, s.rows / max(1, n)))).limit(2 * s.rows).collect()
-    sample = sorted(sample, key=lambda r: (str(r.id), r.text, r.grade))
+    draw = F.pmod(F.xxhash64(F.lit(s.seed), "id", "text", "grade"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.withColumn("draw", draw).filter(F.col("draw") < F.lit(min(1.0, s.rows / max(1, n)))).select("draw", "grade", "text")
+    sample = drawn.mapInArrow(_places(s.dims), "draw double, grade int, features binary").orderBy("draw", "grade", "features").limit(2 * s.rows).collect()
     grades = np.array([r.grade for r in sample], np.int64)
     top = int(grades.max(initial=0)) + 1
     if top < 2 or not (grades == 0).any():
         return Model(np.zeros(s.dims), np.array([35.0]), s)
-    made = words(pa.array([r.text for r in sample], pa.string()), s.dims)
+    made = [(at := np.frombuffer(r.features, np.int32), np.ones(len(at), np.float32)) for r in sample]
     return graded(made, grades, s) if top == 2 else ordinal(made, grades, top, s)
 
 
@@ -131,9 +156,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Whole texts are scored. A null or wordless text has severity 0. Rows that repeat are scored alike; null ids
     are kept; other columns, of any name, are not looked at. Empty table: empty result."""
-    inner = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("t"))
+    bound_batches(docs.sparkSession)
+    inner = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    kind = inner.schema["id"].dataType.simpleString()
     blank = inner.select("id", F.coalesce(F.col("t"), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("some"), "t")
-    out = blank.filter("some").select("id", "t").mapInArrow(_score(model), "id bigint, severity double, p double")
+    out = blank.filter("some").select("id", "t").mapInArrow(_score(model), f"id {kind}, severity double, p double")
     rest = blank.filter("not some").select("id", F.lit(0.0).alias("severity"), F.lit(0.0).alias("p"))
     out = out.unionByName(rest)
     return out.select(F.col("id").alias(id_col), "severity", F.col("p").alias("p_toxic"), (F.col("severity") >= model.settings.toxic).alias("toxic"))

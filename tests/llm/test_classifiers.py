@@ -1,5 +1,7 @@
 """Language ID, toxicity and quality: accuracy on rows that were not learned from, and odd rows."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -141,3 +143,115 @@ def test_repeats_and_null_ids_are_drawn_alike(spark):
     s = language_id.Settings(rows=100)
     a, b = language_id.fit(docs, settings=s), language_id.fit(docs.repartition(5), settings=s)
     assert (a.weights == b.weights).all() and a.temperature == b.temperature
+
+
+def plain_hash(data):
+    """The hash of a word's bytes, in whole numbers."""
+    mask = 2**64 - 1
+    x = sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 2**64) for i, b in enumerate(data)) + len(data) * 0xFF51AFD7ED558CCD & mask
+    return plain_mix(x)
+
+
+def plain_mix(x):
+    mask = 2**64 - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+    return x ^ x >> 31
+
+
+def plain_places(text, dims):
+    out = set()
+    for word in re.split(r"[\s!-&(-,./:-@\[-`{-~]+", text, flags=re.A):
+        word = "".join(c.lower() if "A" <= c <= "Z" else c for c in word).encode()
+        if word:
+            out.add((plain_hash(word) >> 32) % dims)
+        for k in (5, 7):
+            if len(word) > k:
+                out.add((plain_mix(plain_hash(word[:k]) + k & 2**64 - 1) >> 32) % dims)
+    return out
+
+
+def test_toxicity_by_brute_force(spark):
+    docs, labels = registry.table(spark, SF, "documents"), registry.table(spark, SF, "labels")
+    model = toxicity.fit(docs.join(labels.select("doc_id", F.col("toxic").alias("grade")), "doc_id"))
+    docs = docs.filter("doc_id % 9 = 0")
+    got = {r.doc_id: (r.severity, r.p_toxic) for r in toxicity.score(docs, model).collect()}
+    assert len(got) > 50
+    for r in docs.collect():
+        z = sum(model.weights[i] for i in plain_places(r.text or "", model.settings.dims))
+        below = [1 / (1 + np.exp(z - c)) for c in model.thresholds]
+        p = np.diff([0, *below, 1])
+        want = (sum(k * q for k, q in enumerate(p)), 1 - p[0]) if (r.text or "").strip() else (0, 0)
+        assert np.allclose(got[r.doc_id], want, atol=1e-6)
+
+
+def test_ordinal_is_the_least_of_its_loss():
+    rng = np.random.default_rng(3)
+    s = toxicity.Settings(dims=64, l1=1e-3, steps=4000, still=1e-9, seen=1)
+    rows, grades = [], []
+    for _ in range(300):
+        g = int(rng.integers(3))
+        at = np.unique(np.r_[rng.integers(0, 40, 4), rng.integers(40, 44 + 4 * g, 2)]).astype(np.int64)
+        rows.append((at, np.ones(len(at))))
+        grades.append(g)
+    grades = np.array(grades)
+    model = toxicity.ordinal(rows, grades, 3, s)
+    weight = np.where(grades > 0, s.weight, 1.0)
+
+    def loss(w, cut):
+        z = np.array([w[at].sum() for at, _ in rows])
+        edge = np.concatenate([np.zeros((300, 1)), sigmoid(cut[None] - z[:, None]), np.ones((300, 1))], 1)
+        p = np.diff(edge, axis=1)[np.arange(300), grades]
+        return -(weight * np.log(np.maximum(p, 1e-12))).sum() / weight.sum() + s.l1 * np.abs(w).sum()
+
+    least = loss(model.weights, model.thresholds)
+    for _ in range(300):
+        size = 10 ** rng.uniform(-3, 0)
+        assert least <= loss(model.weights + size * rng.normal(size=64) * (rng.random(64) < 0.2), model.thresholds + size * rng.normal(size=2) * 0.5) + 1e-5
+
+
+def test_exchange_by_brute_force(spark):
+    """All confident rows of the pool are in the means, copies and long texts too."""
+    docs = registry.table(spark, SF, "documents").filter("text is not null")
+    s = quality.Settings(sure=0.8)
+    rng = np.random.default_rng(5)
+    w = {"text": rng.normal(size=quality._DIMS["text"]) * 2, "meta": rng.normal(size=quality._META) * 2}
+    pool = docs.unionByName(docs.filter("doc_id % 3 = 0")).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int")).select("text", "source", "lang", "slot")
+    want = {}
+    for r in pool.collect():
+        views = {"text": quality.text_view(r.text), "meta": quality.meta_view(r.text, r.source, r.lang)}
+        for v, other in (("text", "meta"), ("meta", "text")):
+            p = sigmoid(views[v][1] @ w[v][views[v][0]])
+            if max(p, 1 - p) >= s.sure:
+                mean = want.setdefault((other, int(p >= 0.5), r.slot), [0, np.zeros(quality._DIMS[other])])
+                mean[0] += 1
+                mean[1][views[other][0]] += views[other][1]
+    got = quality.exchange(pool.repartition(7), w, s)
+    assert [g[:3] for g in got] == [(*k[:2], n) for k, (n, _) in sorted(want.items())] and sum(g[2] for g in got) > 500
+    for g, (_, (n, total)) in zip(got, sorted(want.items()), strict=True):
+        assert np.allclose(g[3], total / n, atol=1e-6)
+
+
+def test_quality_scores_by_brute_force(spark):
+    docs, labels = registry.table(spark, SF, "documents"), registry.table(spark, SF, "labels")
+    model = quality.fit(docs, labels)
+    again = quality.fit(docs.repartition(3), labels.repartition(2))
+    assert (model.text == again.text).all() and (model.meta == again.meta).all()
+    docs = docs.filter("doc_id % 9 = 0")
+    got = {r.doc_id: (r.p_text, r.p_meta, r.quality) for r in quality.score(docs, model).collect()}
+    for r in docs.collect():
+        a = sum(model.text[i] * x for i, x in zip(*quality.text_view(r.text), strict=True)) * model.text_scale[0] + model.text_scale[1]
+        b = sum(model.meta[i] * x for i, x in zip(*quality.meta_view(r.text, r.source, r.lang), strict=True)) * model.meta_scale[0] + model.meta_scale[1]
+        assert np.allclose(got[r.doc_id], [1 / (1 + np.exp(-z)) for z in (a, b, (a + b) / 2)], atol=1e-9)
+
+
+def test_samples_of_odd_rows(spark):
+    """Clashing names, null and shared ids, ties, repeated rows and a very long text in what models learn from."""
+    docs = [(i if i % 4 else 4, f"word{i % 7} in a text", "en", "s", 1, i % 2, "x") for i in range(60)] + [(None, "n", None, None, None, None, None), (70, "long " * 300_000, "en", "s", 1, 1, None), (71, None, None, None, None, 1, None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, draw int, grade int, y string")
+    model = toxicity.fit(df, settings=toxicity.Settings(rows=20))
+    assert toxicity.score(df, model).count() == len(docs)
+    labels = spark.createDataFrame([(i, i % 2, "a") for i in range(1, 30)] + [(4, 1, "b"), (None, 1, "c"), (70, 0, "d"), (71, 0, "e")], "doc_id bigint, quality int, text string")
+    few = quality.Settings(rows=10)
+    one, two = quality.fit(df, labels, settings=few), quality.fit(df.repartition(3), labels, settings=few)
+    assert (one.text == two.text).all() and quality.score(df, one).count() == len(docs)
