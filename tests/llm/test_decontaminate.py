@@ -2,7 +2,11 @@
 
 import random
 
-from sparkloom.llm.decontaminate import contaminated, decontaminate
+from fractions import Fraction
+
+import numpy as np
+
+from sparkloom.llm.decontaminate import SPARE, Index, contaminated, decontaminate
 
 DOCS = "doc_id bigint, text string, id string, item bigint"
 ITEMS = "item_id bigint, text string, id string"
@@ -64,3 +68,41 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "a b c d e f", "", 1)], DOCS)
     assert contaminated(d, b).count() == 0 and contaminated(some, b).count() == 0
     assert decontaminate(some, b).count() == 1
+
+
+def test_a_band_fixes_sketch_and_cut():
+    """Sketch length and cut follow from the largest item of the band; what reaches the cut holds all that is
+    contained, and little else."""
+    rng = np.random.default_rng(2)
+    sizes = [1, 2, 3, 5, 7, 20, 31, 40, 63, 300, 511]
+    items = [(i, np.unique(rng.integers(0, 2**63, n).astype(np.uint64))) for i, n in enumerate(sizes)]
+    index = Index(items, Fraction("0.8"))
+    band = {n: 2 ** (n.bit_length() - 1) for n in sizes}
+    for n, sketch, cut in zip(sizes, index.sketch.tolist(), index.cut.tolist(), strict=True):
+        most = max(x for x in sizes if band[x] == band[n])
+        missing = most - -(-4 * most // 5)
+        assert sketch == min(n, missing + SPARE) and cut == max(1, sketch - missing)
+    assert index.cut[-1] == SPARE and len(set(index.sketch.tolist())) > 5
+    alone = [Index([x], Fraction("0.8")) for x in items]
+    assert index.sketch[9] > alone[9].sketch[0]  # without the band's other item the sketch is another
+    for share in (0.5, 0.8, 0.9):
+        passed = reached = 0
+        for i, (_, s) in enumerate(items):
+            for _ in range(50):
+                n = -(-int(share * 100) * len(s) // 100)
+                held = np.sort(rng.choice(s, n, replace=False))
+                found = np.flatnonzero(np.isin(index.keys, held))
+                ok = len(found) > 0 and i in index.candidates(found).tolist()
+                assert ok or 5 * n < 4 * len(s)
+                passed += ok
+                reached += len(found) > 0
+        assert share > 0.6 or passed < reached  # the cut drops what one common hash would let pass
+
+
+def test_ids_of_any_type_and_clashing_names(spark):
+    text = "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([("x", text, 1, 1), (None, text + " ten", 2, 2), ("y", "w " * 400_000, 3, 3)], "doc_id string, text string, n_shared int, c0 int")
+    items = spark.createDataFrame([(1, text), (1, text), (2, "a b")], "item_id bigint, text string")
+    for part in (2_000_000, 3):
+        assert sorted(str(r.doc_id) for r in contaminated(docs, items, part=part).collect()) == ["None", "x"]
+        assert [tuple(r)[0] for r in decontaminate(docs, items, part=part).collect()] == ["y"]
