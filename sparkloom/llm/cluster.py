@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.scratch import Scratch
 
-__all__ = ["Scratch", "bucket_count", "components", "give_back", "numbered"]
+__all__ = ["Scratch", "bucket_count", "components", "give_back", "join_hubs", "numbered"]
 
 
 @cache
@@ -52,12 +52,24 @@ HUBS = 10_000
 LEAST_HUB = 64
 
 
+def hub_limit(n: int) -> int:
+    """Rows of a key from which it is a hub, of n rows in all: there are fewer than HUBS of them."""
+    return max(LEAST_HUB, -(-n // HUBS))
+
+
+def join_hubs(many: DataFrame, one: DataFrame, key: str, n: int) -> DataFrame:
+    """The inner join of `many` (n rows, any number of a key) and `one` (few rows of a key). Hubs, of which there
+    are HUBS at most, are joined by broadcast, so that no task gets all rows of a hub; other keys by shuffle."""
+    hubs = F.broadcast(many.groupBy(key).agg(F.count("*").alias("_c")).filter(F.col("_c") > hub_limit(n)).select(key))
+    out = many.join(F.broadcast(one.join(hubs, key, "left_semi")), key)
+    return out.unionByName(many.join(hubs, key, "left_anti").join(one, key))
+
+
 def _least(edges: DataFrame, n: int) -> DataFrame:
-    """edges (u, v) with m: the least v of each u. Of n edges, a vertex with more than n / HUBS is a hub: there are
-    fewer than HUBS of them, so they are broadcast, and the edges of a hub stay where they are. The minima are
-    aggregated before their shuffle."""
+    """n edges (u, v) with m: the least v of each u. The minima are aggregated before their shuffle; edges of hubs
+    stay where they are."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-    limit = max(LEAST_HUB, -(-n // HUBS))
+    limit = hub_limit(n)
     hubs = F.broadcast(low.filter(F.col("c") > limit).select("u", F.col("m").alias("h")))
     marked = edges.join(hubs, "u", "left")
     rest = marked.filter("h is null").select("u", "v").join(low.filter(F.col("c") <= limit).select("u", "m"), "u")

@@ -5,11 +5,15 @@ band ends at lo / t, so partners lie in one band or in neighbouring ones; each s
 parameters of its own band and of the next. A band's hash universe is cut into ``m = H + 1`` segments: two
 sets within H differences agree in some segment whole (pigeonhole). A segment's subset is one signature.
 
-Cost-based allocation: a subset of few elements costs one signature but matches many sets, so its budget goes
-to the one-deletion neighbourhood of the next segment: its key is joined with that segment's subset and with
-each subset that lacks one element. It stays exact. Let Z be the segments in which a pair agrees and whose
-subset is small. If no other segment agrees, the others differ in one element each at least, so within H
-differences some successor of a segment of Z differs in at most one, and the joined keys meet.
+Cost-based allocation: a first pass counts how many sets have each small subset of a segment, in a table of
+counters of fixed size. A subset's signature costs one entry, and comparisons with all sets of its posting list,
+fewer the more elements they share; the alternative costs an entry for each element of the next segment. Where
+the list costs more, the subset's budget goes to the one-deletion neighbourhood of the next segment: its key is
+joined with that segment's subset and with each subset that lacks one element. It stays exact. The decision
+depends on the key alone, so both sets of a pair treat an equal subset alike, however rough the counters are. Let Z
+be the segments in which a pair agrees and whose subset is so treated. If no other segment agrees, the others differ
+in one element each at least, so within H differences some successor of a segment of Z differs in at most one, and
+the joined keys meet.
 
 Within a key, each set is compared with the set of smallest id by parity sketches: an element flips one bit, so
 sketches differ in no more bits than sets in elements, and what fails is no link. Where some fail, all sets of
@@ -32,11 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import words as W
-from sparkloom.llm.cluster import Scratch, bucket_count, components
+from sparkloom.llm.cluster import Scratch, bucket_count, components, give_back, join_hubs
 
 U64 = np.uint64
 BLOB = "bucket int, kind int, payload binary"
 LINK = "kind int, a bigint, b bigint, k bigint, s binary"
+#: Counters of the first pass, 4 bytes each, and subsets of how many elements it counts.
+COUNTERS, COUNTED = 1 << 20, 4
+#: Of a posting list of subsets with one element more, a set is compared with so many times fewer in vain.
+PER_ELEMENT = 4.0
 #: Sets in a block of a large family.
 BLOCK = 128
 
@@ -62,32 +70,100 @@ class Bands:
 
 
 def _light(threshold: Fraction) -> int:
-    """Largest subset that counts as small: two elements, or one where segments hold few on average. It
-    is one number for all sets, so that both sets of a pair treat an equal subset alike."""
+    """Largest subset that counts as small where no frequencies are known: two elements, or one where segments hold
+    few on average."""
     return 2 if (1 + threshold) / (2 * (1 - threshold)) >= 6 else 1
 
 
-def _signatures(s: np.ndarray, band: int, m: int, light: int) -> np.ndarray:
-    """Keys of one set under one band's m segments."""
+class Posts:
+    """How many sets have a subset, by its key: counters that several keys share, less what they share on average."""
+
+    def __init__(self, counters: np.ndarray):
+        self.counters, self.noise = counters, int(counters.mean())
+
+    def dear(self, keys: np.ndarray, size: np.ndarray, load: float) -> np.ndarray:
+        """Whether the posting list costs more than `load` + 2 entries, the one-deletion neighbourhood of a segment
+        of `load` elements. `size` is the subset's own."""
+        n = np.maximum(0, self.counters[(keys >> U64(44)).astype(np.int64)].astype(np.int64) - self.noise)
+        return (size <= COUNTED) & (n > PER_ELEMENT ** np.minimum(size, COUNTED) * (load + 2))
+
+
+def _segments(s: np.ndarray, band: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one set under one band's m segments: where each begins, its elements mixed, their sum, and its key."""
     salt = U64((band + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     seg = (((s >> U64(32)) * U64(m)) >> U64(32)).astype(np.int64)  # s is sorted, so seg is
     mixed = W.mix(s ^ salt)
     total = np.zeros(len(s) + 1, U64)
     np.cumsum(mixed, out=total[1:])
     edge = np.searchsorted(seg, np.arange(m + 1))
-    size, raw = np.diff(edge), total[edge[1:]] - total[edge[:-1]]
-    sums = W.mix(raw + np.arange(1, m + 1).astype(U64) * U64(0xD1B54A32D192ED03) + salt)
-    i = np.flatnonzero(size <= light)
+    raw = total[edge[1:]] - total[edge[:-1]]
+    return edge, mixed, raw, W.mix(raw + np.arange(1, m + 1).astype(U64) * U64(0xD1B54A32D192ED03) + salt)
+
+
+def _signatures(s: np.ndarray, band: int, m: int, light: int, posts: Posts | None = None, load: float = 0.0) -> np.ndarray:
+    """Keys of one set under one band's m segments. `posts` decides which subsets go with the neighbourhood of the
+    next segment, given the `load` of the band's segments; without it, those of `light` elements at most."""
+    edge, mixed, raw, sums = _segments(s, band, m)
+    size = np.diff(edge)
+    dear = size <= light if posts is None else posts.dear(sums, size, load)
+    i = np.flatnonzero(dear)
     if not len(i):
         return sums
     j = (i + 1) % m
     whose = np.repeat(np.arange(len(i)), size[j])  # a key for each element of the next segment, left out
     place = np.arange(len(whose)) - np.repeat(np.cumsum(size[j]) - size[j], size[j]) + edge[j][whose]
     near = np.concatenate([raw[j] + sums[i], raw[j][whose] - mixed[place] + sums[i][whose]])
-    return np.concatenate([sums[size > light], W.mix(W.mix(near) + U64(0xA24BAED4963EE407))])
+    return np.concatenate([sums[~dear], W.mix(W.mix(near) + U64(0xA24BAED4963EE407))])
+
 
+def _digest(s: np.ndarray, salt: int = 0) -> int:
+    """The sum of a set's mixed elements."""
+    return int(W.mix(s ^ U64(salt)).sum(dtype=U64)) if len(s) else 0
+
+
+def _count(k: int, threshold: Fraction, ranges: int):
+    """Of each task, how many of its sets have each small subset: counters by range, those that are not 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, total = Bands(threshold), np.zeros(COUNTERS, np.uint32)
+        for batch in batches:
+            for c in W.chunks(batch.column(0), True):
+                sets = {_digest(s): s for s in W.shingle_sets(c, k) if len(s)}
+                sets = list(sets.values())
+                for s, b in zip(sets, bands.of(np.array([len(s) for s in sets], np.int64)).tolist() if sets else [], strict=True):
+                    for band in (b, b + 1):
+                        if bands.segments[band] > 1:
+                            edge, _, _, keys = _segments(s, band, bands.segments[band])
+                            np.add.at(total, (keys[np.diff(edge) <= COUNTED] >> U64(44)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield _batch(_pieces(at * ranges // COUNTERS, 0, at.astype(np.uint32), total[at]))
+        give_back()
 
-def _sign(k: int, threshold: Fraction, n: int):
+    return run
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counters of a range, summed."""
+    at, n = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+    for batch in batches:
+        for blob in batch.column("payload"):
+            more_at, more_n = W.unpack(blob.as_buffer(), np.uint32, np.uint32)
+            at, where = np.unique(np.r_[at, more_at], return_inverse=True)
+            n = np.minimum(np.bincount(where, np.r_[n, more_n], len(at)), 2**32 - 1).astype(np.uint32)
+    if len(at):
+        yield _batch([(0, 0, W.pack(at, n))])
+
+
+def posting_counts(texts: DataFrame, k: int, threshold: Fraction, ranges: int = 64) -> Posts:
+    """The first pass over `texts` (_text). The counters come to the driver: COUNTERS of 4 bytes, whatever the input."""
+    counters = np.zeros(COUNTERS, np.uint32)
+    for r in texts.select("_text").mapInArrow(_count(k, threshold, ranges), BLOB).groupBy("bucket").applyInArrow(_total, BLOB).collect():
+        at, n = W.unpack(r.payload, np.uint32, np.uint32)
+        counters[at] = n
+    return Posts(counters)
+
+
+def _sign(k: int, threshold: Fraction, n: int, posts: Posts):
     """Of each task: sizes of its sets, links of equal sets, links by keys to the smallest id, and one
     entry of each key and each set's digest for the exchange."""
 
@@ -99,11 +175,11 @@ def _sign(k: int, threshold: Fraction, n: int):
                 ids = all_ids[c.lo : c.hi]
                 sets = list(W.shingle_sets(c, k))
                 size = np.array([len(s) for s in sets], np.int64)
-                digest = np.array([int(W.mix(s).sum(dtype=U64)) if len(s) else 0 for s in sets], U64)
+                digest, check = (np.array([_digest(s, salt) for s in sets], U64) for salt in (0, 0x94D049BB133111EB))
                 full = np.flatnonzero(size)
-                order = full[np.lexsort((ids[full], size[full], digest[full]))]
+                order = full[np.lexsort((ids[full], size[full], check[full], digest[full]))]
                 new = np.ones(len(order), bool)
-                new[1:] = (digest[order][1:] != digest[order][:-1]) | (size[order][1:] != size[order][:-1])
+                new[1:] = np.logical_or.reduce([x[order][1:] != x[order][:-1] for x in (digest, check, size)])
                 head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
                 out = _pack_rows(1, ids[order[~new]], ids[head[~new]], n) + _pack_rows(2, ids, size, n) + _pack_rows(5, ids, digest.view(np.int64), n)
                 out += [(int(b), 6, W.pack(ids[i : i + 1], size[i : i + 1]) + _sketch(sets[i]).tobytes()) for i, b in zip(order[new].tolist(), W.spark_bucket(ids[order[new]], n).tolist(), strict=True)]
@@ -113,7 +189,8 @@ def _sign(k: int, threshold: Fraction, n: int):
                     for i, b in zip(own.tolist(), bands.of(size[own]).tolist(), strict=True):
                         for band in (b, b + 1):
                             if bands.segments[band] > 1:  # else only equal sets link
-                                keys.append(_signatures(sets[i], band, bands.segments[band], light))
+                                m = bands.segments[band]
+                                keys.append(_signatures(sets[i], band, m, light, posts, bands.starts[band] / m))
                                 whose.append(np.full(len(keys[-1]), ids[i]))
                     if keys:
                         key, doc = np.concatenate(keys), np.concatenate(whose)
@@ -125,8 +202,9 @@ def _sign(k: int, threshold: Fraction, n: int):
                         out += _pack_links(key[more], doc[more], first[more], n) + _pack_keys(3, key[new], doc[new], n)
                     key = W.mix(digest[own] + size[own].astype(U64))
                     order = np.argsort(key, kind="stable")
-                    out += _pack_keys(4, key[order], ids[own[order]], n)
+                    out += _pack_keys(4, key[order], ids[own[order]], n, check[own[order]])
                 yield _batch(out)
+        give_back()
 
     return run
 
@@ -136,11 +214,11 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(p, pa.binary())], ["bucket", "kind", "payload"])
 
 
-def _pieces(to: np.ndarray, kind: int, a: np.ndarray, b: np.ndarray) -> list:
+def _pieces(to: np.ndarray, kind: int, *arrays: np.ndarray) -> list:
     if not len(to):
         return []
     cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-    return [(int(to[x]), kind, W.pack(a[x:y], b[x:y])) for x, y in zip(cut, np.r_[cut[1:], len(to)], strict=True)]
+    return [(int(to[x]), kind, W.pack(*(a[x:y] for a in arrays))) for x, y in zip(cut, np.r_[cut[1:], len(to)], strict=True)]
 
 
 def _pack_rows(kind: int, a: np.ndarray, b: np.ndarray, n: int) -> list:
@@ -149,49 +227,59 @@ def _pack_rows(kind: int, a: np.ndarray, b: np.ndarray, n: int) -> list:
     return _pieces(to[order], kind, a[order], b[order])
 
 
-def _pack_keys(kind: int, key: np.ndarray, doc: np.ndarray, n: int) -> list:
-    return _pieces(W.key_bucket(key, n), kind, key, doc)
+def _pack_keys(kind: int, key: np.ndarray, doc: np.ndarray, n: int, *more: np.ndarray) -> list:
+    return _pieces(W.key_bucket(key, n), kind, key, doc, *more)
 
 
 def _pack_links(key: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> list:
-    to = W.key_bucket(key, n)
-    if not len(to):
-        return []
-    cut = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-    return [(int(to[x]), 0, W.pack(key[x:y], a[x:y], b[x:y])) for x, y in zip(cut, [*cut[1:], len(to)], strict=True)]
-
-
-def _meet(table: pa.Table) -> pa.Table:
-    """Links between the entries of a key (kind 0, with the key) and of a digest (1); sizes (2) and digests (5)
-    of ids; sketches (6), with sizes."""
-    kind, blobs = table.column("kind").to_numpy(), table.column("payload").to_pylist()
-    out, sketches = [], []
+    return _pieces(W.key_bucket(key, n), 0, key, a, b)
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between the entries of a key (kind 0, with the key) and of a digest (1, equal sets: equal in 128 bits and
+    in size); sizes (2) and digests (5) of ids; sketches (6), with sizes, which pass on as they come."""
+    parts: dict[int, list] = {3: [], 4: []}
+    out = []
+    for batch in batches:
+        payload, sketches = batch.column("payload"), []
+        for i, k in enumerate(batch.column("kind").to_pylist()):
+            blob = payload[i].as_buffer()
+            if k in (0, 4):
+                x = W.unpack(blob, np.uint64, np.int64, np.int64 if k == 0 else np.uint64)
+                parts[4].append(x) if k else out.append((0, x[1], x[2], x[0].view(np.int64)))
+            elif k == 3:
+                parts[3].append(W.unpack(blob, np.uint64, np.int64))
+            elif k in (1, 2, 5):
+                doc, other = W.unpack(blob, np.int64, np.int64)
+                out.append((k, doc, other, np.zeros(len(doc), np.int64)))
+            else:
+                doc, size = W.unpack(blob, np.int64, np.int64)
+                sketches.append((int(doc[0]), int(size[0]), blob[_PACKED_PAIR:].to_pybytes()))
+        if sketches:
+            a, b, c = zip(*sketches, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([6] * len(a), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([0] * len(a), pa.int64()), pa.array(c, pa.binary())], ["kind", "a", "b", "k", "s"])
     for want, becomes in ((3, 0), (4, 1)):
-        parts = [W.unpack(b, np.uint64, np.int64) for k, b in zip(kind, blobs, strict=True) if k == want]
-        if parts:
-            key, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            new = np.r_[True, key[1:] != key[:-1]]
-            first = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-            out.append((becomes, doc[~new], first[~new], key[~new].view(np.int64)))
-    for k, b in zip(kind, blobs, strict=True):
-        if k == 0:
-            key, doc, first = W.unpack(b, np.uint64, np.int64, np.int64)
-            out.append((0, doc, first, key.view(np.int64)))
-        elif k in (1, 2, 5):
-            doc, other = W.unpack(b, np.int64, np.int64)
-            out.append((k, doc, other, np.zeros(len(doc), np.int64)))
-        elif k == 6:
-            doc, size = W.unpack(b, np.int64, np.int64)
-            sketches.append((int(doc[0]), int(size[0]), b[_PACKED_PAIR:]))
+        if parts[want]:
+            key, doc, *check = (np.concatenate(x) for x in zip(*parts[want], strict=True))
+            parts[want].clear()
+            order = np.lexsort((doc, *check, key))
+            doc, keys = doc[order], [x[order] for x in (key, *check)]
+            new = np.ones(len(doc), bool)
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in keys])
+            first = doc[np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))]
+            out.append((becomes, doc[~new], first[~new], keys[0][~new].view(np.int64)))
     flat = [np.concatenate(x) for x in zip(*[(np.full(len(a), k, np.int64), a, b, key) for k, a, b, key in out], strict=True)] if out else [np.zeros(0, np.int64)] * 4
-    rows = np.unique(np.stack(flat, 1), axis=0)
-    rows = rows[(rows[:, 0] >= 2) | (rows[:, 1] != rows[:, 2])]
-    a, b, c = zip(*sketches, strict=True) if sketches else ((), (), ())
-    main = pa.table({"kind": pa.array(rows[:, 0].astype(np.int32)), "a": pa.array(rows[:, 1]), "b": pa.array(rows[:, 2]), "k": pa.array(rows[:, 3]), "s": pa.nulls(len(rows), pa.binary())})
-    more = pa.table({"kind": pa.array([6] * len(a), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "k": pa.array([0] * len(a), pa.int64()), "s": pa.array(c, pa.binary())})
-    return pa.concat_tables([main, more])
+    order = np.lexsort(flat[::-1])
+    flat = [x[order] for x in flat]
+    keep = np.ones(len(order), bool)
+    keep[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in flat])
+    keep &= (flat[0] >= 2) | (flat[1] != flat[2])
+    kind, a, b, key = (x[keep] for x in flat)
+    step = 100_000
+    for i in range(0, len(kind), step):
+        cut = slice(i, i + step)
+        yield pa.RecordBatch.from_arrays([pa.array(kind[cut].astype(np.int32)), pa.array(a[cut]), pa.array(b[cut]), pa.array(key[cut]), pa.nulls(len(kind[cut]), pa.binary())], ["kind", "a", "b", "k", "s"])
+    give_back()
 
 
 #: Bytes of two packed numbers: a count, and for each its minimum and its rest.
@@ -342,28 +430,31 @@ def _compare(threshold: Fraction):
     return run
 
 
-def _candidates(keyed: DataFrame, sketches: DataFrame, threshold: Fraction, block: int, n: int, scratch: Scratch) -> DataFrame:
+def _candidates(keyed: DataFrame, n_keyed: int, sketches: DataFrame, threshold: Fraction, block: int, groups: int, scratch: Scratch) -> DataFrame:
     """a, b: links whose components hold all links of sets that share a key. keyed: k, a, b (a key's smallest id)."""
     own = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
     pairs = keyed.select("a", "b").distinct().join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
     tried = scratch.save(pairs.mapInArrow(_near(threshold), "a bigint, b bigint, ok boolean"))
     passed = tried.filter("ok").select("a", "b")
-    mixed = keyed.join(tried.filter("not ok"), ["a", "b"]).select("k").distinct()
-    members = keyed.join(mixed, "k").select("k", F.explode(F.array("a", "b")).alias("id")).distinct()
+    failed = tried.filter("not ok").select("a", "b")
+    mixed = keyed.join(failed, ["a", "b"]).select("k").distinct()
+    pairs = join_hubs(keyed, mixed, "k", n_keyed).select("k", "a", "b")
+    members = pairs.select("k", F.explode(F.array("a", "b")).alias("id")).distinct()
     # Only keys whose sets are not connected yet; in them what is outside the largest component, against all.
     comp = components(passed, Scratch(keyed.sparkSession, "passed"), "a", "b")
-    members = scratch.save(members.join(comp, "id", "left").select("k", "id", F.coalesce("component", "id").alias("known")))
+    members, n = scratch.measure(members.join(comp, "id", "left").select("k", "id", F.coalesce("component", "id").alias("known")), F.count("*").alias("n"))
+    n_members = n["n"]
     part = members.groupBy("k", "known").agg(F.count("*").alias("c"))
     shape = part.groupBy("k").agg(F.max_by("known", F.struct("c", -F.col("known"))).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all")).filter(F.col("most") < F.col("all"))
     shape = shape.select("k", "main", F.when(F.col("all") <= block, 0).otherwise(F.ceil((F.col("all") - F.col("most")) / block)).cast("int").alias("nx"), F.ceil(F.col("all") / block).cast("int").alias("ny"))
-    placed = members.join(shape, "k")
+    placed = join_hubs(members, shape, "k", n_members)
     tile = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(side).alias("side"))
     own = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), "nx"))
     whole = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), "nx") - 1), lambda i: tile(i, F.pmod(F.xxhash64("id"), F.col("ny")), 1))
     outside = F.when(F.col("known") != F.col("main"), F.transform(F.sequence(F.lit(0), F.col("ny") - 1), lambda i: tile(own, i, 0))).otherwise(F.array().cast("array<struct<x:int,y:int,side:int>>"))
     sides = F.when(F.col("nx") == 0, F.array(tile(F.lit(0), F.lit(0), 0))).otherwise(F.concat(whole, outside))
     tiles = placed.select("k", "id", F.explode(sides).alias("t")).select("id", F.xxhash64("k", "t.x", "t.y").alias("tile"), "t.side")
-    rows = tiles.join(sketches, "id").select("id", "tile", "side", "n", "s").withColumn("g", F.pmod("tile", F.lit(n)).cast("int"))
+    rows = tiles.join(sketches, "id").select("id", "tile", "side", "n", "s").withColumn("g", F.pmod("tile", F.lit(groups)).cast("int"))
     return passed.unionByName(rows.groupBy("g").applyInArrow(_pass(threshold), "a bigint, b bigint"))
 
 
@@ -391,7 +482,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(docs.sparkSession, "jaccard")
     texts = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null")
     n = bucket_count(docs, text_col)
-    met = scratch.save(texts.mapInArrow(_sign(shingle, threshold, n), BLOB).groupBy("bucket").applyInArrow(_meet, LINK).distinct())
+    posts = posting_counts(texts, shingle, threshold)
+    met = scratch.save(texts.mapInArrow(_sign(shingle, threshold, n, posts), BLOB).groupBy("bucket").applyInArrow(_meet, LINK).distinct())
     sizes = met.filter("kind = 2").groupBy(F.col("a").alias("id")).agg(F.max("b").alias("n"))
     same = met.filter("kind = 1").select("a", "b")
     several = met.filter("kind = 5").groupBy("a").count().filter("count > 1")  # ids with more than one text
@@ -401,18 +493,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         own = stands.select(F.col("a").alias(side), "for")
         near = near.join(own, side, "left").withColumn(side, F.coalesce("for", side)).select("k", "a", "b")
     sketches = met.filter("kind = 6").groupBy(F.col("a").alias("id"), F.col("b").alias("n"), "s").agg(F.lit(1).alias("one")).select("id", "n", "s")
-    near = scratch.save(near.filter("a <> b"))
-    near = _candidates(near, sketches, threshold, 2 * block, n, scratch)
+    keyed, seen = scratch.measure(near.filter("a <> b"), F.count("*").alias("n"))
+    near = _candidates(keyed, seen["n"], sketches, threshold, 2 * block, n, scratch)
     family = components(near, Scratch(docs.sparkSession, "families"), "a", "b").withColumnRenamed("component", "fam")
-    family = family.join(sizes, "id")
+    family, seen = scratch.measure(family.join(sizes, "id"), F.count("*").alias("n"))
+    scratch.drop(keyed)
     # Blocks: by size band and hash; as many in a band as its share of the family needs.
     step = float(1 / threshold)
     family = family.withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(step))) + 1e-9).cast("int"))
     count = family.groupBy("fam", "band").agg(F.count("*").alias("members"))
     total = count.groupBy("fam").agg(F.sum("members").alias("all_members"))
     shape = scratch.save(count.join(total, "fam").select("fam", F.when(F.col("all_members") <= block, 0).otherwise(F.col("band")).alias("band"), F.when(F.col("all_members") <= block, 1).otherwise(F.ceil(F.col("members") / block)).cast("int").alias("blocks"), "all_members").distinct())
-    family = family.join(total, "fam").withColumn("band", F.when(F.col("all_members") <= block, 0).otherwise(F.col("band")))
-    members = scratch.save(family.join(shape.select("fam", "band", "blocks"), ["fam", "band"]).select("id", "fam", (F.col("band") * 1_000_000 + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("blk"), F.col("id").alias("known"), "all_members"))
+    family = join_hubs(family, total, "fam", seen["n"]).withColumn("band", F.when(F.col("all_members") <= block, 0).otherwise(F.col("band")))
+    band_of = shape.select(F.struct("fam", "band").alias("fb"), "blocks")
+    placed = join_hubs(family.withColumn("fb", F.struct("fam", "band")), band_of, "fb", seen["n"])
+    members = scratch.save(placed.select("id", "fam", (F.col("band") * 1_000_000 + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("blk"), F.col("id").alias("known"), "all_members"))
     blocks = shape.select("fam", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("fam", "band", (F.col("band") * 1_000_000 + F.col("i")).alias("blk"), "i")
 
     def tiles(pairs: DataFrame) -> DataFrame:
@@ -431,7 +526,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         comp = components(found, Scratch(docs.sparkSession, "first"), "a", "b")
         now = members.filter(F.col("all_members") > block).join(comp, "id", "left").select("id", "fam", "blk", F.coalesce("component", "id").alias("known"))
         most = now.groupBy("fam", "known").agg(F.count("*").alias("c")).groupBy("fam").agg(F.max_by("known", F.struct("c", -F.col("known"))).alias("main"))
-        apart = now.join(most, "fam").filter(F.col("known") != F.col("main")).select("id", "fam", "blk", "known")
+        apart = join_hubs(now, most, "fam", seen["n"]).filter(F.col("known") != F.col("main")).select("id", "fam", "blk", "known")
         hot = apart.groupBy("fam", "blk").agg(F.count("*").alias("c"))
         rest = hot.select("fam", (-F.col("blk") - 1).alias("x"), F.floor(F.col("blk") / 1_000_000).alias("band"))
         every = blocks.select("fam", "band", F.col("blk").alias("y"))

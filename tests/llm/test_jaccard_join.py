@@ -3,10 +3,15 @@
 import random
 import re
 
+from fractions import Fraction
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sparkloom.llm.jaccard_join import Bands, _light, _signatures, jaccard_components
+from sparkloom.llm import words as W
+from sparkloom.llm.cluster import Scratch, components, join_hubs
+from sparkloom.llm.jaccard_join import COUNTED, COUNTERS, Bands, Posts, _light, _segments, _signatures, jaccard_components, posting_counts
 
 SCHEMA = "doc_id bigint, text string, a string, component_id string"
 
@@ -97,3 +102,57 @@ def test_pairs_within_the_bound_share_a_key(t):
         assert abs(int(x) - int(y)) <= 1
         m, light = bands.segments[band], _light(Fraction(t))
         assert set(_signatures(a, band, m, light).tolist()) & set(_signatures(b, band, m, light).tolist())
+
+
+@pytest.mark.parametrize("t", ["0.9", "0.8"])
+def test_frequencies_decide_and_stay_exact(t):
+    """Whatever the counters say, pairs within the bound share a key; and they alone say which keys are replaced."""
+    rng, bands = np.random.default_rng(5), Bands(Fraction(t))
+    for trial in range(900):
+        posts = Posts(np.full(COUNTERS, 0, np.uint32) if trial % 3 == 0 else (rng.random(COUNTERS) < (0.5, 1.0)[trial % 2]).astype(np.uint32) * 1_000_000)
+        posts.noise = 0
+        n = int(rng.integers(2, 120))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        b = a.copy()
+        for _ in range(int(rng.integers(0, 14))):
+            b = np.delete(b, rng.integers(len(b))) if rng.random() < 0.5 and len(b) > 1 else np.unique(np.r_[b, rng.integers(0, 1 << 63, 1).astype(np.uint64)])
+        both = len(np.intersect1d(a, b))
+        if both < Fraction(t) * (len(a) + len(b) - both) or len(a) == both == len(b):
+            continue
+        band = int(max(bands.of(np.array([len(a)]))[0], bands.of(np.array([len(b)]))[0]))
+        m, load = bands.segments[band], bands.starts[band] / bands.segments[band]
+        x, y = (_signatures(s, band, m, 0, posts, load) for s in (a, b))
+        assert set(x.tolist()) & set(y.tolist())
+        edge, _, _, keys = _segments(a, band, m)
+        few = np.diff(edge) <= COUNTED
+        dear = few & (posts.counters[(keys >> np.uint64(44)).astype(np.int64)] > 0)
+        assert set(keys[~dear].tolist()) <= set(x.tolist()) and not set(keys[dear].tolist()) & set(x.tolist())
+
+
+def test_counters_are_those_of_all_sets(spark):
+    """The first pass against a plain count, each set of a task once."""
+    rows = [(i, t) for i, t in corpus(4, 70) if t]
+    df = spark.createDataFrame([(t,) for _, t in rows], "_text string").coalesce(1)
+    got, want, bands = posting_counts(df, 3, Fraction("0.9")), np.zeros(COUNTERS, np.int64), Bands(Fraction("0.9"))
+    sets = {tuple(s.tolist()) for c in W.chunks(pa.array([t for _, t in rows]), True) for s in W.shingle_sets(c, 3) if len(s)}
+    for s in sets:
+        b = int(bands.of(np.array([len(s)]))[0])
+        for band in (b, b + 1):
+            if bands.segments[band] > 1:
+                edge, _, _, keys = _segments(np.array(s, np.uint64), band, bands.segments[band])
+                for z, key in zip(np.diff(edge).tolist(), keys.tolist(), strict=True):
+                    want[key >> 44] += z <= COUNTED
+    assert (got.counters == want).all() and want.sum() > 20
+
+
+def test_hubs_and_chains(spark):
+    """Components of a hub with more edges than a task should get, of chains, repeats and both ends alike."""
+    edges = [(0, i) for i in range(1, 700)] + [(i, i + 1) for i in range(1000, 1090)] + [(5, 5), (2000, 699), (2000, 699), (3001, 3000)]
+    df = spark.createDataFrame(edges, "u bigint, v bigint")
+    scratch = Scratch(spark, "test")
+    got = {r.id: r.component for r in components(df, scratch).collect()}
+    want = {i: 0 for i in range(700)} | {i: 1000 for i in range(1000, 1091)} | {2000: 0, 3000: 3000, 3001: 3000}
+    assert got == want
+    many = spark.createDataFrame([(i % 3 if i < 600 else i, i) for i in range(900)], "k int, x int")
+    one = spark.createDataFrame([(i, -i) for i in range(800)], "k int, y int")
+    assert sorted(map(tuple, join_hubs(many, one, "k", 900).collect())) == sorted(map(tuple, many.join(one, "k").collect()))
