@@ -21,7 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.cluster import Scratch, components
+from sparkloom.llm.cluster import Scratch, components, give_back
+
+#: Vectors hashed at a time; each comes out once for each table and probe.
+ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -92,14 +95,19 @@ def _hash(how: Hashing, k: int):
             vectors = batch.column(batch.schema.get_field_index("vector"))
             dims = np.asarray(pa.compute.list_value_length(vectors))
             for d in np.unique(dims).tolist():
-                part = batch.filter(pa.array(dims == d))
-                x = _rows(part.column(part.schema.get_field_index("vector")))
-                c = codes(x / np.linalg.norm(x, axis=1, keepdims=True), how, k)
-                n, tables, probes = c.shape
-                row = np.repeat(np.arange(n), tables * probes)
-                take = part.take(pa.array(row))
-                made = [pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), probes), n)), pa.array(c.reshape(-1)), pa.array([c[i].tobytes() for i in row.tolist()], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*take.columns, *made], [*take.schema.names, "tab", "code", "codes"])
+                whole = batch.filter(pa.array(dims == d))
+                for part in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                    yield hashed(part)
+            give_back()
+
+    def hashed(part: pa.RecordBatch) -> pa.RecordBatch:
+        x = _rows(part.column(part.schema.get_field_index("vector")))
+        c = codes(x / np.linalg.norm(x, axis=1, keepdims=True), how, k)
+        n, tables, probes = c.shape
+        row = np.repeat(np.arange(n), tables * probes)
+        take = part.take(pa.array(row))
+        made = [pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), probes), n)), pa.array(c.reshape(-1)), pa.array([c[i].tobytes() for i in row.tolist()], pa.binary())]
+        return pa.RecordBatch.from_arrays([*take.columns, *made], [*take.schema.names, "tab", "code", "codes"])
 
     return run
 
@@ -175,9 +183,12 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     base = rows.select(F.col(id_col).cast("bigint").alias("id"), label.cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector")).filter("id is not null")
     bad = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     fit = F.col("label").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists("vector", lambda v: v != 0)
-    # Tiny or huge vectors: scale by a power of two, so that no square under- or overflows.
+    # Tiny or huge vectors: scale by a power of two, so that no square under- or overflows; in two steps, since the
+    # power for the smallest numbers is beyond a double itself.
     most = F.array_max(F.transform("vector", lambda v: F.abs(v)))
-    base = base.withColumn("fit", F.coalesce(fit, F.lit(False))).withColumn("vector", F.when(F.col("fit"), F.transform("vector", lambda v: v * F.pow(F.lit(2.0), -F.floor(F.log2(most))))))
+    power = F.floor(F.log2(most))
+    half = F.floor(-power / 2)
+    base = base.withColumn("fit", F.coalesce(fit, F.lit(False))).withColumn("vector", F.when(F.col("fit"), F.transform("vector", lambda v: v * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), -power - half))))
     keyed = base.withColumn("k1", F.xxhash64(F.lit(1), "label", "vector")).withColumn("k2", F.xxhash64(F.lit(2), "vector", "label"))
     keyed = scratch.save(keyed.select("id", "label", "vector", "fit", "k1", "k2"))
     one = keyed.filter("fit").groupBy("k1", "k2", "label", "vector").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("weight"))

@@ -86,3 +86,10 @@ def test_recall_of_many_hashes_and_wide_vectors(dims, k):
     met = (x[:, :, :, None] == y[:, :, None, :]).any((1, 2, 3))
     print("recall", dims, k, met.mean())
     assert met.mean() >= 0.98
+
+
+def test_tiny_and_huge_numbers(spark):
+    rows = [(1, [1e-310, 3e-310]), (2, [3e-310, 1e-310]), (3, [2e-310, 6e-310]), (4, [5e-324, 0.0]), (5, [1.0, 0.0]), (6, [1e308, 1.5e308]), (7, [2.0, 3.0]), (8, [1e307, 1.5e307])]
+    df = spark.createDataFrame([(i, v, "a") for i, v in rows], "vec_id bigint, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (1, 1), 4: (1, 4), 5: (1, 4), 6: (2, 6), 7: (2, 6), 8: (2, 6)}
