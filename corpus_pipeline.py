@@ -1,4 +1,9 @@
-"""A corpus pipeline of five of the operators; each stage works on what the one before it kept."""
+"""A corpus pipeline of five of the operators; each stage works on what the one before it kept.
+
+Stages take tables with the columns doc_id, text, lang, source and n_chars; further columns, of any name, pass
+through and decide nothing. Ids are whole numbers, may be null and may repeat. Empty tables give empty results. Texts
+are judged whole, whatever their length. What a null, an empty text, a tie or a repeated row gives is said by stage.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +23,9 @@ LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose language the model names with LEAST_SCORE or more. Others go."""
+    """Documents with letters whose language the model names with LEAST_SCORE or more. Others go: null and empty
+    texts, and those of signs alone. Of equal scores the first language by name counts. Repeated rows are judged
+    alike; rows with a null id or language are judged but not learned from."""
     model = language_id.fit(learnable(docs))
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
@@ -27,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at Jaccard 0.8, the row of smallest doc_id, and one of its rows
+    """Null, empty and wordless texts link with nothing and stay. Of each group linked by five-word shingles at Jaccard 0.8, the row of smallest doc_id, and one of its rows
     without a doc_id. Rows are told apart by doc_id where it is present and distinct; otherwise each row has a
     saved number of its own, so rows that share a doc_id and are unlike all stay."""
     names, scratch = docs.columns, Scratch(spark, "near-duplicates")
@@ -47,20 +54,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of passages of 20 words that start earlier elsewhere."""
+    """All documents, without the words of passages of 20 words that start earlier elsewhere. Null and empty texts,
+    and those that lose nothing, stay as they are. A repeated row stays too, without the words of its windows. A
+    null id comes before all others; rows of one id come in order of their texts."""
     names = docs.columns
-    rest = tuple(c for c in names if c not in ("doc_id", "text", "n_chars"))
-    out = substring_dedup(docs.select("doc_id", "text", *rest), carry=rest, rejoin=False).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("bigint"))
-    return out.select(names)
+    inner = [f"c{i}" for i in range(len(names))]  # no name of the input can clash with what the operator adds
+    doc, text, size = (inner[names.index(c)] for c in ("doc_id", "text", "n_chars"))
+    rest = tuple(c for c in inner if c not in (doc, text, size))
+    out = substring_dedup(docs.toDF(*inner), doc, text, carry=rest, rejoin=False)
+    out = out.withColumn(text, F.col("kept_text")).withColumn(size, F.length("kept_text").cast("bigint"))
+    return out.select(inner).toDF(*names)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold less than 0.8 of the five-word shingles of every test item."""
+    """Documents that hold less than 0.8 of the five-word shingles of every test item. Rows are judged one by one:
+    null and empty texts hold nothing and stay, repeated rows stay or go together, ids make no difference. Items
+    without words are held by none."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document left; weights 1, 2, 3 in turn by source."""
+    """How many words the mix takes of each document left; weights 1, 2, 3 in turn by source, null last. Null and
+    empty texts have size 0 and give none. Ties go to the smaller id; repeated rows are taken in either order, with
+    the same result."""
     return mix_sources(docs)
 
 
@@ -78,7 +94,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over the documents of a folder; each result is written and read again."""
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), []
     for _, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir))
+        scratch.drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
