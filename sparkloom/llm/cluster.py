@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.scratch import Scratch
 
-__all__ = ["Scratch", "bucket_count", "components", "give_back", "join_hubs", "numbered"]
+__all__ = ["Scratch", "bucket_count", "components", "give_back", "join_skewed", "numbered"]
 
 
 @cache
@@ -46,50 +46,29 @@ def numbered(rows: DataFrame, id_col: str, text_col: str, as_col: str, scratch:
     return scratch.save(ranged.withColumn(as_col, F.monotonically_increasing_id()))
 
 
-#: Most hubs that components() broadcasts, 16 bytes each.
-HUBS = 10_000
-#: A vertex of fewer edges is never a hub.
-LEAST_HUB = 64
-
-
-def hub_limit(n: int) -> int:
-    """Rows of a key from which it is a hub, of n rows in all: there are fewer than HUBS of them."""
-    return max(LEAST_HUB, -(-n // HUBS))
-
-
-def join_hubs(many: DataFrame, one: DataFrame, key: str, n: int) -> DataFrame:
-    """The inner join of `many` (n rows, any number of a key) and `one` (few rows of a key). Hubs, of which there
-    are HUBS at most, are joined by broadcast, so that no task gets all rows of a hub; other keys by shuffle."""
-    hubs = F.broadcast(many.groupBy(key).agg(F.count("*").alias("_c")).filter(F.col("_c") > hub_limit(n)).select(key))
-    out = many.join(F.broadcast(one.join(hubs, key, "left_semi")), key)
-    return out.unionByName(many.join(hubs, key, "left_anti").join(one, key))
-
-
-def _least(edges: DataFrame, n: int) -> DataFrame:
-    """n edges (u, v) with m: the least v of each u. The minima are aggregated before their shuffle; edges of hubs
-    stay where they are."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-    limit = hub_limit(n)
-    hubs = F.broadcast(low.filter(F.col("c") > limit).select("u", F.col("m").alias("h")))
-    marked = edges.join(hubs, "u", "left")
-    rest = marked.filter("h is null").select("u", "v").join(low.filter(F.col("c") <= limit).select("u", "m"), "u")
-    return marked.filter("h is not null").select("u", "v", F.col("h").alias("m")).unionByName(rest)
+def join_skewed(many: DataFrame, one: DataFrame, *keys: str) -> DataFrame:
+    """The inner join of `many`, any number of rows of a key, and `one`, few rows of a key. Both sides come out of an
+    exchange of the join's own, also where `one` is an aggregate by the key: only then may Spark, as it runs, split
+    the partition of a hot key and give each part the other side's rows. What follows must shuffle anyway."""
+    moved = one.withColumn(keys[0], F.col(keys[0]).bitwiseOR(F.lit(0)))  # the same key, but not known to be dealt by it
+    return many.join(moved, list(keys))
 
 
 def components(edges: DataFrame, scratch: Scratch, u: str = "u", v: str = "v") -> DataFrame:
     """(id, component): of each vertex with an edge to another, the smallest vertex reachable.
 
-    Alternating large-star and small-star rounds, O(log^2) of them. Edges of hubs are joined by broadcast, those of
-    other vertices by shuffle, so no task gets all edges of a vertex with very many. A round is one table; its edges
-    are counted and summed while they are written, and the table before it is dropped.
+    Alternating large-star and small-star rounds, O(log^2) of them. Minima are aggregated before their shuffle, and
+    the joins with them may be split at a vertex of very many edges. A round is one table; its edges are counted and
+    summed while they are written, and the table before it is dropped.
     """
     sums = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
     e, now = scratch.measure(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), *sums)
     while now["n"]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both, 2 * now["n"]).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        low = _least(large, now["n"])
-        small = low.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
+        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = join_skewed(both, low, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = join_skewed(large, low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         before, was = e, now
         e, now = scratch.measure(small.filter("u <> v").distinct(), *sums)
         scratch.drop(before)

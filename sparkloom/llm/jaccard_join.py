@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import words as W
-from sparkloom.llm.cluster import Scratch, bucket_count, components, give_back, join_hubs
+from sparkloom.llm.cluster import Scratch, bucket_count, components, give_back, join_skewed
 
 U64 = np.uint64
 BLOB = "bucket int, kind int, payload binary"
@@ -430,7 +430,7 @@ def _compare(threshold: Fraction):
     return run
 
 
-def _candidates(keyed: DataFrame, n_keyed: int, sketches: DataFrame, threshold: Fraction, block: int, groups: int, scratch: Scratch) -> DataFrame:
+def _candidates(keyed: DataFrame, sketches: DataFrame, threshold: Fraction, block: int, groups: int, scratch: Scratch) -> DataFrame:
     """a, b: links whose components hold all links of sets that share a key. keyed: k, a, b (a key's smallest id)."""
     own = lambda x: sketches.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}"))
     pairs = keyed.select("a", "b").distinct().join(own("a"), "a").join(own("b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
@@ -438,16 +438,15 @@ def _candidates(keyed: DataFrame, n_keyed: int, sketches: DataFrame, threshold:
     passed = tried.filter("ok").select("a", "b")
     failed = tried.filter("not ok").select("a", "b")
     mixed = keyed.join(failed, ["a", "b"]).select("k").distinct()
-    pairs = join_hubs(keyed, mixed, "k", n_keyed).select("k", "a", "b")
+    pairs = join_skewed(keyed, mixed, "k").select("k", "a", "b")
     members = pairs.select("k", F.explode(F.array("a", "b")).alias("id")).distinct()
     # Only keys whose sets are not connected yet; in them what is outside the largest component, against all.
     comp = components(passed, Scratch(keyed.sparkSession, "passed"), "a", "b")
-    members, n = scratch.measure(members.join(comp, "id", "left").select("k", "id", F.coalesce("component", "id").alias("known")), F.count("*").alias("n"))
-    n_members = n["n"]
+    members = scratch.save(members.join(comp, "id", "left").select("k", "id", F.coalesce("component", "id").alias("known")))
     part = members.groupBy("k", "known").agg(F.count("*").alias("c"))
     shape = part.groupBy("k").agg(F.max_by("known", F.struct("c", -F.col("known"))).alias("main"), F.max("c").alias("most"), F.sum("c").alias("all")).filter(F.col("most") < F.col("all"))
     shape = shape.select("k", "main", F.when(F.col("all") <= block, 0).otherwise(F.ceil((F.col("all") - F.col("most")) / block)).cast("int").alias("nx"), F.ceil(F.col("all") / block).cast("int").alias("ny"))
-    placed = join_hubs(members, shape, "k", n_members)
+    placed = join_skewed(members, shape, "k")
     tile = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(side).alias("side"))
     own = F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), "nx"))
     whole = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), "nx") - 1), lambda i: tile(i, F.pmod(F.xxhash64("id"), F.col("ny")), 1))
@@ -493,10 +492,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         own = stands.select(F.col("a").alias(side), "for")
         near = near.join(own, side, "left").withColumn(side, F.coalesce("for", side)).select("k", "a", "b")
     sketches = met.filter("kind = 6").groupBy(F.col("a").alias("id"), F.col("b").alias("n"), "s").agg(F.lit(1).alias("one")).select("id", "n", "s")
-    keyed, seen = scratch.measure(near.filter("a <> b"), F.count("*").alias("n"))
-    near = _candidates(keyed, seen["n"], sketches, threshold, 2 * block, n, scratch)
+    keyed = scratch.save(near.filter("a <> b"))
+    near = _candidates(keyed, sketches, threshold, 2 * block, n, scratch)
     family = components(near, Scratch(docs.sparkSession, "families"), "a", "b").withColumnRenamed("component", "fam")
-    family, seen = scratch.measure(family.join(sizes, "id"), F.count("*").alias("n"))
+    family = scratch.save(family.join(sizes, "id"))
     scratch.drop(keyed)
     # Blocks: by size band and hash; as many in a band as its share of the family needs.
     step = float(1 / threshold)
@@ -504,9 +503,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     count = family.groupBy("fam", "band").agg(F.count("*").alias("members"))
     total = count.groupBy("fam").agg(F.sum("members").alias("all_members"))
     shape = scratch.save(count.join(total, "fam").select("fam", F.when(F.col("all_members") <= block, 0).otherwise(F.col("band")).alias("band"), F.when(F.col("all_members") <= block, 1).otherwise(F.ceil(F.col("members") / block)).cast("int").alias("blocks"), "all_members").distinct())
-    family = join_hubs(family, total, "fam", seen["n"]).withColumn("band", F.when(F.col("all_members") <= block, 0).otherwise(F.col("band")))
-    band_of = shape.select(F.struct("fam", "band").alias("fb"), "blocks")
-    placed = join_hubs(family.withColumn("fb", F.struct("fam", "band")), band_of, "fb", seen["n"])
+    family = join_skewed(family, total, "fam").withColumn("band", F.when(F.col("all_members") <= block, 0).otherwise(F.col("band")))
+    placed = join_skewed(family, shape.select("fam", "band", "blocks"), "fam", "band")
     members = scratch.save(placed.select("id", "fam", (F.col("band") * 1_000_000 + F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("blk"), F.col("id").alias("known"), "all_members"))
     blocks = shape.select("fam", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("fam", "band", (F.col("band") * 1_000_000 + F.col("i")).alias("blk"), "i")
 
@@ -526,7 +524,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         comp = components(found, Scratch(docs.sparkSession, "first"), "a", "b")
         now = members.filter(F.col("all_members") > block).join(comp, "id", "left").select("id", "fam", "blk", F.coalesce("component", "id").alias("known"))
         most = now.groupBy("fam", "known").agg(F.count("*").alias("c")).groupBy("fam").agg(F.max_by("known", F.struct("c", -F.col("known"))).alias("main"))
-        apart = join_hubs(now, most, "fam", seen["n"]).filter(F.col("known") != F.col("main")).select("id", "fam", "blk", "known")
+        apart = join_skewed(now, most, "fam").filter(F.col("known") != F.col("main")).select("id", "fam", "blk", "known")
         hot = apart.groupBy("fam", "blk").agg(F.count("*").alias("c"))
         rest = hot.select("fam", (-F.col("blk") - 1).alias("x"), F.floor(F.col("blk") / 1_000_000).alias("band"))
         every = blocks.select("fam", "band", F.col("blk").alias("y"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from sparkloom.llm import words as W
-from sparkloom.llm.cluster import Scratch, components, join_hubs
+from sparkloom.llm.cluster import Scratch, components, join_skewed
 from sparkloom.llm.jaccard_join import COUNTED, COUNTERS, Bands, Posts, _light, _segments, _signatures, jaccard_components, posting_counts
 
 SCHEMA = "doc_id bigint, text string, a string, component_id string"
@@ -155,4 +155,4 @@ def test_hubs_and_chains(spark):
     assert got == want
     many = spark.createDataFrame([(i % 3 if i < 600 else i, i) for i in range(900)], "k int, x int")
     one = spark.createDataFrame([(i, -i) for i in range(800)], "k int, y int")
-    assert sorted(map(tuple, join_hubs(many, one, "k", 900).collect())) == sorted(map(tuple, many.join(one, "k").collect()))
+    assert sorted(map(tuple, join_skewed(many, one, "k").collect())) == sorted(map(tuple, many.join(one, "k").collect()))
