@@ -52,6 +52,7 @@ class Scratch:
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         bound_batches(spark)
         files, path = self._files(self.folder)
+        files.mkdirs(path)  # only what exists can be marked
         files.deleteOnExit(path)
 
     def _files(self, path: str):

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.scratch import save
+from sparkloom.functions.scratch import Scratch
 
 
 def out_degree(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -76,17 +76,20 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, max_i
     many = edges.groupBy("src", "dst").agg(F.count("*").alias("m"))
     degree = edges.groupBy("src").agg(F.count("*").alias("k"))
     weighted = many.join(degree, "src").select("src", "dst", "m", "k").persist(StorageLevel.DISK_ONLY)
+    scratch, before = Scratch(spark, "pagerank"), []
     state, done, delta = vertices.select("id", F.lit(1.0 / n).alias("p0")), 0, float("inf")
     while done < max_iterations:
         now = min(steps, max_iterations - done)
         for i in range(now):
             sent = weighted.join(state.select(F.col("id").alias("src"), F.col(f"p{i}").alias("p")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("m") / F.col("k")).alias("acc"))
             state = state.join(sent, "id", "left").withColumn(f"p{i + 1}", F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("acc", F.lit(0.0))).drop("acc")
-        state = save(state, "pagerank")
+        state = scratch.save(state)
         moved = state.agg(*[F.sqrt(F.sum(F.pow(F.col(f"p{i + 1}") - F.col(f"p{i}"), 2))).alias(str(i)) for i in range(now)]).first()
         stop = next((i for i in range(now) if done + i + 1 >= 3 and moved[i] < tolerance), None)
         last = now if stop is None else stop + 1
         done, delta = done + last, moved[last - 1]
+        scratch.drop(*before)  # the table that this one was made of
+        before = [state]
         state = state.select("id", F.col(f"p{last}").alias("p0"))
         if stop is not None:
             break

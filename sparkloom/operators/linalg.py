@@ -21,13 +21,13 @@ def eliminate(a: DataFrame, b: DataFrame) -> DataFrame:
     """i, j, v of [U | y]: Gaussian elimination without pivoting to a unit upper triangle; column n is y.
 
     The right-hand side is eliminated with the matrix, as the textbook has it. Pivots must not be 0: a row
-    divided by 0 is null. The n steps are sequential; the n * (n + 1) numbers are one row that a fold updates.
+    divided by 0 is null. The n steps are sequential; the n * (n + 1) numbers are one row that a fold updates: a limit of
+    some thousand unknowns.
     """
     n = b.count()
     wide = a.select("i", "j", F.col("v").cast("double").alias("v")).unionByName(b.select("i", F.lit(n).cast("bigint").alias("j"), F.col("v").cast("double").alias("v")))
     rows = wide.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda c: c["v"]).alias("r"))
     m = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "r"))), lambda c: c["r"]).alias("m"))
-    m.createOrReplaceTempView("sparkloom_augmented")
     u = m.selectExpr(
         f"""aggregate(sequence(0, {n - 1}), m, (s, k) -> transform(s, (row, i) -> if(i < k, row,
             if(i = k, transform(row, x -> try_divide(x, s[k][k])),

@@ -6,21 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sparkloom.functions.scratch import save
 
-def _dense_ids(values: DataFrame, name: str, parts: int = 64) -> DataFrame:
+
+#: Rows of a range of values, and ranges that an expression tells apart.
+ROWS_EACH, FEW = 1_000_000, 64
+
+
+def _ranged(df: DataFrame, order: str, rows_each: int) -> DataFrame:
+    """df with `b_`, the number of its range of `order`; ranges ascend and hold about `rows_each` rows, so there
+    are as many as the input needs. A few come from approximate quantiles, without an exchange; more are the
+    partitions of a range exchange, saved, since their bounds are sampled."""
+    seen = df.agg(F.percentile_approx(order, [i / FEW for i in range(1, FEW)], 1000).alias("e"), F.count("*").alias("n")).first()
+    parts = -(-seen.n // rows_each)
+    if parts > FEW:
+        return save(df.repartitionByRange(parts, order).withColumn("b_", F.spark_partition_id()), "ranges")
+    bucket = F.lit(0)
+    for e in sorted(set(seen.e or [])):
+        bucket = bucket + (F.col(order) > e).cast("int")
+    return df.withColumn("b_", bucket)
+
+
+def _dense_ids(values: DataFrame, name: str, rows_each: int = ROWS_EACH) -> DataFrame:
     """name, new: distinct values numbered from 0 in ascending order. Numbers are within ranges of values; the
     ranges' sizes are summed up, so that no task sees all values."""
     d = values.select(name).distinct()
     if d.schema[name].dataType.simpleString() != "bigint":
         d = d.select(F.col(name).cast("bigint"))
-    edges = d.agg(F.percentile_approx(name, [i / parts for i in range(1, parts)], 1000).alias("e")).first().e or []
-    bucket = F.lit(0)
-    for e in sorted(set(edges)):
-        bucket = bucket + (F.col(name) > e).cast("int")
-    d = d.withColumn("b", bucket)
-    sizes = d.groupBy("b").agg(F.count("*").alias("n")).select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("b").orderBy(name))
-    return d.join(F.broadcast(sizes), "b").select(name, (inner - 1 + F.col("before")).cast("bigint").alias("new"))
+    return prefix_sum(d.withColumn("one_", F.lit(1)), name, "one_", rows_each).select(name, F.col("before").alias("new"))
 
 
 def compact_columns(m: DataFrame) -> DataFrame:
@@ -68,14 +81,10 @@ def pointers(m: DataFrame) -> DataFrame:
     return prefix_sum(n, "row", "n").select("row", F.col("before").alias("ptr"))
 
 
-def prefix_sum(df: DataFrame, order: str, value: str, parts: int = 64) -> DataFrame:
+def prefix_sum(df: DataFrame, order: str, value: str, rows_each: int = ROWS_EACH) -> DataFrame:
     """df with `before`, the sum of `value` over rows of smaller `order`. `order` is distinct. Sums are within
-    ranges of `order`, and the ranges' sums are summed up."""
-    edges = df.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 1000).alias("e")).first().e or []
-    bucket = F.lit(0)
-    for e in sorted(set(edges)):
-        bucket = bucket + (F.col(order) > e).cast("int")
-    d = df.withColumn("b_", bucket)
+    ranges of `order`, and the ranges' sums, one short row for each `rows_each` rows, are summed up and broadcast."""
+    d = _ranged(df, order, rows_each)
     whole = d.groupBy("b_").agg(F.sum(value).alias("s_")).select("b_", F.coalesce(F.sum("s_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o_"))
     inner = F.coalesce(F.sum(value).over(Window.partitionBy("b_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return d.join(F.broadcast(whole), "b_").withColumn("before", (inner + F.col("o_")).cast("bigint")).drop("b_", "o_")

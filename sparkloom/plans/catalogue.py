@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.functions.scratch import Scratch
 from sparkloom.operators import demos, graph, linalg, regression, similarity, sorting, sparse, vector
 from sparkloom.plans.oracles import ORACLES
+from sparkloom.sources import files
 from sparkloom.sources import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +101,7 @@ for _what in ("row", "col"):
     for _norm in (1, 2):
         QUERIES[f"csr_normalize_{_what}_l{_norm}"] = over(t.purchases, lambda m, w=_what, n=_norm: rounded(sparse.normalize(m, w, n), 9, "val"))
 QUERIES["csr_normalize_both_l2"] = over(t.purchases, lambda m: rounded(sparse.normalize(m, "both", 2), 9, "val"))
+QUERIES["csr_normalize_both_l1"] = over(t.purchases, lambda m: rounded(sparse.normalize(m, "both", 1), 9, "val"))
 QUERIES["csr_inverted_index"] = over(t.purchases, sparse.inverted_index, entries)
 QUERIES["csr_row_index"] = over(t.purchases, lambda m: sparse.inverted_index(m, "row"), entries)
 QUERIES["csr_pointers"] = over(t.purchases, sparse.pointers)
@@ -140,6 +143,7 @@ def orders_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["sort_keys"] = over(keys, sorting.positions)
 QUERIES["sort_values"] = over(keys, sorting.sort_keys)
+QUERIES["sort_locally"] = over(keys, sorting.sort_locally)
 QUERIES["sort_balanced_blocks"] = over(keys, lambda k: sorting.balanced_blocks(k, PARTS))
 QUERIES["sort_pivot"] = over(keys, sorting.pivot)
 QUERIES["sort_pivot_split"] = over(keys, lambda k: sorting.pivot_split(k, PARTS))
@@ -224,3 +228,70 @@ QUERIES["demo_dot_total"] = lambda spark, sf_dir: demos.dot_total(demos.ones(spa
 QUERIES["demo_trig"] = lambda spark, sf_dir: rounded(demos.trig_sums(spark, 15, 1000), 4, "total")
 QUERIES["demo_threshold"] = lambda spark, sf_dir: demos.threshold_trigger(spark.range(20).select(F.col("id").alias("n")))
 QUERIES["demo_fill"] = lambda spark, sf_dir: rounded(demos.matrix_fill(spark), 6, "v")
+
+# Text formats: tables written as text into the shared folder and read again
+
+
+def text_folder(spark: SparkSession, name: str) -> str:
+    return Scratch(spark, f"text-{name}").folder + "/text"
+
+
+@query("file_csr")
+def file_csr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The purchase matrix, written as lines of columns and values and read again."""
+    m, path = t.purchases(spark, sf_dir), text_folder(spark, "csr")
+    cells = m.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("c"))
+    last = m.agg(F.max("row")).first()[0]
+    text = F.concat_ws(" ", F.transform(F.coalesce("c", F.array()), lambda e: F.concat_ws(" ", e["col"].cast("string"), e["val"].cast("string"))))
+    spark.range(last + 1).toDF("row").join(cells, "row", "left").orderBy("row").select(text.alias("value")).coalesce(1).write.text(path)
+    return files.read_csr(spark, path)
+
+
+@query("file_adjacency")
+def file_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part graph, written as an adjacency list and read again, with the multiplicity of its edges."""
+    (vertices, edges), path = t.part_graph(spark, sf_dir), text_folder(spark, "adjacency")
+    n = vertices.agg(F.max("id")).first()[0] + 1
+    lists = edges.groupBy("src").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list("dst")), lambda x: (x + 1).cast("string"))).alias("value"))
+    body = spark.range(n).toDF("src").join(lists, "src", "left").select("src", F.coalesce("value", F.lit("")).alias("value"))
+    head = spark.createDataFrame([(-1, f"{n} {edges.count()}")], "src bigint, value string")
+    head.unionByName(body).orderBy("src").select("value").coalesce(1).write.text(path)
+    return files.read_adjacency(spark, path)[1].groupBy("src", "dst").agg(F.count("*").alias("n_edges"))
+
+
+@query("file_points")
+def file_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points and labels, written as text and read again; weights of the first coordinate's sign, and the label."""
+    p = sparse.prefix_sum(t.points(spark, sf_dir).withColumn("one", F.lit(1)), "id", "one").select("before", "features", "label")
+    n, d = p.agg(F.count("*"), F.max(F.size("features"))).first()
+    where = {name: text_folder(spark, name) for name in ("points", "labels")}
+    head = lambda text: spark.createDataFrame([(-1, text)], "before bigint, value string")
+    rows = p.select("before", F.concat_ws(" ", F.transform("features", lambda x: x.cast("string"))).alias("value"))
+    for name, first, body in (("points", f"{n} {d}", rows), ("labels", f"{n}", p.select("before", F.col("label").cast("string").alias("value")))):
+        head(first).unionByName(body).orderBy("before").select("value").coalesce(1).write.text(where[name])
+    got = files.read_points(spark, where["points"], where["labels"])
+    return got.select("id", F.posexplode("features").alias("j", "x"), "label").withColumn("j", F.col("j").cast("bigint"))
+
+
+def written(write: Callable[[DataFrame, str], None], name: str) -> Callable[[DataFrame], DataFrame]:
+    """line, value: what a writer made of a table."""
+
+    def run(df: DataFrame) -> DataFrame:
+        path = text_folder(df.sparkSession, name)
+        write(df, path)
+        return files.lines(df.sparkSession, path).select("line", F.concat_ws(" ", "tokens").alias("value"))
+
+    return run
+
+
+QUERIES["file_keys"] = over(keys, written(files.write_keys, "keys"))
+QUERIES["file_ranks"] = over(t.nation_graph, lambda g: graph.pagerank(*g).ranks, written(files.write_ranks, "ranks"))
+QUERIES["file_neighbors"] = over(t.purchases, lambda m: similarity.neighbors(m, "dot", 400, 10), written(files.write_neighbors, "neighbors"))
+
+
+@query("file_stats")
+def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, tokens and bytes of the file of sorted keys."""
+    path = text_folder(spark, "stats")
+    files.write_keys(keys(spark, sf_dir), path)
+    return files.file_stats(spark, path)

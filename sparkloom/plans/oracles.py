@@ -82,6 +82,7 @@ ORACLES = {
     "csr_normalize_col_l1": normalize("col", 1),
     "csr_normalize_col_l2": normalize("col", 2),
     "csr_normalize_both_l2": f'SELECT i AS "row", c AS col, round(v / sqrt(sum(v * v) OVER (PARTITION BY c)), 9) AS val FROM (SELECT i, c, v / sqrt(sum(v * v) OVER (PARTITION BY i)) v FROM ({SPM}))',
+    "csr_normalize_both_l1": f'SELECT i AS "row", c AS col, round(v / sum(v) OVER (PARTITION BY c), 9) AS val FROM (SELECT i, c, v / sum(v) OVER (PARTITION BY i) v FROM ({SPM}))',
     "csr_inverted_index": f"SELECT c AS col, string_agg(i::VARCHAR || ':' || v::BIGINT::VARCHAR, ' ' ORDER BY i, v) AS entries FROM ({SPM}) GROUP BY 1",
     "csr_row_index": f"""SELECT i AS "row", string_agg(c::VARCHAR || ':' || v::BIGINT::VARCHAR, ' ' ORDER BY c, v) AS entries FROM ({SPM}) GROUP BY 1""",
     "csr_pointers": f'SELECT i AS "row", (sum(count(*)) OVER (ORDER BY i) - count(*))::BIGINT AS ptr FROM ({SPM}) GROUP BY 1',
@@ -94,6 +95,7 @@ ORACLES = {
     "knn_query": f"WITH m AS ({SPM}), q AS (SELECT c, v FROM m WHERE i = (SELECT min(i) FROM m)), d AS (SELECT m.i h, sum(m.v * q.v) dot FROM m JOIN q USING (c) GROUP BY 1), n AS (SELECT i, sum(v * v) n FROM m GROUP BY 1), z AS (SELECT sum(v * v) n FROM q) SELECT h AS neighbor, dot / (n.n + z.n - dot) AS sim FROM d JOIN n ON n.i = h, z WHERE dot / (n.n + z.n - dot) >= 0.02 ORDER BY sim DESC, neighbor LIMIT 20",
     "sort_keys": "SELECT (row_number() OVER (ORDER BY l_partkey) - 1)::BIGINT pos, l_partkey AS value FROM lineitem",
     "sort_values": "SELECT l_partkey AS value FROM lineitem",
+    "sort_locally": "SELECT l_partkey AS value FROM lineitem",
     "sort_balanced_blocks": "WITH k AS (SELECT row_number() OVER (ORDER BY l_partkey) - 1 pos, l_partkey AS value, count(*) OVER () n FROM lineitem) SELECT pos::BIGINT pos, value, least(pos // (n // 7), 6)::BIGINT block FROM k",
     "sort_pivot": 'SELECT floor(quantile_cont(l_partkey, 0.5))::BIGINT AS "pivot" FROM lineitem',
     "sort_pivot_split": 'WITH p AS (SELECT floor(quantile_cont(l_partkey, 0.5))::BIGINT AS "pivot" FROM lineitem), n AS (SELECT "pivot", (count(*) FILTER (WHERE l_partkey < "pivot"))::BIGINT lesser, (count(*) FILTER (WHERE l_partkey >= "pivot"))::BIGINT greater FROM lineitem, p GROUP BY 1) SELECT "pivot", lesser, greater, (CASE WHEN lesser / (lesser + greater) * 7 < 1 THEN ceil(lesser / (lesser + greater) * 7) ELSE floor(lesser / (lesser + greater) * 7) END)::BIGINT parts_lesser FROM n',
@@ -146,3 +148,12 @@ UNION ALL SELECT s + 1, list_transform(w, lambda x, i: CASE WHEN i = s % len(w)
 """
 ORACLES["lc_weights"] = _LC + "SELECT (generate_subscripts(w, 1) - 1)::BIGINT j, round(unnest(w), 6) w FROM s WHERE s = 2 * len(w)"
 ORACLES["lc_error_trace"] = _LC + "SELECT (s // len(w))::BIGINT iteration, round(list_dot_product(w, list_transform(m, lambda r: list_dot_product(r, w))) - 2 * list_dot_product(w, b) + yy.v, 4) error FROM s, g, b, yy WHERE s % len(w) = 0"
+
+#: What the text formats hold after they were written and read.
+ORACLES["file_csr"] = f'SELECT i AS "row", c AS col, v AS val FROM ({SPM})'
+ORACLES["file_adjacency"] = f"SELECT src, dst, count(*)::BIGINT n_edges FROM ({PARTS}) GROUP BY 1, 2"
+ORACLES["file_points"] = "SELECT dense_rank() OVER (ORDER BY id) - 1 AS id, j, x, y AS label FROM (" + PTS + ")"
+ORACLES["file_keys"] = "SELECT 0::BIGINT line, count(*)::VARCHAR AS value FROM lineitem UNION ALL SELECT row_number() OVER (ORDER BY l_partkey), l_partkey::VARCHAR FROM lineitem"
+ORACLES["file_ranks"] = pagerank(NATIONS, "SELECT n_nationkey::BIGINT id FROM nation").replace("SELECT id, round(pr + 1e-13::DOUBLE, 9) pr", "SELECT (row_number() OVER (ORDER BY id) - 1)::BIGINT AS line, printf('%.3e', pr) AS value")
+ORACLES["file_neighbors"] = f"SELECT (row_number() OVER (ORDER BY query, sim DESC, neighbor) - 1)::BIGINT AS line, concat_ws(' ', query, neighbor, printf('%.3f', sim)) AS value FROM ({ORACLES['knn_dot']})"
+ORACLES["file_stats"] = "SELECT (count(*) + 1)::BIGINT nlines, (count(*) + 1)::BIGINT ntokens, 1::BIGINT max_line_tokens, (sum(length(l_partkey::VARCHAR) + 1) + length(count(*)::VARCHAR) + 1)::BIGINT nbytes FROM lineitem"

@@ -29,11 +29,13 @@ def _count(df: DataFrame, bad: Column) -> int:
 
 
 def file_stats(spark: SparkSession, path: str) -> DataFrame:
-    """nlines, ntokens, max_line_tokens, nbytes (a line end a line)."""
+    """nlines, ntokens, max_line_tokens, nbytes (of the files as they are, whatever their line ends)."""
     raw = spark.read.text(path)
     text = F.trim(F.regexp_replace("value", r"\s+", " "))
     n = F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
-    return raw.agg(F.count("*").alias("nlines"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("ntokens"), F.coalesce(F.max(n), F.lit(0)).cast("bigint").alias("max_line_tokens"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).cast("bigint").alias("nbytes"))
+    size = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("nbytes"))
+    counts = raw.agg(F.count("*").alias("nlines"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("ntokens"), F.coalesce(F.max(n), F.lit(0)).cast("bigint").alias("max_line_tokens"))
+    return counts.join(F.broadcast(size))
 
 
 def read_adjacency(spark: SparkSession, path: str, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:

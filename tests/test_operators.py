@@ -119,3 +119,19 @@ def test_edges_survive_reversal(spark):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, e.collect()))
     assert graph.incoming(e, 3, 5).agg(F.sum("n_edges")).first()[0] == 4
     assert graph.pagerank(spark.range(0), e.limit(0)).iterations == 0
+
+
+def test_as_many_ranges_as_rows_need(spark):
+    """More ranges than an expression tells apart: positions and numbers are those of a plain count."""
+    from sparkloom.operators import sparse
+
+    rows = [(i * 37 % 10_007 * 3, i % 5) for i in range(9000)]
+    df = spark.createDataFrame(rows, "k bigint, v int")
+    got = sorted((r.k, r.v, r.before) for r in sparse.prefix_sum(df, "k", "v", rows_each=100).collect())
+    want, total = [], 0
+    for k, v in sorted(rows):
+        want.append((k, v, total))
+        total += v
+    assert got == want
+    ids = sparse._dense_ids(df.unionByName(df), "k", rows_each=100)
+    assert sorted(map(tuple, ids.collect())) == [(k, i) for i, (k, _) in enumerate(sorted(rows))]
