@@ -106,3 +106,16 @@ def test_near_duplicates_of_shared_and_missing_ids(spark):
     rows += [(None, text["d"], "none"), (None, text["d"], "none"), (None, text["d"] + " more", "none"), (9, "", "empty"), (10, None, "null")]
     got = sorted(((r.doc_id or 0, (r.text or "")[:2]) for r in stage_two(spark, rows, schema).collect()))
     assert got == [(0, "d0"), (1, "a0"), (5, "b0"), (5, "c0"), (9, ""), (10, "")]
+
+
+def test_names_that_stages_use_themselves_pass_through(spark):
+    own = "n_words n_removed kept_text removed _id _text bucket row component_id draw target"
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in own.split())
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, text if i < 2 else f"the text {i} of some other kind", "en", "a", 1, *own.split()) for i in range(12)]
+    docs = spark.createDataFrame(rows, schema)
+    for name in ("ngram_jaccard_join", "substring_dedup", "benchmark_decontamination"):
+        docs = dict(corpus_pipeline.STAGES)[name](spark, docs, DIR)
+        got = docs.collect()
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+        assert len(got) == 11 and all([r[c] for c in own.split()] == own.split() for r in got)
