@@ -11,18 +11,57 @@ from sparkloom.operators.sparse import normalize
 MEASURES = ("jaccard", "dot", "cosine", "minmax")
 
 
-def pair_sums(m: DataFrame, measure: str) -> DataFrame:
-    """q <= h that share a column, with a_q, a_h (squared norms, or row sums for minmax) and s, the sum of
-    products, or of minima. A pair's similarity is symmetric, so half of the pairs are formed."""
+#: Rows of a column's block. A column of more rows is joined as tiles of a block of queries and one of candidates.
+TILE = 10_000
+
+
+def tiles(rows: DataFrame, m: DataFrame, tile: int) -> DataFrame:
+    """rows with `block`, of `blocks` blocks of its column. Only columns of more than `tile` cells have several."""
+    many = m.groupBy("col").agg(F.count("val").alias("n")).filter(F.col("n") > tile).select("col", F.ceil(F.col("n") / tile).cast("int").alias("blocks"))
+    dealt = rows.join(many, "col", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    return dealt.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+
+
+def may_reach(measure: str, minsim: float):
+    """Whether rows of squared norms (or, for minmax, sums) a1 and a2 can be as similar as `minsim`, from these two
+    alone; None if any can. A dot product is at most the product of the norms. For jaccard with r, the smaller norm
+    by the larger, that leaves r / (1 + r^2 - r) at most, so r has a least value; a sum of minima is at most the
+    smaller sum, if no value is negative (`low`). With a repeated cell in one of the rows (`rep`) nothing of this
+    holds, so such pairs stay. Bounds are a trifle loose, for rounding."""
+    if not minsim > 0:
+        return None
+    loose, low, high, free = 1 - 1e-9, F.least("a1", "a2"), F.greatest("a1", "a2"), F.col("rep1") | F.col("rep2")
+    if measure == "dot":
+        return free | (F.sqrt("a1") * F.sqrt("a2") >= minsim * loose)
+    if minsim > 1:
+        minsim = 1.0
+    if measure == "minmax":
+        return free | (F.least("low1", "low2") < 0) | (low >= high * (minsim * loose))
+    least = 2 * minsim / ((1 + minsim) + ((1 + minsim) ** 2 - 4 * minsim**2) ** 0.5)
+    return free | (low >= high * (least * loose) ** 2)
+
+
+def pair_sums(m: DataFrame, measure: str, minsim: float = 0.0, tile: int = TILE) -> DataFrame:
+    """q <= h that share a column and may reach `minsim`, with own, the sum of their squared norms (or row sums for
+    minmax), and s, the sum of products, or of minima.
+
+    A pair's similarity is symmetric, so half of the pairs are formed. The rows of a frequent column are dealt to
+    blocks, and each two blocks, or a block and itself, are a tile with a join key of its own: a column with a
+    third of all cells is many tasks of at most about `tile` squared pairs.
+    """
     own = F.sum("val") if measure == "minmax" else F.sum(F.col("val") * F.col("val"))
-    rows = m.join(m.groupBy("row").agg(own.alias("own")), "row")
-    q = rows.select("col", F.col("row").alias("q"), F.col("val").alias("vq"), F.col("own").alias("aq"))
-    h = rows.select("col", F.col("row").alias("h"), F.col("val").alias("vh"), F.col("own").alias("ah"))
-    term = F.least("vq", "vh") if measure == "minmax" else F.col("vq") * F.col("vh")
-    return q.join(h, "col").filter("q <= h").groupBy("q", "h").agg(F.sum(term).alias("s"), F.max("aq").alias("aq"), F.max("ah").alias("ah"))
+    norms = m.groupBy("row").agg(own.alias("a"), F.min("val").alias("low"), (F.count_distinct("col") < F.count("*")).alias("rep"))
+    rows = tiles(m.join(norms, "row"), m, tile)
+    one = rows.select("col", F.col("row").alias("r1"), F.col("val").alias("v1"), F.col("a").alias("a1"), F.col("low").alias("low1"), F.col("rep").alias("rep1"), F.col("block").alias("b1"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("b2"))
+    two = rows.select("col", F.col("row").alias("r2"), F.col("val").alias("v2"), F.col("a").alias("a2"), F.col("low").alias("low2"), F.col("rep").alias("rep2"), F.explode(F.sequence(F.lit(0), "block")).alias("b1"), F.col("block").alias("b2"))
+    pairs = one.join(two, ["col", "b1", "b2"]).filter("b1 < b2 or r1 <= r2")
+    bound = may_reach(measure, minsim)
+    term = F.least("v1", "v2") if measure == "minmax" else F.col("v1") * F.col("v2")
+    kept = pairs if bound is None else pairs.filter(bound)
+    return kept.groupBy(F.least("r1", "r2").alias("q"), F.greatest("r1", "r2").alias("h")).agg(F.sum(term).alias("s"), F.max(F.col("a1") + F.col("a2")).alias("own"))
 
 
-def neighbors(m: DataFrame, measure: str = "jaccard", minsim: float = 0.25, nnbrs: int = 100) -> DataFrame:
+def neighbors(m: DataFrame, measure: str = "jaccard", minsim: float = 0.25, nnbrs: int = 100, tile: int = TILE) -> DataFrame:
     """query, neighbor, rank, sim: of each row the `nnbrs` most similar rows (-1: all) with sim >= minsim.
 
     Candidates share a column, so a dot product of 0 or less is one too; a row is its own neighbour; a row
@@ -34,8 +73,8 @@ def neighbors(m: DataFrame, measure: str = "jaccard", minsim: float = 0.25, nnbr
         raise ValueError(f"measure must be one of {MEASURES}")
     if measure == "cosine":
         m, measure = normalize(m, "row", 2), "dot"
-    p = pair_sums(m, measure)
-    sim = F.col("s") if measure == "dot" else F.try_divide(F.col("s"), F.col("aq") + F.col("ah") - F.col("s"))
+    p = pair_sums(m, measure, minsim, tile)
+    sim = F.col("s") if measure == "dot" else F.try_divide(F.col("s"), F.col("own") - F.col("s"))
     p = p.select("q", "h", sim.alias("sim")).filter(F.col("sim").isNotNull() & ~F.isnan("sim") & (F.col("sim") >= minsim))
     both = F.when(F.col("q") == F.col("h"), F.array(F.struct(F.col("q").alias("query"), F.col("h").alias("neighbor")))).otherwise(F.array(F.struct(F.col("q").alias("query"), F.col("h").alias("neighbor")), F.struct(F.col("h").alias("query"), F.col("q").alias("neighbor"))))
     p = p.select(F.explode(both).alias("p"), "sim").select("p.query", "p.neighbor", "sim")

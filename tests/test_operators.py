@@ -82,6 +82,43 @@ def test_similarity_edge_cases(spark):
         sparse.extract_rows(m, 2, 9, nrows=4)
 
 
+@pytest.mark.parametrize("measure, minsim", [("jaccard", 0.25), ("jaccard", 0.9), ("jaccard", 0.0), ("dot", 3.0), ("dot", 9.0), ("cosine", 0.5), ("minmax", 0.4), ("minmax", 1.0)])
+@pytest.mark.parametrize("odd", [False, True])
+def test_tiles_and_bounds_lose_no_pair(spark, measure, minsim, odd):
+    """Against all pairs: a column that every row has, tiles of a few rows; negative values and repeated cells."""
+    import random
+
+    rng = random.Random(5)
+    cells = [(r, c, rng.choice([1.0, 2.0, 0.5, 4.0])) for r in range(60) for c in [0, *rng.sample(range(1, 12), rng.randrange(1, 6))]]
+    if odd:
+        cells += [(r, c, -v) for r, c, v in rng.sample(cells, 20)] + rng.sample(cells, 20) + [(60, 0, -1.0), (61, 0, 3.0)]
+    rows = {}
+    for r, c, v in cells:
+        rows.setdefault(r, []).append((c, v))
+    if measure == "cosine":
+        rows = {r: [(c, v / sum(x * x for _, x in cs) ** 0.5) for c, v in cs] for r, cs in rows.items()}
+    least, kind = min if measure == "minmax" else (lambda x, y: x * y), "dot" if measure == "cosine" else measure
+    own = {r: sum(v if measure == "minmax" else v * v for _, v in cs) for r, cs in rows.items()}
+    want = {}
+    for q, a in rows.items():
+        for h, b in rows.items():
+            shared = [least(x, y) for i, x in a for j, y in b if i == j]
+            below = own[q] + own[h] - sum(shared)
+            if shared and (kind == "dot" or below):
+                want[q, h] = sum(shared) if kind == "dot" else sum(shared) / below
+    close = {p for p, x in want.items() if abs(x - minsim) < 1e-9}
+    found = {(r.query, r.neighbor): r.sim for r in similarity.neighbors(df(spark, cells, "row bigint, col bigint, val double"), measure, minsim, -1, tile=7).collect()}
+    assert {p for p, x in want.items() if x >= minsim} - close == set(found) - close
+    assert all(abs(found[p] - want[p]) < 1e-9 for p in found)
+
+
+def test_a_frequent_column_is_many_keys(spark):
+    m = spark.range(100).selectExpr("id as row", "0L as col", "1.0D as val")
+    dealt = similarity.tiles(m, m, 10)
+    sizes = [r["count"] for r in dealt.groupBy("col", "block").count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 30 and sum(sizes) == 100
+
+
 def test_normalize_keeps_what_sums_to_nothing(spark):
     m = df(spark, [(0, 0, 1.0), (0, 1, -1.0), (1, 0, 2.0), (1, 1, 2.0)], "row bigint, col bigint, val double")
     assert sorted(map(tuple, sparse.normalize(m, "row", 1).collect())) == [(0, 0, 1.0), (0, 1, -1.0), (1, 0, 0.5), (1, 1, 0.5)]
