@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.scratch import bound_batches
 from sparkloom.llm import words as W
+from sparkloom.llm.cluster import give_back
 
 UNKNOWN = "und"
 _SIGN = re.compile(r"[^\W\d_]")
@@ -179,6 +180,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     for r in seen:
         if r.feature >= 0:
             df[r.feature] = r.n
+    del seen
     idf = np.log((1 + total) / (1 + df)) + 1
     if not n:
         return Model([], np.zeros((s.dims + 1, 0)), idf, 1.0, s)
@@ -191,6 +193,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_c
     sample = drawn.mapInArrow(_counted(s), "draw double, label string, features binary").orderBy("draw", "label", "features").limit(2 * s.rows).collect()
     made = [(*vector(*W.unpack(r.features, np.uint32, np.uint32), idf), labels.index(r.label)) for r in sample]
     del sample
+    give_back()
     fitted, held = [x for i, x in enumerate(made) if i % s.calibrate], [x for i, x in enumerate(made) if not i % s.calibrate]
     if len(held) < 20 or len(labels) < 2:
         return Model(labels, ftrl(fitted or made, len(labels), s, min(s.l1)).astype(np.float32), idf, 1.0, s)
@@ -220,6 +223,7 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",),
     A null text, or one without a letter, is `und` with score 0. Rows that repeat are scored alike; other
     columns, of any name, are not looked at. Empty table: empty result."""
     bound_batches(docs.sparkSession)
+    give_back()  # what the fit has left
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("t"))
     fields = ", ".join(f"c{i} {inner.schema[i].dataType.simpleString()}" for i in range(len(carry)))
     return inner.mapInArrow(_predict(model), f"{fields}, p string, q double").toDF(*carry, "lang_pred", "score")
