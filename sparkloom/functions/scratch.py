@@ -9,8 +9,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL: dict[str, str] = {}
-#: Explicit removal of a query's shuffle files when the query has ended.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written: explicit removal of a query's shuffle files when the query has ended; names of generated
+#: classes without the number of their stage, so that rounds of a loop use the classes of the first.
+_WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.codegen.useIdInClassName": "false"}
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Most bytes of an Arrow batch that a Python worker is given; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
@@ -35,12 +36,14 @@ def bound_batches(spark: SparkSession) -> None:
 
 @contextmanager
 def _cleaned(spark: SparkSession):
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k) for k in _WRITES}
+    for k, v in _WRITES.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 class Scratch:
