@@ -47,8 +47,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of each document, of grades 0, 1 (toxic) and 2 (severe), learned from toxic labels."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    graded = docs.select("doc_id", "text").join(labels.select("doc_id", F.col("toxic").alias("grade")), "doc_id")
-    return toxicity.score(docs, toxicity.fit(graded))
+    return toxicity.score(docs, toxicity.fit(docs, grade_col="toxic", labels=labels))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

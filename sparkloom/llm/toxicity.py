@@ -110,29 +110,47 @@ def graded(rows: list[Sparse], toxic: np.ndarray, s: Settings) -> Model:
 
 
 def _places(dims: int):
-    """The features of each text, 4 bytes each."""
+    """The features of each text, which is the last column, 4 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [at.astype(np.int32).tobytes() for at, _ in words(batch.column(2), dims)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["draw", "grade", "features"])
+            made = [at.astype(np.int32).tobytes() for at, _ in words(batch.columns[-1], dims)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], [*batch.schema.names[:-1], "features"])
 
     return run
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", settings: Settings = Settings()) -> Model:
+def _draw(pairs: DataFrame, n: int, s: Settings) -> DataFrame:
+    """Of rows with id, mark (a hash of the text) and grade, `n` in all, those with a `draw` within the sample's share."""
+    draw = F.pmod(F.xxhash64(F.lit(s.seed), "id", "mark", "grade"), F.lit(1 << 30)) / float(1 << 30)
+    return pairs.withColumn("draw", draw).filter(F.col("draw") < F.lit(min(1.0, s.rows / max(1, n))))
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", settings: Settings = Settings(), labels: DataFrame | None = None) -> Model:
     """A model from rows with a text and a grade (0, 1, ...). About `settings.rows` of them are used, twice as many
     at most, by a seeded hash of id, text and grade, the same in every run; only their features come to the driver.
     Where only grades 0 and 1 occur, the toxic rows are graded as `graded` says. Without any rows, or with one grade
     only, every text has grade 0. Null ids take part; a null grade or text is left out; rows that repeat are in or
-    out together; other columns, of any name, are not looked at."""
+    out together; other columns, of any name, are not looked at.
+
+    Where the grades are a table of their own, `labels`, the rows are those of the inner join by id. Ids and hashes
+    alone are joined then; the sample's go to where the texts are, so no text is shuffled."""
     s = settings
     bound_batches(labelled.sparkSession)
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(grade_col).cast("int").alias("grade")).filter("text is not null and grade >= 0")
-    n = rows.count()
-    draw = F.pmod(F.xxhash64(F.lit(s.seed), "id", "text", "grade"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.withColumn("draw", draw).filter(F.col("draw") < F.lit(min(1.0, s.rows / max(1, n)))).select("draw", "grade", "text")
-    sample = drawn.mapInArrow(_places(s.dims), "draw double, grade int, features binary").orderBy("draw", "grade", "features").limit(2 * s.rows).collect()
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([] if labels is not None else [F.col(grade_col).cast("int").alias("grade")])).filter("text is not null").withColumn("mark", F.xxhash64("text"))
+    if labels is None:
+        rows = rows.filter("grade >= 0")
+        drawn = _draw(rows, rows.count(), s).withColumn("times", F.lit(1))
+    else:
+        given = labels.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).filter("id is not null and grade >= 0").groupBy("id", "grade").agg(F.count("*").alias("times"))
+        marks = rows.filter("id is not null").groupBy("id", "mark").agg(F.count("*").alias("rows"))
+        pairs = marks.join(given.hint("merge"), "id")
+        n = pairs.agg(F.sum(F.col("rows") * F.col("times"))).first()[0] or 0
+        few = _draw(pairs, n, s).select("id", "mark", "grade", "times", "draw").orderBy("draw", "id", "mark", "grade").limit(2 * s.rows)
+        drawn = rows.join(F.broadcast(few), ["id", "mark"]).withColumn("times", F.least("times", F.lit(2 * s.rows)).cast("int"))
+    made = drawn.select("draw", "grade", "times", "text").mapInArrow(_places(s.dims), "draw double, grade int, times int, features binary")
+    made = made.withColumn("times", F.explode(F.sequence(F.lit(1), "times")))
+    sample = made.select("draw", "grade", "features").orderBy("draw", "grade", "features").limit(2 * s.rows).collect()
     grades = np.array([r.grade for r in sample], np.int64)
     top = int(grades.max(initial=0)) + 1
     if top < 2 or not (grades == 0).any():

@@ -255,3 +255,48 @@ def test_samples_of_odd_rows(spark):
     few = quality.Settings(rows=10)
     one, two = quality.fit(df, labels, settings=few), quality.fit(df.repartition(3), labels, settings=few)
     assert (one.text == two.text).all() and quality.score(df, one).count() == len(docs)
+
+
+def shuffled(spark, run):
+    """Bytes that the stages of run() write to shuffle files."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        jvm = spark.sparkContext._jvm
+        found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = stages()
+    run()
+    return sum(v for k, v in stages().items() if k not in before)
+
+
+def test_texts_are_not_shuffled(spark, tmp_path):
+    """Also where labels are too many to be broadcast: ids are joined."""
+    rng = np.random.default_rng(2)
+    text = [" ".join(rng.integers(0, 1 << 40, 400).astype(str).tolist()) for _ in range(400)]
+    docs = [(i, ("vile " if i % 5 == 0 else "kind ") + x, "en", "s") for i, x in enumerate(text)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 5 == 0), int(i % 5 > 0)) for i in range(0, 400, 2)], "doc_id bigint, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    size = sum(len(d[1]) for d in docs)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        control = registry.table(spark, str(tmp_path), "documents").repartition(4, "doc_id")
+        assert shuffled(spark, lambda: control.write.format("noop").mode("overwrite").save()) > 0.3 * size
+        assert shuffled(spark, lambda: registry.op5_toxicity(spark, str(tmp_path)).collect()) < 0.05 * size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_toxicity_with_labels_apart(spark):
+    """The sample is that of the join: null and shared ids, repeated rows and labels."""
+    rows = [(i % 40 or None, f"word{i % 7} in a text {i % 50}") for i in range(160)] + [(5, None), (77, "no label")]
+    labels = [(i, i % 2) for i in range(1, 38)] * 2 + [(4, 1), (None, 1), (5, None), (6, -1), (99, 1)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, grade int")
+    for n in (30, 8000):
+        s = toxicity.Settings(rows=n, seen=1)
+        one, two = toxicity.fit(docs.join(labels, "doc_id"), settings=s), toxicity.fit(docs, settings=s, labels=labels)
+        assert (one.weights == two.weights).all() and (one.thresholds == two.thresholds).all() and one.weights.any()
+    assert not toxicity.fit(docs, labels=labels.limit(0)).weights.any()
