@@ -194,8 +194,10 @@ def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", settings: Settings = Settings()) -> Model:
     """A model from the rows of `docs` (text, source, lang) that `labels` (id, 0 or 1) names, and all others with a
     text. Of the labelled ones about `settings.rows` are used, twice as many at most, by a seeded hash, the same in
-    every run; the others are all used, on the executors. Without two classes: quality 0.5. Null ids are not
-    labelled; of labels that repeat an id the largest counts; other columns, of any name, are not looked at."""
+    every run; the others are all used, on the executors, and so are labelled rows beyond the sample, as rows without
+    a label: the ids to leave out are then few, wherever the texts are, and no text is shuffled. Without two classes:
+    quality 0.5. Null ids are not labelled; of labels that repeat an id the largest counts; other columns, of any
+    name, are not looked at."""
     s = settings
     bound_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
@@ -215,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
         at = np.frombuffer(r.m, np.int32).astype(np.int64)
         meta.append((at, np.ones(len(at)) / np.sqrt(len(at))))
     slot = F.pmod(F.xxhash64(F.lit(s.seed + 1), "id", "text"), F.lit(s.slots)).cast("int")
-    pool = rows.join(known.select("id"), "id", "left_anti").select("text", "source", "lang", slot.alias("slot"))
+    pool = rows.join(F.broadcast(few.select("id")), "id", "left_anti").select("text", "source", "lang", slot.alias("slot"))
     return cotrain(text, meta, y, pool, s)
 
 

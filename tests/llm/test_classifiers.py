@@ -272,8 +272,8 @@ def shuffled(spark, run):
     return sum(v for k, v in stages().items() if k not in before)
 
 
-def test_texts_are_not_shuffled(spark, tmp_path):
-    """Also where labels are too many to be broadcast: ids are joined."""
+def test_texts_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Also where labels are too many to be broadcast: op5 and op6 join ids."""
     rng = np.random.default_rng(2)
     text = [" ".join(rng.integers(0, 1 << 40, 400).astype(str).tolist()) for _ in range(400)]
     docs = [(i, ("vile " if i % 5 == 0 else "kind ") + x, "en", "s") for i, x in enumerate(text)]
@@ -286,6 +286,8 @@ def test_texts_are_not_shuffled(spark, tmp_path):
         control = registry.table(spark, str(tmp_path), "documents").repartition(4, "doc_id")
         assert shuffled(spark, lambda: control.write.format("noop").mode("overwrite").save()) > 0.3 * size
         assert shuffled(spark, lambda: registry.op5_toxicity(spark, str(tmp_path)).collect()) < 0.05 * size
+        monkeypatch.setattr(quality, "_sums", lambda w, s: lambda batches: iter(()))  # the means of so few rows would outweigh them
+        assert shuffled(spark, lambda: registry.op6_quality_classifier(spark, str(tmp_path)).collect()) < 0.05 * size
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
@@ -300,3 +302,16 @@ def test_toxicity_with_labels_apart(spark):
         one, two = toxicity.fit(docs.join(labels, "doc_id"), settings=s), toxicity.fit(docs, settings=s, labels=labels)
         assert (one.weights == two.weights).all() and (one.thresholds == two.thresholds).all() and one.weights.any()
     assert not toxicity.fit(docs, labels=labels.limit(0)).weights.any()
+
+
+def test_quality_exchanges_labelled_rows_beyond_the_sample(spark, monkeypatch):
+    """Every row with a text is in the sample or in the pool."""
+    pools = []
+    monkeypatch.setattr(quality, "exchange", lambda pool, w, s: pools.append(pool.count()) or [])
+    docs = spark.createDataFrame([(i if i < 390 else None, f"word{i % 7} in text {i}", "en", "s") for i in range(400)], "doc_id bigint, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, quality int")
+    s, seen = quality.Settings(rows=40), []
+    plain = quality.cotrain
+    monkeypatch.setattr(quality, "cotrain", lambda text, *rest: seen.append(len(text)) or plain(text, *rest))
+    quality.fit(docs, labels, settings=s)
+    assert 0 < seen[0] <= 80 and pools == [400 - seen[0]]
