@@ -45,6 +45,8 @@ LINK = "kind int, a bigint, b bigint, k bigint, s binary"
 COUNTERS, COUNTED = 1 << 20, 4
 #: Of a posting list of subsets with one element more, a set is compared with so many times fewer in vain.
 PER_ELEMENT = 4.0
+#: Bits of the map of ids whose texts a wave reads, and of a row of it.
+MAP_BITS, ROW_BITS = 1 << 26, 1 << 15
 #: Sets in a block of a large family.
 BLOCK = 128
 
@@ -457,8 +459,20 @@ def _candidates(keyed: DataFrame, sketches: DataFrame, threshold: Fraction, bloc
     return passed.unionByName(rows.groupBy("g").applyInArrow(_pass(threshold), "a bigint, b bigint"))
 
 
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `texts` (_id, _text) whose id may be in `ids` (id): all that are, and few others. A map of the hashed
+    ids, of MAP_BITS at most, goes to where the texts are, so that a join that follows shuffles no others."""
+    place = lambda x: F.pmod(F.xxhash64(x), F.lit(MAP_BITS))
+    row, bit = lambda x: F.floor(place(x) / ROW_BITS).cast("int"), lambda x: F.pmod(place(x), F.lit(ROW_BITS))
+    bits = ids.groupBy(row("id").alias("_row")).agg(F.bitmap_construct_agg(bit("id")).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit("_id") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    marked = texts.withColumn("_row", row("_id")).join(F.broadcast(bits), "_row")
+    return marked.filter(F.call_function("shiftright", byte, F.pmod(bit("_id"), F.lit(8)).cast("int")).bitwiseAND(1) == 1).select(*texts.columns)
+
+
 def _tiles(members: DataFrame, pairs_of: DataFrame, texts: DataFrame, k: int, threshold: Fraction, n: int) -> DataFrame:
-    """members: id, fam, blk, known. pairs_of: fam, blk, tile, side. Links found in these tiles."""
+    """members: id, fam, blk, known. pairs_of: fam, blk, tile, side. Links found in these tiles. texts: all that
+    members need, at least."""
     placed = members.join(pairs_of, ["fam", "blk"]).select("id", "known", "tile", "side")
     whole = texts.join(placed, texts["_id"] == placed["id"]).select("_text", "id", "known", "tile", "side")
     sets = whole.mapInArrow(_sets(k), "id bigint, known bigint, tile bigint, side int, items binary")
@@ -517,7 +531,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = blocks.filter("i = 0").select(F.col("fam"), F.col("band"), F.col("blk").alias("x"))
     first = blocks.select("fam", "band", F.col("blk").alias("y"), "i")
     one = first.select("fam", F.col("y").alias("x"), "y").unionByName(heads.join(first.filter("i > 0"), ["fam", "band"]).select("fam", "x", "y")).unionByName(heads.select("fam", (F.col("band") + 1).alias("band"), "x").join(first, ["fam", "band"]).select("fam", "x", "y"))
-    found = scratch.save(_tiles(members.select("id", "fam", "blk", "known"), tiles(one), texts, shingle, threshold, n))
+    found = scratch.save(_tiles(members.select("id", "fam", "blk", "known"), tiles(one), _only(texts, members), shingle, threshold, n))
     large = shape.filter(F.col("all_members") > block)
     if not large.isEmpty():
         # Second wave: what is not yet in its family's largest component, against all of the family.
@@ -530,7 +544,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         every = blocks.select("fam", "band", F.col("blk").alias("y"))
         pairs = rest.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(every, ["fam", "band"]).select("fam", "x", "y")
         wide = now.unionByName(apart.withColumn("blk", -F.col("blk") - 1))
-        found = found.unionByName(scratch.save(_tiles(wide, tiles(pairs), texts, shingle, threshold, n)))
+        found = found.unionByName(scratch.save(_tiles(wide, tiles(pairs), _only(texts, members.filter(F.col("all_members") > block)), shingle, threshold, n)))
     links = found.unionByName(same)
     comp = components(links, Scratch(docs.sparkSession, "links"), "a", "b")
     return sizes.join(comp, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from sparkloom.llm import jaccard_join
 from sparkloom.llm import words as W
 from sparkloom.llm.cluster import Scratch, components, join_skewed
 from sparkloom.llm.jaccard_join import COUNTED, COUNTERS, Bands, Posts, _light, _segments, _signatures, jaccard_components, posting_counts
@@ -156,3 +157,15 @@ def test_hubs_and_chains(spark):
     many = spark.createDataFrame([(i % 3 if i < 600 else i, i) for i in range(900)], "k int, x int")
     one = spark.createDataFrame([(i, -i) for i in range(800)], "k int, y int")
     assert sorted(map(tuple, join_skewed(many, one, "k").collect())) == sorted(map(tuple, many.join(one, "k").collect()))
+
+
+def test_only_texts_that_a_wave_reads(spark):
+    """All rows of the given ids, repeated and negative ones too, and few others."""
+    ids = list(range(-500, 500)) + [2**62, -(2**62), 7, 7]
+    texts = spark.createDataFrame([(i, f"text {i}") for i in ids], "_id bigint, _text string")
+    want = spark.createDataFrame([(i,) for i in ids if i % 5 == 0 or i == 7], "id bigint")
+    got = jaccard_join._only(texts, want).collect()
+    few = {r.id for r in want.collect()}
+    assert sorted(r._id for r in got if r._id in few) == sorted(i for i in ids if i in few)
+    assert len(got) < len([i for i in ids if i in few]) + 10 and all(r._text == f"text {r._id}" for r in got)
+    assert jaccard_join._only(texts, want.limit(0)).count() == 0
