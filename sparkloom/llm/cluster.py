@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import ctypes
+import time
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scratch import Scratch
 
-__all__ = ["Scratch", "bucket_count", "components", "give_back", "join_skewed", "numbered"]
+__all__ = ["Scratch", "bucket_count", "components", "give_back", "give_back_driver", "join_skewed", "numbered"]
+
+#: Rounds of components() have the driver return memory so many seconds apart at least, and when they last did.
+DRIVER_SECONDS, _driver = 10.0, {"last": 0.0}
 
 
 @cache
@@ -28,6 +33,21 @@ def give_back() -> None:
     _trim()(0)
 
 
+def give_back_driver(spark: SparkSession) -> None:
+    """Return memory that the driver's JVM has freed to the system. Short queries by the dozen leave garbage, for which
+    the heap grows instead of being collected, and native memory in the arenas of hundreds of threads."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    try:
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = gateway.new_array(jvm.java.lang.Object, 4)  # the last two, arguments and their types, stay null
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        call.invoke(server, args)
+    except Py4JError:  # another JVM or system
+        pass
+
+
 def bucket_count(docs: DataFrame, text: str, bytes_each: int = 6_000_000) -> int:
     """Buckets so that each holds about `bytes_each` of text, and shuffle partitions at least."""
     spark = docs.sparkSession
@@ -59,7 +79,7 @@ def components(edges: DataFrame, scratch: Scratch, u: str = "u", v: str = "v") -
 
     Alternating large-star and small-star rounds, O(log^2) of them. Minima are aggregated before their shuffle, and
     the joins with them may be split at a vertex of very many edges. A round is one table; its edges are counted and
-    summed while they are written, and the table before it is dropped.
+    summed while they are written, and the table before it is dropped. Now and then the driver returns memory.
     """
     sums = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
     e, now = scratch.measure(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), *sums)
@@ -72,6 +92,9 @@ def components(edges: DataFrame, scratch: Scratch, u: str = "u", v: str = "v") -
         before, was = e, now
         e, now = scratch.measure(small.filter("u <> v").distinct(), *sums)
         scratch.drop(before)
+        if time.monotonic() - _driver["last"] >= DRIVER_SECONDS:
+            give_back_driver(edges.sparkSession)
+            _driver["last"] = time.monotonic()
         if now == was:
             break
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -1,15 +1,18 @@
 """The Jaccard join against all pairs of a small fixture."""
 
+import gc
 import random
 import re
+import time
 
 from fractions import Fraction
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from sparkloom.llm import jaccard_join
+from sparkloom.llm import cluster, jaccard_join
 from sparkloom.llm import words as W
 from sparkloom.llm.cluster import Scratch, components, join_skewed
 from sparkloom.llm.jaccard_join import COUNTED, COUNTERS, Bands, Posts, _light, _segments, _signatures, jaccard_components, posting_counts
@@ -159,6 +162,37 @@ def test_hubs_and_chains(spark):
     assert sorted(map(tuple, join_skewed(many, one, "k").collect())) == sorted(map(tuple, many.join(one, "k").collect()))
 
 
+def test_rounds_return_the_memory_of_the_driver(spark, monkeypatch):
+    """Rounds have the JVM return its heap's garbage, but not again too soon; what native code has freed goes as well."""
+    jvm = spark._jvm
+    pid, runtime = jvm.java.lang.ProcessHandle.current().pid(), jvm.java.lang.Runtime.getRuntime()
+    used = lambda: (runtime.totalMemory() - runtime.freeMemory()) >> 20
+    held = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text()))) >> 10
+    df, scratch = spark.createDataFrame([(0, 1)], "u bigint, v bigint"), Scratch(spark, "test")
+    monkeypatch.setattr(cluster, "DRIVER_SECONDS", 3600.0)
+    monkeypatch.setitem(cluster._driver, "last", time.monotonic())
+    last = cluster._driver["last"]
+    garbage = spark.sparkContext._gateway.new_array(jvm.byte, 200 << 20)
+    assert sorted(map(tuple, components(df, scratch).collect())) == [(0, 0), (1, 0)]
+    before, was = used(), held()
+    assert cluster._driver["last"] == last
+    cluster._driver["last"] -= 3600
+    del garbage
+    gc.collect()
+    assert sorted(map(tuple, components(df, scratch).collect())) == [(0, 0), (1, 0)]
+    assert cluster._driver["last"] > last and used() < before - 150 and held() < was - 150
+    packers = [jvm.java.util.zip.Deflater() for _ in range(1200)]
+    for i, x in enumerate(packers):
+        if i % 100:
+            x.end()  # one that stays keeps what lies below it from going by itself
+    jvm.System.gc()
+    was = held()
+    cluster.give_back_driver(spark)
+    assert held() < was - 20
+    for x in packers:
+        x.end()
+
+
 def test_only_texts_that_a_wave_reads(spark):
     """All rows of the given ids, repeated and negative ones too, and few others."""
     ids = list(range(-500, 500)) + [2**62, -(2**62), 7, 7]
