@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import language_id, quality, toxicity
+from sparkloom.llm.bpe import bpe_decode, bpe_encode
 from sparkloom.llm.decontaminate import contaminated
 from sparkloom.llm.folds import held_out, learnable
 from sparkloom.llm.html_extract import extract_text
@@ -79,6 +80,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each whole text by a byte-level vocabulary, and the text that they decode to, as digests."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path), path)
+    listed = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -92,4 +103,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
-}
\ No newline at end of file
+    "op11_bpe": op11_bpe,
+}
