@@ -30,7 +30,7 @@ from sparkloom.llm.words import text_buffers
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: White space, and the endings that the pattern cuts off after an apostrophe.
-_WHITE = re.compile("[\t-\r \x85\xa0  -     　]")
+_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 _BEFORE_SPACE = re.compile(r"\S(?=\s)")
 #: Characters that are cut and looked up at a time; a stretch without white space is never parted.

@@ -70,7 +70,8 @@ def join_skewed(many: DataFrame, one: DataFrame, *keys: str) -> DataFrame:
     """The inner join of `many`, any number of rows of a key, and `one`, few rows of a key. Both sides come out of an
     exchange of the join's own, also where `one` is an aggregate by the key: only then may Spark, as it runs, split
     the partition of a hot key and give each part the other side's rows. What follows must shuffle anyway."""
-    moved = one.withColumn(keys[0], F.col(keys[0]).bitwiseOR(F.lit(0)))  # the same key, but not known to be dealt by it
+    same = F.concat(keys[0], F.lit("")) if one.schema[keys[0]].dataType.typeName() == "string" else F.col(keys[0]).bitwiseOR(F.lit(0))
+    moved = one.withColumn(keys[0], same)  # the same key, but not known to be dealt by it
     return many.join(moved, list(keys))
 
 

@@ -12,6 +12,17 @@ SELECT {key}, w, unnest(range(1, greatest(len(w) - {k - 2}, 2))) i FROM (SELECT
 
 _REACH = """reach(id, c) AS (SELECT id, id FROM ids UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.id)"""
 
+#: The table of crc32, by its rule.
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) t FROM range(256) r(i))"
+
+
+def _crc(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 bytes of a text of code points up to U+00FF; t is the table."""
+    cut = f"list_transform(string_split({text}, ''), lambda c: unicode(c)::BIGINT)"
+    data = f"flatten(list_transform({cut}, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + (c >> 6), 128 + (c & 63)] END))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
 ORACLES = {
     "op2_ngram_jaccard_join": f"""WITH RECURSIVE ids AS MATERIALIZED (SELECT doc_id id FROM documents),
 s AS MATERIALIZED ({_shingles("documents", "doc_id", 3)}),
@@ -36,4 +47,31 @@ SELECT w.doc_id, len(w.w)::BIGINT n_words, coalesce(n_removed, 0)::BIGINT n_remo
     "op7_benchmark_decontamination": f"""WITH d AS MATERIALIZED ({_shingles("documents", "doc_id", 5)}), b AS MATERIALIZED ({_shingles("benchmark", "item_id", 5)}),
 n AS (SELECT item_id, count(*) n FROM b GROUP BY 1)
 SELECT doc_id, item_id, count(*)::BIGINT n_shared, n.n::BIGINT n_item, count(*)::DOUBLE / n.n AS containment FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n.n HAVING 5 * count(*) >= 4 * n.n""",
+    "op12_conversation_trie": f"""WITH {_CRC_TABLE},
+turns AS (SELECT conv_id c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) r,
+  {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} s FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (SELECT c, list(s ORDER BY r) s FROM turns GROUP BY c),
+h AS MATERIALIZED (SELECT c, s, ({_crc("c::VARCHAR")} % 4)::BIGINT h FROM own, crc),
+conv AS MATERIALIZED (SELECT h.c, list_concat(coalesce(b.s, [])[1:h], h.s[h + 1:]) s FROM h LEFT JOIN own b ON b.c = h.c - h.c % 20),
+pre AS MATERIALIZED (SELECT c, d, s[1:d] p, d = len(s) ends FROM (SELECT c, s, unnest(range(0, len(s) + 1)) d FROM conv)),
+node AS MATERIALIZED (SELECT p, d, min(c) c, count(*) n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) e FROM pre GROUP BY p, d),
+kids AS MATERIALIZED (SELECT p[1:d - 1] p, count(*) k FROM node WHERE d > 0 GROUP BY 1),
+own_sums AS (SELECT node.p, d, kids.k IS NULL leaf, CASE WHEN d > 0 THEN (n - 1) * len(regexp_extract_all(node.p[d].text, '{_WORDS}')) ELSE 0 END saved FROM node LEFT JOIN kids ON kids.p = node.p),
+sums AS (SELECT p[1:u] p, count(*) FILTER (WHERE leaf) leaves, sum(saved) saved FROM (SELECT p, leaf, saved, unnest(range(0, d + 1)) u FROM own_sums) GROUP BY 1)
+SELECT node.c::BIGINT conv_id, node.d::BIGINT AS depth, up.c::BIGINT parent_conv_id, node.n::BIGINT n_convs, coalesce(kids.k, 0)::BIGINT n_children, leaves::BIGINT n_leaves, saved::BIGINT saved_tokens, node.e ends_sha256
+FROM node JOIN sums ON sums.p = node.p LEFT JOIN kids ON kids.p = node.p LEFT JOIN node up ON node.d > 0 AND up.p = node.p[1:node.d - 1]""",
+    "op13_spelling_variants": f"""WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT doc_id, {_LOWER.replace("text", "unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+'))")} w FROM documents),
+each AS MATERIALIZED (SELECT doc_id, w, count(*) n FROM runs WHERE length(w) >= 7 GROUP BY 1, 2),
+hashed AS (SELECT w, n, ({_crc("coalesce(doc_id::VARCHAR, '') || ':' || w")})::BIGINT h FROM each, crc),
+word AS MATERIALIZED (SELECT w, sum(n)::BIGINT n FROM (SELECT CASE WHEN h % 31 = 0 THEN substring(w, 1, h % length(w)) || substring(w, h % length(w) + 2) ELSE w END w, n FROM hashed) WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+less AS MATERIALIZED (SELECT DISTINCT w, length(w) l, i, substring(w, 1, i - 1) || substring(w, i + 1) x FROM (SELECT w, unnest(range(1, length(w) + 1)) i FROM word)),
+pairs AS MATERIALIZED (SELECT DISTINCT a, b FROM (
+  SELECT p.w a, q.w b FROM less p JOIN less q ON p.x = q.x AND p.i = q.i AND p.w <> q.w
+  UNION ALL SELECT p.w, q.w FROM less p JOIN word q ON p.x = q.w
+  UNION ALL SELECT q.w, p.w FROM less p JOIN word q ON p.x = q.w)),
+near AS MATERIALIZED (SELECT a, count(*) k, first({{'w': b, 'n': y.n}} ORDER BY y.n DESC, b) best FROM pairs JOIN word y ON y.w = b GROUP BY a),
+one AS MATERIALIZED (SELECT word.w, word.n, coalesce(k, 0) k, CASE WHEN best.n >= 10 * word.n THEN best END f FROM word LEFT JOIN near ON a = word.w),
+chain(w, cur, i) AS (SELECT w, w, 0 FROM one UNION ALL SELECT chain.w, one.f.w, i + 1 FROM chain JOIN one ON one.w = chain.cur WHERE one.f IS NOT NULL)
+SELECT one.w AS word, f.w AS form, r.root, n, k::BIGINT n_near, f.n::BIGINT form_n FROM one JOIN (SELECT w, arg_max(cur, i) root FROM chain GROUP BY w) r ON r.w = one.w""",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import language_id, quality, toxicity
 from sparkloom.llm.bpe import bpe_decode, bpe_encode
+from sparkloom.llm.conversation_trie import conversation_trie
 from sparkloom.llm.decontaminate import contaminated
 from sparkloom.llm.folds import held_out, learnable
 from sparkloom.llm.html_extract import extract_text
@@ -16,6 +17,7 @@ from sparkloom.llm.jaccard_join import jaccard_components
 from sparkloom.llm.mixing import mix_sources
 from sparkloom.llm.near_vectors import near_vectors
 from sparkloom.llm.oracles import ORACLES
+from sparkloom.llm.spelling import spelling_variants, word_counts
 from sparkloom.llm.substrings import substring_dedup
 from sparkloom.llm.token_counts import count_tokens
 
@@ -90,6 +92,16 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of conversations that begin with turns of every twentieth."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that are one edit apart, and the frequent form that each leads to."""
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents")))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -104,4 +116,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_mixing": op10_mixing,
     "op11_bpe": op11_bpe,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
