@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.scratch import Scratch, bound_batches
 
-#: Rows of a subtrie that one task may be given.
-LIMIT = 200_000
+#: Rows of a subtrie that one task may be given: a partition's share of all rows, but not fewer than the first nor
+#: more than the second.
+LEAST, LIMIT = 1_000, 200_000
 #: Turns of one conversation that one task may be given.
 BLOCK = 1 << 16
 #: Ids of a node that are one string; their digest takes strings one after the other.
@@ -142,7 +143,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def prefix_trie(turns: DataFrame, scratch: Scratch | None = None, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+def prefix_trie(turns: DataFrame, scratch: Scratch | None = None, limit: int | None = None, block: int = BLOCK) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of each node of the
     trie of conversations, given as rebuilt() or ordered_turns() with depths from 1 gives them: conv, depth, d1, d2,
     words, and a row of depth 0 for each conversation, which alone makes a member of the root.
@@ -161,6 +162,9 @@ def prefix_trie(turns: DataFrame, scratch: Scratch | None = None, limit: int = L
     keyed = running(rows.withColumns({"z1": place[0], "z2": place[1]}), ["conv"], "block", F.col("depth"), k1=(F.bit_xor, F.col("z1"), xor), k2=(F.bit_xor, F.col("z2"), xor))
     keyed, found = scratch.measure(keyed.withColumns({"p1": xor(F.col("k1"), F.col("z1")), "p2": xor(F.col("k2"), F.col("z2"))}).drop("z1", "z2", "block"), F.count("*").alias("rows"))
     scratch.drop(rows)
+    partitions = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    if limit is None:
+        limit = min(LIMIT, max(LEAST, found["rows"] // partitions))
     # Equal conversations are one sequence, named by its smallest id.
     ends = scratch.save(keyed.groupBy("conv").agg(F.max(F.struct("depth", "k1", "k2")).alias("end")).select("conv", "end.*"))
     seqs = scratch.save(ends.groupBy(_KEY).agg(F.min("conv").alias("seq"), F.count("*").alias("n")))
@@ -171,7 +175,7 @@ def prefix_trie(turns: DataFrame, scratch: Scratch | None = None, limit: int = L
     above = scratch.save(steps.join(heavy, _KEY))
     start = steps.join(above.groupBy("seq").agg(F.max("depth").alias("last")), "seq", "left").filter("depth = coalesce(last, 0) + 1")
     start = start.select("seq", F.col("depth").alias("start"), F.col("k1").alias("g1"), F.col("k2").alias("g2"))
-    n_buckets = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), -(-found["rows"] // max(limit, 1)))
+    n_buckets = max(partitions, -(-found["rows"] // max(limit, 1)))
     dealt = steps.join(start, "seq").filter("depth >= start").withColumn("bucket", F.pmod(F.xxhash64("g1", "g2"), F.lit(n_buckets)))
     low = scratch.save(dealt.drop("g1", "g2", "length").groupBy("bucket").applyInPandas(_tries, _NODE))
     top = scratch.save(_top(seqs, above, low.filter("above is null"), block))
@@ -208,7 +212,7 @@ def _top(seqs: DataFrame, above: DataFrame, parts: DataFrame, block: int) -> Dat
     return out.select("k1", "k2", "depth", "p1", "p2", "conv", F.lit(None).cast("bigint").alias("above"), "n", "children", "leaves", "saved")
 
 
-def conversation_trie(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", group: int = 20, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+def conversation_trie(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", group: int = 20, limit: int | None = None, block: int = BLOCK) -> DataFrame:
     """prefix_trie() of rebuilt() conversations. Rows are turns; those without a conversation's id belong to none
     and go. A null turn number comes first, a null role or text is empty. Turns of one number come in order of role
     and text; a repeated row is one more turn. Texts count whole, whatever their length. Other columns, of any name,
