@@ -31,8 +31,9 @@ from pyspark.sql.types import IntegerType
 from sparkloom.functions.scratch import Scratch, bound_batches
 from sparkloom.llm.cluster import give_back, join_skewed
 
-#: Words that one task's tries may have together, about, and words of one subtrie at most.
-LIMIT = 50_000
+#: Words that one task's tries may have together, about, and words of one subtrie at most: a partition's share of all
+#: words, but not fewer than the first nor more than the second.
+LEAST, LIMIT = 1_000, 50_000
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 200_000
 _LAST = chr(0x10FFFF)
@@ -156,14 +157,16 @@ def _links(batch: pa.Table) -> pa.Table:
     return pa.table([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], ["word", "near", "most", "best"])
 
 
-def near_words(words: DataFrame, scratch: Scratch, limit: int = LIMIT) -> DataFrame:
+def near_words(words: DataFrame, scratch: Scratch, limit: int | None = None) -> DataFrame:
     """(word, near, most, best): of each of the distinct words of (word, n) that differs from another by exactly one
     inserted, deleted or replaced code point, the number of such words, and n and text of the best, which has most n
     and is the smallest of those. Words without any have no row. A word may be as long as a text; an empty word, too,
-    is a word."""
-    words = scratch.save(words.select("word", "n"))
-    total = words.count()
-    rows, dealt, tops = words.withColumn("node", F.lit("")), [], []
+    is a word. The result does not depend on the limit."""
+    rows, seen = scratch.measure(words.select("word", "n", F.lit("").alias("node")), F.count("*").alias("rows"))
+    words, partitions = rows.drop("node"), int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    if limit is None:
+        limit = min(LIMIT, max(LEAST, seen["rows"] // partitions))
+    dealt, tops = [], []
     while True:
         size = rows.groupBy("node").agg(F.count("*").alias("c"), F.min("word").alias("lo"), F.max("word").alias("hi"))
         top = scratch.save(size.filter(F.col("c") > max(limit, 1)).select("node", _common_prefix("lo", "hi").alias("d")))
@@ -175,7 +178,7 @@ def near_words(words: DataFrame, scratch: Scratch, limit: int = LIMIT) -> DataFr
         here = scratch.save(join_skewed(here, heavy, "node"))
         tops.append(here.filter("letter <> heavy").drop("node"))
         rows = here.filter("letter <> ''").select(F.expr("substring(word, 1, d + 1)").alias("node"), "word", "n")
-    buckets = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), -(-total // max(limit, 1)))
+    buckets = max(partitions, -(-seen["rows"] // max(limit, 1)))
     below = dealt[0]
     for d in dealt[1:]:
         below = below.unionByName(d)
@@ -208,7 +211,7 @@ def _merged(light: DataFrame, words: DataFrame) -> DataFrame:
     return met.unionByName(both)
 
 
-def spelling_variants(words: DataFrame, times: int = 10, limit: int = LIMIT) -> DataFrame:
+def spelling_variants(words: DataFrame, times: int = 10, limit: int | None = None) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of each of the distinct words of (word, n).
 
     n_near counts the words that are near: one inserted, deleted or replaced code point apart. form is the near word
