@@ -27,6 +27,8 @@ _NAMED = (
     f'<body><header><h1><a href="/">The Valley Post</a></h1></header><article><h1 data-keep><a href="/bridge">Bridge closed</a></h1><p data-keep>{_LONG}</p><p><a href="/more">Read also: how the old bridge over the river was built, who paid for it, and why it had to be closed twice before this year</a></p><p data-keep>{_MORE}</p><ul>{_LINKS}</ul><p data-keep>No one was hurt.</p><div class="related"><h3><a href="/f">The ferry</a></h3></div></article><aside><h3><a href="/top">Most read</a></h3><p>{_LONG}</p></aside><div><h2><a href="/s">The square and the market</a></h2></div></body>',
     f'<body><div><p>{_MORE} {_LONG}</p></div><article data-keep><h1>Flood</h1><p>{_LONG}</p><p>It rained.</p></article><div><p>{_LONG}</p><p>{_MORE}</p></div><p>{_MORE} {_MORE}</p></body>',
     f'<body><article><p data-keep>{_MORE}</p><p><a href="/q">All news of the valley</a></p><p><a href="/r">All news of the hills and of the coast</a></p><p data-keep>{_LONG}</p></article></body>',
+    f'<body><article data-keep><h1>Flood</h1><div class="elementor-widget"><p>{_LONG}</p><p>It rained.</p></div><section id="comments-on-the-law"><h2 id="privacy">On privacy</h2><p>{_MORE}</p></section></article><div class="widget"><p>{_LONG}</p></div></body>',
+    f'<body><article><h1 data-keep>Flood</h1><div class="widget" data-keep><p>{_LONG}</p><p>{_MORE}</p><p>{_LONG}</p></div><div class="ad-box"><p>Lamps, lamps, lamps.</p></div><section class="comments"><p>{_MORE}</p><p>{_LONG} {_LONG} {_LONG}</p></section></article></body>',
     f'<body><article><p><a href="/z">The valley, the mill, the bridge, the ferry, the square and the market in many old pictures</a></p></article><div><p>Printed by the mill press</p></div></body>',
 )
 
@@ -39,6 +41,8 @@ _PLAIN = (
     f'<body><p data-keep>{_LONG}</p><p data-keep>{_MORE}</p></body>',
     f'<body><h1 data-keep>The old mill and its people</h1><p data-keep>{_MORE}</p><p data-keep>{_LONG}</p><p>Imprint</p></body>',
     f'<body class="page has-sidebar"><h2><a href="/">The Valley Post</a></h2><div class="no-sidebar content"><p data-keep>{_LONG}</p><p><a href="/1">What the people of the valley said of the flood, of the bridge and of the ferry in the days that came after it</a></p><p data-keep>{_MORE}</p><p><a href="/2">The ferry</a> | <a href="/3">The bridge</a> | <a href="/4">The old mill beside the square</a></p></div><div class="comments"><p>{_MORE}</p></div></body>',
+    f'<body><div><a href="/">Home</a></div><div data-keep><h1>Bread</h1><p>{_LONG}</p><p>Bake it.</p><h2>Then</h2><p>{_MORE}</p><ul><li>Salt</li></ul><p>{_LONG}</p></div><div><p>Imprint</p></div></body>',
+    f'<body><p data-keep>{_LONG}</p><p data-keep>Wait.</p><p data-keep>Turn it.</p><p data-keep>{_MORE}</p><h3 data-keep>Last</h3><p data-keep>{_LONG}</p><p>All rights reserved</p></body>',
     f'<body><div data-keep><p>{_MORE}</p></div><div class="ad-box">Lamps for every room and every purse, now at half the price of last year.</div></body>',
 )
 
@@ -49,6 +53,9 @@ _TEXTS = (
     (f"{_LONG} {_LONG} {_MORE}", f"{_MORE} {_MORE} {_MORE} {_LONG}"),
     ('Most of this sentence <a href="/q">is a link that leads to another page</a>', 'A sentence half of which <a href="/h">is a link to a page</a>'),
 )
+_WORDS = f"{_LONG} {_MORE} {_LONG}".split()
+#: Texts of further lengths, in words: prose is prose whatever it has to say.
+_LENGTHS = tuple((" ".join(_WORDS[:n]), " ".join(_WORDS[5 : 5 + n + 2])) for n in (14, 17, 20, 24, 33, 48))
 
 
 def _further(page: str, texts: tuple[tuple[str, str], ...]) -> list[str]:
@@ -61,4 +68,4 @@ def _only_article(page: str) -> list[str]:
     return [f"<body>{page[at:stop]}</article></body>"] if 0 <= at < stop and page.count("<article") == 1 else []
 
 
-PAGES = tuple(v for p in (*_STRUCTURED, *_NAMED) for q in [p, *_only_article(p)] for v in [q, *_further(q, _TEXTS)]) + tuple(v for p in _PLAIN for v in [p, *_further(p, _TEXTS[2:3])])
+PAGES = tuple(v for p in (*_STRUCTURED, *_NAMED) for q in [p, *_only_article(p)] for v in [q, *_further(q, _TEXTS)]) + tuple(v for p in _PLAIN for v in [p, *_further(p, (_TEXTS[2], *_LENGTHS))])

@@ -99,3 +99,110 @@ def test_pages_without_an_article():
             else:
                 page.append(f"<p><a href=/x>{text}</a></p>")
         assert main_text("".join(page), tree()) == "\n\n".join(want)
+
+
+WORDS = " ".join(f"word{i}" for i in range(22)), " ".join(f"name{i}" for i in range(22))
+TOPICAL = "elementor-widget widget-content privacy-law search-algorithms menu-items social-history share-prices login-security legal-analysis comments-on-the-law related-works adverse tagline footerless no-comments has-ads".split()
+
+
+def test_ordinary_class_names_hide_nothing():
+    one, two = WORDS
+    for name in [*TOPICAL, "widget", "notice", "alert"]:  # the last three hold most of the article
+        for page in (
+            f'<article><h1>T</h1><div class="{name}"><p>{one}</p><p>{two}</p></div></article>',
+            f'<article class="{name}"><h1>T</h1><p>{one}</p><p>{two}</p></article>',
+            f'<body class="{name}"><nav class=x>Menu</nav><article><h1>T</h1><section class="{name}"><p>{one}</p><p>{two}</p></section></article><footer>x</footer>',
+        ):
+            assert main_text(page, tree()) == f"T\n\n{one}\n\n{two}", page
+    for name in TOPICAL:  # a small part of the article, too
+        page = f'<article><h1>T</h1><p>{one}</p><p>{two}</p><div class="{name}"><p>Three more words.</p></div></article>'
+        assert main_text(page, tree()) == f"T\n\n{one}\n\n{two}\n\nThree more words.", page
+
+
+def test_ids_of_headings_and_topics_are_anchors():
+    one, two = WORDS
+    page = f'<article><h1 id="comments">T</h1><p>{one}</p><h2 id="privacy">Privacy</h2><section id="navigation"><p>{two}</p></section></article>'
+    assert main_text(page, tree()) == f"T\n\n{one}\n\nPrivacy\n\n{two}"
+
+
+def test_names_of_small_parts_of_an_article_hide_them():
+    one, two = WORDS
+    for name in ("ad", "ad-box", "cookie-notice", "newsletter-signup", "sidebar-left", "share-buttons", "related", "notice", "post-comments", "site-footer", "relatedPosts", "commentList"):
+        page = f'<article><h1>T</h1><p>{one}</p><div class="{name}"><p>Some words that are no part of it.</p></div><p>{two}</p></article>'
+        want = f"T\n\n{one}\n\n{two}" if name != "relatedPosts" else f"T\n\n{one}\n\nSome words that are no part of it.\n\n{two}"
+        assert main_text(page, tree()) == want, name
+    comments = f'<article><h1>T</h1><p>{one}</p><section class="comments"><div class="widget"><p>{two}</p></div><p>{two} {one} {two}</p></section></article>'
+    assert main_text(comments, tree()) == f"T\n\n{one}"
+
+
+def test_the_largest_of_equal_articles_is_the_first():
+    one, two = WORDS
+    page = f'<div class="related"><article><p>{one}</p></article></div><article class="comments"><p>{two}</p></article><article class="comments"><p>{one}</p></article>'
+    assert main_text(page, tree()) == two
+
+
+def test_short_paragraphs_between_prose():
+    one, two = WORDS
+    assert main_text(f"<body><div><p>{one}</p><p>Bake it.</p><p>{two}</p></div>", tree()) == f"{one}\n\nBake it.\n\n{two}"
+
+
+def test_closing_tags_of_nothing_take_linear_time():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        assert main_text("<article><p>Some words to read here.</p>" + "<div>" * n + "</ul>" * n + "</div>" * n + "</article>", tree()) == "Some words to read here."
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 25 * max(seconds(8_000), 0.02)
+
+
+class Reader:
+    """A plain extractor over a tree of elements: the article's blocks, or those of prose where no article is."""
+
+    AWAY = {"nav", "aside", "footer", "form", "script", "style"}
+    NAMES = {"ad", "sidebar", "comments", "cookie-notice", "newsletter"}
+
+    def __init__(self, page):
+        from html.parser import HTMLParser
+
+        self.out = []
+        reader, path = self, []
+
+        class Parser(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                path.append((tag, dict(attrs).get("class", "")))
+
+            def handle_endtag(self, tag):
+                assert path.pop()[0] == tag
+
+            def handle_data(self, data):
+                if text := " ".join(data.split()):
+                    away = any(t in reader.AWAY or c in reader.NAMES for t, c in path)
+                    reader.out.append((text, away, any(t == "article" for t, _ in path), any(t == "a" for t, _ in path)))
+
+        Parser(convert_charrefs=True).feed(page)
+
+    def text(self):
+        has = any(a for _, _, a, _ in self.out)
+        return "\n\n".join(t for t, away, article, link in self.out if not away and (article if has else not link))
+
+
+def generated(rng):
+    """A page whose blocks are single paragraphs or lists of links, with or without an article."""
+    prose = lambda: " ".join(rng.choice(["river", "mill", "&amp;", "bridge", "caf&eacute;", "x"]) for _ in range(rng.randint(16, 60)))
+    own = lambda: "".join(rng.choice([f"<p>{prose()}</p>", f"<div class='{rng.choice(TOPICAL)}'><p>{prose()}</p></div>", f"<blockquote>{prose()}</blockquote>"]) for _ in range(rng.randint(2, 6)))
+    box = lambda: rng.choice([f"<div class='{rng.choice(sorted(Reader.NAMES))}'><p>Words of {rng.randint(1, 9)} other things.</p></div>", "<nav><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul></nav>", "<aside><p>Aside of it all.</p></aside>", "<form><p>Search here</p></form>", "<script>var x = 1</script>"])
+    boxes = lambda: "".join(box() for _ in range(rng.randint(0, 3)))
+    if rng.random() < 0.6:
+        inner = f"<h1>Of the river</h1>{own()}{boxes()}{own()}{boxes()}"
+        return f"<html><body>{boxes()}<article>{inner}</article>{boxes()}<footer><p>Printed here.</p></footer></body></html>"
+    return f"<html><body>{boxes()}<div>{own()}{boxes()}{own()}</div>{boxes()}<footer><p>Printed here.</p></footer></body></html>"
+
+
+def test_generated_pages_against_a_plain_reader():
+    rng = random.Random(11)
+    for _ in range(400):
+        page = generated(rng)
+        assert main_text(page, tree()) == Reader(page).text(), page
