@@ -1,15 +1,17 @@
-"""Quality by co-training: a classifier of the text's content and one of the page's metadata.
-
-Each view has its own logistic regression. In a round, both score all unlabelled rows, on the executors, and each
-hands its confident pseudo-labels to the other's training set; then both are fitted again. There may be as many of
-them as documents, so they travel as means: the other view's features of all rows that one view is sure of are
-averaged by label and by a few slots (a hash of the row), and the means, a fixed number of them, are rows of the
-other's training set. On labelled rows that were not fitted each view's score is calibrated, and the calibrated
-log-odds are averaged. Only the labelled sample is bounded. A round is one pass over all documents, scoring is
-another; what is shuffled is the means of each task.
-
-The text view is hashed character n-grams. The metadata view is what is known of a page besides its words:
-source, language, length, and the layout of its lines and symbols.
+"""Quality by co-training: a classifier of the text's content and one of the page's metadata and layout.
+
+Each view has its own logistic regression. In a round, both score all unlabelled rows on the executors, and each row
+of which one view is sure carries that pseudo-label into the other's training set. There may be as many of them as
+documents, so they are trained on where they are: the executors sum, over all rows that one view is sure of, the
+gradient and the curvature of the other's loss, by label, in whole numbers, so that no order of adding changes them.
+The driver then takes the labelled rows, which it has, and the pseudo-labelled ones' second-order expansion, and fits
+the view again; a round does so a few times with the same pseudo-labels. On labelled rows that were not fitted each
+view's score is calibrated, and the calibrated log-odds are averaged. Only the labelled sample is bounded. A step is
+one pass over all documents, scoring is another; what is shuffled is a few vectors of each task.
+
+The text view is hashed character n-grams, and how varied and how long the words are. The metadata view is source,
+language, length, and the page's layout: its lines, how many of them differ, and its shares of signs, capitals and
+white space.
 """
 
 from __future__ import annotations
@@ -33,29 +35,38 @@ _META = 1 << 12
 
 @dataclass(frozen=True)
 class Settings:
-    """rows: bound on the labelled sample. rounds: exchanges. sure: least confidence of a pseudo-label. slots: means
-    of a view and label. trust: weight of all means beside the labelled rows. calibrate: a labelled row in so many
-    is for calibration. keep: least quality of a kept document."""
+    """rows: bound on the labelled sample. rounds: exchanges of pseudo-labels. steps: fits in a round. sure: least
+    confidence of a pseudo-label. trust: weight of all pseudo-labelled rows beside the labelled ones. calibrate: a
+    labelled row in so many is for calibration. keep: least quality of a kept document."""
 
     rows: int = 4000
-    rounds: int = 3
+    rounds: int = 2
+    steps: int = 2
     sure: float = 0.95
-    slots: int = 4
     trust: float = 0.25
     calibrate: int = 4
     keep: float = 0.5
     seed: int = 3
 
 
-#: Means are summed in whole numbers of this unit, so that no order of adding changes them.
+#: Gradients are summed in whole numbers of this unit, so that no order of adding changes them.
 _UNIT = 1 << 24
 #: Tasks whose sums are added first, by the number of their partition, before all are.
 _FIRST = 64
 
 
+#: Places of the text view after its n-grams: how varied its words are, how long, and an intercept.
+_VARIED, _LONG = 64, 32
+
+
 def text_view(text: str | None) -> Sparse:
-    at, x = unit(*language_id.counts(text or "", _GRAMS))
-    return np.r_[at, _GRAMS.dims], np.r_[x, 1.0]
+    """n-grams of characters; log distinct words by log words, and characters a word, as indicators of ranges."""
+    text = text or ""
+    at, x = unit(*language_id.counts(text, _GRAMS))
+    own = text.split()
+    varied = int((_VARIED - 1) * np.log1p(len(set(own))) / np.log1p(len(own))) if own else 0
+    long = min(_LONG - 1, int(len(text) / len(own))) if own else 0
+    return np.r_[at, _GRAMS.dims + np.array([varied, _VARIED + long, _VARIED + _LONG])], np.r_[x, 0.5, 0.5, 1.0]
 
 
 def _crc(s: str) -> int:
@@ -65,21 +76,22 @@ def _crc(s: str) -> int:
 
 
 def meta_view(text: str | None, source: str | None, lang: str | None) -> Sparse:
-    """Metadata as indicators of categories and of ranges, and an intercept."""
+    """Metadata and layout as indicators of categories and of ranges, and an intercept; by one rule for any length."""
     text = text or ""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     n = max(1, len(data))
     letters = int(np.count_nonzero(((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128)))
     space = int(np.count_nonzero((data == 32) | (data == 10)))
     upper = int(np.count_nonzero((data >= 65) & (data <= 90)))
-    own = text.split()
+    lines = text.split("\n")
     numbers = {
         "chars": np.log2(1 + len(text)),
-        "lines": np.log2(1 + text.count("\n")),
-        "symbols": 10 * (n - letters - space) / n,
-        "upper": 10 * upper / n,
-        "distinct": 10 * len(set(own)) / max(1, len(own)) if len(own) < 4000 else 10.0 * len(set(own)) ** 0.5 / len(own) ** 0.5,
-        "word": min(20.0, len(text) / max(1, len(own))),
+        "lines": np.log2(len(lines)),
+        "line": np.log2(1 + len(text) / len(lines)),
+        "unlike": 10 * len(set(lines)) / len(lines),
+        "symbols": 20 * (n - letters - space) / n,
+        "upper": 20 * upper / n,
+        "blank": 20 * space / n,
     }
     names = [f"source={source}", f"lang={lang}"] + [f"{k}>{int(v)}" for k, v in numbers.items()]
     at = np.unique([_crc(x) for x in names] + [_META - 1])
@@ -100,78 +112,98 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid((a + b) / 2)
 
 
-_DIMS = {"text": _GRAMS.dims + 1, "meta": _META}
+_DIMS = {"text": _GRAMS.dims + _VARIED + _LONG + 1, "meta": _META}
 
 
-def _sums(w: dict[str, np.ndarray], s: Settings):
-    """Of each task, the sums of one view's features over the rows that the other is sure of: by view, label, slot."""
+def _sums(first: dict[str, np.ndarray], w: dict[str, np.ndarray], s: Settings):
+    """Of each task, by view and label: the rows to which the other view's weights in `first` give that label, and
+    the sums of the gradient and of the diagonal curvature of their log loss under the weights `w`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple, np.ndarray] = {}
+        total: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
         many: dict[tuple, int] = {}
         for batch in batches:
-            slot = batch.column(3).to_pylist()
             for i, text in enumerate(batch.column(0)):
                 text = text.as_py()
                 views = {"text": text_view(text), "meta": meta_view(text, batch.column(1)[i].as_py(), batch.column(2)[i].as_py())}
                 for v, other in (("text", "meta"), ("meta", "text")):
                     at, x = views[v]
-                    p = float(sigmoid(x @ w[v][at]))
+                    p = float(sigmoid(x @ first[v][at]))
                     if max(p, 1 - p) >= s.sure:
-                        key = (other, int(p >= 0.5), slot[i])
+                        key = (other, int(p >= 0.5))
                         at, x = views[other]
                         if key not in total:
-                            total[key] = np.zeros(_DIMS[other], np.int64)
-                        total[key][at] += np.rint(x * _UNIT).astype(np.int64)
+                            total[key] = np.zeros(_DIMS[other], np.int64), np.zeros(_DIMS[other], np.int64)
+                        q = float(sigmoid(x @ w[other][at]))
+                        total[key][0][at] += np.rint((q - key[1]) * x * _UNIT).astype(np.int64)
+                        total[key][1][at] += np.rint(q * (1 - q) * x * x * _UNIT).astype(np.int64)
                         many[key] = many.get(key, 0) + 1
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int32()), pa.array([many[k] for k in keys], pa.int64()), pa.array([W.pack(total[k]) for k in keys], pa.binary())], ["view", "label", "slot", "n", "sums"])
+        yield _row([(*k, many[k], *total[k]) for k in total])
 
     return run
 
 
+def _row(found: list[tuple]) -> pa.RecordBatch:
+    columns = [[f[c] for f in found] for c in range(3)] + [[W.pack(f[c]) for f in found] for c in (3, 4)]
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["view", "label", "n", "slope", "bend"])
+
+
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of the rows of a view, label and slot."""
+    """One row of the rows of a view and label."""
     key, n, total = None, 0, None
     for batch in batches:
         for i in range(batch.num_rows):
-            key = key or [batch.column(c)[i].as_py() for c in ("view", "label", "slot")]
+            key = key or [batch.column(c)[i].as_py() for c in ("view", "label")]
             n += batch.column("n")[i].as_py()
-            (own,) = W.unpack(batch.column("sums")[i].as_buffer(), np.int64)
-            total = own if total is None else total + own
+            own = [W.unpack(batch.column(c)[i].as_buffer(), np.int64)[0] for c in ("slope", "bend")]
+            total = own if total is None else [a + b for a, b in zip(total, own, strict=True)]
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.int32()), pa.array([n], pa.int64()), pa.array([W.pack(total)], pa.binary())], ["view", "label", "slot", "n", "sums"])
-
-
-def exchange(pool: DataFrame, w: dict[str, np.ndarray], s: Settings) -> list[tuple[str, int, int, np.ndarray]]:
-    """(view, label, rows, mean features) of all rows of `pool` (text, source, lang, slot) that the other view is
-    sure of; 2 * 2 * s.slots of them at most."""
-    fields = "view string, label int, slot int, n bigint, sums binary"
-    sums = pool.mapInArrow(_sums(w, s), fields).withColumn("part", F.spark_partition_id() % _FIRST)
-    sums = sums.groupBy("part", "view", "label", "slot").applyInArrow(_added, fields).groupBy("view", "label", "slot").applyInArrow(_added, fields)
-    return [(r.view, r.label, r.n, W.unpack(r["sums"], np.int64)[0] / (r.n * _UNIT)) for r in sums.orderBy("view", "label", "slot").collect()]
+        yield _row([(*key, n, *total)])
+
+
+def exchange(pool: DataFrame, first: dict[str, np.ndarray], w: dict[str, np.ndarray], s: Settings) -> dict[tuple[str, int], tuple[int, np.ndarray, np.ndarray]]:
+    """By view and label: how many rows of `pool` (text, source, lang) the other view is sure of under `first`, and
+    the means of the gradient and of the curvature of their loss under `w`."""
+    fields = "view string, label int, n bigint, slope binary, bend binary"
+    sums = pool.mapInArrow(_sums(first, w, s), fields).withColumn("part", F.spark_partition_id() % _FIRST)
+    sums = sums.groupBy("part", "view", "label").applyInArrow(_added, fields).groupBy("view", "label").applyInArrow(_added, fields)
+    found = sums.orderBy("view", "label").collect()
+    return {(r.view, r.label): (r.n, *(W.unpack(r[c], np.int64)[0] / (r.n * _UNIT) for c in ("slope", "bend"))) for r in found}
+
+
+def refit(w: np.ndarray, rows: list[Sparse], labels: np.ndarray, pseudo: list[tuple[int, np.ndarray, np.ndarray]], trust: float, steps: int = 120, rate: float = 0.05) -> np.ndarray:
+    """Weights from `w` on by AdaGrad steps over all of: the labelled rows' log loss, classes weighted evenly, and
+    `trust` times the expansion at `w` of the pseudo-labelled rows' loss, labels weighted evenly too."""
+    at, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+    row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    share = min(max(float(labels.mean()), 1e-9), 1 - 1e-9)
+    weight = np.where(labels > 0, 0.5 / share, 0.5 / (1 - share)) / len(labels)
+    slope, bend = (trust * sum(p[k] for p in pseudo) / max(1, len(pseudo)) for k in (1, 2))
+    start, w, g2 = w, w.copy(), np.full(len(w), 1e-12)
+    for _ in range(steps):
+        off = weight * (sigmoid(np.bincount(row, x * w[at], len(rows))) - labels)
+        g = np.bincount(at, off[row] * x, len(w)) + slope + bend * (w - start)
+        g2 += g * g
+        w -= rate * g / np.sqrt(g2)
+    return w
 
 
 def cotrain(text: list[Sparse], meta: list[Sparse], labels: np.ndarray, pool: DataFrame, s: Settings) -> Model:
     held = np.arange(len(labels)) % s.calibrate == 0
     own = np.flatnonzero(~held).tolist()
-    sets = {v: ([rows[i] for i in own], labels[own].tolist()) for v, rows in (("text", text), ("meta", meta))}
-    w = {v: logistic(x, np.array(y), _DIMS[v]) for v, (x, y) in sets.items()}
-    for _ in range(s.rounds):
-        given = exchange(pool, w, s)
+    rows = {v: [x[i] for i in own] for v, x in (("text", text), ("meta", meta))}
+    w = {v: logistic(x, labels[own], _DIMS[v]) for v, x in rows.items()}
+    first = w
+    for step in range(s.rounds * s.steps):
+        if step % s.steps == 0:
+            first = dict(w)  # what decides the pseudo-labels of a round
+        given = exchange(pool, first, w, s)
         if not given:
             break
-        for v, (x, y) in sets.items():
-            x, y = list(x), list(y)
-            for label in (0, 1):
-                means = [(n, mean) for view, k, n, mean in given if view == v and k == label]
-                whole = sum(n for n, _ in means)
-                for n, mean in means:  # as often as its rows weigh
-                    at = np.flatnonzero(mean)
-                    times = max(1, round(s.trust * len(own) / 2 * n / whole))
-                    x += [(at, mean[at])] * times
-                    y += [label] * times
-            w[v] = logistic(x, np.array(y), _DIMS[v])
+        for v in w:
+            if pseudo := [x for (view, _), x in sorted(given.items()) if view == v]:
+                w[v] = refit(w[v], rows[v], labels[own], pseudo, s.trust)
     model = Model(w["text"], w["meta"], settings=s)
     at = np.flatnonzero(held).tolist()
     if len(set(labels[at].tolist())) == 2:
@@ -216,8 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
         text.append((at.astype(np.int64), x.astype(np.float64)))
         at = np.frombuffer(r.m, np.int32).astype(np.int64)
         meta.append((at, np.ones(len(at)) / np.sqrt(len(at))))
-    slot = F.pmod(F.xxhash64(F.lit(s.seed + 1), "id", "text"), F.lit(s.slots)).cast("int")
-    pool = rows.join(F.broadcast(few.select("id")), "id", "left_anti").select("text", "source", "lang", slot.alias("slot"))
+    pool = rows.join(F.broadcast(few.select("id")), "id", "left_anti").select("text", "source", "lang")
     return cotrain(text, meta, y, pool, s)
 
 

@@ -211,25 +211,88 @@ def test_ordinal_is_the_least_of_its_loss():
 
 
 def test_exchange_by_brute_force(spark):
-    """All confident rows of the pool are in the means, copies and long texts too."""
+    """Each confident row of the pool gives the other view its gradient, copies and long texts too."""
     docs = registry.table(spark, SF, "documents").filter("text is not null")
     s = quality.Settings(sure=0.8)
     rng = np.random.default_rng(5)
-    w = {"text": rng.normal(size=quality._DIMS["text"]) * 2, "meta": rng.normal(size=quality._META) * 2}
-    pool = docs.unionByName(docs.filter("doc_id % 3 = 0")).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(4)).cast("int")).select("text", "source", "lang", "slot")
+    first, w = ({"text": rng.normal(size=quality._DIMS["text"]) * 2, "meta": rng.normal(size=quality._META) * 2} for _ in range(2))
+    pool = docs.unionByName(docs.filter("doc_id % 3 = 0")).select("text", "source", "lang")
     want = {}
     for r in pool.collect():
         views = {"text": quality.text_view(r.text), "meta": quality.meta_view(r.text, r.source, r.lang)}
         for v, other in (("text", "meta"), ("meta", "text")):
-            p = sigmoid(views[v][1] @ w[v][views[v][0]])
+            p = sigmoid(views[v][1] @ first[v][views[v][0]])
             if max(p, 1 - p) >= s.sure:
-                mean = want.setdefault((other, int(p >= 0.5), r.slot), [0, np.zeros(quality._DIMS[other])])
-                mean[0] += 1
-                mean[1][views[other][0]] += views[other][1]
-    got = quality.exchange(pool.repartition(7), w, s)
-    assert [g[:3] for g in got] == [(*k[:2], n) for k, (n, _) in sorted(want.items())] and sum(g[2] for g in got) > 500
-    for g, (_, (n, total)) in zip(got, sorted(want.items()), strict=True):
-        assert np.allclose(g[3], total / n, atol=1e-6)
+                own = want.setdefault((other, int(p >= 0.5)), [0, np.zeros(quality._DIMS[other]), np.zeros(quality._DIMS[other])])
+                at, x = views[other]
+                q = sigmoid(x @ w[other][at])
+                own[0] += 1
+                own[1][at] += (q - (p >= 0.5)) * x
+                own[2][at] += q * (1 - q) * x * x
+    got = quality.exchange(pool.repartition(7), first, w, s)
+    assert {k: g[0] for k, g in got.items()} == {k: n for k, (n, *_) in want.items()} and sum(g[0] for g in got.values()) > 500
+    for k, (n, slope, bend) in want.items():
+        assert np.allclose(got[k][1], slope / n, atol=1e-6) and np.allclose(got[k][2], bend / n, atol=1e-6)
+
+
+def test_refitting_lowers_the_loss_of_both_kinds_of_rows():
+    """The expansion stands for the pseudo-labelled rows: their loss falls as it does where they are all at hand."""
+    rng = np.random.default_rng(3)
+    truth = rng.normal(size=60) * 3
+    made = [(np.unique(rng.integers(0, 60, 12)).astype(np.int64),) for _ in range(900)]
+    made = [(at, np.ones(len(at)) / np.sqrt(len(at))) for (at,) in made]
+    y = np.array([float(truth[at] @ x > 0) for at, x in made])
+
+    def loss(w, rows, y):
+        z = np.array([x @ w[at] for at, x in rows])
+        return float(np.mean(np.log1p(np.exp(np.where(y > 0, -z, z)))))
+
+    few, rest = made[:40], made[40:]
+    w = start = quality.logistic(few, y[:40], 60)
+    for _ in range(3):
+        pseudo = []
+        for label in (0, 1):
+            slope, bend, n = np.zeros(60), np.zeros(60), 0
+            for (at, x), k in zip(rest, y[40:], strict=True):
+                if k == label:
+                    q = sigmoid(x @ w[at])
+                    slope[at] += (q - label) * x
+                    bend[at] += q * (1 - q) * x * x
+                    n += 1
+            pseudo.append((n, slope / n, bend / n))
+        w = quality.refit(w, few, y[:40], pseudo, 1.0)
+    assert loss(w, rest, y[40:]) < 0.8 * loss(start, rest, y[40:])
+
+
+def test_pseudo_labels_teach_the_other_view(spark):
+    """Words that no labelled page has stand on pages whose source tells their quality: only the exchange can teach
+    the text view what they mean."""
+    rng = np.random.default_rng(9)
+    sets = [["alpha beta gamma delta".split(), "zulu yankee xray whisky".split()], ["mmmo nnno oopp ppoo".split(), "ddee eedd ffgg ggff".split()]]
+
+    def page(known, good):
+        return " ".join(rng.choice(sets[1 - known][good], 30))
+
+    docs = [(i, page(True, i % 2), "en", f"s{i % 2}") for i in range(60)] + [(i, page(False, i % 2), "en", f"s{i % 2}") for i in range(60, 1060)]
+    test = [(i, page(False, i % 2), "xx", f"other{i}") for i in range(2000, 2200)]
+    schema = "doc_id bigint, text string, lang string, source string"
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, quality int")
+    right = {}
+    for rounds in (0, 2):
+        model = quality.fit(spark.createDataFrame(docs, schema), labels, settings=quality.Settings(rounds=rounds, sure=0.7))
+        got = quality.score(spark.createDataFrame(test, schema), model).collect()
+        right[rounds] = np.mean([(r.p_text >= 0.5) == (r.doc_id % 2 == 1) for r in got])
+    assert right[2] > 0.95 and right[0] < 0.8, right
+
+
+def test_one_rule_for_texts_of_any_length():
+    """A text said a thousand times over differs in size and length of line alone; a word more makes no jump."""
+    names = [set(quality.meta_view("Some words, OF each kind. " * k, "s", "en")[0].tolist()) for k in (4, 160, 4000)]
+    assert all(len(a ^ b) <= 4 for a, b in zip(names, names[1:]))
+    own = [f"word{i}" for i in range(4002)]
+    for n in (3998, 3999, 4000, 4001):
+        a, b = (quality.text_view(" ".join(own[:k]))[0][-3:].tolist() for k in (n, n + 1))
+        assert a == b and quality.meta_view(" ".join(own[:n]), "s", "en")[0].tolist() == quality.meta_view(" ".join(own[: n + 1]), "s", "en")[0].tolist()
 
 
 def test_quality_scores_by_brute_force(spark):
@@ -286,7 +349,7 @@ def test_texts_are_not_shuffled(spark, tmp_path, monkeypatch):
         control = registry.table(spark, str(tmp_path), "documents").repartition(4, "doc_id")
         assert shuffled(spark, lambda: control.write.format("noop").mode("overwrite").save()) > 0.3 * size
         assert shuffled(spark, lambda: registry.op5_toxicity(spark, str(tmp_path)).collect()) < 0.05 * size
-        monkeypatch.setattr(quality, "_sums", lambda w, s: lambda batches: iter(()))  # the means of so few rows would outweigh them
+        monkeypatch.setattr(quality, "_sums", lambda *how: lambda batches: iter(()))  # the sums of so few rows would outweigh them
         assert shuffled(spark, lambda: registry.op6_quality_classifier(spark, str(tmp_path)).collect()) < 0.05 * size
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
@@ -307,7 +370,7 @@ def test_toxicity_with_labels_apart(spark):
 def test_quality_exchanges_labelled_rows_beyond_the_sample(spark, monkeypatch):
     """Every row with a text is in the sample or in the pool."""
     pools = []
-    monkeypatch.setattr(quality, "exchange", lambda pool, w, s: pools.append(pool.count()) or [])
+    monkeypatch.setattr(quality, "exchange", lambda pool, first, w, s: pools.append(pool.count()) or {})
     docs = spark.createDataFrame([(i if i < 390 else None, f"word{i % 7} in text {i}", "en", "s") for i in range(400)], "doc_id bigint, text string, lang string, source string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, quality int")
     s, seen = quality.Settings(rows=40), []
