@@ -40,8 +40,8 @@ class Settings:
     labelled row in so many is for calibration. keep: least quality of a kept document."""
 
     rows: int = 4000
-    rounds: int = 2
-    steps: int = 2
+    rounds: int = 3
+    steps: int = 1
     sure: float = 0.95
     trust: float = 0.25
     calibrate: int = 4
@@ -64,7 +64,7 @@ def text_view(text: str | None) -> Sparse:
     text = text or ""
     at, x = unit(*language_id.counts(text, _GRAMS))
     own = text.split()
-    varied = int((_VARIED - 1) * np.log1p(len(set(own))) / np.log1p(len(own))) if own else 0
+    varied = int((_VARIED - 1) * (np.log1p(len(set(own))) / np.log1p(len(own)))) if own else 0
     long = min(_LONG - 1, int(len(text) / len(own))) if own else 0
     return np.r_[at, _GRAMS.dims + np.array([varied, _VARIED + long, _VARIED + _LONG])], np.r_[x, 0.5, 0.5, 1.0]
 
