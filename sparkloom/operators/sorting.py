@@ -25,7 +25,7 @@ def sort_locally(keys: DataFrame) -> DataFrame:
 
 
 def positions(keys: DataFrame, step: int = 10_000) -> DataFrame:
-    """pos (from 0), value. Equal keys are counted first, so a frequent key is one row in the exchange and is
+    """pos (from 0), value; null keys, too, have positions, the first. Equal keys are counted first, so a frequent key is one row in the exchange and is
     spread again afterwards, `step` rows at a time."""
     n = keys.groupBy("value").agg(F.count("*").alias("n"))
     at = prefix_sum(n, "value", "n")

@@ -23,7 +23,7 @@ def _ranged(df: DataFrame, order: str, rows_each: int) -> DataFrame:
         return save(df.repartitionByRange(parts, order).withColumn("b_", F.spark_partition_id()), "ranges")
     bucket = F.lit(0)
     for e in sorted(set(seen.e or [])):
-        bucket = bucket + (F.col(order) > e).cast("int")
+        bucket = bucket + F.coalesce((F.col(order) > e).cast("int"), F.lit(0))  # nulls are in the first range
     return df.withColumn("b_", bucket)
 
 
@@ -82,7 +82,8 @@ def pointers(m: DataFrame) -> DataFrame:
 
 
 def prefix_sum(df: DataFrame, order: str, value: str, rows_each: int = ROWS_EACH) -> DataFrame:
-    """df with `before`, the sum of `value` over rows of smaller `order`. `order` is distinct. Sums are within
+    """df with `before`, the sum of `value` over rows of smaller `order`. `order` is distinct, but for nulls, which come
+    first, in any order; so it is for any number of ranges. A null `value` adds nothing. Sums are within
     ranges of `order`, and the ranges' sums, one short row for each `rows_each` rows, are summed up and broadcast."""
     d = _ranged(df, order, rows_each)
     whole = d.groupBy("b_").agg(F.sum(value).alias("s_")).select("b_", F.coalesce(F.sum("s_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("o_"))
