@@ -35,9 +35,10 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 @contextmanager
-def _cleaned(spark: SparkSession):
-    before = {k: spark.conf.get(k) for k in _WRITES}
-    for k, v in _WRITES.items():
+def _cleaned(spark: SparkSession, more: dict[str, str]):
+    held = _WRITES | more
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
         spark.conf.set(k, v)
     try:
         yield
@@ -48,10 +49,11 @@ def _cleaned(spark: SparkSession):
 
 class Scratch:
     """Tables that one run of an operator writes to the shared folder. The run drops those it no longer reads; the
-    folder goes when the driver ends, since lazy results may read it until then."""
+    folder goes when the driver ends, since lazy results may read it until then. Settings in `while_writing` hold for
+    its writes only."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.n = spark, 0
+    def __init__(self, spark: SparkSession, name: str, while_writing: dict[str, str] | None = None):
+        self.spark, self.n, self.while_writing = spark, 0, while_writing or {}
         self.folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         bound_batches(spark)
         files, path = self._files(self.folder)
@@ -67,7 +69,7 @@ class Scratch:
         """Write and read again with the same schema. The shuffle files of the writing go with its end."""
         self.n += 1
         path = f"{self.folder}/{self.n}"
-        with _cleaned(self.spark):
+        with _cleaned(self.spark, self.while_writing):
             df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path

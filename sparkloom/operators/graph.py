@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from time import perf_counter
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scratch import Scratch
@@ -59,39 +60,97 @@ class PageRank:
     seconds: float
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, max_iterations: int = 100, tolerance: float = 1e-9, steps: int = 3) -> PageRank:
+#: Edges of a vertex from which on it is a hub, as a share of the edges of one block.
+HUB = 0.25
+
+
+def blocks(spark: SparkSession, parts: int) -> list[int]:
+    """A name of each of so many blocks, such that an exchange by name puts each into a partition of its own."""
+    names: dict[int, int] = {}
+    upto = 32 * parts
+    while len(names) < parts:
+        found = spark.range(upto).select(F.col("id").cast("int").alias("name")).groupBy(F.pmod(F.hash("name"), F.lit(parts)).alias("p")).agg(F.min("name").alias("name"))
+        names, upto = {r.p: r["name"] for r in found.collect()}, 4 * upto
+    return [names[p] for p in range(parts)]
+
+
+@dataclass
+class Layout:
+    """A graph cut at its vertices. home: the block of a vertex. edges (block, src, dst, m): each distinct edge in a
+    block, m times. routes (home, src, k, block): to which blocks a source of degree k sends its share."""
+
+    home: Callable[[str], Column]
+    edges: DataFrame
+    routes: DataFrame
+    parts: int
+
+
+def layout(edges: DataFrame, scratch: Scratch, parts: int) -> Layout:
+    """Edges go to the block of their target, so a source with any share of all edges has them in all blocks. A target
+    with more distinct in-edges than HUB of a block's share has them dealt to several blocks by source, from its own
+    on; there are parts / HUB such targets at most, so their table is broadcast. Routes lie where their source is."""
+    names = F.lit(blocks(edges.sparkSession, parts))
+    place = lambda i: F.element_at(names, (i + 1).cast("int"))
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
+    many, seen = scratch.measure(edges.groupBy("src", "dst").agg(F.count("*").alias("m")), F.count("*").alias("n"))
+    limit = max(1.0, HUB * seen["n"] / parts)
+    hubs = many.groupBy("dst").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("dst", F.least(F.ceil(F.col("n") / limit), F.lit(parts)).alias("splits"))
+    dealt = many.join(F.broadcast(hubs), "dst", "left")
+    block = place(F.pmod(at("dst") + F.coalesce(F.pmod(F.xxhash64(F.lit(1), "src"), "splits"), F.lit(0)), F.lit(parts)))
+    placed = dealt.select(block.alias("block"), "src", "dst", "m").repartition(parts, "block").sortWithinPartitions("block", "src").persist(StorageLevel.DISK_ONLY)
+    degree = many.groupBy("src").agg(F.sum("m").alias("k"))
+    routes = placed.select("src", "block").distinct().join(degree, "src").select(place(at("src")).alias("home"), "src", "k", "block").repartition(parts, "home").sortWithinPartitions("home", "src").persist(StorageLevel.DISK_ONLY)
+    for table in (placed, routes):
+        table.count()  # only of a table that is there does Spark know how it is dealt
+    return Layout(lambda c: place(at(c)), placed, routes, parts)
+
+
+def exchanged(graph: Layout, state: DataFrame, rank: str) -> DataFrame:
+    """(home, id, acc): what vertices get, from state (home, id, `rank`). One value goes to each block in which a
+    source has edges, whatever their number, and fans out there. Sums are by target within the block, so a target is
+    one row of the second exchange, or one of each of its blocks, where it is a hub."""
+    sent = graph.routes.join(state.select("home", F.col("id").alias("src"), F.col(rank).alias("p")), ["home", "src"])
+    sent = sent.select("block", "src", (F.col("p") / F.col("k")).alias("share")).repartition(graph.parts, "block")
+    got = graph.edges.join(sent, ["block", "src"]).groupBy("block", "dst").agg(F.sum(F.col("share") * F.col("m")).alias("acc"))
+    got = got.select(graph.home("dst").alias("home"), F.col("dst").alias("id"), "acc").repartition(graph.parts, "home")
+    return got.groupBy("home", "id").agg(F.sum("acc").alias("acc"))
+
+
+def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, max_iterations: int = 100, tolerance: float = 1e-9, steps: int = 2, parts: int | None = None) -> PageRank:
     """Damped power iteration. Ranks begin at 1/n; an iteration is ``(1 - d)/n + d * sum of pr/degree``. Sinks
     pass nothing on. It stops after the first iteration from the third on that changes ranks by less than
     `tolerance` (L2).
 
-    Edges are grouped by source, repeats counted, and kept partitioned by source. `steps` iterations are one
-    job: ranks after an aggregate by destination are already partitioned as the next join needs them, so an
-    iteration is one exchange. Each job's ranks are written to the shared folder, which cuts lineage; the
-    changes of its iterations come from that table, and only those numbers come to the driver.
+    The graph is cut into `parts` blocks (shuffle partitions, if not given) as layout() says, and only ranks move: an
+    iteration sends one value for each source and block, and one sum for each target and block. `steps` iterations are
+    one job. Each job's ranks are written to the shared folder, which cuts lineage; the changes of its iterations are
+    summed as they are written, and only those numbers come to the driver. While they are written, Spark may join by
+    block what is dealt by block alone.
     """
     began, spark = perf_counter(), vertices.sparkSession
     n = vertices.count()
     if n == 0:
         return PageRank(vertices.select("id", F.lit(0.0).alias("pr")).limit(0), 0, 0.0, perf_counter() - began)
-    many = edges.groupBy("src", "dst").agg(F.count("*").alias("m"))
-    degree = edges.groupBy("src").agg(F.count("*").alias("k"))
-    weighted = many.join(degree, "src").select("src", "dst", "m", "k").persist(StorageLevel.DISK_ONLY)
-    scratch, before = Scratch(spark, "pagerank"), []
-    state, done, delta = vertices.select("id", F.lit(1.0 / n).alias("p0")), 0, float("inf")
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scratch, before = Scratch(spark, "pagerank", {"spark.sql.requireAllClusterKeysForCoPartition": "false"}), []
+    graph = layout(edges, scratch, parts)
+    state, done, delta = vertices.select(graph.home("id").alias("home"), "id", F.lit(1.0 / n).alias("p0")), 0, float("inf")
     while done < max_iterations:
         now = min(steps, max_iterations - done)
+        state = state.repartition(parts, "home")
         for i in range(now):
-            sent = weighted.join(state.select(F.col("id").alias("src"), F.col(f"p{i}").alias("p")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("m") / F.col("k")).alias("acc"))
-            state = state.join(sent, "id", "left").withColumn(f"p{i + 1}", F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("acc", F.lit(0.0))).drop("acc")
-        state = scratch.save(state)
-        moved = state.agg(*[F.sqrt(F.sum(F.pow(F.col(f"p{i + 1}") - F.col(f"p{i}"), 2))).alias(str(i)) for i in range(now)]).first()
-        stop = next((i for i in range(now) if done + i + 1 >= 3 and moved[i] < tolerance), None)
+            state = state.join(exchanged(graph, state, f"p{i}"), ["home", "id"], "left")
+            state = state.withColumn(f"p{i + 1}", F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("acc", F.lit(0.0))).drop("acc")
+        changes = [F.sqrt(F.sum(F.pow(F.col(f"p{i + 1}") - F.col(f"p{i}"), 2))).alias(str(i)) for i in range(now)]
+        state, moved = scratch.measure(state, *changes)
+        stop = next((i for i in range(now) if done + i + 1 >= 3 and moved[str(i)] < tolerance), None)
         last = now if stop is None else stop + 1
-        done, delta = done + last, moved[last - 1]
+        done, delta = done + last, moved[str(last - 1)]
         scratch.drop(*before)  # the table that this one was made of
         before = [state]
-        state = state.select("id", F.col(f"p{last}").alias("p0"))
+        state = state.select("home", "id", F.col(f"p{last}").alias("p0"))
         if stop is not None:
             break
-    weighted.unpersist()
+    graph.edges.unpersist()
+    graph.routes.unpersist()
     return PageRank(state.select("id", F.col("p0").alias("pr")), done, delta, perf_counter() - began)

@@ -1,5 +1,7 @@
 """Golden values and edge cases of operators that take no file."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +174,81 @@ def test_as_many_ranges_as_rows_need(spark):
     assert got == want
     ids = sparse._dense_ids(df.unionByName(df), "k", rows_each=100)
     assert sorted(map(tuple, ids.collect())) == [(k, i) for i, (k, _) in enumerate(sorted(rows))]
+
+
+def hub_graph(spark, n=6000):
+    """A source with a third of all edges, a target with another third, and a ring."""
+    rows = spark.range(1, n + 1)
+    out = rows.selectExpr("0L as src", "id as dst")
+    into = rows.selectExpr("id as src", f"{n + 1}L as dst")
+    ring = rows.selectExpr("id as src", f"id % {n} + 1 as dst")
+    back = spark.createDataFrame([(n + 1, 0), (0, 1), (0, 1)], "src bigint, dst bigint")
+    return spark.range(n + 3).toDF("id"), out.unionByName(into).unionByName(ring).unionByName(back)
+
+
+def brute_ranks(vertices, edges, iterations, damping=0.85):
+    ids, out = [r.id for r in vertices.collect()], {}
+    for r in edges.collect():
+        out.setdefault(r.src, []).append(r.dst)
+    pr = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(iterations):
+        new = dict.fromkeys(ids, (1 - damping) / len(ids))
+        for s, ds in out.items():
+            for d in ds:
+                new[d] += damping * pr[s] / len(ds)
+        pr = new
+    return pr
+
+
+def test_ranks_of_hubs(spark):
+    vertices, edges = hub_graph(spark)
+    for steps in (1, 4):
+        got = graph.pagerank(vertices, edges, max_iterations=6, tolerance=0.0, steps=steps)
+        want = brute_ranks(vertices, edges, 6)
+        assert got.iterations == 6 and all(abs(r.pr - want[r.id]) < 1e-12 for r in got.ranks.collect())
+
+
+def test_hubs_are_cut(spark):
+    """Blocks are even whatever a vertex has, and one value goes to each block in which a source has edges."""
+    from sparkloom.functions.scratch import Scratch
+
+    vertices, edges = hub_graph(spark)
+    cut = graph.layout(edges, Scratch(spark, "test"), 8)
+    sizes = sorted(r["count"] for r in cut.edges.groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == 8 and sizes[-1] < 2 * sizes[4] and cut.edges.agg(F.sum("m")).first()[0] == edges.count()
+    values = cut.routes.count()
+    assert values == cut.edges.select("src", "block").distinct().count() and cut.routes.filter("src = 0").count() == 8
+    assert values < 0.8 * cut.edges.count()
+    assert cut.edges.filter("dst = 6001").select("block").distinct().count() == 8
+    state = vertices.select(cut.home("id").alias("home"), "id", F.lit(1.0).alias("p0")).repartition(8, "home")
+    plans = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    made = int(re.search(r"plan_id=(\d+)", plans(spark.range(9).repartition(3)))[1])  # what made the layout was planned before
+    before = {k: spark.conf.get(k) for k in ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("false", "-1"), strict=True):
+            spark.conf.set(k, v)
+        plan = plans(state.join(graph.exchanged(cut, state, "p0"), ["home", "id"], "left"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    moved = [line for line in plan.splitlines() if "Exchange" in line and int(re.search(r"plan_id=(\d+)", line)[1]) > made]
+    assert len(moved) == 4 and not any("ENSURE" in line for line in moved), moved  # the state's own (twice, one of which is reused), ranks out, sums back
+
+
+def test_names_of_blocks_are_partitions_of_their_own(spark):
+    names = graph.blocks(spark, 11)
+    dealt = spark.createDataFrame([(n,) for n in names], "name int").repartition(11, "name")
+    assert len(set(names)) == 11 and dealt.groupBy(F.spark_partition_id()).count().count() == 11
+
+
+@pytest.mark.parametrize("rows_each", [1000, 2])
+def test_null_orders_come_first_in_any_number_of_ranges(spark, rows_each):
+    rows = [(None, 5), (None, 7)] + [(i, i % 3 or None) for i in range(1, 200)]
+    got = sparse.prefix_sum(df(spark, rows, "k bigint, v bigint"), "k", "v", rows_each).collect()
+    assert len(got) == len(rows) and sorted(r.before for r in got if r.k is None) in ([0, 5], [0, 7])
+    total = 12
+    for r in sorted((r for r in got if r.k is not None), key=lambda r: r.k):
+        assert r.before == total
+        total += r.v or 0
+    three = sorted(map(tuple, sorting.positions(df(spark, [(1,), (None,), (1,)], "value bigint")).collect()))
+    assert three == [(0, None), (1, 1), (2, 1)]
