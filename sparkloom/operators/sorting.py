@@ -40,9 +40,41 @@ def balanced_blocks(keys: DataFrame, parts: int, n: int | None = None) -> DataFr
     return positions(keys).withColumn("block", F.least(F.floor(F.col("pos") / max(1, n // parts)), F.lit(parts - 1)).cast("bigint"))
 
 
+def redistributed(blocks: DataFrame, parts: int) -> DataFrame:
+    """balanced_blocks() moved: partition i holds block i, in order of position."""
+    return blocks.repartitionById(parts, F.col("block").cast("int")).sortWithinPartitions("pos")
+
+
+#: Ranges that the keys in question are counted in at a time.
+RANGES = 64
+
+
+def nth(keys: DataFrame, k: int):
+    """The k-th smallest key (from 0) that is not null, repeats counted; None if there are fewer. Keys are counted in
+    ranges between a sketch's quantiles, and the range that holds the k-th is cut again, until it is one key; equal
+    keys, however many, end it. Counts alone come to the driver, and a round leaves a RANGES-th or so."""
+    inside, below = keys.filter("value is not null"), 0
+    while True:
+        seen = inside.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"), F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 10_000).alias("e")).first()
+        if not 0 <= k - below < seen.n:
+            return None
+        if seen.lo == seen.hi:
+            return seen.lo
+        edges = sorted({e for e in seen.e if e < seen.hi} | {seen.lo})
+        counts = inside.agg(*[F.count_if(F.col("value") <= e) for e in edges]).first()
+        i = next((i for i, c in enumerate(counts) if below + c > k), len(edges))
+        if i < len(edges):
+            inside = inside.filter(F.col("value") <= edges[i])
+        if i:
+            inside, below = inside.filter(F.col("value") > edges[i - 1]), below + counts[i - 1]
+
+
 def pivot(keys: DataFrame) -> DataFrame:
-    """pivot: the median, for an even number of keys the floored mean of the middle two."""
-    return keys.agg(F.floor(F.percentile("value", 0.5)).alias("pivot"))
+    """pivot: the median, for an even number of keys the floored mean of the middle two; null without keys."""
+    n = keys.agg(F.count("value")).first()[0]
+    middle = [nth(keys, k) for k in sorted({(n - 1) // 2, n // 2})] if n else []
+    value = (middle[0] + middle[-1]) // 2 if middle else None
+    return keys.sparkSession.createDataFrame([(None if value is None else int(value),)], "pivot bigint")
 
 
 def approximate_pivot(keys: DataFrame, accuracy: int = 10_000) -> DataFrame:

@@ -113,6 +113,7 @@ QUERIES["knn_jaccard"] = over(t.purchases, lambda m: similarity.neighbors(m, "ja
 QUERIES["knn_dot"] = over(t.purchases, lambda m: similarity.neighbors(m, "dot", 400, 10))
 QUERIES["knn_cosine"] = over(t.purchases, lambda m: rounded(similarity.neighbors(m, "cosine", 0.1, -1), 6, "sim").drop("rank"))
 QUERIES["knn_minmax"] = over(t.purchases, lambda m: similarity.neighbors(m, "minmax", 0.05, 10))
+QUERIES["knn_close"] = over(t.purchases, lambda m: similarity.neighbors(m, "jaccard", 0.4, 10, prefix=True))
 QUERIES["knn_all"] = over(t.purchases, lambda m: similarity.neighbors(m, "jaccard", 0.05, -1))
 
 
@@ -144,7 +145,7 @@ def orders_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["sort_keys"] = over(keys, sorting.positions)
 QUERIES["sort_values"] = over(keys, sorting.sort_keys)
 QUERIES["sort_locally"] = over(keys, sorting.sort_locally)
-QUERIES["sort_balanced_blocks"] = over(keys, lambda k: sorting.balanced_blocks(k, PARTS))
+QUERIES["sort_balanced_blocks"] = over(keys, lambda k: sorting.redistributed(sorting.balanced_blocks(k, PARTS), PARTS), lambda b: b.withColumn("block", F.spark_partition_id().cast("bigint")))
 QUERIES["sort_pivot"] = over(keys, sorting.pivot)
 QUERIES["sort_pivot_split"] = over(keys, lambda k: sorting.pivot_split(k, PARTS))
 QUERIES["sort_check"] = over(keys, sorting.positions, sorting.count_violations)

@@ -91,6 +91,7 @@ ORACLES = {
     "knn_dot": knn("dot", 400, 10),
     "knn_cosine": knn("cosine", 0.1, None),
     "knn_minmax": knn("minmax", 0.05, 10),
+    "knn_close": knn("jaccard", 0.4, 10),
     "knn_all": knn("jaccard", 0.05, None),
     "knn_query": f"WITH m AS ({SPM}), q AS (SELECT c, v FROM m WHERE i = (SELECT min(i) FROM m)), d AS (SELECT m.i h, sum(m.v * q.v) dot FROM m JOIN q USING (c) GROUP BY 1), n AS (SELECT i, sum(v * v) n FROM m GROUP BY 1), z AS (SELECT sum(v * v) n FROM q) SELECT h AS neighbor, dot / (n.n + z.n - dot) AS sim FROM d JOIN n ON n.i = h, z WHERE dot / (n.n + z.n - dot) >= 0.02 ORDER BY sim DESC, neighbor LIMIT 20",
     "sort_keys": "SELECT (row_number() OVER (ORDER BY l_partkey) - 1)::BIGINT pos, l_partkey AS value FROM lineitem",

@@ -86,7 +86,8 @@ def test_similarity_edge_cases(spark):
 
 @pytest.mark.parametrize("measure, minsim", [("jaccard", 0.25), ("jaccard", 0.9), ("jaccard", 0.0), ("dot", 3.0), ("dot", 9.0), ("cosine", 0.5), ("minmax", 0.4), ("minmax", 1.0)])
 @pytest.mark.parametrize("odd", [False, True])
-def test_tiles_and_bounds_lose_no_pair(spark, measure, minsim, odd):
+@pytest.mark.parametrize("prefix", [False, True])
+def test_tiles_and_bounds_lose_no_pair(spark, measure, minsim, odd, prefix):
     """Against all pairs: a column that every row has, tiles of a few rows; negative values and repeated cells."""
     import random
 
@@ -109,7 +110,7 @@ def test_tiles_and_bounds_lose_no_pair(spark, measure, minsim, odd):
             if shared and (kind == "dot" or below):
                 want[q, h] = sum(shared) if kind == "dot" else sum(shared) / below
     close = {p for p, x in want.items() if abs(x - minsim) < 1e-9}
-    found = {(r.query, r.neighbor): r.sim for r in similarity.neighbors(df(spark, cells, "row bigint, col bigint, val double"), measure, minsim, -1, tile=7).collect()}
+    found = {(r.query, r.neighbor): r.sim for r in similarity.neighbors(df(spark, cells, "row bigint, col bigint, val double"), measure, minsim, -1, tile=7, prefix=prefix).collect()}
     assert {p for p, x in want.items() if x >= minsim} - close == set(found) - close
     assert all(abs(found[p] - want[p]) < 1e-9 for p in found)
 
@@ -252,3 +253,63 @@ def test_null_orders_come_first_in_any_number_of_ranges(spark, rows_each):
         total += r.v or 0
     three = sorted(map(tuple, sorting.positions(df(spark, [(1,), (None,), (1,)], "value bigint")).collect()))
     assert three == [(0, None), (1, 1), (2, 1)]
+
+
+def skewed_matrix(rng, rows=400, columns=3000):
+    """Rows that share frequent columns of small values with all, and rare ones of large values with few."""
+    cells = [(r, c, 0.2) for r in range(rows) for c in range(5)]
+    for r in range(rows):
+        own = rng.sample(range(5 + r // 3 * 7 % columns, 15 + r // 3 * 7 % columns), 6)
+        cells += [(r, c, float(rng.randint(1, 4))) for c in own]
+    return cells
+
+
+@pytest.mark.parametrize("measure, minsim", [("jaccard", 0.4871), ("cosine", 0.6171), ("minmax", 0.4871), ("dot", 40.01)])  # no similarity is as near as rounding
+def test_a_prefix_index_forms_few_pairs_and_loses_none(spark, measure, minsim):
+    import random
+
+    m = df(spark, skewed_matrix(random.Random(3)), "row bigint, col bigint, val double").cache()
+    scaled, kind = (sparse.normalize(m, "row", 2), "dot") if measure == "cosine" else (m, measure)
+    whole, few = similarity.formed(similarity.indexed(similarity.described(scaled, kind), kind, minsim))
+    assert few * 20 < whole, (whole, few)
+    made = [sorted((r.query, r.neighbor, r["rank"], round(r.sim, 9)) for r in similarity.neighbors(m, measure, minsim, 10, prefix=p).collect()) for p in (None, True, False)]
+    assert made[0] == made[1] == made[2] and len(made[0]) > 200
+
+
+def test_long_rows_are_their_own_prefix(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "LONG_ROW", 8)
+    cells = [(r, c, 1.0) for r in (0, 1) for c in range(20)] + [(2, c, 1.0) for c in range(6)] + [(3, c, 1.0) for c in range(15, 20)]
+    m = df(spark, cells, "row bigint, col bigint, val double")
+    cut = similarity.indexed(similarity.described(m, "jaccard"), "jaccard", 0.9).filter("pre").groupBy("row").count().collect()
+    assert {r.row: r["count"] for r in cut if r.row < 2} == {0: 20, 1: 20} and all(r["count"] < 6 for r in cut if r.row >= 2)
+    one, two = ({tuple(r) for r in similarity.neighbors(m, "jaccard", 0.21, -1, prefix=p).collect()} for p in (True, False))
+    assert one == two and len(one) > 6
+
+
+def test_blocks_are_partitions(spark):
+    """Keys lie where their block is, in order, and each partition has its share; a third of all keys are one."""
+    keys = spark.range(3001).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") * 7919 % 2003).alias("value"))
+    moved = sorting.redistributed(sorting.balanced_blocks(keys, 7), 7)
+    rows = moved.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), "pos", "value", "block").collect()
+    assert all(r.p == r.block for r in rows) and moved.rdd.getNumPartitions() == 7
+    assert [r.pos for r in sorted(rows, key=lambda r: (r.p, r.i))] == list(range(3001))
+    assert [sum(r.p == p for r in rows) for p in range(7)] == [428] * 6 + [433]
+    assert [r.value for r in sorted(rows, key=lambda r: r.pos)] == sorted(r.value for r in rows)
+
+
+def test_selection_by_counting(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    for values in ([5], [3, 3, 3, 9], [rng.randrange(-(2**62), 2**62) for _ in range(501)], [rng.randrange(9) for _ in range(400)] + [4] * 300):
+        keys = df(spark, [(v,) for v in values] + [(None,)], "value bigint")
+        for few in (3, 64):
+            monkeypatch.setattr(sorting, "RANGES", few)
+            for k in (0, len(values) // 3, len(values) - 1):
+                assert sorting.nth(keys, k) == sorted(values)[k]
+        middle = sorted(values)[(len(values) - 1) // 2], sorted(values)[len(values) // 2]
+        assert sorting.pivot(keys).first().pivot == sum(middle) // 2
+        assert sorting.nth(keys, len(values)) is None and sorting.nth(keys, -1) is None
+    assert sorting.pivot(keys.limit(0)).first().pivot is None
+    many = spark.range(1_000_000).select(((F.col("id") * 48271) % 1_000_003).alias("value"))
+    assert sorting.nth(many, 499_999) == sorted(i * 48271 % 1_000_003 for i in range(1_000_000))[499_999]
