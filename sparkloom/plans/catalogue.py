@@ -244,7 +244,7 @@ def file_csr(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = m.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "val"))).alias("c"))
     last = m.agg(F.max("row")).first()[0]
     text = F.concat_ws(" ", F.transform(F.coalesce("c", F.array()), lambda e: F.concat_ws(" ", e["col"].cast("string"), e["val"].cast("string"))))
-    spark.range(last + 1).toDF("row").join(cells, "row", "left").orderBy("row").select(text.alias("value")).coalesce(1).write.text(path)
+    files.write_lines(spark.range(last + 1).toDF("row").join(cells, "row", "left").orderBy("row").select(text.alias("value")), path)
     return files.read_csr(spark, path)
 
 
@@ -256,7 +256,7 @@ def file_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = edges.groupBy("src").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list("dst")), lambda x: (x + 1).cast("string"))).alias("value"))
     body = spark.range(n).toDF("src").join(lists, "src", "left").select("src", F.coalesce("value", F.lit("")).alias("value"))
     head = spark.createDataFrame([(-1, f"{n} {edges.count()}")], "src bigint, value string")
-    head.unionByName(body).orderBy("src").select("value").coalesce(1).write.text(path)
+    files.write_lines(head.unionByName(body).orderBy("src").select("value"), path)
     return files.read_adjacency(spark, path)[1].groupBy("src", "dst").agg(F.count("*").alias("n_edges"))
 
 
@@ -269,7 +269,7 @@ def file_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = lambda text: spark.createDataFrame([(-1, text)], "before bigint, value string")
     rows = p.select("before", F.concat_ws(" ", F.transform("features", lambda x: x.cast("string"))).alias("value"))
     for name, first, body in (("points", f"{n} {d}", rows), ("labels", f"{n}", p.select("before", F.col("label").cast("string").alias("value")))):
-        head(first).unionByName(body).orderBy("before").select("value").coalesce(1).write.text(where[name])
+        files.write_lines(head(first).unionByName(body).orderBy("before").select("value"), where[name])
     got = files.read_points(spark, where["points"], where["labels"])
     return got.select("id", F.posexplode("features").alias("j", "x"), "label").withColumn("j", F.col("j").cast("bigint"))
 

@@ -1,22 +1,30 @@
 """Readers and writers of whitespace text formats, with validation.
 
-Line order comes from ``zipWithIndex`` over one text file; blank lines, CRLF and a missing last line end are
-handled. Readers keep duplicates and stored zeros, and raise ValueError for malformed input.
+A line's number is its place in its split of a file, and the lines of all splits before: files in order of their
+names, splits in order of their bytes. So splits are read side by side, and a short table of splits, one row for each,
+is summed up. Blank lines, CRLF and a missing last line end are handled. Readers keep duplicates and stored zeros, and
+raise ValueError for malformed input. Writers write ordered parts, whose names are in the order of their lines.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from sparkloom.functions.scratch import save
+from sparkloom.operators.sparse import prefix_sum
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """line (from 0), tokens (array of strings)."""
-    schema = T.StructType([T.StructField("line", T.LongType()), T.StructField("value", T.StringType())])
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")]
+    raw = spark.read.text(path).select("value", *where, F.monotonically_increasing_id().alias("i"))
+    splits = raw.groupBy("file", "start").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = raw.join(splits.select("file", "start", (before - F.col("first")).alias("shift")), ["file", "start"]).withColumn("line", F.col("i") + F.col("shift"))
     text = F.trim(F.regexp_replace("value", r"\s+", " "))
-    return spark.createDataFrame(rows, schema).select("line", F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " ")).alias("tokens"))
+    return rows.select("line", F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " ")).alias("tokens"))
 
 
 def _require(ok: bool, message: str) -> None:
@@ -24,8 +32,9 @@ def _require(ok: bool, message: str) -> None:
         raise ValueError(message)
 
 
-def _count(df: DataFrame, bad: Column) -> int:
-    return df.agg(F.coalesce(F.count_if(bad), F.lit(0))).first()[0]
+def _counts(df: DataFrame, *bad: Column) -> list[int]:
+    """Rows, and rows of which each condition holds, in one pass."""
+    return list(df.agg(F.count("*"), *[F.coalesce(F.count_if(b), F.lit(0)) for b in bad]).first())
 
 
 def file_stats(spark: SparkSession, path: str) -> DataFrame:
@@ -41,16 +50,18 @@ def file_stats(spark: SparkSession, path: str) -> DataFrame:
 def read_adjacency(spark: SparkSession, path: str, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """vertices(id), edges(src, dst), 0-based. Line 1 is ``nvtxs nedges``, then a line of 1-based neighbours a
     vertex; a blank line is a sink, the first vertex's too. `partitions` deals edges out by source, sorted."""
-    all_lines = lines(spark, path).cache()
+    all_lines = save(lines(spark, path), "adjacency")
     head = all_lines.filter("line = 0").first()
     _require(head is not None and len(head.tokens) == 2 and all(t.isdigit() for t in head.tokens), "the first line must be: nvtxs nedges")
     n, m = map(int, head.tokens)
     body = all_lines.filter(F.col("line").between(1, n))
-    _require(body.count() == n, f"the file ends before all {n} vertices")
-    _require(_count(all_lines, (F.col("line") > n) & (F.size("tokens") > 0)) == 0, "lines after the last vertex")
+    _, own, after = _counts(all_lines, F.col("line").between(1, n), (F.col("line") > n) & (F.size("tokens") > 0))
+    _require(own == n, f"the file ends before all {n} vertices")
+    _require(after == 0, "lines after the last vertex")
     edges = body.select((F.col("line") - 1).alias("src"), F.explode("tokens").alias("t")).select("src", "t", F.expr("try_cast(t as bigint)").alias("id"))
-    _require(_count(edges, F.col("id").isNull() | (F.col("id") < 1) | (F.col("id") > n)) == 0, f"neighbour ids must lie in 1..{n}")
-    _require(edges.count() == m, f"the header names {m} edges, the lines have another number")
+    found, bad = _counts(edges, F.col("id").isNull() | (F.col("id") < 1) | (F.col("id") > n))
+    _require(bad == 0, f"neighbour ids must lie in 1..{n}")
+    _require(found == m, f"the header names {m} edges, the lines have another number")
     edges = edges.select("src", (F.col("id") - 1).alias("dst"))
     if partitions:
         edges = edges.repartition(partitions, "src").sortWithinPartitions("src", "dst")
@@ -60,7 +71,7 @@ def read_adjacency(spark: SparkSession, path: str, partitions: int | None = None
 def read_csr(spark: SparkSession, path: str, values: bool = True, numbering: int = 0, header: bool = False) -> DataFrame:
     """row, col, val from lines of ``(col val)*``; `values` False: columns only, each 1.0. `numbering` is the
     first column's number in the file. `header`: a first line ``nrows ncols nnz``, columns numbered from 1."""
-    body = lines(spark, path).cache()
+    body = save(lines(spark, path), "csr")
     want = None
     if header:
         head = body.filter("line = 0").first()
@@ -68,26 +79,27 @@ def read_csr(spark: SparkSession, path: str, values: bool = True, numbering: int
         want, numbering, values = list(map(int, head.tokens)), 1, True
         body = body.filter("line > 0").withColumn("line", F.col("line") - 1)
     if values:
-        _require(_count(body, F.size("tokens") % 2 == 1) == 0, "a line has a column without a value")
+        _require(_counts(body, F.size("tokens") % 2 == 1)[1] == 0, "a line has a column without a value")
         pairs = F.transform(F.sequence(F.lit(0), F.size("tokens") - 2, F.lit(2)), lambda i: F.struct(F.col("tokens")[i].alias("c"), F.col("tokens")[i + 1].alias("v")))
         cells = body.filter(F.size("tokens") > 0).select(F.col("line").alias("row"), F.explode(pairs).alias("p")).select("row", "p.c", F.expr("try_cast(p.v as double)").alias("val"))
     else:
         cells = body.select(F.col("line").alias("row"), F.explode("tokens").alias("c")).withColumn("val", F.lit(1.0))
     cells = cells.withColumn("col", F.expr("try_cast(c as bigint)") - numbering)
-    _require(_count(cells, F.col("col").isNull() | (F.col("col") < 0)) == 0, f"column numbers must be integers from {numbering}")
-    _require(_count(cells, F.col("val").isNull()) == 0, "values must be numbers")
+    found, no_column, no_value = _counts(cells, F.col("col").isNull() | (F.col("col") < 0), F.col("val").isNull())
+    _require(no_column == 0, f"column numbers must be integers from {numbering}")
+    _require(no_value == 0, "values must be numbers")
     if want is not None:
         _require(body.filter(F.col("line") < want[0]).count() == want[0], f"the file ends before all {want[0]} rows")
-        _require(cells.count() == want[2], f"the header names {want[2]} values, the lines have another number")
+        _require(found == want[2], f"the header names {want[2]} values, the lines have another number")
     return cells.select("row", "col", "val")
 
 
 def _numbers(spark: SparkSession, path: str) -> DataFrame:
     """k (from 0), v: the file's numbers as one stream; line ends do not matter."""
-    found = lines(spark, path).select("line", F.size("tokens").alias("n"), F.posexplode("tokens").alias("p", "t"))
-    flat = found.orderBy("line", "p").select("t").rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
-    out = spark.createDataFrame(flat, "k bigint, t string").select("k", F.expr("try_cast(t as double)").alias("v")).cache()
-    _require(_count(out, F.col("v").isNull()) == 0, f"{path} has a token that is not a number")
+    counted = lines(spark, path).withColumn("n", F.size("tokens").cast("bigint"))
+    flat = prefix_sum(counted, "line", "n").select("before", F.posexplode("tokens").alias("p", "t"))
+    out = save(flat.select((F.col("before") + F.col("p")).alias("k"), F.expr("try_cast(t as double)").alias("v")), "numbers")
+    _require(_counts(out, F.col("v").isNull())[1] == 0, f"{path} has a token that is not a number")
     return out
 
 
@@ -113,25 +125,26 @@ def read_points(spark: SparkSession, points: str, labels: str) -> DataFrame:
     return rows.join(y, "id").select("id", "features", "label")
 
 
-def _write(df: DataFrame, path: str) -> None:
-    """One column of ordered lines as one text file."""
-    df.coalesce(1).write.mode("overwrite").text(path)
+def write_lines(ordered: DataFrame, path: str, one_file: bool = False) -> None:
+    """One column of ordered lines as numbered parts, side by side; the parts' names are in the order of the lines.
+    One file, by one task, only with `one_file`."""
+    (ordered.coalesce(1) if one_file else ordered).write.mode("overwrite").text(path)
 
 
 def write_keys(keys: DataFrame, path: str) -> None:
     """The number of keys, then a key a line, ascending."""
     n = keys.sparkSession.createDataFrame([(0, keys.count())], "part int, value bigint")
-    _write(n.unionByName(keys.select(F.lit(1).alias("part"), "value")).orderBy("part", "value").select(F.col("value").cast("string")), path)
+    write_lines(n.unionByName(keys.select(F.lit(1).alias("part"), "value")).orderBy("part", "value").select(F.col("value").cast("string")), path)
 
 
 def write_ranks(ranks: DataFrame, path: str) -> None:
     """A rank a line in vertex order, as %.3e."""
-    _write(ranks.orderBy("id").select(F.format_string("%.3e", "pr").alias("value")), path)
+    write_lines(ranks.orderBy("id").select(F.format_string("%.3e", "pr").alias("value")), path)
 
 
 def write_neighbors(found: DataFrame, path: str) -> None:
     """``query neighbour similarity`` a line, grouped by query, most similar first."""
-    _write(found.orderBy("query", F.desc("sim"), "neighbor").select(F.format_string("%8d %8d %.3f", "query", "neighbor", "sim").alias("value")), path)
+    write_lines(found.orderBy("query", F.desc("sim"), "neighbor").select(F.format_string("%8d %8d %.3f", "query", "neighbor", "sim").alias("value")), path)
 
 
 def dump_graph(edges: DataFrame) -> DataFrame:

@@ -123,3 +123,38 @@ def test_parameters():
 def test_dumps(spark):
     edges = spark.createDataFrame([(0, 2), (0, 1), (1, 0)], "src bigint, dst bigint")
     assert [tuple(r) for r in files.dump_graph(edges).collect()] == [(0, "1 2"), (1, "0")]
+
+
+def test_lines_of_many_splits_and_parts(spark, tmp_path):
+    """Numbers follow the order of files and of their bytes, however Spark deals splits to tasks."""
+    want = []
+    for part in range(4):
+        own = [f"{part} {i} " + "x" * ((i * 7 + part) % 50) for i in range(400 + 900 * (part == 2))]
+        want += own
+        (tmp_path / f"part-{part:05d}.txt").write_text("\n".join(own) + "\n" * (part % 2))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = files.lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        got = {r.line: " ".join(r.tokens) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {i: line.strip() for i, line in enumerate(want)}
+
+
+def test_ordered_parts(spark, tmp_path):
+    """Keys are written by several tasks, and parts by name are the sorted keys."""
+    keys = spark.range(5000).selectExpr("(id * 7919) % 10007 as value")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_keys(keys, str(tmp_path / "parts"))
+        files.write_lines(keys.orderBy("value").selectExpr("cast(value as string)"), str(tmp_path / "one"), one_file=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    parts = sorted((tmp_path / "parts").glob("part-*"))
+    text = "".join(p.read_text() for p in parts).split()
+    assert len([p for p in parts if p.stat().st_size]) > 4 and len(list((tmp_path / "one").glob("part-*"))) == 1
+    assert text == ["5000", *map(str, sorted(i * 7919 % 10007 for i in range(5000)))]
+    assert [" ".join(r.tokens) for r in files.lines(spark, str(tmp_path / "parts")).orderBy("line").collect()] == text
