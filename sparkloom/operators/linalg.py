@@ -1,36 +1,190 @@
-"""Dense matrices as (i, j, v), vectors as (i, v)."""
+"""Matrices as (i, j, v), vectors as (i, v); products and elimination work on square tiles.
+
+Absent cells are 0, cells given more than once add up, and cells with a null in i, j or v are left out.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.scratch import Scratch
+
+#: Rows and columns of a tile, and tiles a side that one task multiplies at a time.
+SIDE, TOGETHER = 256, 4
+
 
 def mat_vec(a: DataFrame, x: DataFrame) -> DataFrame:
     """i, v."""
     return a.join(x.select(F.col("i").alias("j"), F.col("v").alias("x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
 
 
-def mat_mat(a: DataFrame, b: DataFrame) -> DataFrame:
-    """i, j, v."""
-    left = a.select("i", F.col("j").alias("k"), F.col("v").alias("a"))
-    return left.join(b.select(F.col("i").alias("k"), "j", F.col("v").alias("b")), "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+def tiles(m: DataFrame, side: int = SIDE) -> DataFrame:
+    """bi, bj, cells: tiles that have cells, each with its distinct cells as (p, v), p = row * side + column in the tile.
+    One exchange: what is dealt by tile is summed by cell and gathered where it lies."""
+    known = m.filter("i is not null and j is not null and v is not null")
+    dealt = known.select(F.expr(f"i div {side}").alias("bi"), F.expr(f"j div {side}").alias("bj"), F.expr(f"cast(i % {side} * {side} + j % {side} as int)").alias("p"), "v").repartition("bi", "bj")
+    return dealt.groupBy("bi", "bj", "p").agg(F.sum("v").alias("v")).groupBy("bi", "bj").agg(F.collect_list(F.struct("p", "v")).alias("cells"))
+
+
+def mat_mat(a: DataFrame, b: DataFrame, side: int = SIDE, together: int = TOGETHER) -> DataFrame:
+    """i, j, v where a row and a column share an inner index, so that sums of 0 stay.
+
+    Tiles meet by inner block, in groups of `together` tiles a side, so a task holds that many tiles of each matrix and
+    their product, whatever the matrices and however many cells an inner block has. A group's product is
+    summed over the inner block before it leaves the task; sums over the inner blocks are one aggregate of cells. Integral values
+    give exact bigint sums (an error beyond 2^63), others double.
+    """
+    whole = all(m.schema["v"].dataType.typeName() in ("byte", "short", "integer", "long") for m in (a, b))
+    kind = "bigint" if whole else "double"
+    a, b = (m.select("i", "j", F.col("v").cast(kind).alias("v")) for m in (a, b))
+    scratch = Scratch(a.sparkSession, "product")
+    left = scratch.save(tiles(a, side).select(F.col("bj").alias("k"), F.expr(f"bi div {together}").alias("gi"), F.col("bi").alias("block"), "cells"))
+    right = scratch.save(tiles(b, side).select(F.col("bi").alias("k"), F.expr(f"bj div {together}").alias("gj"), F.col("bj").alias("block"), "cells"))
+    rows, cols = left.groupBy("k", "gi").count().toDF("k", "gi", "n"), right.groupBy("k", "gj").count().toDF("k", "gj", "n")
+    left, right = left.join(cols, "k").toDF(*"k", "gi", "block", "cells", "gj", "n"), right.join(rows, "k").toDF(*"k", "gj", "block", "cells", "gi", "n")
+
+    def unpacked(table):
+        """Block number, place and value of each cell."""
+        cells = table.column("cells").combine_chunks()
+        flat = cells.flatten()
+        block = np.repeat(table.column("block").to_numpy(), cells.value_lengths().to_numpy(zero_copy_only=False))
+        return block, flat.field("p").to_numpy(), flat.field("v").to_numpy()
+
+    def product(one, other):
+        import pyarrow as pa
+
+        block, p, x = unpacked(one)
+        rows, i = np.unique(block * side + p // side, return_inverse=True)
+        block, q, y = unpacked(other)
+        cols, j = np.unique(block * side + q % side, return_inverse=True)
+        inner, k = np.unique(np.r_[p % side, q // side], return_inverse=True)
+        most = float(np.abs(x.astype(float)).max()) * float(np.abs(y.astype(float)).max()) * len(inner)
+        exact = np.float64 if not whole or most < 2**53 else np.int64 if most < 2**62 else object
+        l, r = np.zeros((len(rows), len(inner)), exact), np.zeros((len(inner), len(cols)), exact)
+        l[i, k[: len(p)]], r[k[len(p) :], j] = x, y
+        met_l, met_r = (np.zeros(m.shape, np.float32) for m in (l, r))
+        met_l[i, k[: len(p)]], met_r[k[len(p) :], j] = 1, 1
+        at, to = np.nonzero(met_l @ met_r)
+        v = (l @ r)[at, to]
+        return pa.table({"i": rows[at], "j": cols[to], "v": v.astype(np.int64) if whole else v})
+
+    keys = ["gi", "gj", "k"]
+    out = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(product, f"i bigint, j bigint, v {kind}")
+    return out.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def _panel(side: int):
+    """Of the tiles of block row and block column k, with tile (k, k) beside each: the finished tiles of U and y in the row,
+    the multipliers in the column."""
+
+    def solve(batches):
+        import pyarrow as pa
+
+        last, inverse, upper = None, None, None
+        for batch in batches:
+            out = []
+            for bi, bj, t, pivot in zip(*(batch.column(c) for c in ("bi", "bj", "t", "pivot")), strict=True):
+                d = pivot.values.to_numpy()
+                if last is None or not np.array_equal(d, last, equal_nan=True):
+                    last = d
+                    m = np.c_[d.reshape(side, side), np.eye(side)]
+                    for r in range(side):
+                        m[r] = m[r] / m[r, r] if m[r, r] else np.nan
+                        m[r + 1 :] -= np.outer(m[r + 1 :, r], m[r])
+                    upper, inverse = m[:, :side], m[:, side:]
+                x = t.values.to_numpy().reshape(side, -1)
+                if bi.as_py() == bj.as_py():
+                    x = upper
+                elif bi.as_py() < bj.as_py():
+                    x = inverse @ x
+                else:
+                    x = np.linalg.solve(upper.T, x.T).T
+                out.append(x.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("bi"), batch.column("bj"), _lists(out)], ["bi", "bj", "t"])
 
+    return solve
 
-def eliminate(a: DataFrame, b: DataFrame) -> DataFrame:
+
+def _trail(side: int):
+    def update(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            t, l, u = ([v.values.to_numpy().reshape(side, -1) for v in batch.column(c)] for c in ("t", "l", "u"))
+            yield pa.RecordBatch.from_arrays([batch.column("bi"), batch.column("bj"), _lists([(x - y @ z).ravel() for x, y, z in zip(t, l, u, strict=True)])], ["bi", "bj", "t"])
+
+    return update
+
+
+def _lists(arrays: list[np.ndarray]):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(x) for x in arrays])].astype(np.int32), np.concatenate([*arrays, np.zeros(0)]))
+
+
+def _dense(side: int, n: int):
+    """Tiles as rows of numbers; beyond n the diagonal is 1, and the last block column is the right-hand side alone."""
+    last = -(-n // side)
+
+    def fill(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for bi, bj, cells in zip(*(batch.column(c) for c in ("bi", "bj", "cells")), strict=True):
+                bi, bj = bi.as_py(), bj.as_py()
+                x = np.zeros((side, side))
+                if cells.is_valid and len(cells):
+                    x.ravel()[cells.values.field("p").to_numpy()] = cells.values.field("v").to_numpy()
+                if bi == bj:
+                    beyond = np.arange(max(n - bi * side, 0), side)
+                    x[beyond, beyond] = 1
+                out.append((x[:, :1] if bj == last else x).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("bi"), batch.column("bj"), _lists(out)], ["bi", "bj", "t"])
+
+    return fill
+
+
+def eliminate(a: DataFrame, b: DataFrame, side: int = SIDE) -> DataFrame:
     """i, j, v of [U | y]: Gaussian elimination without pivoting to a unit upper triangle; column n is y.
 
-    The right-hand side is eliminated with the matrix, as the textbook has it. Pivots must not be 0: a row
-    divided by 0 is null. The n steps are sequential; the n * (n + 1) numbers are one row that a fold updates: a limit of
-    some thousand unknowns.
+    n is the number of rows of b; cells of a outside n x n are left out. The right-hand side is eliminated with the matrix, as the textbook has it. The
+    matrix is dense tiles, right-looking: step k finishes block row k and the multipliers of block column k from the
+    one tile (k, k), which goes to each of their tiles, and then subtracts the product of both from what is right of and
+    below them, by joins on block row and block column. So no row or task holds more than a few tiles. The n / side steps
+    follow each other, each cut off by a table in the shared folder.
+
+    Pivots must not be 0: from the first row with a pivot of 0 on, cells on and right of the diagonal are null.
     """
     n = b.count()
-    wide = a.select("i", "j", F.col("v").cast("double").alias("v")).unionByName(b.select("i", F.lit(n).cast("bigint").alias("j"), F.col("v").cast("double").alias("v")))
-    rows = wide.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "v"))), lambda c: c["v"]).alias("r"))
-    m = rows.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "r"))), lambda c: c["r"]).alias("m"))
-    u = m.selectExpr(
-        f"""aggregate(sequence(0, {n - 1}), m, (s, k) -> transform(s, (row, i) -> if(i < k, row,
-            if(i = k, transform(row, x -> try_divide(x, s[k][k])),
-               transform(row, (x, c) -> x - try_divide(row[k] * s[k][c], s[k][k])))))) u"""
-    )
-    return u.select(F.posexplode("u").alias("i", "row")).select(F.col("i").cast("bigint").alias("i"), F.posexplode("row").alias("j", "v")).select("i", F.col("j").cast("bigint").alias("j"), "v")
+    blocks = -(-n // side)
+    spark, schema = a.sparkSession, "bi bigint, bj bigint, t array<double>"
+    scratch = Scratch(spark, "elimination")
+    kept = a.select("i", "j", F.col("v").cast("double").alias("v")).filter(f"i < {n} and j < {n}")
+    cells = kept.unionByName(b.select("i", F.lit(blocks * side).cast("bigint").alias("j"), F.col("v").cast("double").alias("v")))
+    grid = spark.range(blocks * (blocks + 1)).select(F.expr(f"id div {blocks + 1}").alias("bi"), (F.col("id") % (blocks + 1)).alias("bj"))
+    rest = scratch.save(grid.join(tiles(cells, side), ["bi", "bj"], "left").mapInArrow(_dense(side, n), schema))
+    panels = []
+    for k in range(blocks):
+        pivot = rest.filter((F.col("bi") == k) & (F.col("bj") == k)).select(F.col("bi").alias("k"), F.col("t").alias("pivot"))
+        edge = rest.filter((F.col("bi") == k) | (F.col("bj") == k)).withColumn("k", F.least("bi", "bj"))
+        panel = scratch.save(edge.join(F.broadcast(pivot), "k").select("bi", "bj", "t", "pivot").mapInArrow(_panel(side), schema).withColumn("k", F.lit(k).cast("bigint")))
+        panels.append(panel.scratch_path)
+        if k + 1 < blocks:
+            l = panel.filter(F.col("bi") > k).select("bi", F.col("t").alias("l"))
+            u = panel.filter((F.col("bi") == k) & (F.col("bj") > k)).select("bj", F.col("t").alias("u"))
+            right = rest.filter((F.col("bi") > k) & (F.col("bj") > k)).join(l, "bi").join(u, "bj")
+            done, rest = rest, scratch.save(right.select("bi", "bj", "t", "l", "u").mapInArrow(_trail(side), schema))
+            scratch.drop(done)
+    if not panels:
+        return spark.createDataFrame([], "i bigint, j bigint, v double")
+    done = spark.read.schema(schema + ", k bigint").parquet(*panels)
+    upper = done.filter("bi = k").select("bi", "bj", "t")
+    lower = done.filter("bi > k").select("bi", "bj", F.array_repeat(F.lit(0.0), side * side).alias("t"))
+    at = upper.unionByName(lower).select("bi", "bj", F.posexplode("t").alias("p", "v"))
+    y = F.col("bj") == blocks
+    row, col = F.when(y, F.col("p")).otherwise(F.expr(f"p div {side}")), F.when(y, n).otherwise(F.col("bj") * side + F.col("p") % side)
+    at = at.select((F.col("bi") * side + row).alias("i"), col.cast("bigint").alias("j"), y.alias("y"), "v")
+    return at.filter((F.col("i") < n) & (F.col("y") | (F.col("j") < n))).select("i", "j", F.when(F.col("j") < F.col("i"), 0.0).otherwise(F.nanvl("v", F.lit(None).cast("double"))).alias("v"))

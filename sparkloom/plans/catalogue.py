@@ -213,6 +213,13 @@ def mat_mat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linalg.mat_mat(m, m)
 
 
+@query("mat_mat_purchases")
+def mat_mat_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The purchase matrix by its transpose."""
+    m = t.purchases(spark, sf_dir).toDF("i", "j", "v")
+    return linalg.mat_mat(m, m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+
+
 @query("gauss_upper")
 def gauss_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[U | y] of the region matrix, made diagonally dominant, and (1, 2, ...)."""

@@ -126,6 +126,7 @@ ORACLES = {
     "lc_squared_error": f"SELECT round(sum((xw - y) * (xw - y)), 4) error FROM (SELECT id, sum(x * 0.5::DOUBLE) xw, max(y) y FROM ({PTS}) GROUP BY 1)",
     "mat_vec": f"SELECT a.i, sum(a.v * x.v)::BIGINT v FROM ({MAT}) a JOIN (SELECT r_regionkey::BIGINT j, (r_regionkey + 1)::BIGINT v FROM region) x USING (j) GROUP BY 1",
     "mat_mat": f"WITH a AS ({MAT}) SELECT a.i, b.j, sum(a.v * b.v)::BIGINT v FROM a JOIN a b ON a.j = b.i GROUP BY 1, 2",
+    "mat_mat_purchases": f"WITH p AS MATERIALIZED ({SPM}) SELECT a.i, b.i AS j, sum(a.v * b.v) v FROM p a JOIN p b USING (c) GROUP BY 1, 2",
     "gauss_upper": f"""WITH RECURSIVE m AS MATERIALIZED ({MAT}), big AS (SELECT max(v) * count(DISTINCT i) d, count(DISTINCT i) n FROM m),
 a AS (SELECT i, j, (v + CASE WHEN i = j THEN d ELSE 0 END)::DOUBLE v FROM m, big UNION ALL SELECT r_regionkey, n, (r_regionkey + 1)::DOUBLE FROM region, big),
 s AS (SELECT 0 k, list(r ORDER BY i) m FROM (SELECT i, list(v ORDER BY j) r FROM a GROUP BY 1)
