@@ -1,7 +1,8 @@
 """Least squares on +-1 labels by cyclic coordinate descent, over points(id, features, label).
 
-One distributed pass builds the Gram matrix and the right-hand side; all sweeps are then exact steps on these
-d * d numbers, so the data are read once however many sweeps there are.
+`weights` and `error_trace` keep a distributed residual (`descent.py`), for any number of columns. `fit` is for few: one
+distributed pass builds the Gram matrix and the right-hand side, and all sweeps are exact steps on these d * d
+numbers on the driver, so the data are read once however many sweeps there are.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.operators.descent import descend
+
 
 def cells(points: DataFrame) -> DataFrame:
     """id, j, x, label."""
@@ -54,7 +57,7 @@ def gram(points: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
         total = None
         for b in batches:
             if b.num_rows:
-                x = np.c_[np.array(b.column(0).to_pylist(), float), b.column(1).to_numpy(zero_copy_only=False)]
+                x = np.c_[b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), b.column(1).to_numpy(zero_copy_only=False)]
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
             i, j = np.triu_indices(len(total))
@@ -92,12 +95,11 @@ def fit(points: DataFrame, sweeps: int) -> Fit:
 
 
 def weights(points: DataFrame, sweeps: int) -> DataFrame:
-    """j, w."""
-    f = fit(points, sweeps)
-    return points.sparkSession.createDataFrame([(int(j), float(w)) for j, w in zip(f.columns, f.weights, strict=True)], "j bigint, w double")
+    """j, w, by the distributed residual."""
+    return descend(points, sweeps)[0]
 
 
 def error_trace(points: DataFrame, sweeps: int) -> DataFrame:
-    """iteration (0: before), error."""
-    f = fit(points, sweeps)
-    return points.sparkSession.createDataFrame(list(enumerate(f.errors)), "iteration bigint, error double")
+    """iteration (0: before), error, by the distributed residual."""
+    errors = descend(points, sweeps)[1]
+    return points.sparkSession.createDataFrame(list(enumerate(errors)), "iteration bigint, error double")
