@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scratch import Scratch
-from sparkloom.operators import demos, graph, linalg, regression, similarity, sorting, sparse, vector
+from sparkloom.operators import demos, graph, linalg, lists, regression, similarity, sorting, sparse, vector
 from sparkloom.plans.oracles import ORACLES
 from sparkloom.sources import files
 from sparkloom.sources import tables as t
@@ -75,6 +75,7 @@ QUERIES["graph_reverse"] = over(t.part_graph, lambda g: graph.reverse(g[1]))
 QUERIES["graph_incoming"] = over(t.part_graph, lambda g: graph.incoming(g[1], g[0].count(), PARTS))
 QUERIES["graph_owner_blocks"] = over(t.part_graph, lambda g: g[0].select("id", graph.owner(g[0].count(), PARTS).alias("owner")))
 QUERIES["graph_sorted_adjacency"] = over(t.part_graph, lambda g: graph.sorted_adjacency(g[1]).select("src", F.concat_ws(" ", F.col("nbrs").cast("array<string>")).alias("nbrs")))
+QUERIES["graph_adjacency_blocks"] = over(t.part_graph, lambda g: lists.joined(lists.blocked_lists(g[1], "src", ["dst"]), "src").select("src", F.concat_ws(" ", F.transform("entries", lambda e: e["dst"].cast("string"))).alias("nbrs")))
 QUERIES["pagerank_parts"] = over(t.part_graph, ranks)
 QUERIES["pagerank_sinks"] = over(sink_graph, ranks)
 QUERIES["pagerank_nation"] = over(t.nation_graph, ranks)
@@ -104,6 +105,8 @@ QUERIES["csr_normalize_both_l2"] = over(t.purchases, lambda m: rounded(sparse.no
 QUERIES["csr_normalize_both_l1"] = over(t.purchases, lambda m: rounded(sparse.normalize(m, "both", 1), 9, "val"))
 QUERIES["csr_inverted_index"] = over(t.purchases, sparse.inverted_index, entries)
 QUERIES["csr_row_index"] = over(t.purchases, lambda m: sparse.inverted_index(m, "row"), entries)
+QUERIES["csr_inverted_index_blocks"] = over(t.purchases, lambda m: lists.joined(lists.blocked_lists(m, "col", ["row", "val"]), "col"), entries)
+QUERIES["csr_row_index_blocks"] = over(t.purchases, lambda m: lists.joined(lists.blocked_lists(m, "row", ["col", "val"]), "row"), entries)
 QUERIES["csr_pointers"] = over(t.purchases, sparse.pointers)
 QUERIES["csr_slice_rows"] = over(t.purchases, lambda m: sparse.extract_rows(m, 100, 300))
 

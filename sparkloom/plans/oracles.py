@@ -148,6 +148,9 @@ yy AS (SELECT sum(y * y) v FROM (SELECT id, max(y) y FROM p GROUP BY 1)),
 s AS (SELECT 0 s, list_transform(b, lambda x: 0.0::DOUBLE) w FROM b
 UNION ALL SELECT s + 1, list_transform(w, lambda x, i: CASE WHEN i = s % len(w) + 1 THEN (b[i] - list_dot_product(m[i], w) + m[i][i] * x) / m[i][i] ELSE x END) FROM s, g, b WHERE s < 2 * len(w))
 """
+#: Blocks of lists, put together, are the lists.
+for _blocks, _lists in (("graph_adjacency_blocks", "graph_sorted_adjacency"), ("csr_inverted_index_blocks", "csr_inverted_index"), ("csr_row_index_blocks", "csr_row_index")):
+    ORACLES[_blocks] = ORACLES[_lists]
 ORACLES["lc_weights"] = _LC + "SELECT (generate_subscripts(w, 1) - 1)::BIGINT j, round(unnest(w), 6) w FROM s WHERE s = 2 * len(w)"
 ORACLES["lc_error_trace"] = _LC + "SELECT (s // len(w))::BIGINT iteration, round(list_dot_product(w, list_transform(m, lambda r: list_dot_product(r, w))) - 2 * list_dot_product(w, b) + yy.v, 4) error FROM s, g, b, yy WHERE s % len(w) = 0"
 
