@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scratch import Scratch
-from sparkloom.operators import demos, graph, linalg, lists, regression, similarity, sorting, sparse, vector
+from sparkloom.operators import demos, graph, linalg, lists, regression, similarity, similarity_tiles, sorting, sparse, vector
 from sparkloom.plans.oracles import ORACLES
 from sparkloom.sources import files
 from sparkloom.sources import tables as t
@@ -117,6 +117,8 @@ QUERIES["knn_dot"] = over(t.purchases, lambda m: similarity.neighbors(m, "dot",
 QUERIES["knn_cosine"] = over(t.purchases, lambda m: rounded(similarity.neighbors(m, "cosine", 0.1, -1), 6, "sim").drop("rank"))
 QUERIES["knn_minmax"] = over(t.purchases, lambda m: similarity.neighbors(m, "minmax", 0.05, 10))
 QUERIES["knn_close"] = over(t.purchases, lambda m: similarity.neighbors(m, "jaccard", 0.4, 10, prefix=True))
+QUERIES["knn_grid"] = over(t.purchases, lambda m: similarity_tiles.tiled_neighbors(m, "jaccard", 0.05, 10))
+QUERIES["knn_grid_minmax"] = over(t.purchases, lambda m: similarity_tiles.tiled_neighbors(m, "minmax", 0.05, 10))
 QUERIES["knn_all"] = over(t.purchases, lambda m: similarity.neighbors(m, "jaccard", 0.05, -1))
 
 

@@ -151,6 +151,8 @@ UNION ALL SELECT s + 1, list_transform(w, lambda x, i: CASE WHEN i = s % len(w)
 #: Blocks of lists, put together, are the lists.
 for _blocks, _lists in (("graph_adjacency_blocks", "graph_sorted_adjacency"), ("csr_inverted_index_blocks", "csr_inverted_index"), ("csr_row_index_blocks", "csr_row_index")):
     ORACLES[_blocks] = ORACLES[_lists]
+for _grid, _join in (("knn_grid", "knn_jaccard"), ("knn_grid_minmax", "knn_minmax")):
+    ORACLES[_grid] = ORACLES[_join]
 ORACLES["lc_weights"] = _LC + "SELECT (generate_subscripts(w, 1) - 1)::BIGINT j, round(unnest(w), 6) w FROM s WHERE s = 2 * len(w)"
 ORACLES["lc_error_trace"] = _LC + "SELECT (s // len(w))::BIGINT iteration, round(list_dot_product(w, list_transform(m, lambda r: list_dot_product(r, w))) - 2 * list_dot_product(w, b) + yy.v, 4) error FROM s, g, b, yy WHERE s % len(w) = 0"
 
