@@ -1,8 +1,8 @@
 """Least squares on +-1 labels by cyclic coordinate descent, over points(id, features, label).
 
-`weights` and `error_trace` keep a distributed residual (`descent.py`), for any number of columns. `fit` is for few: one
-distributed pass builds the Gram matrix and the right-hand side, and all sweeps are exact steps on these d * d
-numbers on the driver, so the data are read once however many sweeps there are.
+For few columns: one distributed pass builds the Gram matrix and the right-hand side, and all sweeps are exact steps
+on these d * d numbers on the driver, so the data are read once however many sweeps there are. For any number of columns
+there is `descent.py`, which keeps a distributed residual and gives the same weights.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.operators.descent import descend
-
 
 def cells(points: DataFrame) -> DataFrame:
     """id, j, x, label."""
@@ -95,11 +93,12 @@ def fit(points: DataFrame, sweeps: int) -> Fit:
 
 
 def weights(points: DataFrame, sweeps: int) -> DataFrame:
-    """j, w, by the distributed residual."""
-    return descend(points, sweeps)[0]
+    """j, w, by fit()."""
+    f = fit(points, sweeps)
+    return points.sparkSession.createDataFrame([(int(j), float(w)) for j, w in zip(f.columns, f.weights, strict=True)], "j bigint, w double")
 
 
 def error_trace(points: DataFrame, sweeps: int) -> DataFrame:
-    """iteration (0: before), error, by the distributed residual."""
-    errors = descend(points, sweeps)[1]
-    return points.sparkSession.createDataFrame(list(enumerate(errors)), "iteration bigint, error double")
+    """iteration (0: before), error, by fit()."""
+    f = fit(points, sweeps)
+    return points.sparkSession.createDataFrame(list(enumerate(f.errors)), "iteration bigint, error double")

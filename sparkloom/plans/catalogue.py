@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scratch import Scratch
-from sparkloom.operators import demos, graph, linalg, lists, regression, similarity, similarity_tiles, sorting, sparse, vector
+from sparkloom.operators import demos, descent, graph, linalg, lists, regression, similarity, similarity_tiles, sorting, sparse, vector
 from sparkloom.plans.oracles import ORACLES
 from sparkloom.sources import files
 from sparkloom.sources import tables as t
@@ -196,6 +196,8 @@ QUERIES["lc_denominators"] = over(t.points, lambda p: rounded(regression.denomin
 QUERIES["lc_mat_vec"] = over(t.points, lambda p: rounded(regression.mat_vec(p, HALVES), 6, "xw"))
 QUERIES["lc_squared_error"] = over(t.points, lambda p: rounded(regression.squared_error(p, HALVES), 4, "error"))
 QUERIES["lc_weights"] = over(t.points, lambda p: rounded(regression.weights(p, 2), 6, "w"))
+QUERIES["lc_weights_residual"] = over(t.points, lambda p: rounded(descent.descend(p, 2)[0], 6, "w"))
+QUERIES["lc_error_trace_residual"] = over(t.points, lambda p: rounded(descent.error_trace(p, 2), 4, "error"))
 QUERIES["lc_error_trace"] = over(t.points, lambda p: rounded(regression.error_trace(p, 2), 4, "error"))
 
 # Dense matrices

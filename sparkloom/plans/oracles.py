@@ -164,3 +164,5 @@ ORACLES["file_keys"] = "SELECT 0::BIGINT line, count(*)::VARCHAR AS value FROM l
 ORACLES["file_ranks"] = pagerank(NATIONS, "SELECT n_nationkey::BIGINT id FROM nation").replace("SELECT id, round(pr + 1e-13::DOUBLE, 9) pr", "SELECT (row_number() OVER (ORDER BY id) - 1)::BIGINT AS line, printf('%.3e', pr) AS value")
 ORACLES["file_neighbors"] = f"SELECT (row_number() OVER (ORDER BY query, sim DESC, neighbor) - 1)::BIGINT AS line, concat_ws(' ', query, neighbor, printf('%.3f', sim)) AS value FROM ({ORACLES['knn_dot']})"
 ORACLES["file_stats"] = "SELECT (count(*) + 1)::BIGINT nlines, (count(*) + 1)::BIGINT ntokens, 1::BIGINT max_line_tokens, (sum(length(l_partkey::VARCHAR) + 1) + length(count(*)::VARCHAR) + 1)::BIGINT nbytes FROM lineitem"
+for _what in ("lc_weights", "lc_error_trace"):
+    ORACLES[f"{_what}_residual"] = ORACLES[_what]
