@@ -33,7 +33,8 @@ _KEY = ["k1", "k2", "depth"]
 
 def running(rows: DataFrame, keys: list[str], block: str, at: Column, back: bool = False, **sums: tuple) -> DataFrame:
     """Running aggregates of each key's rows in order of block and `at` (backwards with `back`), ties together.
-    sums: name = (aggregate, column, how two results are combined). A key's blocks are tasks of their own, so a key
+    sums: name = (aggregate, column, how two results are combined); the aggregate of blocks' aggregates must be that of
+    their rows, so counts are sums of ones. A key's blocks are tasks of their own, so a key
     of very many rows is many tasks; what comes before a block is a short table of block totals."""
     order = F.col(block).desc() if back else F.col(block)
     inside = Window.partitionBy(*keys, block).orderBy(at.desc() if back else at)
@@ -59,7 +60,7 @@ def ordered_turns(turns: DataFrame, scratch: Scratch, conv_col: str = "conv_id",
         F.xxhash64("role", "text").alias("d1"), F.xxhash64(F.lit(1), "text", "role").alias("d2"),
         F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("words"),
     )
-    out = running(scratch.save(ranged), ["conv"], "part", F.col("at"), r=(F.count, F.lit(1), lambda a, b: a + b))
+    out = running(scratch.save(ranged), ["conv"], "part", F.col("at"), r=(F.sum, F.lit(1), lambda a, b: a + b))
     return out.select("conv", (F.col("r") - 1).alias("r"), "d1", "d2", "words")
 
 

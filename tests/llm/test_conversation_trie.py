@@ -125,3 +125,17 @@ def test_places_of_turns_over_many_ranges(spark):
     turns = trie.ordered_turns(spark.createDataFrame(rows, SCHEMA).repartition(8), Scratch(spark, "test"))
     got = {(r.conv, r.r) for r in turns.collect()}
     assert got == {(c, r) for c in (1, 2) for r in range(50)}
+
+
+def test_places_of_turns_where_ranges_stay_apart(spark):
+    """Small ranges are not put together, so a conversation lies in several and its places go on from one to the next."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        rows = [(c, (t * 7) % 50, "user", f"{t}", "", "") for c in (1, 2) for t in range(50)]
+        turns = trie.ordered_turns(spark.createDataFrame(rows, SCHEMA).repartition(8), Scratch(spark, "test"))
+        assert sorted((r.conv, r.r) for r in turns.collect()) == [(c, r) for c in (1, 2) for r in range(50)]
+        assert made(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set(name, before)
