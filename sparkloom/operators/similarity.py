@@ -49,11 +49,15 @@ LONG_ROW = 1_000_000
 TRIED, GAIN = 0.15, 0.25
 
 
-def described(m: DataFrame, measure: str) -> DataFrame:
-    """m with each row's `a`, its squared norm (row sum for minmax), least value `low`, and whether a cell repeats."""
+def row_norms(m: DataFrame, measure: str) -> DataFrame:
+    """Of each row `a`, its squared norm (row sum for minmax), least value `low`, whether a cell repeats, and `cells`."""
     own = F.sum("val") if measure == "minmax" else F.sum(F.col("val") * F.col("val"))
-    norms = m.groupBy("row").agg(own.alias("a"), F.min("val").alias("low"), (F.count_distinct("col") < F.count("*")).alias("rep"), F.count("*").alias("cells"))
-    return m.join(norms, "row")
+    return m.groupBy("row").agg(own.alias("a"), F.min("val").alias("low"), (F.count_distinct("col") < F.count("*")).alias("rep"), F.count("*").alias("cells"))
+
+
+def described(m: DataFrame, measure: str) -> DataFrame:
+    """m with what row_norms() says of its row."""
+    return m.join(row_norms(m, measure), "row")
 
 
 def indexed(cells: DataFrame, measure: str, minsim: float) -> DataFrame:

@@ -1,9 +1,10 @@
 """Top-k similarity by a grid of row blocks, each two blocks a tile that finishes its similarities.
 
 What leaves a tile is bounded: at most k neighbours for each of its rows, so at most k a block for each query are exchanged
-and merged, where `similarity.neighbors` exchanges every pair that reaches the threshold. In return each block of
-rows goes to all other blocks, so cells are shuffled as often as there are blocks: this is for rows that
-share columns with most others, the column join of `neighbors` for sparse ones.
+and merged, where the join by columns exchanges every pair. A cell goes only to tiles of its block and one that has a
+cell of its column, so a tile is there only for blocks that share a column, and cells are shuffled as often as
+their columns have blocks: where rows in order are alike, that is a few times, whatever the number of rows. Where columns
+are spread over more blocks than they have pairs of rows to form, `similarity.neighbors` joins by columns.
 """
 
 from __future__ import annotations
@@ -13,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sparkloom.functions.scratch import Scratch
-from sparkloom.operators.similarity import MEASURES, described
+from sparkloom.functions.scratch import Scratch, save
+from sparkloom.operators.similarity import MEASURES, indexed, row_norms
 from sparkloom.operators.sparse import normalize, prefix_sum
 
-#: Cells and rows of a row block (a row more at most); columns that a tile multiplies at a time.
-CELLS, ROWS, COLUMNS = 1 << 19, 1024, 2048
+#: Cells and rows of a row block (a row more at most); similarities, or products of cells, that a tile holds at a time.
+CELLS, ROWS, HELD = 1 << 19, 1 << 14, 1 << 22
 
 _LIST = "query bigint, neighbor bigint, sim double"
 
@@ -26,71 +27,101 @@ _LIST = "query bigint, neighbor bigint, sim double"
 def row_blocks(m: DataFrame, measure: str, cells: int = CELLS, rows: int = ROWS) -> DataFrame:
     """described() cells with `block`: runs of rows in order that together have about `cells` cells and at most `rows`
     rows. Rows of more than `cells` cells have none (null)."""
-    told = described(m, measure)
-    short = told.filter(F.col("cells") <= cells).groupBy("row").agg(F.greatest(F.max("cells"), F.lit(-(-cells // rows))).alias("weight"))
+    m = save(m.select("row", "col", F.col("val").cast("double").alias("val")), "cells")
+    norms = save(row_norms(m, measure), "norms")
+    short = norms.filter(F.col("cells") <= cells).select("row", F.greatest("cells", F.lit(-(-cells // rows))).alias("weight"))
     numbered = prefix_sum(short, "row", "weight").select("row", F.expr(f"before div {cells}").alias("block"))
-    return told.join(numbered, "row", "left").select("row", "col", F.col("val").cast("double").alias("val"), F.col("a").cast("double").alias("a"), "block")
-
-
-def tile_lists(blocked: DataFrame, measure: str, minsim: float, nnbrs: int, blocks: int, columns: int = COLUMNS) -> DataFrame:
-    """query, neighbor, sim: of each tile its rows' `nnbrs` best (-1: all) with sim >= minsim."""
-    short = blocked.filter("block is not null")
-    fields = ["row", "col", "val", "a"]
-    one = short.withColumn("q", F.col("block")).withColumn("h", F.explode(F.sequence("block", F.lit(blocks - 1).cast("bigint")))).select("q", "h", *fields)
-    two = short.withColumn("h", F.col("block")).withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), "block"))).select("q", "h", *fields)
-    one, two = one.toDF(*one.columns), two.toDF(*two.columns)
+    return m.join(norms.join(numbered, "row", "left"), "row")
+
+
+def column_blocks(blocked: DataFrame) -> DataFrame:
+    """col, at, n: of each column the blocks that have a cell of it, and its cells in blocks."""
+    each = blocked.filter("block is not null").groupBy("col", "block").agg(F.count("*").alias("n"))
+    return each.groupBy("col").agg(F.collect_list("block").alias("at"), F.sum("n").alias("n"))
+
+
+def products(r1: np.ndarray, lo: np.ndarray, n: np.ndarray, held: int):
+    """(of, to): numbers of left cells, and of the right cells that each meets, which are n from lo on; about `held` at a
+    time."""
+    upto = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + held, "right")))
+        of = np.repeat(np.arange(at, end), n[at:end])
+        first = np.cumsum(n[at:end]) - n[at:end]
+        yield of, np.arange(len(of)) - np.repeat(first - lo[at:end], n[at:end])
+        at = end
+
+
+def best(query: np.ndarray, other: np.ndarray, x: np.ndarray, nnbrs: int) -> tuple[np.ndarray, ...]:
+    """The `nnbrs` best of each query (-1: all), ties to the smaller neighbour."""
+    if nnbrs == -1 or not len(query):
+        return query, other, x
+    order = np.lexsort((other, -x, query))
+    query, other, x = query[order], other[order], x[order]
+    at = np.arange(len(query))
+    keep = at - np.maximum.accumulate(np.where(np.r_[True, query[1:] != query[:-1]], at, 0)) < nnbrs
+    return query[keep], other[keep], x[keep]
+
+
+def tile_lists(blocked: DataFrame, measure: str, minsim: float, nnbrs: int, blocks: int, held: int = HELD, columns: DataFrame | None = None) -> DataFrame:
+    """query, neighbor, sim: of each tile its rows' `nnbrs` best (-1: all) with sim >= minsim. columns: column_blocks().
+    Where cells have `pre` and `free` (see similarity.indexed), only pairs that share a column in both prefixes, or with a
+    free row, are formed; all that they share is in the tile, which completes them."""
+    prefix = "pre" in blocked.columns
+    columns = column_blocks(blocked) if columns is None else columns
+    more = ["pre", "free"] if prefix else []
+    sent = blocked.filter("block is not null").join(columns.select("col", "at"), "col").select("block", F.explode("at").alias("with"), "row", "col", "val", F.col("a").cast("double").alias("a"), *more)
+    sent = sent.select(F.least("block", "with").alias("q"), F.greatest("block", "with").alias("h"), "block", "row", "col", "val", "a", *more)
+    counted = prefix or not minsim > 0
 
     def side(t):
+        t = t.take(np.lexsort((t.column("col").to_numpy(), t.column("row").to_numpy())))
         rows, r = np.unique(t.column("row").to_numpy(), return_inverse=True)
         a = np.zeros(len(rows))
         a[r] = t.column("a").to_numpy()
-        return rows, r, t.column("col").to_numpy(), t.column("val").to_numpy(), a
+        flags = [t.column(c).to_numpy(zero_copy_only=False) for c in more]
+        return rows, r, t.column("col").to_numpy(), t.column("val").to_numpy(), a, flags
 
-    def tile(left, right):
+    def tile(key, table):
         import pyarrow as pa
-
-        rows1, r1, c1, v1, a1 = side(left)
-        rows2, r2, c2, v2, a2 = side(right)
-        shared = np.intersect1d(c1, c2)
-        s, met = np.zeros((len(rows1), len(rows2))), np.zeros((len(rows1), len(rows2)), np.float32)
-        for at in range(0, len(shared), columns):
-            some = shared[at : at + columns]
-            in1, in2 = np.isin(c1, some), np.isin(c2, some)
-            k1, k2 = np.searchsorted(some, c1[in1]), np.searchsorted(some, c2[in2])
-            if measure == "minmax":
-                o1, o2 = np.argsort(k1, kind="stable"), np.argsort(k2, kind="stable")
-                e1, e2 = (np.searchsorted(k[o], np.arange(len(some) + 1)) for k, o in ((k1, o1), (k2, o2)))
-                for k in range(len(some)):
-                    x, y = o1[e1[k] : e1[k + 1]], o2[e2[k] : e2[k + 1]]
-                    np.add.at(s, (r1[in1][x][:, None], r2[in2][y][None, :]), np.minimum.outer(v1[in1][x], v2[in2][y]))
-            if measure != "minmax" or not minsim > 0:
-                full1, full2 = np.zeros((len(rows1), len(some))), np.zeros((len(rows2), len(some)))
-                if measure != "minmax":
-                    np.add.at(full1, (r1[in1], k1), v1[in1])
-                    np.add.at(full2, (r2[in2], k2), v2[in2])
-                    s += full1 @ full2.T
-                if not minsim > 0:
-                    full1[r1[in1], k1], full2[r2[in2], k2] = 1, 1
-                    met += (full1 @ full2.T).astype(np.float32)
-        with np.errstate(all="ignore"):
-            sim = s if measure == "dot" else s / (a1[:, None] + a2[None, :] - s)
-        good = np.isfinite(sim) & (sim >= minsim)
-        if not minsim > 0:
-            good &= met > 0
-        q, h = np.nonzero(good)
-        lists = []
-        for query, other, x in [(rows1[q], rows2[h], sim[q, h]), (rows2[h], rows1[q], sim[q, h])][: 1 if np.array_equal(rows1, rows2) else 2]:
-            order = np.lexsort((other, -x, query))
-            query, other, x = query[order], other[order], x[order]
-            if nnbrs != -1 and len(query):
-                starts = np.r_[True, query[1:] != query[:-1]]
-                at = np.arange(len(query))
-                keep = at - np.maximum.accumulate(np.where(starts, at, 0)) < nnbrs
-                query, other, x = query[keep], other[keep], x[keep]
-            lists.append(pa.table({"query": query, "neighbor": other, "sim": x}))
-        return pa.concat_tables(lists)
-
-    return one.groupBy("q", "h").cogroup(two.groupBy("q", "h")).applyInArrow(tile, _LIST)
+        import pyarrow.compute as pc
+
+        q, h = (k.as_py() for k in key)
+        rows1, r1, c1, v1, a1, f1 = side(table.filter(pc.equal(table.column("block"), q)))
+        rows2, r2, c2, v2, a2, f2 = side(table.filter(pc.equal(table.column("block"), h))) if q != h else (rows1, r1, c1, v1, a1, f1)
+        by = np.argsort(c2, kind="stable")
+        r2, c2, v2, f2 = r2[by], c2[by], v2[by], [f[by] for f in f2]
+        lo = np.searchsorted(c2, c1, "left")
+        n = np.searchsorted(c2, c1, "right") - lo
+        step = max(1, held // max(1, len(rows2)))
+        cuts = np.searchsorted(r1, np.arange(0, len(rows1) + step, step))
+        own, theirs = [], []
+        for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            size = (min(len(rows1), (i + 1) * step) - i * step) * len(rows2)
+            s, met = np.zeros(size), np.zeros(size) if counted else None
+            for of, to in products(r1[x:y], lo[x:y], n[x:y], held):
+                of = of + x
+                at = (r1[of] - i * step) * len(rows2) + r2[to]
+                s += np.bincount(at, np.minimum(v1[of], v2[to]) if measure == "minmax" else v1[of] * v2[to], size)
+                if counted:
+                    met += np.bincount(at, (f1[0][of] & f2[0][to]) | f1[1][of] | f2[1][to] if prefix else None, size)
+            at = np.flatnonzero(met if counted else s)
+            s, one, two = s[at], at // len(rows2) + i * step, at % len(rows2)
+            with np.errstate(all="ignore"):
+                rest = a1[one] + a2[two] - s
+                sim = s if measure == "dot" else s / rest
+            good = ~np.isnan(sim) & (sim >= minsim) & (True if measure == "dot" else rest != 0)
+            one, two, sim = rows1[one[good]], rows2[two[good]], sim[good]
+            own.append(best(one, two, sim, nnbrs))
+            if q != h:
+                theirs.append(best(two, one, sim, nnbrs))
+        lists = own + ([best(*(np.concatenate(c) for c in zip(*theirs, strict=True)), nnbrs)] if theirs else [])
+        return pa.table(dict(zip(("query", "neighbor", "sim"), (np.concatenate(c) for c in zip(*lists, strict=True)), strict=True)))
+
+    # A task for each block at least, since blocks are full, but no more than there may be tiles.
+    parts = min(max(blocks, int(blocked.sparkSession.conf.get("spark.sql.shuffle.partitions"))), blocks * (blocks + 1) // 2)
+    return sent.repartition(parts, "q", "h").groupBy("q", "h").applyInArrow(tile, _LIST)
 
 
 def _of_long_rows(blocked: DataFrame, measure: str, minsim: float) -> DataFrame:
@@ -104,23 +135,38 @@ def _of_long_rows(blocked: DataFrame, measure: str, minsim: float) -> DataFrame:
     return p.select(F.col("r1").alias("query"), F.col("r2").alias("neighbor"), "sim").unionByName(p.filter("not long").select(F.col("r2").alias("query"), F.col("r1").alias("neighbor"), "sim"))
 
 
+def ranked(lists: DataFrame, nnbrs: int) -> DataFrame:
+    """query, neighbor, rank, sim: lists with ranks, of each query `nnbrs` (-1: all)."""
+    r = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "neighbor")).cast("bigint"))
+    return (r if nnbrs == -1 else r.filter(F.col("rank") <= nnbrs)).select("query", "neighbor", "rank", "sim")
+
+
+def grid_lists(m: DataFrame, measure: str, minsim: float, nnbrs: int, cells: int = CELLS, rows: int = ROWS, prefix: bool = False, pays: bool = False) -> DataFrame | None:
+    """query, neighbor, sim of all tiles, and of rows longer than a block. With `pays`: None where columns are spread
+    over so many blocks that more cells would be sent than pairs of rows are to be formed."""
+    scratch = Scratch(m.sparkSession, "grid")
+    blocked, seen = scratch.measure(row_blocks(m, measure, cells, rows), F.max("block").alias("last"), F.count_if(F.col("block").isNull()).alias("long"))
+    pairs, sent = F.sum(F.col("n") * (F.col("n") + 1.0) / 2).alias("pairs"), F.sum(F.col("n") * F.size("at")).alias("sent")
+    columns, told = scratch.measure(column_blocks(blocked), pairs, sent)
+    if pays and (seen["long"] or seen["last"] is None or told["sent"] > told["pairs"]):
+        return None
+    known = scratch.save(indexed(blocked, measure, minsim)) if prefix and minsim > 0 else blocked
+    parts = [tile_lists(known, measure, minsim, nnbrs, seen["last"] + 1, columns=columns)] if seen["last"] is not None else []
+    if seen["long"] or not parts:
+        parts.append(_of_long_rows(blocked, measure, minsim))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def tiled_neighbors(m: DataFrame, measure: str = "jaccard", minsim: float = 0.25, nnbrs: int = 100, cells: int = CELLS, rows: int = ROWS) -> DataFrame:
     """query, neighbor, rank, sim: what `similarity.neighbors` gives, by the rules stated there.
 
-    Two blocks are multiplied once, for the queries of both. A task holds two blocks and the similarities of their
-    rows. Rows of more than `cells` cells meet the others by columns, outside the grid, so no task holds one. Rows, columns and
-    values are whole: cells with a null are left out.
+    Two blocks are multiplied once, for the queries of both. A task holds the cells that two blocks share columns by, and
+    some of the similarities of their rows. Rows of more than `cells` cells meet the others by columns, outside the grid,
+    so no task holds one. Rows, columns and values are whole: cells with a null are left out.
     """
     if measure not in MEASURES:
         raise ValueError(f"measure must be one of {MEASURES}")
     m = m.filter("row is not null and col is not null and val is not null")
     if measure == "cosine":
         m, measure = normalize(m, "row", 2), "dot"
-    scratch = Scratch(m.sparkSession, "grid")
-    blocked, seen = scratch.measure(row_blocks(m, measure, cells, rows), F.max("block").alias("last"), F.count_if(F.col("block").isNull()).alias("long"))
-    parts = [tile_lists(blocked, measure, minsim, nnbrs, seen["last"] + 1)] if seen["last"] is not None else []
-    if seen["long"] or not parts:
-        parts.append(_of_long_rows(blocked, measure, minsim))
-    lists = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    ranked = lists.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "neighbor")).cast("bigint"))
-    return (ranked if nnbrs == -1 else ranked.filter(F.col("rank") <= nnbrs)).select("query", "neighbor", "rank", "sim")
+    return ranked(grid_lists(m, measure, minsim, nnbrs, cells, rows), nnbrs)

@@ -41,3 +41,15 @@ def test_empty(spark):
     assert grid.tiled_neighbors(matrix(spark, 1, [1], 1).filter("row < 0")).count() == 0
     with pytest.raises(ValueError):
         grid.tiled_neighbors(matrix(spark, 1, [1], 1), "euclid")
+
+
+def test_cells_go_only_to_blocks_that_share_their_column(spark):
+    """Ten parts that share no columns, a block each: a cell is sent once, not to all blocks, and the lists are the same."""
+    cells = [(100 * p + r, 50 * p + (r * 7 + i * i) % 23, float(1 + (r + i) % 3)) for p in range(10) for r in range(6) for i in range(5)]
+    m = spark.createDataFrame(cells, "row bigint, col bigint, val double").groupBy("row", "col").agg(F.sum("val").alias("val"))
+    blocked = grid.row_blocks(m, "jaccard", 30, 30)
+    assert grid.column_blocks(blocked).agg(F.sum(F.col("n") * F.size("at"))).first()[0] <= 2 * m.count()
+    for measure, prefix in (("jaccard", True), ("minmax", True), ("dot", False)):
+        got = grid.ranked(grid.grid_lists(m, measure, 0.3, 4, 30, 30, prefix, pays=True), 4)
+        want = similarity.neighbors(m, measure, 0.3, 4, tile=similarity.TILE, prefix=False)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
