@@ -155,13 +155,16 @@ def pair_sums(m: DataFrame, measure: str, minsim: float = 0.0, tile: int = TILE,
     return found.unionByName(own.select("q", "h", "s", "own"))
 
 
-def neighbors(m: DataFrame, measure: str = "jaccard", minsim: float = 0.25, nnbrs: int = 100, tile: int = TILE, prefix: bool | None = None) -> DataFrame:
+def neighbors(m: DataFrame, measure: str = "jaccard", minsim: float = 0.25, nnbrs: int = 100, tile: int | None = None, prefix: bool | None = None) -> DataFrame:
     """query, neighbor, rank, sim: of each row the `nnbrs` most similar rows (-1: all) with sim >= minsim.
 
     Candidates share a column, so a dot product of 0 or less is one too; a row is its own neighbour; a row
     without cells has none. jaccard: dot / (|a|^2 + |b|^2 - dot). dot: the plain product. cosine: dot of rows of
     length 1. minmax: sum of minima / sum of maxima. A pair whose similarity is undefined (0 / 0) is dropped.
     Ties go to the smaller neighbour. `tile` and `prefix` are as in pair_sums and change no result.
+
+    Where rows in order share columns, so that fewer cells than pairs are exchanged, pairs are formed and finished in
+    tiles of two row blocks (similarity_tiles); else, and where a `tile` is given, by the join of pair_sums.
     """
     if measure not in MEASURES:
         raise ValueError(f"measure must be one of {MEASURES}")
@@ -169,7 +172,14 @@ def neighbors(m: DataFrame, measure: str = "jaccard", minsim: float = 0.25, nnbr
         m, measure = normalize(m, "row", 2), "dot"
         if prefix is None and minsim**2 < TRIED:  # the share of a row of length 1 that is too little
             prefix = False
-    p = pair_sums(m, measure, minsim, tile, prefix)
+    if tile is None and [m.schema[c].dataType.typeName() for c in ("row", "col", "val")] == ["long", "long", "double"]:
+        from sparkloom.operators import similarity_tiles as grid
+
+        m = save(m.filter("row is not null and col is not null and val is not null"), "matrix")
+        lists = grid.grid_lists(m, measure, minsim, nnbrs, prefix=bool(prefix), pays=True)
+        if lists is not None:
+            return grid.ranked(lists, nnbrs)
+    p = pair_sums(m, measure, minsim, tile or TILE, prefix)
     sim = F.col("s") if measure == "dot" else F.try_divide(F.col("s"), F.col("own") - F.col("s"))
     p = p.select("q", "h", sim.alias("sim")).filter(F.col("sim").isNotNull() & ~F.isnan("sim") & (F.col("sim") >= minsim))
     both = F.when(F.col("q") == F.col("h"), F.array(F.struct(F.col("q").alias("query"), F.col("h").alias("neighbor")))).otherwise(F.array(F.struct(F.col("q").alias("query"), F.col("h").alias("neighbor")), F.struct(F.col("h").alias("query"), F.col("q").alias("neighbor"))))
