@@ -62,6 +62,8 @@ class PageRank:
 
 #: Edges of a vertex from which on it is a hub, as a share of the edges of one block.
 HUB = 0.25
+#: Edges or vertices of a block, so that a small graph is not many rounds of tasks that have next to nothing to do.
+EACH = 250_000
 
 
 def blocks(spark: SparkSession, parts: int) -> list[int]:
@@ -85,14 +87,20 @@ class Layout:
     parts: int
 
 
-def layout(edges: DataFrame, scratch: Scratch, parts: int) -> Layout:
-    """Edges go to the block of their target, so a source with any share of all edges has them in all blocks. A target
+def layout(edges: DataFrame, scratch: Scratch, parts: int | None = None, vertices: int = 0) -> Layout:
+    """A graph in `parts` blocks; if not given, in one for each EACH edges or vertices, as many as tasks run at a time at
+    least (if there are so many shuffle partitions), and as many as shuffle partitions at most.
+
+    Edges go to the block of their target, so a source with any share of all edges has them in all blocks. A target
     with more distinct in-edges than HUB of a block's share has them dealt to several blocks by source, from its own
     on; there are parts / HUB such targets at most, so their table is broadcast. Routes lie where their source is."""
+    many, seen = scratch.measure(edges.groupBy("src", "dst").agg(F.count("*").alias("m")), F.count("*").alias("n"))
+    if parts is None:
+        most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = min(most, max(edges.sparkSession.sparkContext.defaultParallelism, -(-max(seen["n"], vertices) // EACH)))
     names = F.lit(blocks(edges.sparkSession, parts))
     place = lambda i: F.element_at(names, (i + 1).cast("int"))
     at = lambda c: F.pmod(F.xxhash64(c), F.lit(parts))
-    many, seen = scratch.measure(edges.groupBy("src", "dst").agg(F.count("*").alias("m")), F.count("*").alias("n"))
     limit = max(1.0, HUB * seen["n"] / parts)
     hubs = many.groupBy("dst").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("dst", F.least(F.ceil(F.col("n") / limit), F.lit(parts)).alias("splits"))
     dealt = many.join(F.broadcast(hubs), "dst", "left")
@@ -121,7 +129,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, max_i
     pass nothing on. It stops after the first iteration from the third on that changes ranks by less than
     `tolerance` (L2).
 
-    The graph is cut into `parts` blocks (shuffle partitions, if not given) as layout() says, and only ranks move: an
+    The graph is cut into `parts` blocks as layout() says, and only ranks move: an
     iteration sends one value for each source and block, and one sum for each target and block. `steps` iterations are
     one job. Each job's ranks are written to the shared folder, which cuts lineage; the changes of its iterations are
     summed as they are written, and only those numbers come to the driver. While they are written, Spark may join by
@@ -131,13 +139,12 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, max_i
     n = vertices.count()
     if n == 0:
         return PageRank(vertices.select("id", F.lit(0.0).alias("pr")).limit(0), 0, 0.0, perf_counter() - began)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch, before = Scratch(spark, "pagerank", {"spark.sql.requireAllClusterKeysForCoPartition": "false"}), []
-    graph = layout(edges, scratch, parts)
+    graph = layout(edges, scratch, parts, n)
     state, done, delta = vertices.select(graph.home("id").alias("home"), "id", F.lit(1.0 / n).alias("p0")), 0, float("inf")
     while done < max_iterations:
         now = min(steps, max_iterations - done)
-        state = state.repartition(parts, "home")
+        state = state.repartition(graph.parts, "home")
         for i in range(now):
             state = state.join(exchanged(graph, state, f"p{i}"), ["home", "id"], "left")
             state = state.withColumn(f"p{i + 1}", F.lit((1 - damping) / n) + F.lit(damping) * F.coalesce("acc", F.lit(0.0))).drop("acc")

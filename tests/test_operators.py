@@ -313,3 +313,23 @@ def test_selection_by_counting(spark, monkeypatch):
     assert sorting.pivot(keys.limit(0)).first().pivot is None
     many = spark.range(1_000_000).select(((F.col("id") * 48271) % 1_000_003).alias("value"))
     assert sorting.nth(many, 499_999) == sorted(i * 48271 % 1_000_003 for i in range(1_000_000))[499_999]
+
+
+def test_blocks_of_a_small_graph_follow_its_size(spark, monkeypatch):
+    """Few blocks where there are many shuffle partitions, more for more edges or vertices, with the same ranks."""
+    from sparkloom.functions.scratch import Scratch
+
+    edges = spark.range(400).selectExpr("id % 40 src", "(id * id + 3) % 40 dst")
+    vertices = spark.range(40).toDF("id")
+    want = {r.id: r.pr for r in graph.pagerank(vertices, edges, parts=8).ranks.collect()}
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "20")
+    try:
+        assert graph.layout(edges, Scratch(spark, "test")).parts == spark.sparkContext.defaultParallelism
+        monkeypatch.setattr(graph, "EACH", 4)
+        assert graph.layout(edges, Scratch(spark, "test"), vertices=40).parts > spark.sparkContext.defaultParallelism
+        got = {r.id: r.pr for r in graph.pagerank(vertices, edges).ranks.collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
