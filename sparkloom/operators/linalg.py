@@ -5,14 +5,21 @@ Absent cells are 0, cells given more than once add up, and cells with a null in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.scratch import Scratch
+from sparkloom.operators.sparse import prefix_sum
 
 #: Rows and columns of a tile, and tiles a side that one task multiplies at a time.
 SIDE, TOGETHER = 256, 4
+#: Matrices of fewer cells than this share of their tiles are multiplied cell by cell, in blocks of at most so many rows of
+#: the left or columns of the right and about so many cells; so many products or places are held at a time.
+FULL, ROWS, CELLS, HELD = 1 / 32, 1 << 13, 1 << 18, 1 << 21
 
 
 def mat_vec(a: DataFrame, x: DataFrame) -> DataFrame:
@@ -28,18 +35,114 @@ def tiles(m: DataFrame, side: int = SIDE) -> DataFrame:
     return dealt.groupBy("bi", "bj", "p").agg(F.sum("v").alias("v")).groupBy("bi", "bj").agg(F.collect_list(F.struct("p", "v")).alias("cells"))
 
 
-def mat_mat(a: DataFrame, b: DataFrame, side: int = SIDE, together: int = TOGETHER) -> DataFrame:
-    """i, j, v where a row and a column share an inner index, so that sums of 0 stay.
+def mat_mat(a: DataFrame, b: DataFrame, side: int = SIDE, together: int = TOGETHER, full: float = FULL) -> DataFrame:
+    """i, j, v where a row and a column share an inner index, so that sums of 0 stay. Integral values give exact bigint
+    sums (an error beyond 2^63), others double.
 
-    Tiles meet by inner block, in groups of `together` tiles a side, so a task holds that many tiles of each matrix and
-    their product, whatever the matrices and however many cells an inner block has. A group's product is
-    summed over the inner block before it leaves the task; sums over the inner blocks are one aggregate of cells. Integral values
-    give exact bigint sums (an error beyond 2^63), others double.
-    """
+    Where both matrices' tiles of `side` x `side` have at least the share `full` of their cells, dense tiles are multiplied
+    (dense_product), else cells (sparse_product)."""
     whole = all(m.schema["v"].dataType.typeName() in ("byte", "short", "integer", "long") for m in (a, b))
     kind = "bigint" if whole else "double"
-    a, b = (m.select("i", "j", F.col("v").cast(kind).alias("v")) for m in (a, b))
     scratch = Scratch(a.sparkSession, "product")
+    known = lambda m: m.filter("i is not null and j is not null and v is not null").groupBy(F.col("i").cast("bigint"), F.col("j").cast("bigint")).agg(F.sum(F.col("v").cast(kind)).alias("v")).toDF("i", "j", "v")
+    a, b = (scratch.save(known(m)) for m in (a, b))
+    share = [m.groupBy(F.expr(f"i div {side}"), F.expr(f"j div {side}")).count().agg(F.avg("count")).first()[0] for m in (a, b)]
+    if all(n is not None and n >= full * side * side for n in share):
+        return dense_product(a, b, kind, scratch, side, together)
+    return sparse_product(a, b, kind, scratch)
+
+
+def _exact(x: np.ndarray, y: np.ndarray, inner: int, whole: bool):
+    """The type of numbers in which sums of `inner` products are exact."""
+    most = float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(y.astype(float)).max(initial=0)) * inner
+    return np.float64 if not whole or most < 2**53 else np.int64 if most < 2**62 else object
+
+
+def _numbered(m: DataFrame, of: str, rows: int, cells: int) -> DataFrame:
+    """of, block: runs of values of `of` in order that together have about `cells` cells and number at most `rows`, one more
+    at an end. A value of more cells is a block of its own, or with some before it."""
+    n = m.groupBy(of).agg(F.greatest(F.count("*"), F.lit(-(-cells // rows))).alias("weight"))
+    return prefix_sum(n, of, "weight").select(of, F.expr(f"before div {cells}").alias("block"))
+
+
+def meetings(a: DataFrame, b: DataFrame, scratch: Scratch, rows: int = ROWS, cells: int = CELLS) -> tuple[DataFrame, int, int]:
+    """gi, gj, part, left, at, k, v: of each block of rows of a (gi) and block of columns of b (gj) the cells by which they
+    meet, each by its row or column `at` and inner index k, and the numbers of blocks and parts. Cells go only to blocks
+    that have their inner index, so to no more than there are products to form by them. Inner indices are dealt to
+    parts, more than one where a row or a column has more than `cells` cells."""
+    longest = max(m.groupBy(c).count().agg(F.max("count")).first()[0] or 0 for m, c in ((a, "i"), (b, "j")))
+    parts = max(1, -(-longest // cells))
+    at = [m.join(scratch.save(_numbered(m, c, rows, cells * parts)), c).select("block", F.col(c).alias("at"), F.col(k).alias("k"), "v") for m, c, k in ((a, "i", "j"), (b, "j", "i"))]
+    (one, seen1), (two, seen2) = (scratch.measure(m, F.max("block").alias("last")) for m in at)
+    of = lambda m: m.groupBy("k").agg(F.collect_set("block").alias("with"))
+    part = F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int").alias("part")
+    sent = one.join(of(two), "k").select(F.col("block").alias("gi"), F.explode("with").alias("gj"), part, F.lit(True).alias("left"), "at", "k", "v")
+    back = two.join(of(one), "k").select(F.explode("with").alias("gi"), F.col("block").alias("gj"), part, F.lit(False).alias("left"), "at", "k", "v")
+    return sent.unionByName(back), max(-1 if s["last"] is None else s["last"] for s in (seen1, seen2)) + 1, parts
+
+
+def multiplied(i, k1, x, j, k2, y, whole: bool, held: int = HELD):
+    """Rows, columns and values of the product of cells (i, k1, x) and (k2, j, y), in slices of whole rows of which each
+    holds about `held` products and places."""
+    rows, i = np.unique(i, return_inverse=True)
+    cols, j = np.unique(j, return_inverse=True)
+    order, by = np.argsort(i, kind="stable"), np.argsort(k2, kind="stable")
+    i, k1, x, j, k2, y = i[order], k1[order], x[order], j[by], k2[by], y[by]
+    kind = _exact(x, y, min(len(x), len(y)), whole)
+    x, y = x.astype(kind), y.astype(kind)
+    lo = np.searchsorted(k2, k1, "left")
+    n = np.searchsorted(k2, k1, "right") - lo
+    first = np.searchsorted(i, np.arange(len(rows) + 1))
+    upto = np.r_[0, np.cumsum(n)][first]
+    step, r = max(1, held // max(1, len(cols))), 0
+    while r < len(rows):
+        end = min(r + step, max(r + 1, int(np.searchsorted(upto, upto[r] + held, "right")) - 1), len(rows))
+        here = slice(first[r], first[end])
+        of = np.repeat(np.arange(here.start, here.stop), n[here])
+        to = np.arange(len(of)) - np.repeat(np.cumsum(n[here]) - n[here] - lo[here], n[here])
+        at, size = (i[of] - r) * len(cols) + j[to], (end - r) * len(cols)
+        if kind is np.float64:
+            s = np.bincount(at, x[of] * y[to], size)
+        else:
+            s = np.zeros(size, kind)
+            np.add.at(s, at, x[of] * y[to])
+        met = np.zeros(size, bool)
+        met[at] = True
+        at = np.flatnonzero(met)
+        yield rows[at // len(cols) + r], cols[at % len(cols)], s[at].astype(np.int64) if whole else s[at]
+        r = end
+
+
+def sparse_product(a: DataFrame, b: DataFrame, kind: str, scratch: Scratch, rows: int = ROWS, cells: int = CELLS) -> DataFrame:
+    """i, j, v of distinct cells without nulls. Each block of rows of a and block of columns of b that share an inner index
+    form their products and finish their sums in one group, so cells are exchanged and products are not; its rows
+    leave it in slices. Only where the longest row or column is more than a block's cells do the parts of
+    the inner index give sums that are added up."""
+    met, blocks, parts = meetings(a, b, scratch, rows, cells)
+    whole = kind == "bigint"
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(batches)
+        left = t.column("left").to_numpy()
+        at, k, v = (t.column(c).to_numpy() for c in ("at", "k", "v"))
+        for i, j, x in multiplied(at[left], k[left], v[left], at[~left], k[~left], v[~left], whole):
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(x)], ["i", "j", "v"])
+
+    # A task for each block at least, since blocks are full.
+    tasks = max(blocks * parts, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = ["gi", "gj", "part"]
+    out = met.repartition(tasks, *keys).groupBy(*keys).applyInArrow(tile, f"i bigint, j bigint, v {kind}")
+    return out if parts == 1 else out.groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def dense_product(a: DataFrame, b: DataFrame, kind: str, scratch: Scratch, side: int = SIDE, together: int = TOGETHER) -> DataFrame:
+    """i, j, v of cells without nulls.
+
+    Tiles meet by inner block, in groups of `together` tiles a side, so a task holds that many tiles of each matrix and
+    their product, whatever the matrices and however many cells an inner block has. A group's product is
+    summed over the inner block before it leaves the task; sums over the inner blocks are one aggregate of cells.
+    """
+    whole = kind == "bigint"
     left = scratch.save(tiles(a, side).select(F.col("bj").alias("k"), F.expr(f"bi div {together}").alias("gi"), F.col("bi").alias("block"), "cells"))
     right = scratch.save(tiles(b, side).select(F.col("bi").alias("k"), F.expr(f"bj div {together}").alias("gj"), F.col("bj").alias("block"), "cells"))
     rows, cols = left.groupBy("k", "gi").count().toDF("k", "gi", "n"), right.groupBy("k", "gj").count().toDF("k", "gj", "n")
@@ -53,15 +156,16 @@ def mat_mat(a: DataFrame, b: DataFrame, side: int = SIDE, together: int = TOGETH
         return block, flat.field("p").to_numpy(), flat.field("v").to_numpy()
 
     def product(one, other):
-        import pyarrow as pa
-
         block, p, x = unpacked(one)
-        rows, i = np.unique(block * side + p // side, return_inverse=True)
-        block, q, y = unpacked(other)
-        cols, j = np.unique(block * side + q % side, return_inverse=True)
-        inner, k = np.unique(np.r_[p % side, q // side], return_inverse=True)
-        most = float(np.abs(x.astype(float)).max()) * float(np.abs(y.astype(float)).max()) * len(inner)
-        exact = np.float64 if not whole or most < 2**53 else np.int64 if most < 2**62 else object
+        block, p = block * side + p // side, p % side
+        other_block, q, y = unpacked(other)
+        other_block, q = other_block * side + q % side, q // side
+        if not (np.isfinite(x).all() and np.isfinite(y).all()):  # times an absent cell they are no number
+            return pa.table(dict(zip(("i", "j", "v"), (np.concatenate(c) for c in zip(*multiplied(block, p, x, other_block, q, y, whole), strict=True)), strict=True)))
+        rows, i = np.unique(block, return_inverse=True)
+        cols, j = np.unique(other_block, return_inverse=True)
+        inner, k = np.unique(np.r_[p, q], return_inverse=True)
+        exact = _exact(x, y, len(inner), whole)
         l, r = np.zeros((len(rows), len(inner)), exact), np.zeros((len(inner), len(cols)), exact)
         l[i, k[: len(p)]], r[k[len(p) :], j] = x, y
         met_l, met_r = (np.zeros(m.shape, np.float32) for m in (l, r))

@@ -88,3 +88,37 @@ def test_elimination_of_two_thousand_unknowns(spark):
     known = spark.createDataFrame([*enumerate(map(float, x)), (n, -1.0)], "i bigint, v double")
     off = linalg.mat_vec(done, known).agg(F.count("*"), F.max(F.abs("v"))).first()
     assert off[0] == n and off[1] < 1e-9
+
+
+def test_cells_of_a_sparse_product_are_sent_and_multiplied_as_cells(spark, tmp_path):
+    """Cells far from each other share no tile; each goes to one block that has its inner index, not to all."""
+    m = spark.range(3000).select((F.col("id") * 1000).alias("i"), (F.col("id") * 700).alias("j"), F.lit(2).cast("bigint").alias("v"))
+    t = m.selectExpr("j i", "i j", "v")
+    met, blocks, parts = linalg.meetings(m, t, linalg.Scratch(spark, "test"), 300, 300)
+    assert (blocks, parts, met.count()) == (10, 1, 2 * 3000) and met.select("gi", "gj").distinct().count() == 10
+    got = linalg.mat_mat(m, t)
+    assert got.count() == 3000 and got.filter("i = j and v = 4").count() == 3000
+
+
+def test_sparse_product_of_long_rows_and_small_blocks(spark):
+    rng = np.random.default_rng(5)
+    x, y = (rng.integers(-2, 3, s) * (rng.random(s) < 0.3) for s in ((17, 40), (40, 23)))
+    x[3] = 1
+    some = lambda m, kind: spark.createDataFrame([(int(i), int(j), m[i, j].item() if kind == "bigint" else float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], MATRIX.format(kind))
+    want = {(i, j): v for (i, j), v in np.ndenumerate(x @ y) if (x[i] * y[:, j]).any()}
+    for kind in ("bigint", "double"):
+        for rows, cells in ((3, 9), (1000, 1000)):
+            a, b = some(x, kind), some(y, kind)
+            got = linalg.sparse_product(a, b, kind, linalg.Scratch(spark, "test"), rows, cells).collect()
+            assert {(r.i, r.j): r.v for r in got} == want and len(got) == len(want)
+    parts = [p for held in (1, 100, 10**6) for p in [list(linalg.multiplied(*np.nonzero(x), x[x != 0], np.nonzero(y)[1], np.nonzero(y)[0], y[y != 0], True, held))]]
+    assert len(parts[0]) > len(parts[1]) > len(parts[2]) == 1
+    assert all({(i, j): v for p in ps for i, j, v in zip(*p, strict=True)} == want for ps in parts)
+
+
+@pytest.mark.parametrize("full", [0.0, 1.0])
+def test_infinite_cells_meet_only_cells_that_are_there(spark, full):
+    a = spark.createDataFrame([(0, 0, float("inf")), (0, 1, 1.0)], MATRIX.format("double"))
+    b = spark.createDataFrame([(0, 0, 2.0), (1, 0, 3.0), (1, 1, 5.0)], MATRIX.format("double"))
+    got = linalg.mat_mat(a, b, full=full).collect()
+    assert sorted(map(tuple, got)) == [(0, 0, float("inf")), (0, 1, 5.0)]
