@@ -6,8 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.scratch import Scratch
+
 #: Most different entries of a block.
 BLOCK = 4096
+#: Different rows of a range, about; fewer where that leaves tasks idle, down to FEW.
+ROWS_EACH, FEW = 500_000, 50_000
+#: While equal rows are counted, exchanges are cut finely and put together to so many bytes a task, however large the input.
+_FINE, _BYTES = 1024, 8 << 20
 
 
 def blocked_lists(df: DataFrame, key: str, fields: list[str], size: int = BLOCK, parts: int | None = None) -> DataFrame:
@@ -16,12 +22,16 @@ def blocked_lists(df: DataFrame, key: str, fields: list[str], size: int = BLOCK,
     overlap. They have at most `size` entries, fewer at the end of a key or of a partition. Null keys are one key, and nulls
     come first.
 
-    Equal rows are counted first; then one range exchange by key and fields deals the list of a hot key to many
-    tasks, and a task cuts its sorted rows as they come, holding one block besides the batch.
+    Equal rows are counted first, into a table in the shared folder; then one range exchange by key and fields deals the
+    list of a hot key to many tasks, and a task cuts its sorted rows as they come, holding one block besides the batch.
+    There are as many ranges (`parts`) as the different rows ask for, so that no task grows with the input.
     """
-    order = [key, *fields]
-    counted = df.groupBy(*order).agg(F.count("*").alias("times"))
-    dealt = counted.repartitionByRange(parts, *order) if parts else counted.repartitionByRange(*order)
+    order, conf = [key, *fields], df.sparkSession.conf
+    usual = int(conf.get("spark.sql.shuffle.partitions"))
+    scratch = Scratch(df.sparkSession, "lists", {"spark.sql.shuffle.partitions": str(max(usual, _FINE)), "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(_BYTES)})
+    counted, seen = scratch.measure(df.groupBy(*order).agg(F.count("*").alias("times")), F.count("*").alias("n"))
+    parts = parts or max(1, -(-seen["n"] // ROWS_EACH), min(usual, -(-seen["n"] // FEW)))
+    dealt = counted.repartitionByRange(parts, *order)
     of = {f: df.schema[f].dataType.simpleString() for f in order}
     entry = ", ".join(f"`{f}`: {of[f]}" for f in fields)
     schema = f"`{key}` {of[key]}, first {of[fields[0]]}, last {of[fields[0]]}, n bigint, entries array<struct<{entry}, times: bigint>>"

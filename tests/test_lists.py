@@ -32,3 +32,12 @@ def test_equal_rows_are_one_entry(spark):
     edges = spark.range(5000).selectExpr("1L src", "2L dst")
     assert [(r.n, len(r.entries)) for r in lists.blocked_lists(edges, "src", ["dst"], 10).collect()] == [(5000, 1)]
     assert lists.blocked_lists(edges.filter("false"), "src", ["dst"]).count() == 0
+
+
+def test_ranges_grow_with_the_input(spark, monkeypatch):
+    """Not the session's 8 partitions: as many ranges as rows ask for, each of bounded rows."""
+    monkeypatch.setattr(lists, "ROWS_EACH", 1000)
+    edges = spark.range(30000).selectExpr("id % 50 src", "id dst")
+    blocks = lists.blocked_lists(edges, "src", ["dst"], 100).withColumn("task", F.spark_partition_id())
+    sizes = [r["n"] for r in blocks.groupBy("task").agg(F.sum("n").alias("n")).collect()]
+    assert sum(sizes) == 30000 and len(sizes) >= 25 and max(sizes) <= 3000
