@@ -164,7 +164,8 @@ def neighbors(m: DataFrame, measure: str = "jaccard", minsim: float = 0.25, nnbr
     Ties go to the smaller neighbour. `tile` and `prefix` are as in pair_sums and change no result.
 
     Where rows in order share columns, so that fewer cells than pairs are exchanged, pairs are formed and finished in
-    tiles of two row blocks (similarity_tiles); else, and where a `tile` is given, by the join of pair_sums.
+    tiles of two row blocks (similarity_tiles), elsewhere in a row block that is sent lists (similarity_lists). Where a row
+    is longer than a block or a `tile` is given, and for other types, by the join of pair_sums.
     """
     if measure not in MEASURES:
         raise ValueError(f"measure must be one of {MEASURES}")

@@ -4,7 +4,7 @@ What leaves a tile is bounded: at most k neighbours for each of its rows, so at
 and merged, where the join by columns exchanges every pair. A cell goes only to tiles of its block and one that has a
 cell of its column, so a tile is there only for blocks that share a column, and cells are shuffled as often as
 their columns have blocks: where rows in order are alike, that is a few times, whatever the number of rows. Where columns
-are spread over more blocks than they have pairs of rows to form, `similarity.neighbors` joins by columns.
+are spread over more blocks than they have pairs of rows to form, `similarity.neighbors` sends lists (similarity_lists).
 """
 
 from __future__ import annotations
@@ -35,9 +35,10 @@ def row_blocks(m: DataFrame, measure: str, cells: int = CELLS, rows: int = ROWS)
 
 
 def column_blocks(blocked: DataFrame) -> DataFrame:
-    """col, at, n: of each column the blocks that have a cell of it, and its cells in blocks."""
+    """col, at, n, each: of each column the blocks that have a cell of it, its cells in blocks, and those of each block."""
     each = blocked.filter("block is not null").groupBy("col", "block").agg(F.count("*").alias("n"))
-    return each.groupBy("col").agg(F.collect_list("block").alias("at"), F.sum("n").alias("n"))
+    told = each.groupBy("col").agg(F.collect_list(F.struct("block", "n")).alias("each"), F.sum("n").alias("n"))
+    return told.select("col", F.col("each.block").alias("at"), "n", "each")
 
 
 def products(r1: np.ndarray, lo: np.ndarray, n: np.ndarray, held: int):
@@ -142,14 +143,19 @@ def ranked(lists: DataFrame, nnbrs: int) -> DataFrame:
 
 
 def grid_lists(m: DataFrame, measure: str, minsim: float, nnbrs: int, cells: int = CELLS, rows: int = ROWS, prefix: bool = False, pays: bool = False) -> DataFrame | None:
-    """query, neighbor, sim of all tiles, and of rows longer than a block. With `pays`: None where columns are spread
-    over so many blocks that more cells would be sent than pairs of rows are to be formed."""
+    """query, neighbor, sim of all tiles, and of rows longer than a block. With `pays`: by lists (similarity_lists, for which
+    `prefix` is not needed) where columns are spread over so many blocks that more cells would be sent than pairs of rows
+    are to be formed, and None where a row is longer than a block or there is none."""
     scratch = Scratch(m.sparkSession, "grid")
     blocked, seen = scratch.measure(row_blocks(m, measure, cells, rows), F.max("block").alias("last"), F.count_if(F.col("block").isNull()).alias("long"))
     pairs, sent = F.sum(F.col("n") * (F.col("n") + 1.0) / 2).alias("pairs"), F.sum(F.col("n") * F.size("at")).alias("sent")
     columns, told = scratch.measure(column_blocks(blocked), pairs, sent)
-    if pays and (seen["long"] or seen["last"] is None or told["sent"] > told["pairs"]):
+    if pays and (seen["long"] or seen["last"] is None):
         return None
+    if pays and told["sent"] > told["pairs"]:
+        from sparkloom.operators.similarity_lists import block_lists
+
+        return block_lists(blocked, measure, minsim, nnbrs, seen["last"] + 1, columns)
     known = scratch.save(indexed(blocked, measure, minsim)) if prefix and minsim > 0 else blocked
     parts = [tile_lists(known, measure, minsim, nnbrs, seen["last"] + 1, columns=columns)] if seen["last"] is not None else []
     if seen["long"] or not parts:
