@@ -163,20 +163,28 @@ def neighbors(m: DataFrame, measure: str = "jaccard", minsim: float = 0.25, nnbr
     length 1. minmax: sum of minima / sum of maxima. A pair whose similarity is undefined (0 / 0) is dropped.
     Ties go to the smaller neighbour. `tile` and `prefix` are as in pair_sums and change no result.
 
-    Where rows in order share columns, so that fewer cells than pairs are exchanged, pairs are formed and finished in
-    tiles of two row blocks (similarity_tiles), elsewhere in a row block that is sent lists (similarity_lists). Where a row
-    is longer than a block or a `tile` is given, and for other types, by the join of pair_sums.
+    Where the matrix is large and its columns are short, each row is finished in one task that is sent the lists of its
+    columns (row_lists). Else, where rows in order share columns, so that fewer cells than pairs are exchanged, pairs are
+    formed and finished in tiles of two row blocks (similarity_tiles), elsewhere in a row block that is sent lists
+    (similarity_lists). Where a row is longer than a block or a `tile` is given, and for other types, by the join of
+    pair_sums.
     """
     if measure not in MEASURES:
         raise ValueError(f"measure must be one of {MEASURES}")
+    kept = tile is None and [m.schema[c].dataType.typeName() for c in ("row", "col", "val")] == ["long", "long", "double"]
+    if kept:
+        from sparkloom.operators import row_lists
+        from sparkloom.operators import similarity_tiles as grid
+
+        m = save(m.filter("row is not null and col is not null and val is not null"), "matrix")
+        found = row_lists.neighbors_if_pays(m, measure, minsim, nnbrs, grid.CELLS)
+        if found is not None:
+            return found
     if measure == "cosine":
         m, measure = normalize(m, "row", 2), "dot"
         if prefix is None and minsim**2 < TRIED:  # the share of a row of length 1 that is too little
             prefix = False
-    if tile is None and [m.schema[c].dataType.typeName() for c in ("row", "col", "val")] == ["long", "long", "double"]:
-        from sparkloom.operators import similarity_tiles as grid
-
-        m = save(m.filter("row is not null and col is not null and val is not null"), "matrix")
+    if kept:
         lists = grid.grid_lists(m, measure, minsim, nnbrs, prefix=bool(prefix), pays=True)
         if lists is not None:
             return grid.ranked(lists, nnbrs)

@@ -168,11 +168,19 @@ def tiled_neighbors(m: DataFrame, measure: str = "jaccard", minsim: float = 0.25
 
     Two blocks are multiplied once, for the queries of both. A task holds the cells that two blocks share columns by, and
     some of the similarities of their rows. Rows of more than `cells` cells meet the others by columns, outside the grid,
-    so no task holds one. Rows, columns and values are whole: cells with a null are left out.
+    so no task holds one. Rows, columns and values are whole: cells with a null are left out. Where the grid would send more
+    than the lists of its columns (short columns that lie in many blocks), these are sent to blocks of rows (row_lists).
     """
     if measure not in MEASURES:
         raise ValueError(f"measure must be one of {MEASURES}")
     m = m.filter("row is not null and col is not null and val is not null")
+    if [m.schema[c].dataType.typeName() for c in ("row", "col", "val")] == ["long", "long", "double"]:
+        from sparkloom.operators.row_lists import neighbors_if_pays
+
+        m = save(m, "matrix")
+        found = neighbors_if_pays(m, measure, minsim, nnbrs, cells)
+        if found is not None:
+            return found
     if measure == "cosine":
         m, measure = normalize(m, "row", 2), "dot"
     return ranked(grid_lists(m, measure, minsim, nnbrs, cells, rows), nnbrs)
